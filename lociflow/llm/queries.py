@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, secrets, url_filter
+from . import exact_dedup, mixing, pst, secrets, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan(docs)
@@ -41,5 +45,5 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags.select("doc_id", "keep_id", "group_size", "kept", F.sha2(exact_dedup.normalised(F.col("text")), 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op6_secrets, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_lm_scoring, op6_secrets, op9_exact_dedup)}
 ORACLES = {"op1_url_filter": url_filter.sql(), "op2_mixing": mixing.sql(), "op9_exact_dedup": exact_dedup.SQL}
