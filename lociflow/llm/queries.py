@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, pst, secrets, url_filter
+from . import exact_dedup, mixing, near_dedup, pst, secrets, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,11 +39,20 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     flags = exact_dedup.flagged(docs)
     return flags.select("doc_id", "keep_id", "group_size", "kept", F.sha2(exact_dedup.normalised(F.col("text")), 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_lm_scoring, op6_secrets, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_lm_scoring, op6_secrets, op7_near_dedup, op8_toxicity, op9_exact_dedup)}
 ORACLES = {"op1_url_filter": url_filter.sql(), "op2_mixing": mixing.sql(), "op9_exact_dedup": exact_dedup.SQL}
