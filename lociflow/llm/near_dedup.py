@@ -1,6 +1,7 @@
 """MinHash near-dedup with ProbMinHash signatures, banding, exact verification and connected components.
 
-A document's shingles (five words; all words, if it has fewer) are weighted by how often they occur in it. Each
+A document's shingles (five words; all words, if it has fewer) are weighted by one plus the logarithm of how often
+they occur in it, so that a phrase repeated hundreds of times doesn't outweigh the rest. Each
 shingle starts a Poisson process whose rate is its weight; each arrival falls on a register drawn by hash, and a
 register keeps the shingle that arrives first. Two signatures agree in a register with the probability Jaccard
 similarity of the weighted shingles. Arrivals are drawn in order and stop at a time by which the registers are
@@ -11,10 +12,10 @@ Bands of `rows` registers are hashed. Documents that share a band are candidates
 similarity of its shingle sets is at least `least`. Classes are the connected components of links.
 
 Only distinct word sequences take part (equal ones form one node). In each band bucket, every node is first checked
-against the bucket's least node: a number of pairs that grows with the rows, not with their square. After the
+against the bucket's pivot, the node that meets most others in all buckets: a number of pairs that grows with the rows, not with their square. After the
 components of those links, the only pairs that can still matter are those of different classes in one bucket; of
-these, exactly the ones whose set sizes allow the similarity, and which share one of the rare shingles that similar
-sets must share (prefix filter), are checked. So no link between different classes is lost and copies aren't expanded.
+these, exactly the ones are checked that share one of the rare shingles that similar sets must share (prefix filter)
+and whose sizes, less the shingles that no other such document has, allow the similarity. So no link between different classes is lost and copies aren't expanded.
 
 Edge cases: a null text counts as empty; texts without words are one class. Repeated rows are in one class. A null
 doc_id takes part; the class is named by its smallest doc_id that isn't null. Extra columns are kept; those with the
@@ -74,13 +75,13 @@ def shingles(words: list[list[bytes]], n: int, cache: Hashes) -> tuple[np.ndarra
 
 
 def weighted(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct (text, shingle) with their counts, by text."""
+    """The distinct (text, shingle) with their weights, by text."""
     order = np.lexsort((keys, docs))
     keys, docs = keys[order], docs[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
     at = np.flatnonzero(new)
-    return keys[at], docs[at], np.diff(np.append(at, len(keys)))
+    return keys[at], docs[at], 1 + np.log(np.diff(np.append(at, len(keys))))
 
 
 def prob_minhash(keys: np.ndarray, docs: np.ndarray, weights: np.ndarray, n: int, registers: int) -> np.ndarray:
@@ -163,15 +164,19 @@ def classes(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     nodes = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "nodes")
 
     rows = nodes.select("id", F.explode("bands").alias("band"))
-    buckets = rows.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).where("pivot < other").select("band", "pivot")
+    buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = stored(rows.join(buckets, "band"), "members")
+    # the node that meets most others is each bucket's pivot: a group's original rather than one of its edits
+    central = members.groupBy("id").agg(F.sum("size").alias("met"))
+    pivots = members.join(central, "id").groupBy("band").agg(F.max(F.struct("met", "id")).getField("id").alias("pivot"))
+    members = stored(members.join(pivots, "band").select("band", "id", "pivot"), "members")
     some = members.select("id").distinct().join(nodes.select("id", "doc_id", "word_key"), "id")
     some = small(stored(some.select("id", "doc_id", F.col("word_key").alias("key")), "some"))
     texts_of = docs.select("doc_id", "text").alias("d").join(some.alias("s"), F.expr("d.doc_id <=> s.doc_id")).where(word_key(F.col("text")) == F.col("key"))
     sets = texts_of.select("id", "text").mapInArrow(lambda b: _sets(b, how), "id long, grams array<long>")
     sets = stored(sets.groupBy("id").agg(F.first("grams").alias("grams")), "sets")
 
-    tried = members.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    tried = members.where("id != pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
     links = stored(_linked(tried, sets, how.least), "links")
     roots = components(links)
 
@@ -182,11 +187,13 @@ def classes(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     # a hash of the shingle with its rank by frequency puts the rare ones first
     grams = stored(left.join(sets, "id").select("id", "root", F.size("grams").alias("n"), F.explode("grams").alias("g")), "grams")
     often = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("low"), F.max("root").alias("high"))
-    ranked = grams.join(often, "g").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("df", "g")))
-    prefix = ranked.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * how.least - 1e-9) + 1) & (F.col("low") < F.col("high"))).select("g", "id", "root", "n")
+    of_id = Window.partitionBy("id")
+    ranked = grams.join(often, "g").withColumns({"place": F.row_number().over(of_id.orderBy("df", "g")), "met": F.sum((F.col("df") > 1).cast("int")).over(of_id)})
+    ranked = ranked.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * how.least - 1e-9) + 1) & (F.col("low") < F.col("high")))
+    prefix = ranked.where(F.col("met") >= F.col("n") * F.lit(how.least)).select("g", "id", "root", "n", "met")
     prefix = stored(prefix, "prefix")
     x, y = prefix.alias("x"), prefix.alias("y")
-    cross = x.join(y, F.expr(f"x.g = y.g AND x.id < y.id AND x.root != y.root AND least(x.n, y.n) >= {how.least} * greatest(x.n, y.n)")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    cross = x.join(y, F.expr(f"x.g = y.g AND x.id < y.id AND x.root != y.root AND least(x.met, y.met) >= {how.least}D * (x.n + y.n - least(x.met, y.met))")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     more = _linked(cross.join(tried, ["a", "b"], "left_anti"), sets, how.least)
     roots = components(stored(links.union(more), "links"))
     of_key = nodes.select("id", "word_key").join(roots.withColumnRenamed("node", "id"), "id", "left").select("word_key", F.coalesce("root", "id").alias("root"))
