@@ -14,6 +14,9 @@ result column are replaced. If all sizes are 0, all targets are 0. An empty tabl
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,8 +76,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
 
 def first_words(texts, counts):
     """Each text up to the end of its first n words."""
-    import re
-
     word = re.compile(WORD)
     for text, n in zip(texts, counts):
         end = 0
@@ -88,8 +89,6 @@ def first_words(texts, counts):
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself, with docs' columns: each document as often as its whole passes, and, if the budget ends in
     it, once more up to its last word within the budget. Documents of no words are in no mix's budget and stay once."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def head(text: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else next(first_words([t], [int(k)])) for t, k in zip(text, n.fillna(0))], dtype="object")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, pst, secrets, toxicity, url_filter
+from . import ann, chat, exact_dedup, mixing, near_dedup, pieces, pst, secrets, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,15 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pst.lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(*chat.derived(table(spark, sf_dir, "conversations")))
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs).drop("text")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan(docs)
@@ -54,5 +63,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags.select("doc_id", "keep_id", "group_size", "kept", F.sha2(exact_dedup.normalised(F.col("text")), 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_lm_scoring, op6_secrets, op7_near_dedup, op8_toxicity, op9_exact_dedup)}
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_lm_scoring, op4_chat_format, op5_pieces, op6_secrets, op7_near_dedup, op8_toxicity, op9_exact_dedup, op10_neighbours)}
 ORACLES = {"op1_url_filter": url_filter.sql(), "op2_mixing": mixing.sql(), "op9_exact_dedup": exact_dedup.SQL}
