@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Column expressions of genetics; all stay in the JVM."""

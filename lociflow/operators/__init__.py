@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""DataFrame operators over reads, markers and haplotypes."""

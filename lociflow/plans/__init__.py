@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""The registered queries of the genotype operators."""

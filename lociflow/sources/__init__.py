@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Tables, and genotype-shaped views of whole tables: the provided tables hold no genotypes of their own."""
