@@ -1,8 +1,9 @@
 """Chat formatting: tool calls linked with their results, ordered, validated and written as canonical JSON.
 
 Calls and results are hash-joined by conversation and identifier. A call may name calls it builds on; its level is one
-more than the highest of theirs, found by rounds of joins that each settle the calls whose dependencies are settled
-(as many rounds as the longest chain). Level, then turn, then identifier is a topological order of a conversation;
+more than the highest of theirs. Where each call builds on one at most, levels are found by pointer jumping, in as many
+rounds as the logarithm of the longest chain; else by rounds that each settle the calls whose dependencies are settled,
+as many as the longest chain. Level, then turn, then identifier is a topological order of a conversation;
 each call stays a row of its own, so a conversation of any length is never one group. Arguments are checked against
 the tool's schema (a subset of JSON Schema: type, required, properties, additionalProperties, enum, minimum, maximum,
 minLength, maxLength), and each call with its result is one line of JSON with sorted keys, no blanks and plain UTF-8.
@@ -84,16 +85,38 @@ def levels(calls: DataFrame, rounds: int = 1000) -> DataFrame:
     known = nodes.select("conv_id", F.col("call_id").alias("dep"))
     edges = nodes.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("dep")).join(known, ["conv_id", "dep"])
     edges = stored(edges, "edges")
+    several = edges.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    found = _settled(nodes, edges, rounds) if several else _jumped(nodes, edges)
+    return nodes.select("conv_id", "call_id").join(found, ["conv_id", "call_id"], "left").withColumn("level", F.coalesce("level", F.lit(-1)))
+
+
+def _jumped(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Levels where each call has one dependency at most: each round a call's pointer takes over its target's pointer
+    and distance. A round in which no pointer ends leaves only cycles and what hangs on them."""
+    far = F.when(F.col("dep").isNotNull(), 1).otherwise(0)
+    at = stored(nodes.select("conv_id", "call_id").join(edges, ["conv_id", "call_id"], "left").withColumn("level", far), "jumps")
+    left = at.where("dep IS NOT NULL").count()
+    while left:
+        target = at.select("conv_id", F.col("call_id").alias("dep"), F.col("dep").alias("next"), F.col("level").alias("more"))
+        at = stored(at.join(target, ["conv_id", "dep"], "left").select("conv_id", "call_id", F.col("next").alias("dep"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), "jumps")
+        still = at.where("dep IS NOT NULL").count()
+        if still == left:
+            break
+        left = still
+    return at.where("dep IS NULL").select("conv_id", "call_id", "level")
+
+
+def _settled(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
     done = stored(nodes.join(edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level")), "levels")
-    all_done = done
     for level in range(1, rounds + 1):
-        edges_left = edges.join(all_done.select("conv_id", F.col("call_id").alias("dep"), F.lit(1).alias("ok")), ["conv_id", "dep"], "left")
-        ready = edges_left.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n"), F.count("ok").alias("met")).where("n = met")
-        ready = stored(ready.join(all_done, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(level).alias("level")), "levels")
-        if not ready.limit(1).count():
+        met = edges.join(done.select("conv_id", F.col("call_id").alias("dep"), F.lit(1).alias("ok")), ["conv_id", "dep"], "left")
+        ready = met.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n"), F.count("ok").alias("met")).where("n = met")
+        ready = ready.join(done, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(level).alias("level"))
+        new = stored(done.union(ready), "levels")
+        if not new.where(F.col("level") == level).limit(1).count():
             break
-        all_done = all_done.union(ready)
-    return nodes.select("conv_id", "call_id").join(all_done, ["conv_id", "call_id"], "left").withColumn("level", F.coalesce("level", F.lit(-1)))
+        done = new
+    return done
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, Any]] = SCHEMAS) -> DataFrame:
