@@ -128,11 +128,12 @@ class Pieces(dict):
                 while tail:
                     first, tail = tail
                     ids.extend(first) if type(first) is tuple else ids.append(first)
-                found.append((-low, tuple(ids)))
+                found.append((done, tuple(ids)))
                 continue
             for start, s, piece in into[at]:
                 total = done + s
-                heapq.heappush(heap, (-(total + ahead[start]), start, count, total, (piece, tail)))
+                # rounded, so that sums in another order are ties and not a crowd of near ties
+                heapq.heappush(heap, (-round(total + ahead[start], 6), start, count, total, (piece, tail)))
                 count += 1
         return found
 
