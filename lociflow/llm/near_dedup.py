@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import components, small, stored
 from .words import Hashes, blocks, chain, mix64, texts
 
+#: Words of parity bits of a text's shingles.
+MARKS = 8
 RESULT = ("class_id", "class_size", "kept")
 
 
@@ -128,6 +130,15 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def parities(keys: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
+    """64 * MARKS bits a text: whether an odd number of its shingles fall on the bit. Two texts differ in at most as
+    many bits as there are shingles in only one of them."""
+    place = mix64(keys ^ np.uint64(0xA24BAED4963EE407)) % np.uint64(64 * MARKS)
+    bits = np.zeros(n * MARKS, np.uint64)
+    np.bitwise_xor.at(bits, docs * MARKS + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return bits.reshape(n, MARKS)
+
+
 def _sign(batches: Iterator[pa.RecordBatch], how: Settings) -> Iterator[pa.RecordBatch]:
     cache = Hashes()
     for block in blocks(batches):
@@ -143,8 +154,10 @@ def _sets(batches: Iterator[pa.RecordBatch], how: Settings) -> Iterator[pa.Recor
     cache = Hashes()
     for block in blocks(batches):
         keys, docs, _ = weighted(*shingles([t.split() for t in texts(block)], how.words, cache))
-        offsets = np.concatenate(([0], np.cumsum(np.bincount(docs, minlength=block.num_rows)))).astype(np.int32)
-        yield pa.record_batch([block.column("id"), pa.ListArray.from_arrays(offsets, keys.view(np.int64))], names=["id", "grams"])
+        n = block.num_rows
+        offsets = np.concatenate(([0], np.cumsum(np.bincount(docs, minlength=n)))).astype(np.int32)
+        at = np.arange(0, (n + 1) * MARKS, MARKS, dtype=np.int32)
+        yield pa.record_batch([block.column("id"), pa.ListArray.from_arrays(offsets, keys.view(np.int64)), pa.ListArray.from_arrays(at, parities(keys, docs, n).ravel().view(np.int64))], names=["id", "grams", "marks"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -173,8 +186,8 @@ def classes(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     some = members.select("id").distinct().join(nodes.select("id", "doc_id", "word_key"), "id")
     some = small(stored(some.select("id", "doc_id", F.col("word_key").alias("key")), "some"))
     texts_of = docs.select("doc_id", "text").alias("d").join(some.alias("s"), F.expr("d.doc_id <=> s.doc_id")).where(word_key(F.col("text")) == F.col("key"))
-    sets = texts_of.select("id", "text").mapInArrow(lambda b: _sets(b, how), "id long, grams array<long>")
-    sets = stored(sets.groupBy("id").agg(F.first("grams").alias("grams")), "sets")
+    sets = texts_of.select("id", "text").mapInArrow(lambda b: _sets(b, how), "id long, grams array<long>, marks array<long>")
+    sets = stored(sets.groupBy("id").agg(F.first(F.struct("grams", "marks")).alias("s")).select("id", "s.grams", "s.marks"), "sets")
 
     tried = members.where("id != pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
     links = stored(_linked(tried, sets, how.least), "links")
@@ -183,17 +196,26 @@ def classes(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     named = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
     mixed = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
     left = named.join(mixed, "band").select("id", "root").distinct()
-    # sets of n shingles that are similar share one of each one's n - ceil(least * n) + 1 first in any common order;
-    # a hash of the shingle with its rank by frequency puts the rare ones first
-    grams = stored(left.join(sets, "id").select("id", "root", F.size("grams").alias("n"), F.explode("grams").alias("g")), "grams")
+    # two similar sets of n and m shingles share ceil(least / (1 + least) * (n + m)) of them, so that in any common order
+    # the first shared one stands early in both. Shingles of one class only come first, as they are never shared; then
+    # the rare ones. The smaller set needs a shorter start than the larger one (indexed and probing prefixes).
+    grams = stored(left.join(sets.select("id", "grams"), "id").select("id", "root", F.size("grams").alias("n"), F.explode("grams").alias("g")), "grams")
     often = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("low"), F.max("root").alias("high"))
+    shared = F.col("low") < F.col("high")
     of_id = Window.partitionBy("id")
-    ranked = grams.join(often, "g").withColumns({"place": F.row_number().over(of_id.orderBy("df", "g")), "met": F.sum((F.col("df") > 1).cast("int")).over(of_id)})
-    ranked = ranked.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * how.least - 1e-9) + 1) & (F.col("low") < F.col("high")))
-    prefix = ranked.where(F.col("met") >= F.col("n") * F.lit(how.least)).select("g", "id", "root", "n", "met")
-    prefix = stored(prefix, "prefix")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    cross = x.join(y, F.expr(f"x.g = y.g AND x.id < y.id AND x.root != y.root AND least(x.met, y.met) >= {how.least}D * (x.n + y.n - least(x.met, y.met))")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    ranked = grams.join(often, "g").withColumns({"place": F.row_number().over(of_id.orderBy(shared, "df", "g")), "met": F.sum(shared.cast("int")).over(of_id)})
+    start = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
+    prefix = ranked.where(shared & (F.col("place") <= start(how.least)) & (F.col("met") >= F.col("n") * how.least - 1e-9)).select("g", "id", "root", "n", "place")
+    prefix = stored(prefix.join(sets.select("id", "marks"), "id"), "prefix")
+    common = how.least / (1 + how.least)
+    x, y = prefix.alias("x"), prefix.where(F.col("place") <= start(2 * common)).alias("y")
+    apart = " + ".join(f"bit_count(x.marks[{k}] ^ y.marks[{k}])" for k in range(MARKS))
+    cross = x.join(
+        y,
+        F.expr(f"""x.g = y.g AND x.root != y.root AND (y.n < x.n OR y.n = x.n AND y.id < x.id)
+            AND least(x.n - x.place, y.n - y.place) + 1 >= {common!r}D * (x.n + y.n) - 1e-9D
+            AND {apart} <= {1 - 2 * common!r}D * (x.n + y.n) + 1e-9D"""),
+    ).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     more = _linked(cross.join(tried, ["a", "b"], "left_anti"), sets, how.least)
     roots = components(stored(links.union(more), "links"))
     of_key = nodes.select("id", "word_key").join(roots.withColumnRenamed("node", "id"), "id", "left").select("word_key", F.coalesce("root", "id").alias("root"))

@@ -202,6 +202,16 @@ def test_signature_estimates_similarity():
     assert abs((s[0] == s[1]).mean() - 250 / 350) < 0.05
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(5)
+    whole = rng.integers(0, 2**63, 400).astype(np.uint64)
+    a, b = whole[:300], whole[40:]
+    keys, docs = np.concatenate((a, b, a)), np.repeat([0, 1, 2], [len(a), len(b), len(a)])
+    marks = near_dedup.parities(keys, docs, 3)
+    apart = lambda i, j: sum(int(x).bit_count() for x in marks[i] ^ marks[j])
+    assert apart(0, 2) == 0 and 0 < apart(0, 1) <= len(set(a) ^ set(b))
+
+
 def test_toxicity(spark, docs, none):
     rng = np.random.default_rng(5)
     words = [f"w{k}" for k in range(300)]
