@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +39,15 @@ def recombination(before: Column, here: Column) -> Column:
     return F.greatest(part(before) - part(here), F.lit(1e-5))
 
 
+def kolmogorov_tail(x: Column, terms: int = 10) -> Column:
+    """P(K >= x) of Kolmogorov's limit distribution: 1 at 0 and below. Below 1 the theta series is summed, from 1 on the
+    alternating one; either needs few terms there."""
+    odd = [F.exp(-((2 * k - 1) ** 2) * math.pi**2 / 8 / (x * x)) for k in range(1, terms + 1)]
+    signed = [(-1) ** (k - 1) * F.exp(-2.0 * k * k * x * x) for k in range(1, terms + 1)]
+    low = 1.0 - math.sqrt(2 * math.pi) / x * reduce(add, odd)
+    return F.when(x <= 0, 1.0).when(x < 1, low).otherwise(2.0 * reduce(add, signed))
+
+
 def complement(base: Column) -> Column:
     return F.translate(base, "ACGT", "TGCA")
 

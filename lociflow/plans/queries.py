@@ -197,6 +197,23 @@ def ks_distance(spark, d):
     return genotypes.ks_distance(rows, "l_suppkey", "g", "l_quantity").select("l_suppkey", r6(F.col("d")).alias("d"), "n", "m", r6(F.col("bound")).alias("bound"))
 
 
+TAIL = f"""CASE WHEN x <= 0 THEN 1e0 WHEN x < 1 THEN 1e0 - sqrt(2e0 * pi()) / x * ({" + ".join(f"exp(-{(2 * k - 1) ** 2}e0 * pi() * pi() / (8e0 * x * x))" for k in range(1, 11))})
+ELSE 2e0 * ({" ".join(f"{'+' if k % 2 else '-'} exp(-{2 * k * k}e0 * x * x)" for k in range(1, 11))}) END"""
+
+
+@query(
+    f"""SELECT l_suppkey, n, m, round(d, 6) AS d, round({TAIL}, 6) AS p FROM (
+SELECT l_suppkey, n, m, max(abs(fa / n::DOUBLE - fb / m::DOUBLE)) AS d, max(abs(fa / n::DOUBLE - fb / m::DOUBLE)) * sqrt(n * m / (n + m)::DOUBLE) AS x FROM (
+SELECT l_suppkey, sum(a) OVER (PARTITION BY l_suppkey ORDER BY l_quantity)::BIGINT AS fa, sum(b) OVER (PARTITION BY l_suppkey ORDER BY l_quantity)::BIGINT AS fb, sum(a) OVER (PARTITION BY l_suppkey)::BIGINT AS n, sum(b) OVER (PARTITION BY l_suppkey)::BIGINT AS m
+FROM (SELECT l_suppkey, l_quantity, count(*) FILTER (l_linestatus = 'O') AS a, count(*) FILTER (l_linestatus <> 'O') AS b FROM lineitem GROUP BY 1, 2)) WHERE n > 0 AND m > 0 GROUP BY l_suppkey, n, m)"""
+)
+def ks_pvalue(spark, d):
+    rows = V.table(spark, d, "lineitem").select("l_suppkey", "l_quantity", F.when(F.col("l_linestatus") == "O", 0).otherwise(1).alias("g"))
+    found = genotypes.ks_distance(rows, "l_suppkey", "g", "l_quantity")
+    x = F.col("d") * F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m")))
+    return found.select("l_suppkey", "n", "m", r6(F.col("d")).alias("d"), r6(G.kolmogorov_tail(x)).alias("p"))
+
+
 @query(
     """SELECT region, hap_id, code, rank, (CASE WHEN b IS NULL THEN -1 WHEN b = code THEN 0 ELSE length(bin(xor(code, b))) END)::INT AS agree_from
 FROM (SELECT *, row_number() OVER w::INT AS rank, lag(code) OVER w AS b FROM haplotypes WINDOW w AS (PARTITION BY region ORDER BY code, hap_id))"""

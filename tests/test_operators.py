@@ -56,3 +56,10 @@ def test_ks_distance(spark):
     rows = spark.createDataFrame([(0, 0, 1.0), (0, 0, 2.0), (0, 1, 2.0), (0, 1, 3.0), (1, 0, 1.0)], "k int, g int, v double")
     (r,) = genotypes.ks_distance(rows, "k", "g", "v").collect()
     assert (r.k, r.d, r.n, r.m) == (0, 0.5, 2, 2)
+
+
+def test_kolmogorov_tail(spark):
+    rows = spark.createDataFrame([(0.0,), (0.2,), (0.999999,), (1.000001,), (1.358099,), (1.627624,), (9.0,)], "x double")
+    p = [r.p for r in rows.select(G.kolmogorov_tail(F.col("x")).alias("p")).collect()]
+    assert p[0] == 1 and p[1] > 0.999999 and abs(p[2] - p[3]) < 1e-5 and p[6] < 1e-60
+    assert abs(p[4] - 0.05) < 1e-5 and abs(p[5] - 0.01) < 1e-5
