@@ -38,9 +38,11 @@ from .words import blocks, chain, mix64
 
 SPACE = "▁"
 RESULT = ("pieces", "n_pieces", "scores", "round_trip")
-CACHE = 250_000
+CACHE = 120_000
 #: Longer chunks are searched one by one.
 LONG = 48
+#: Bytes of text encoded at once, and characters of new chunks whose tables are filled at once: what a task holds.
+BLOCK, TABLE = 1 << 20, 1 << 16
 
 
 def default_model() -> str:
@@ -153,8 +155,9 @@ class Pieces(dict):
             if c not in self and len(c) <= LONG:
                 by_length.setdefault(len(c), []).append(c)
         for length, some in by_length.items():
-            for start in range(0, len(some), 8192):
-                self._learn(some[start : start + 8192], length)
+            step = TABLE // length
+            for start in range(0, len(some), step):
+                self._learn(some[start : start + step], length)
 
     def _lookup(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """By piece length: sorted keys, scores, ids."""
@@ -276,7 +279,7 @@ def _pieces(how: Settings) -> Pieces:
 
 def _encode(batches: Iterator[pa.RecordBatch], how: Settings) -> Iterator[pa.RecordBatch]:
     table = _pieces(how)
-    for block in blocks(batches):
+    for block in blocks(batches, size=BLOCK):
         texts = [t or "" for t in block.column("text").to_pylist()]
         parts = [table.chunks(t) for t in texts]
         table.learn(set().union(*parts))

@@ -27,14 +27,14 @@ class Hashes(dict):
         return found
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in slices of at most BLOCK_BYTES of text, or of one row."""
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices of at most that many bytes of text, or of one row."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         at, ends = 0, np.cumsum(sizes)
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + BLOCK_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
             yield batch.slice(at, to - at)
             at = to
 
