@@ -37,6 +37,8 @@ from .words import Hashes, blocks, chain, mix64, texts
 
 #: Words of parity bits of a text's shingles.
 MARKS = 8
+#: Bytes of text whose shingles are held at once.
+BLOCK = 2 << 20
 RESULT = ("class_id", "class_size", "kept")
 
 
@@ -141,7 +143,7 @@ def parities(keys: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch], how: Settings) -> Iterator[pa.RecordBatch]:
     cache = Hashes()
-    for block in blocks(batches):
+    for block in blocks(batches, size=BLOCK):
         n = block.num_rows
         keys, docs, weights = weighted(*shingles([t.split() for t in texts(block)], how.words, cache))
         bands = band_keys(prob_minhash(keys, docs, weights, n, how.bands * how.rows), how.bands, how.rows)
@@ -152,7 +154,7 @@ def _sign(batches: Iterator[pa.RecordBatch], how: Settings) -> Iterator[pa.Recor
 
 def _sets(batches: Iterator[pa.RecordBatch], how: Settings) -> Iterator[pa.RecordBatch]:
     cache = Hashes()
-    for block in blocks(batches):
+    for block in blocks(batches, size=BLOCK):
         keys, docs, _ = weighted(*shingles([t.split() for t in texts(block)], how.words, cache))
         n = block.num_rows
         offsets = np.concatenate(([0], np.cumsum(np.bincount(docs, minlength=n)))).astype(np.int32)
