@@ -10,10 +10,12 @@ minLength, maxLength), and each call with its result is one line of JSON with so
 
 Edge cases: results without a call are rows of kind `orphan`, calls without a result have a null result. Of several
 results of one call the one of the lowest turn is linked, then of the least text; the rest are orphans. Repeated calls of one identifier: the
-first by turn, then by content, stands; the others are dropped as repeats. Dependencies that name no call of the
-conversation are ignored; calls on a cycle, or behind one, have level -1. Arguments that are null or no JSON object
-are invalid. Null conversations or identifiers link with nothing. Extra columns are ignored. Empty tables give an
-empty result.
+first by turn, then by content, stands; the others are repeats, which `repeats` returns as rows of that kind.
+Dependencies that name no call of the conversation are ignored; calls on a cycle, or behind one, have level -1.
+Arguments that are null or no JSON object are invalid. Null conversations or identifiers link with nothing and repeat
+nothing: each such call is a row without a result, at level 0, and each such result an orphan; they take part in no
+shuffle. Turns that are neither calls nor results (system turns, other or null roles) are rows of kind `turn`
+(others()). Extra columns are ignored. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -119,16 +121,27 @@ def _settled(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
     return done
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, Any]] = SCHEMAS) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, Any]] = SCHEMAS, repeats: bool = False) -> DataFrame:
     """(conv_id, kind, level, turn, call_id, name, linked, valid, problems, json) for each call (conv_id, turn, call_id,
-    name, arguments, after) and each orphan of the results (conv_id, turn, call_id, content)."""
+    name, arguments, after) and each orphan of the results (conv_id, turn, call_id, content); with `repeats`, for each
+    repeated call too."""
+    keyed, loose = F.expr("conv_id IS NOT NULL AND call_id IS NOT NULL"), F.expr("conv_id IS NULL OR call_id IS NULL")
     first = Window.partitionBy("conv_id", "call_id").orderBy("turn", "name", "arguments")
-    calls = calls.withColumn("__lf_n", F.row_number().over(first)).where("__lf_n = 1").withColumn("after", F.coalesce("after", F.expr("cast(array() as array<string>)")))
-    calls = stored(calls.select("conv_id", "turn", "call_id", "name", "arguments", "after"), "unique")
-    turns = Window.partitionBy("conv_id", "call_id").orderBy("turn", "content")
-    results = results.select("conv_id", F.col("turn").alias("result_turn"), "call_id", "content", F.row_number().over(turns).alias("__lf_n"))
-    linked = calls.join(results.where("__lf_n = 1").drop("__lf_n"), ["conv_id", "call_id"], "left").join(levels(calls), ["conv_id", "call_id"], "left")
+    calls = calls.withColumn("after", F.coalesce("after", F.expr("cast(array() as array<string>)"))).select("conv_id", "turn", "call_id", "name", "arguments", "after")
+    ranked = stored(calls.where(keyed).withColumn("__lf_n", F.row_number().over(first)), "ranked")
+    alone = calls.where(loose)
+    again = ranked.where("__lf_n > 1").drop("__lf_n")
+    calls = ranked.where("__lf_n = 1").drop("__lf_n")
+    turns = Window.partitionBy("conv_id", "call_id").orderBy("result_turn", "content")
+    results = results.select("conv_id", F.col("turn").alias("result_turn"), "call_id", "content")
+    lost = results.where(loose)
+    results = results.where(keyed).withColumn("__lf_n", F.row_number().over(turns))
+    found = results.where("__lf_n = 1").drop("__lf_n").withColumn("linked", F.lit(True))
+    linked = calls.withColumn("kind", F.lit("call")).join(found, ["conv_id", "call_id"], "left").join(levels(calls), ["conv_id", "call_id"], "left")
     linked = linked.withColumn("level", F.coalesce("level", F.lit(0)))
+    linked = linked.unionByName(alone.withColumns({"kind": F.lit("call"), "level": F.lit(0)}), allowMissingColumns=True)
+    if repeats:
+        linked = linked.unionByName(again.withColumns({"kind": F.lit("repeat"), "level": F.lit(-1)}), allowMissingColumns=True)
 
     @F.pandas_udf("valid boolean, problems string, json string")
     def formatted(call_id: pd.Series, name: pd.Series, arguments: pd.Series, after: pd.Series, content: pd.Series) -> pd.DataFrame:
@@ -136,9 +149,10 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, Any]
         return pd.DataFrame(rows, columns=["valid", "problems", "json"])
 
     made = linked.withColumn("f", formatted("call_id", "name", "arguments", "after", "content"))
-    made = made.select("conv_id", F.lit("call").alias("kind"), "level", "turn", "call_id", "name", F.col("result_turn").isNotNull().alias("linked"), "f.valid", "f.problems", "f.json")
+    made = made.select("conv_id", "kind", "level", "turn", "call_id", "name", F.coalesce("linked", F.lit(False)).alias("linked"), "f.valid", "f.problems", "f.json")
     known = calls.select("conv_id", "call_id", F.lit(True).alias("__lf_known"))
     orphans = results.join(known, ["conv_id", "call_id"], "left").where("__lf_known IS NULL OR __lf_n > 1")
+    orphans = orphans.unionByName(lost, allowMissingColumns=True)
     none = F.lit(None)
     text = F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result")))
     orphans = orphans.select("conv_id", F.lit("orphan").alias("kind"), F.lit(-1).alias("level"), F.col("result_turn").alias("turn"), "call_id", none.cast("string").alias("name"), F.lit(False).alias("linked"), F.lit(False).alias("valid"), F.lit("no call").alias("problems"), text.alias("json"))
@@ -148,12 +162,20 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, Any]
 def derived(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tool calls and results as a conversations table implies them: each user turn asks a tool about its text, building
     on the call two turns before; each assistant turn is the result of the call one turn before. The table has no tool
-    calls of its own."""
-    of = lambda turn: F.concat_ws("_", F.lit("call"), F.col("conv_id").cast("string"), turn.cast("string"))
+    calls of its own. Without a conversation or a turn there is no identifier."""
+    of = lambda turn: F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), turn.cast("string"))
     number = F.coalesce(F.length("text"), F.lit(0)) % 50
     pick = F.col("turn") % 3
     arguments = F.when(pick == 0, F.to_json(F.struct(F.col("text").alias("query"), number.alias("limit")))).when(pick == 1, F.to_json(F.struct(F.col("text").alias("text"), F.when(number < 25, "short").otherwise("long").alias("style")))).otherwise(F.to_json(F.struct(number.alias("limit"), F.col("text").alias("text"))))
     name = F.when(pick == 0, "search").when(pick == 1, "summarise").otherwise("count")
-    calls = turns.where("role = 'user'").select("conv_id", "turn", of(F.col("turn")).alias("call_id"), name.alias("name"), arguments.alias("arguments"), F.array(of(F.col("turn") - 2)).alias("after"))
+    calls = turns.where("role = 'user'").select("conv_id", "turn", of(F.col("turn")).alias("call_id"), name.alias("name"), arguments.alias("arguments"), F.array_compact(F.array(of(F.col("turn") - 2))).alias("after"))
     results = turns.where("role = 'assistant'").select("conv_id", "turn", of(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
+
+
+def others(turns: DataFrame) -> DataFrame:
+    """The turns that derived() makes neither calls nor results of, as rows of link()'s columns."""
+    none = F.lit(None).cast("string")
+    text = F.to_json(F.struct(F.col("text").alias("content"), "role"), {"ignoreNullFields": "false"})
+    rest = turns.where("coalesce(role NOT IN ('user', 'assistant'), true)")
+    return rest.select("conv_id", F.lit("turn").alias("kind"), F.lit(-1).alias("level"), "turn", none.alias("call_id"), none.alias("name"), F.lit(False).alias("linked"), F.lit(True).alias("valid"), F.lit("").alias("problems"), text.alias("json"))

@@ -27,7 +27,8 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link(*chat.derived(table(spark, sf_dir, "conversations")))
+    turns = table(spark, sf_dir, "conversations")
+    return chat.link(*chat.derived(turns), repeats=True).unionByName(chat.others(turns))
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

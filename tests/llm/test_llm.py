@@ -99,6 +99,25 @@ def test_tool_calls(spark):
     assert ("orphan" in {k[1] for k in out}) and len(out) == 7
 
 
+def test_every_turn_is_a_row(spark):
+    turns = [(None, 0, "user", "a"), (None, 0, "user", "b"), (None, 1, "assistant", "c"), (1, None, "user", "d"), (1, None, "user", "d"), (1, None, "assistant", "e"), (1, 0, "user", "f"), (1, 0, "user", "g"), (1, 1, "assistant", "h"), (1, 2, "system", "i"), (1, 3, None, None)]
+    rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    out = chat.link(*chat.derived(rows), repeats=True).unionByName(chat.others(rows)).collect()
+    kinds = [(r.kind, r.conv_id, r.turn, r.linked) for r in out]
+    assert {k: kinds.count(k) for k in kinds} == {
+        ("call", None, 0, False): 2,
+        ("orphan", None, 1, False): 1,
+        ("call", 1, None, False): 2,
+        ("orphan", 1, None, False): 1,
+        ("call", 1, 0, True): 1,
+        ("repeat", 1, 0, False): 1,
+        ("turn", 1, 2, False): 1,
+        ("turn", 1, 3, False): 1,
+    }
+    assert {r.json for r in out if r.kind == "turn"} == {'{"content":"i","role":"system"}', '{"content":null,"role":null}'}
+    assert all(r.call_id is None and r.level == 0 for r in out if r.kind == "call" and None in (r.conv_id, r.turn))
+
+
 def test_levels_of_several_dependencies(spark):
     calls = spark.createDataFrame([(1, "a", []), (1, "b", ["a"]), (1, "c", ["a", "b"]), (1, "d", ["c", "d"])], "conv_id long, call_id string, after array<string>")
     assert {r.call_id: r.level for r in chat.levels(calls).collect()} == {"a": 0, "b": 1, "c": 2, "d": -1}
