@@ -1,10 +1,10 @@
 """MinHash near-dedup with ProbMinHash signatures, banding, exact verification and connected components.
 
-A document's shingles (five words; all words, if it has fewer) are weighted by one plus the logarithm of how often
-they occur in it, so that a phrase repeated hundreds of times doesn't outweigh the rest. Each
-shingle starts a Poisson process whose rate is its weight; each arrival falls on a register drawn by hash, and a
-register keeps the shingle that arrives first. Two signatures agree in a register with the probability Jaccard
-similarity of the weighted shingles. Arrivals are drawn in order and stop at a time by which the registers are
+A document's distinct shingles (five words; all words, if it has fewer) weigh one each, however often they occur in
+it, because a link is verified on sets: other weights would make the bands miss pairs that differ in repeated
+passages. Each shingle starts a Poisson process whose rate is its weight; each arrival falls on a register drawn by
+hash, and a register keeps the shingle that arrives first. Two signatures agree in a register with the probability
+Jaccard similarity, which for equal weights is the Jaccard similarity of the sets. Arrivals are drawn in order and stop at a time by which the registers are
 expected to be full; the few documents with an empty register go on with the time doubled. Whatever arrives later
 than a register's first cannot change it, so the early end is exact.
 
@@ -78,14 +78,13 @@ def shingles(words: list[list[bytes]], n: int, cache: Hashes) -> tuple[np.ndarra
     return keys, docs
 
 
-def weighted(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct (text, shingle) with their weights, by text."""
+def distinct(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (text, shingle), by text."""
     order = np.lexsort((keys, docs))
     keys, docs = keys[order], docs[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
-    at = np.flatnonzero(new)
-    return keys[at], docs[at], 1 + np.log(np.diff(np.append(at, len(keys))))
+    return keys[new], docs[new]
 
 
 def prob_minhash(keys: np.ndarray, docs: np.ndarray, weights: np.ndarray, n: int, registers: int) -> np.ndarray:
@@ -145,8 +144,8 @@ def _sign(batches: Iterator[pa.RecordBatch], how: Settings) -> Iterator[pa.Recor
     cache = Hashes()
     for block in blocks(batches, size=BLOCK):
         n = block.num_rows
-        keys, docs, weights = weighted(*shingles([t.split() for t in texts(block)], how.words, cache))
-        bands = band_keys(prob_minhash(keys, docs, weights, n, how.bands * how.rows), how.bands, how.rows)
+        keys, docs = distinct(*shingles([t.split() for t in texts(block)], how.words, cache))
+        bands = band_keys(prob_minhash(keys, docs, np.ones(len(keys)), n, how.bands * how.rows), how.bands, how.rows)
         offsets = np.arange(0, (n + 1) * how.bands, how.bands, dtype=np.int32)
         sizes = np.bincount(docs, minlength=n).astype(np.int32)
         yield pa.record_batch([block.column("doc_id"), block.column("word_key"), pa.array(sizes), pa.ListArray.from_arrays(offsets, bands.ravel().view(np.int64))], names=["doc_id", "word_key", "n", "bands"])
@@ -155,7 +154,7 @@ def _sign(batches: Iterator[pa.RecordBatch], how: Settings) -> Iterator[pa.Recor
 def _sets(batches: Iterator[pa.RecordBatch], how: Settings) -> Iterator[pa.RecordBatch]:
     cache = Hashes()
     for block in blocks(batches, size=BLOCK):
-        keys, docs, _ = weighted(*shingles([t.split() for t in texts(block)], how.words, cache))
+        keys, docs = distinct(*shingles([t.split() for t in texts(block)], how.words, cache))
         n = block.num_rows
         offsets = np.concatenate(([0], np.cumsum(np.bincount(docs, minlength=n)))).astype(np.int32)
         at = np.arange(0, (n + 1) * MARKS, MARKS, dtype=np.int32)

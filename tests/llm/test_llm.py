@@ -213,6 +213,17 @@ def test_near_dedup(spark, docs, none):
     assert near_dedup.near_dedup(none).count() == 0
 
 
+def test_near_dedup_with_repeated_passages(spark):
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    pairs = [(a := word(400), a + word(88) * 50) for _ in range(12)]
+    sets = [[{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in p] for p in pairs]
+    assert all(0.8 <= len(a & b) / len(a | b) < 0.82 for a, b in sets)
+    rows = [(2 * i + k, " ".join(w)) for i, p in enumerate(pairs) for k, w in enumerate(p)]
+    out = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in out} == {i: i - i % 2 for i in range(24)}
+
+
 def test_signature_estimates_similarity():
     keys = near_dedup.mix64(np.arange(400, dtype=np.uint64))
     a, b = keys[:300], keys[50:350]
