@@ -3,7 +3,7 @@ r"""Secret scan: fixed patterns, then sliding-window Shannon entropy over candid
 Positions come from the text itself: split() gives the gaps between a pattern's matches and regexp_extract_all() the
 matches, so a running sum of their lengths gives each match's start in code points.
 
-A candidate is a run of at least MIN_RUN characters of `[A-Za-z0-9+/_=-]`. Its class (hex, letters and digits, or
+A candidate is a run of at least MIN_RUN characters of `[A-Za-z0-9+/_=-]`, without any `=` in front. Its class (hex, letters and digits, or
 base64 with its symbols) sets the entropy that a window must reach; runs without a digit or without a letter have no
 class and are passed over. The window's entropy is log2(W) - S / W with S the sum of n * log2(n) over its character
 counts n; a step takes the leaving character out of S and puts the entering one in, so only two counts are read.
@@ -24,17 +24,20 @@ KINDS = (("assign", ASSIGN, 2, 12), ("access", r"AKIA[A-Z0-9]+", 0, 18), ("hex",
 # The same matches, found faster: a run of hex digits or of capitals is one match, so short ones need not be matched.
 FAST = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
 MIN_RUN = 20
-RUN = rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}"
+RUN = rf"[A-Za-z0-9+/_-][A-Za-z0-9+/_=-]{{{MIN_RUN - 1},}}"
 #: Bits a window of WINDOW characters must reach, by class.
 WINDOW = 20
 BITS = {"hex": 3.0, "alnum": 3.6, "base64": 3.9}
+#: A part of a path between slashes: words (one case, or capitals in front), each with up to eight digits behind it.
+PART = r"([A-Z]?[a-z]+([A-Z][a-z]+)*|[A-Z]+)?[0-9]{0,8}"
+SEGMENT = rf"{PART}([_-]{PART})*"
 # Candidates that are no secrets: identifiers, placeholders, counted-up digits, file paths and names.
 ALLOW = (
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+    r"^[/_+-]*[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i)example|sample|placeholder|dummy|changeme|your[_-]|xxxx",
     r"0123456789|1234567890|abcdefghij",
-    r"^[=/_+-]|/.*/",
-    r"^[A-Za-z]+([_-][A-Za-z]+)*[_-]?[0-9]{0,4}$",
+    rf"^(?=.*/.*/)([A-Za-z_-]+=)?{SEGMENT}(/{SEGMENT})*$",
+    r"^[/_+-]*[A-Za-z]+([_-][A-Za-z]+)*[_-]?[0-9]{0,4}$",
 )
 RESULT = ("n_assign", "n_access", "n_hex", "base_spans", "entropy_spans")
 

@@ -170,6 +170,14 @@ def test_secrets(spark, docs, none):
     assert secrets.scan(docs).count() == len(EDGES) and secrets.scan(none).count() == 0
 
 
+def test_secrets_with_slashes(spark):
+    keys = ["q7Zt/W9rK2mLx/8vBnCf+3HsPdYe/TgUj5aEoIw", "/q7ZtW9rK2mLx8vBnCf+3HsPdYe", "-q7ZtW9rK2mLx8vBnCf_3HsPdYe", "+9rK2mLx/8vBnCf/3HsPdYeTgUj5aEoIwQ=="]
+    paths = ["/usr/lib/python3/site-packages/numpy2/core", "PATH=/usr/local/lib64/python3/dist-packages", "docs/2024/06/userGuide-v2/chapter12", "--some-long-option-name12", "=123e4567-e89b-12d3-a456-426614174000"]
+    rows = spark.createDataFrame([(i, f"mykey ={t} z" if i % 2 else f"é {t} z") for i, t in enumerate(keys + paths)], "doc_id long, text string")
+    got = {r.doc_id: [r.text[s.at : s.until] for s in r.entropy_spans] for r in secrets.scan(rows).collect()}
+    assert got == {i: [t] if i < len(keys) else [] for i, t in enumerate(keys + paths)}
+
+
 def test_entropy_windows(spark):
     def brute(s, w=secrets.WINDOW):
         return max(-sum(x[1] / w * math.log2(x[1] / w) for x in [(c, s[i : i + w].count(c)) for c in set(s[i : i + w])]) for i in range(len(s) - w + 1))
