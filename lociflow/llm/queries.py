@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, exact_dedup, mixing, near_dedup, pieces, pst, secrets, toxicity, url_filter
+from .common import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +20,9 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    # the result holds no text: what is sorted and summed is a narrow table, made in one pass over the texts
+    narrow = stored(mixing.sized(docs).drop("text"), "sizes")
+    return mixing.named(mixing.shares(narrow)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
