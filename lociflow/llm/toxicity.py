@@ -11,9 +11,9 @@ doc_id), which are read, hashed and counted as Spark jobs; what comes to the dri
 places. Every document is scored, whole.
 
 Edge cases: a null or empty text has no terms and scores the model's bias. Of several labels of one doc_id the highest
-counts; null labels don't. Without training rows, or with one class only, every score is the share of label 1 (0 if
-none). Rows with a null doc_id have no label and are scored. Repeated rows score alike. Extra columns are kept; those
-with the name of a result column are replaced.
+counts; null labels, and any but 0 and 1, don't. Of several rows of one doc_id the one of least text hash is fitted on. Without training rows, or with one class only, every score is the share of label 1 (0 if
+none). Rows with a null doc_id have no label and are scored. Repeated rows score alike. Extra columns are kept; toxicity()
+replaces those with the name of a result column, clean() hands them on. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -162,12 +162,15 @@ def fit(rows: list[list[int]], labels: np.ndarray, places: dict[int, int], how:
 
 
 def train(docs: DataFrame, labels: DataFrame, how: Settings = Settings()) -> Machine:
-    marks = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).where(~held_out(F.col("doc_id")))
+    marks = labels.where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).where(~held_out(F.col("doc_id")))
     marks = marks.withColumn("turn", F.crc32(F.concat(F.lit("sample"), F.col("doc_id").cast("string"))))
     n = marks.count()
     sample = marks.where(F.col("turn") < 2.0**32 * min(1.0, how.most_rows / max(n, 1)))
     # at most about most_rows narrow rows, so the texts stay where they are
-    rows = stored(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label", "turn"), "sample")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # one row a label, however often its doc_id occurs, so that the sample stays within its bound
+    one_each = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "label", "turn")).alias("r"))
+    rows = stored(one_each.select("r.text", "r.label", "r.turn"), "sample")
     counts = rows.mapInArrow(lambda b: _count(b, how.bits), "term long, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     zero, one = rows.agg(F.coalesce(F.sum(1 - F.col("label")), F.lit(0)), F.coalesce(F.sum("label"), F.lit(0))).first()
     a, b = F.col("n1"), F.col("n0")
@@ -180,25 +183,28 @@ def train(docs: DataFrame, labels: DataFrame, how: Settings = Settings()) -> Mac
     return fit([r.terms for r in inputs], np.array([r.label for r in inputs], float), places, how)
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Machine) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: Machine, name: str) -> Iterator[pa.RecordBatch]:
     terms = Terms(model.bits, model.places)
     for block in blocks(batches):
         rows = [sorted(_of_text(t, terms)) for t in texts(block)]
         at = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64)
         flat = np.array([x for r in rows for x in r], np.int64)
         score = 1 / (1 + np.exp(-np.clip(model.logit(flat, at), -700, 700)))
-        yield pa.RecordBatch.from_arrays([*block.columns, pa.array(score)], names=[*block.schema.names, "score"])
+        yield pa.RecordBatch.from_arrays([*block.columns, pa.array(score)], names=[*block.schema.names, name])
+
+
+def _scored(docs: DataFrame, labels: DataFrame, how: Settings, name: str) -> DataFrame:
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, how))
+    schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in docs.schema.fields], T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(lambda b: _score(b, model.value, name), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, how: Settings = Settings()) -> DataFrame:
     """docs with held_out, score (0 to 1) and predicted (1 where score >= threshold)."""
-    docs = docs.drop(*RESULT)
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, how))
-    schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in docs.schema.fields], T.StructField("score", T.DoubleType())])
-    scored = docs.mapInArrow(lambda b: _score(b, model.value), schema)
+    scored = _scored(docs.drop(*RESULT), labels, how, "score")
     return scored.withColumns({"held_out": held_out(F.col("doc_id")), "predicted": (F.col("score") >= how.threshold).cast("int")})
 
 
 def clean(docs: DataFrame, labels: DataFrame, how: Settings = Settings()) -> DataFrame:
     """docs without those predicted toxic."""
-    return toxicity(docs, labels, how).where("predicted = 0").select(*docs.columns)
+    return _scored(docs, labels, how, "__lf_score").where(F.col("__lf_score") < how.threshold).drop("__lf_score")
