@@ -15,11 +15,12 @@ Only distinct word sequences take part (equal ones form one node). In each band
 against the bucket's pivot, the node that meets most others in all buckets: a number of pairs that grows with the rows, not with their square. After the
 components of those links, the only pairs that can still matter are those of different classes in one bucket; of
 these, exactly the ones are checked that share one of the rare shingles that similar sets must share (prefix filter)
-and whose sizes, less the shingles that no other such document has, allow the similarity. So no link between different classes is lost and copies aren't expanded.
+and whose sizes, less the shingles that no other such document has, allow the similarity. Buckets, copies, classes and
+shingles with a large share of the rows are dealt over several tasks where they are joined. So no link between different classes is lost and copies aren't expanded.
 
 Edge cases: a null text counts as empty; texts without words are one class. Repeated rows are in one class. A null
-doc_id takes part; the class is named by its smallest doc_id that isn't null. Extra columns are kept; those with the
-name of a result column are replaced. An empty table gives an empty result.
+doc_id takes part; the class is named by its smallest doc_id that isn't null. near_dedup() leaves extra columns out,
+keep_one() hands them on. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, small, stored
+from .common import components, dealt, small, spread_join, stored
 from .words import Hashes, blocks, chain, mix64, texts
 
 #: Words of parity bits of a text's shingles.
@@ -174,19 +175,20 @@ def classes(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", word_key(F.col("text")).alias("word_key"), "text")
     signed = stored(keyed.mapInArrow(lambda b: _sign(b, how), f"doc_id {kind}, word_key binary, n int, bands array<long>"), "signed")
-    distinct = signed.groupBy("word_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).getField("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    distinct = signed.groupBy("word_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).getField("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
     nodes = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "nodes")
 
     rows = nodes.select("id", F.explode("bands").alias("band"))
-    buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stored(rows.join(buckets, "band"), "members")
+    buckets = stored(rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
+    sizes = buckets.select("band", F.col("size").alias("n"))
+    members = stored(spread_join(rows, buckets, "band", sizes), "members")
     # the node that meets most others is each bucket's pivot: a group's original rather than one of its edits
     central = members.groupBy("id").agg(F.sum("size").alias("met"))
     pivots = members.join(central, "id").groupBy("band").agg(F.max(F.struct("met", "id")).getField("id").alias("pivot"))
-    members = stored(members.join(pivots, "band").select("band", "id", "pivot"), "members")
+    members = stored(spread_join(members, stored(pivots, "pivots"), "band", sizes).select("band", "id", "pivot"), "members")
     some = members.select("id").distinct().join(nodes.select("id", "doc_id", "word_key"), "id")
     some = small(stored(some.select("id", "doc_id", F.col("word_key").alias("key")), "some"))
-    texts_of = docs.select("doc_id", "text").alias("d").join(some.alias("s"), F.expr("d.doc_id <=> s.doc_id")).where(word_key(F.col("text")) == F.col("key"))
+    texts_of = docs.select("doc_id", "text", word_key(F.col("text")).alias("__lf_key")).alias("d").join(some.alias("s"), F.expr("d.doc_id <=> s.doc_id AND d.__lf_key = s.key"))
     sets = texts_of.select("id", "text").mapInArrow(lambda b: _sets(b, how), "id long, grams array<long>, marks array<long>")
     sets = stored(sets.groupBy("id").agg(F.first(F.struct("grams", "marks")).alias("s")).select("id", "s.grams", "s.marks"), "sets")
 
@@ -195,8 +197,9 @@ def classes(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     roots = components(links)
 
     named = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    mixed = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    left = named.join(mixed, "band").select("id", "root").distinct()
+    named = stored(named, "named")
+    mixed = stored(named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band"), "mixed")
+    left = spread_join(named, mixed, "band", sizes, "left_semi").select("id", "root").distinct()
     # two similar sets of n and m shingles share ceil(least / (1 + least) * (n + m)) of them, so that in any common order
     # the first shared one stands early in both. Shingles of one class only come first, as they are never shared; then
     # the rare ones. The smaller set needs a shorter start than the larger one (indexed and probing prefixes).
@@ -209,18 +212,20 @@ def classes(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     prefix = ranked.where(shared & (F.col("place") <= start(how.least)) & (F.col("met") >= F.col("n") * how.least - 1e-9)).select("g", "id", "root", "n", "place")
     prefix = stored(prefix.join(sets.select("id", "marks"), "id"), "prefix")
     common = how.least / (1 + how.least)
-    x, y = prefix.alias("x"), prefix.where(F.col("place") <= start(2 * common)).alias("y")
+    probes = prefix.where(F.col("place") <= start(2 * common))
+    x, y = (t.alias(n) for t, n in zip(dealt(prefix, probes, "g", prefix.groupBy("g").agg(F.count(F.lit(1)).alias("n"))), "xy"))
     apart = " + ".join(f"bit_count(x.marks[{k}] ^ y.marks[{k}])" for k in range(MARKS))
     cross = x.join(
         y,
-        F.expr(f"""x.g = y.g AND x.root != y.root AND (y.n < x.n OR y.n = x.n AND y.id < x.id)
+        F.expr(f"""x.g = y.g AND x.__lf_salt = y.__lf_salt AND x.root != y.root AND (y.n < x.n OR y.n = x.n AND y.id < x.id)
             AND least(x.n - x.place, y.n - y.place) + 1 >= {common!r}D * (x.n + y.n) - 1e-9D
             AND {apart} <= {1 - 2 * common!r}D * (x.n + y.n) + 1e-9D"""),
     ).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     more = _linked(cross.join(tried, ["a", "b"], "left_anti"), sets, how.least)
     roots = components(stored(links.union(more), "links"))
     of_key = nodes.select("id", "word_key").join(roots.withColumnRenamed("node", "id"), "id", "left").select("word_key", F.coalesce("root", "id").alias("root"))
-    return stored(signed.select("doc_id", "word_key").join(of_key, "word_key"), "classes")
+    copies = nodes.select("word_key", F.col("copies").alias("n"))
+    return stored(spread_join(signed.select("doc_id", "word_key"), stored(of_key, "of_key"), "word_key", copies), "classes")
 
 
 def near_dedup(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
@@ -228,7 +233,7 @@ def near_dedup(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     whether this is the row of the class that stays."""
     rows, heads = _heads(docs, how)
     first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("word_key") == F.col("head_key"))
-    out = rows.join(heads, "root").withColumn("kept", first)
+    out = spread_join(rows, heads, "root", heads.select("root", F.col("class_size").alias("n"))).withColumn("kept", first)
     order = Window.partitionBy("root", "doc_id").orderBy("word_key")
     again = out.where(first & (F.col("same") > 1)).withColumn("kept", F.row_number().over(order) == 1)
     return out.where(~first | (F.col("same") == 1)).unionByName(again).select("doc_id", *RESULT)
@@ -238,13 +243,13 @@ def _heads(docs: DataFrame, how: Settings) -> tuple[DataFrame, DataFrame]:
     rows = classes(docs, how)
     each = rows.groupBy("root", "doc_id", "word_key").agg(F.count(F.lit(1)).alias("same"))
     heads = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "word_key", "same")).alias("m"), F.sum("same").alias("class_size"))
-    return rows, heads.select("root", F.col("m.doc_id").alias("class_id"), F.col("m.word_key").alias("head_key"), F.col("m.same").alias("same"), "class_size")
+    return rows, stored(heads.select("root", F.col("m.doc_id").alias("class_id"), F.col("m.word_key").alias("head_key"), F.col("m.same").alias("same"), "class_size"), "heads")
 
 
 def keep_one(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     """docs with one row of each class: that of its smallest doc_id."""
     rows, heads = _heads(docs, how)
-    rows = rows.join(heads.where("class_size > 1"), "root")
+    rows = spread_join(rows, heads.where("class_size > 1"), "root", heads.select("root", F.col("class_size").alias("n")))
     first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("word_key") == F.col("head_key"))
     gone = stored(rows.where(~first).select("doc_id", F.col("word_key").alias("key")).distinct(), "gone")
     twice = stored(rows.where(first & (F.col("same") > 1)).select("doc_id", F.col("word_key").alias("key")).distinct(), "twice")
