@@ -1,358 +1,317 @@
 r"""LM scoring: a probabilistic suffix tree over words.
 
 Symbols are the lower-cased (A-Z) words of a text and one end. The tree's nodes are contexts of one to `depth` words.
-A sequence is counted if its share of the training tokens is at least `least_share`; a context stays if its
-next-symbol distribution diverges from that of its longest shorter context by more than chance (a likelihood-ratio
-test over its counted successors and the rest), or if a longer context that stays ends in it. At a context s,
+A sequence is counted if it occurs at least `least` times in all training texts, whatever their number. A context
+stays if its next-symbol distribution diverges from that of the context without its first word by more than chance (a
+likelihood-ratio test over its counted successors and the rest). At a context s that stays,
 
     P(w | s) = (c(sw) + (c(s) - counted successors + strength) * P(w | shorter s)) / (c(s) + strength)
 
-with c(sw) = 0 where it wasn't counted, and P(w) = (c(w) + 1) / (N + V + 1) at the root, so every distribution sums
-to 1 over the known words and one class of unknown ones. A token is scored in the longest suffix of what precedes it
-that is a node.
-
-How it runs. (1) Word counts: each task adds up its own, then one shuffle by the word's 64-bit hash. (2) The symbols
-with a share of at least `least_symbol` get numbers; they are at most 1 / least_symbol, which bounds the broadcast.
-Every text becomes an array of numbers, its other words are kept by hash, in a stored table. (3) Sequences: what has
-a share of the corpus has at least that share of one block of tokens, so each block's locally frequent sequences are
-all the candidates there can be; a second pass counts those exactly. Sequences that reach the share are at most
-depth / least_share, and make the model, which is broadcast. (4) Each text is scored from its array; its rare words
-are joined with the word counts by a shuffle, because their count has no bound.
-
-Edge cases: a null text counts as empty, and an empty text is its end alone. Rows with a null doc_id train. Repeated
-rows count as often as they occur and score alike. Without training rows N is 0, V is 0 and every token is unknown.
-Extra columns are kept out of the result. Two words with one 64-bit hash would share a count.
+with c(sw) = 0 where it wasn't counted; one that doesn't stay passes on P(w | shorter s); and P(w) = (c(w) + 1) /
+(N + V + 1) at the root, so every distribution sums to 1 over the known words and one class of unknown ones. A token's
+probability is that in the longest suffix of what precedes it that is a node.
+
+How it runs. Neither the tree nor its counts are ever in one place: both grow with the corpus. Texts are dealt into
+blocks of about `block` tokens, a stored table bucketed by block. In each round every block asks for what the whole
+corpus knows of the keys it holds: it sends its distinct keys with its own sums, sorted and cut into `parts` ranges; the
+task of a range adds the sums up over all blocks and answers each block, aligned with what it asked. Round 1 counts words
+and pairs, round 2 the longer sequences whose pairs all occur often enough, round 3 adds up the divergence test of
+every context, to which each sequence contributes through the one block that its range named. Then each block scores
+its texts. A key has at most one row a block, so no frequent word or context makes a hot key; a range and a block are of
+bounded size, and the number of both grows with the input.
+
+Edge cases: a null text counts as empty, and an empty text is its end alone. A text is never split, so one of more
+tokens than a block is a block of its own. Rows with a null doc_id train. Repeated rows count as often as they occur
+and score alike. Without training rows N is 0, V is 0 and every token is unknown. Extra columns are kept out of the
+result. An empty table gives an empty result. Words are told apart by 64-bit hashes, sequences by a hash with 26 bits
+more than the logarithm of the number of tokens, so that about one key in 2 ** 26 shares its count with another.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
-from .common import stored
-from .words import Hashes, blocks, chain, mix64, texts
+from .common import shared_dir, stored
+from .words import Hashes, blocks, chain, texts
 
 #: No word holds a line feed.
 END = xxhash.xxh3_64_intdigest(b"\n")
-FLUSH = 250_000
-BLOCK_TOKENS = 3_000_000
+#: Answers of a block are told apart by kind: sequences by their length, contexts by CONTEXT more than theirs.
+CONTEXT = 100
+ASK = pa.schema({"part": pa.int32(), "block": pa.int64(), "kind": pa.int32(), "keys": pa.binary(), "sums": pa.binary()})
+ANSWER = pa.schema({"block": pa.int64(), "kind": pa.int32(), "part": pa.int32(), "data": pa.binary(), "distinct": pa.int64(), "total": pa.int64()})
 
 
 @dataclass(frozen=True)
 class Settings:
     depth: int = 3
-    least_symbol: float = 1e-7
-    least_share: float = 1e-6
+    least: int = 2
     strength: float = 4.0
     #: Standard deviations by which the test statistic must exceed its mean under equal distributions.
     sigmas: float = 4.0
+    #: Tokens of a block, and of a range of keys on average.
+    block: int = 1_000_000
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 7 == 2, F.lit(False))
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint64).view(np.int64)
+def packed(x: np.ndarray) -> bytes:
+    """Numbers as bytes, the first bytes of all first, then the second ones, compressed: small ones take little."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
-    ends = 0
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = pa.decompress(data[8:], n * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).view(kind).ravel()
 
-    def out() -> pa.RecordBatch:
-        keys = np.fromiter(map(xxhash.xxh3_64_intdigest, counts), np.uint64, len(counts))
-        found = pa.record_batch({"h": _signed(keys), "c": np.fromiter(counts.values(), np.int64, len(counts))})
-        counts.clear()
-        return found
 
-    for block in blocks(batches):
+def _block(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of whole texts: the words' hashes, most frequent first, the texts as places among them, and their
+    lengths."""
+    cache = Hashes()
+    held: list[np.ndarray] = []
+    lengths: list[int] = []
+    rows: list[pa.RecordBatch] = []
+
+    def out() -> pa.RecordBatch:
+        words, ids, counts = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        both = pa.Table.from_batches(rows).combine_chunks()
+        lists = [pa.ListArray.from_arrays([0, len(lengths)], both.column(c).combine_chunks()) for c in ("doc_id", "held_out")]
+        made = [*lists, *(pa.array([packed(x)], pa.binary()) for x in (words[order], place[ids], np.array(lengths, np.int32))), pa.array([len(ids)])]
+        held.clear(), lengths.clear(), rows.clear()
+        return pa.record_batch(made, names=["doc_id", "held_out", "words", "ids", "lengths", "tokens"])
+
+    for block in blocks(batches, size=1 << 20):
+        rows.append(block.select(["doc_id", "held_out"]))
         for text in texts(block):
-            counts.update(text.lower().split())
-        ends += block.num_rows
-        if len(counts) > FLUSH:
+            words = text.lower().split()
+            held.append(np.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)), np.uint64(END)))
+            lengths.append(len(words) + 1)
+        if sum(map(len, held)) >= size:
             yield out()
-    counts[b"\n"] = ends
-    yield out()
-
-
-def _number(batches: Iterator[pa.RecordBatch], symbols) -> Iterator[pa.RecordBatch]:
-    """Each text's symbol numbers (-1: none), and the hashes of its words without a number."""
-    hashes, cache = symbols.value[0], Hashes()
-    for block in blocks(batches):
-        words = [t.lower().split() for t in texts(block)]
-        lengths = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-        keys = np.full(int(lengths.sum()), END, np.uint64)
-        at = np.concatenate(([0], np.cumsum(lengths)))
-        for w, a in zip(words, at):
-            keys[a : a + len(w)] = np.fromiter(map(cache.__getitem__, w), np.uint64, len(w))
-        ids = np.searchsorted(hashes, keys).astype(np.int32)
-        if len(hashes):
-            ids[hashes[np.minimum(ids, len(hashes) - 1)] != keys] = -1
+    if rows:
+        yield out()
+
+
+@dataclass(frozen=True)
+class Model:
+    """What all blocks know: the number of key ranges, the bits of a sequence's key, and the words' counts in all."""
+
+    how: Settings
+    parts: int
+    bits: int
+    n: int = 0
+    v: int = 0
+
+    def part(self, keys: np.ndarray, bits: int) -> np.ndarray:
+        return ((keys >> np.uint64(bits - 32)) * np.uint64(self.parts)) >> np.uint64(32)
+
+
+class Block:
+    """A block's texts with the answers it got so far: for each length the tokens whose sequence was asked for, the
+    sorted distinct keys, each token's place among them, and the count in the whole corpus by token."""
+
+    def __init__(self, block: pa.Table, answers: pa.Table, model: Model):
+        self.model, row = model, {c: block.column(c)[0] for c in block.column_names}
+        self.number = row["block"].as_py()
+        self.doc_id, self.held = row["doc_id"].values, row["held_out"].values
+        self.lengths = unpacked(row["lengths"].as_py(), np.int32)
+        ids = unpacked(row["ids"].as_py(), np.int32)
+        words = unpacked(row["words"].as_py(), np.uint64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.before = np.arange(len(ids)) - np.repeat(self.starts, self.lengths)  # tokens before each in its text
+        self.train = np.repeat(~np.asarray(self.held.to_numpy(zero_copy_only=False), bool), self.lengths)
+        self.keys = {1: words[ids]}
+        for length in range(2, model.how.depth + 2):
+            self.keys[length] = np.zeros(len(ids), np.uint64)
+            self.keys[length][1:] = chain(self.keys[length - 1][:-1], self.keys[1][1:])
+        self.got: dict[int, np.ndarray] = {}
+        kinds, parts = (answers.column(c).to_numpy() for c in ("kind", "part"))
+        for kind in np.unique(kinds).tolist():
+            some = np.flatnonzero(kinds == kind)
+            data = answers.column("data").take(pa.array(some[np.argsort(parts[some])])).to_pylist()
+            self.got[kind] = np.concatenate([unpacked(d, np.int64) for d in data])
+        self.asked: dict[int, tuple[np.ndarray, ...]] = {}
+        self.counts: dict[int, np.ndarray] = {}
+
+    def bits(self, length: int) -> int:
+        return 64 if length == 1 else self.model.bits
+
+    def sequences(self, length: int) -> None:
+        """Finds the keys to ask for, and takes the answer if there is one."""
+        if length < 3:
+            places = np.flatnonzero(self.before >= length - 1)
         else:
-            ids[:] = -1
-        rare = ids < 0
-        rare_at = np.concatenate(([0], np.cumsum(np.add.reduceat(rare, at[:-1], dtype=np.int64)))) if len(words) else np.zeros(1, np.int64)
-        yield pa.record_batch(
-            {
-                **{c: block.column(c) for c in ("rid", "doc_id", "held_out")},
-                "ids": pa.ListArray.from_arrays(at.astype(np.int32), ids),
-                "rare": pa.ListArray.from_arrays(rare_at.astype(np.int32), _signed(keys[rare])),
-            }
-        )
-
-
-def _token_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """Symbol numbers of whole texts, -2 after each, about BLOCK_TOKENS at a time."""
-    held: list[np.ndarray] = []
-    n = 0
-    for batch in batches:
-        column = batch.column("ids")
-        flat, at = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy().astype(np.int64)
-        at -= at[0]
-        out = np.full(len(flat) + batch.num_rows, -2, np.int32)
-        place = np.arange(len(flat)) + np.repeat(np.arange(batch.num_rows), np.diff(at))
-        out[place] = flat
-        held.append(out)
-        n += len(out)
-        if n >= BLOCK_TOKENS:
-            yield np.concatenate(held)
-            held, n = [], 0
-    if n:
-        yield np.concatenate(held)
-
-
-def _grams(ids: np.ndarray, depth: int, keep) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each length from 2 to depth + 1, the end places and keys of sequences whose two shorter parts keep() kept.
-    keep(length, keys) gives a mask."""
-    ok = ids >= 0
-    key = mix64(np.where(ok, ids, 0).astype(np.uint64))
-    alive = ok.copy()  # sequences of the last length, by end place
-    for length in range(2, depth + 2):
-        ends = np.flatnonzero(alive[:-1] & (alive[1:] if length > 2 else ok[1:])) + 1
-        if not len(ends):
-            return
-        keys = chain(key[ends - 1], ids[ends])
-        yield length, ends, keys
-        good = keep(length, keys)
-        alive = np.zeros(len(ids), bool)
-        alive[ends[good]] = True
-        longer = np.zeros(len(ids), np.uint64)
-        longer[ends] = keys
-        key = longer
-
-
-def _candidates(batches: Iterator[pa.RecordBatch], depth: int, share: float) -> Iterator[pa.RecordBatch]:
-    for ids in _token_blocks(batches):
-        least = share * np.count_nonzero(ids != -2)
-        kept: dict[int, np.ndarray] = {}
-
-        def keep(length: int, keys: np.ndarray) -> np.ndarray:
-            found, counts = np.unique(keys, return_counts=True)
-            kept[length] = found[counts >= least]
-            return _member(keys, kept[length])[1]
-
-        for _ in _grams(ids, depth, keep):
-            pass
-        for length, keys in kept.items():
-            yield pa.record_batch({"n": np.full(len(keys), length, np.int32), "key": _signed(keys)})
-
-
-def _member(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in a sorted table, and whether the keys are there."""
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
-
-
-def _count_grams(batches: Iterator[pa.RecordBatch], depth: int, wanted) -> Iterator[pa.RecordBatch]:
-    """Counts of the wanted sequences, with the keys of all but their last member (context) and all but their first
-    (suffix)."""
-    none = np.zeros(0, np.uint64)
-    for ids in _token_blocks(batches):
-        shorter = mix64(np.maximum(ids, 0).astype(np.uint64))
-        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-        def keep(length: int, keys: np.ndarray) -> np.ndarray:
-            seen[length] = _member(keys, wanted.value.get(length, none))
-            return seen[length][1]
-
-        held = None
-        for length, ends, keys in _grams(ids, depth, keep):
-            if held is not None:
-                yield _gram_counts(*held, *seen[length - 1], wanted.value.get(length - 1, none), ids)
-                shorter = np.zeros(len(ids), np.uint64)
-                shorter[held[1]] = held[2]
-            held = (length, ends, keys, shorter)
-        if held is not None:
-            yield _gram_counts(*held, *seen[held[0]], wanted.value.get(held[0], none), ids)
-
-
-def _gram_counts(length: int, ends: np.ndarray, keys: np.ndarray, shorter: np.ndarray, at: np.ndarray, found: np.ndarray, table: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    some, first, counts = np.unique(at[found], return_index=True, return_counts=True)
-    end = ends[found][first]
-    return pa.record_batch(
-        {
-            "n": np.full(len(some), length, np.int32),
-            "key": _signed(table[some]) if len(some) else np.zeros(0, np.int64),
-            "context": _signed(shorter[end - 1]),
-            "suffix": _signed(shorter[end]),
-            "c": counts.astype(np.int64),
-        }
-    )
-
-
-@dataclass
-class Tree:
-    """The nodes by length: sorted context keys with the log10 of what they leave to shorter contexts, and sorted
-    sequence keys with the log10 of their probability."""
-
-    symbol_log: np.ndarray
-    depth: int
-    contexts: dict[int, np.ndarray] = field(default_factory=dict)
-    rest: dict[int, np.ndarray] = field(default_factory=dict)
-    grams: dict[int, np.ndarray] = field(default_factory=dict)
-    logs: dict[int, np.ndarray] = field(default_factory=dict)
-
-
-def grow(counts: np.ndarray, n: int, v: int, grams: dict[int, dict[str, np.ndarray]], how: Settings) -> Tree:
-    """The tree from symbol counts and, by length, the counted sequences."""
-    root = (counts + 1) / (n + v + 1)
-    tree = Tree(np.log10(root), how.depth)
-    symbols = mix64(np.arange(len(counts), dtype=np.uint64))
-    order = np.argsort(symbols)
-    # by length: sequence keys, the probability of the last member after the others, and the count
-    known = {1: (symbols[order], root[order], counts[order].astype(float))}
-    plans = {}
-    for length in sorted(grams):
-        g = grams[length]
-        keys, p, c = known[length - 1]
-        context, where = np.unique(g["context"], return_inverse=True)
-        of_context = c[_member(context, keys)[0]]
-        parent = p[_member(g["suffix"], keys)[0]]  # the last member's probability after the shorter context
-        c = g["c"].astype(float)
-        cells, sums, parents = (np.bincount(where, x, len(context)) for x in (np.ones_like(c), c, parent))
-        gain = np.bincount(where, c * np.log(c / of_context[where] / parent), len(context))
-        left = np.maximum(of_context - sums, 0)
-        gain += np.where(left > 0, left * np.log(np.maximum(left, 1) / of_context / np.maximum(1 - parents, 1e-12)), 0)
-        keep = 2 * gain > cells + how.sigmas * np.sqrt(2 * cells)
-        rest = np.where(keep, (left + how.strength) / (of_context + how.strength), 1.0)
-        p = np.where(keep[where], c / (of_context[where] + how.strength) + rest[where] * parent, parent)
-        order = np.argsort(g["key"])
-        known[length] = (g["key"][order], p[order], c[order])
-        plans[length - 1] = (context, keep, rest, where)
-    stay = np.zeros(0, np.uint64)
-    # shorter suffixes of a node are nodes too; those that failed the test pass their parent's distribution on
-    for size in sorted(plans, reverse=True):
-        context, keep, rest, where = plans[size]
-        closed = keep | np.isin(context, stay)
-        if size > 1:
-            stay = np.unique(grams[size]["suffix"][np.isin(grams[size]["key"], context[closed])])
-        tree.contexts[size], tree.rest[size] = context[closed], np.log10(rest)[closed]
-        inside = np.isin(known[size + 1][0], grams[size + 1]["key"][closed[where]])
-        tree.grams[size + 1], tree.logs[size + 1] = known[size + 1][0][inside], np.log10(known[size + 1][1][inside])
-    return tree
-
-
-def token_logs(tree: Tree, ids: np.ndarray) -> np.ndarray:
-    """log10 of each symbol's probability in its longest suffix state; for a symbol without a number, what its state
-    leaves to the root. ids as from _token_blocks."""
-    ok = ids >= 0
-    out = np.where(ok, tree.symbol_log[np.where(ok, ids, 0)] if len(tree.symbol_log) else 0.0, 0.0)
-    key = mix64(np.where(ok, ids, 0).astype(np.uint64))  # of the context that ends at each place
-    places = np.flatnonzero(ids[1:] != -2) + 1  # tokens that have something before them in the block
-    for size in range(1, tree.depth + 1):
-        if size not in tree.contexts or not len(tree.contexts[size]):
-            break
-        if size == 1:
-            places = places[ids[places - 1] >= 0]
-            context = key[places - 1]
-        else:  # the context that was a node, one word longer to the left
-            places = places[places >= size]
-            fine = np.logical_and.reduce([ids[places - k] >= 0 for k in range(1, size + 1)])
-            places = places[fine]
-            context = mix64(ids[places - size].astype(np.uint64))
-            for k in range(size - 1, 0, -1):
-                context = chain(context, ids[places - k])
-        at, node = _member(context, tree.contexts[size])
-        places, context, at = places[node], context[node], at[node]
-        found_at, found = _member(chain(context, np.maximum(ids[places], 0)), tree.grams[size + 1])
-        found &= ids[places] >= 0
-        out[places[found]] = tree.logs[size + 1][found_at[found]]
-        out[places[~found]] += tree.rest[size][at[~found]]
+            often = self.counts[2] > 0
+            fine = self.before >= length - 1
+            for back in range(length - 1):
+                fine[back:] &= often[: len(often) - back]
+            places = np.flatnonzero(fine)
+        keys = self.keys[length][places] >> np.uint64(64 - self.bits(length))
+        found, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        self.asked[length] = (places, found, first, which)
+        if length in self.got:
+            counts = np.zeros(len(self.before), np.int64)
+            counts[places] = (self.got[length] >> 1)[which]
+            self.counts[length] = counts
+
+    def contexts(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens after a counted context of that length, the distinct contexts, and each token's place among them."""
+        often = self.counts[length] >= self.model.how.least
+        places = np.flatnonzero((self.before[1:] >= length) & often[:-1]) + 1
+        keys = self.keys[length][places - 1] >> np.uint64(64 - self.bits(length))
+        return places, *np.unique(keys, return_inverse=True)
+
+    def ask(self, kind: int, keys: np.ndarray, sums: list[np.ndarray]) -> Iterator[dict]:
+        """Rows of ASK: the sorted keys by range, as steps from the one before."""
+        part = self.model.part(keys, self.bits(kind % CONTEXT))
+        cuts = np.flatnonzero(np.diff(part, prepend=np.uint64(self.model.parts)))
+        for a, b in zip(cuts, np.append(cuts[1:], len(keys))):
+            some = b"".join(len(x).to_bytes(8, "little") + x for x in (packed(s[a:b]) for s in sums))
+            yield {"part": int(part[a]), "block": self.number, "kind": kind, "keys": packed(np.diff(keys[a:b], prepend=np.uint64(0))), "sums": some}
+
+    def ask_counts(self, lengths: range) -> Iterator[dict]:
+        for length in range(1, lengths.stop):
+            self.sequences(length)
+            if length in lengths:
+                places, keys, _, which = self.asked[length]
+                yield from self.ask(length, keys, [np.bincount(which, self.train[places], len(keys)).astype(np.int64)])
+
+    def ask_tests(self) -> Iterator[dict]:
+        """For each context the sums of its successors that this block answers for: how many, their counts, their
+        shares in the shorter context, and the gain in log likelihood; and the context's own count."""
+        for length in range(1, self.model.how.depth + 2):
+            self.sequences(length)
+        for length in range(1, self.model.how.depth + 1):
+            places, keys, which = self.contexts(length)
+            of_token = np.zeros(len(self.before), np.int64)
+            of_token[places] = which
+            longer, _, first, _ = self.asked[length + 1]
+            mine = longer[first[self.got[length + 1] & 1 == 1]]
+            mine = mine[self.counts[length + 1][mine] >= self.model.how.least]
+            c, of = self.counts[length + 1][mine].astype(float), self.counts[length][mine - 1].astype(float)
+            shorter = self.counts[length - 1][mine - 1] if length > 1 else float(self.model.n)
+            share = self.counts[length][mine] / shorter
+            at, n = of_token[mine], len(keys)
+            whole = np.zeros(n, np.int64)
+            whole[at] = of.astype(np.int64)
+            sums = [np.bincount(at, minlength=n), np.bincount(at, c, n).astype(np.int64), whole, np.bincount(at, share, n), np.bincount(at, c * np.log(c / of / share), n)]
+            yield from self.ask(CONTEXT + length, keys, sums)
+
+    def scored(self) -> dict[str, pa.Array]:
+        how, n, v = self.model.how, self.model.n, self.model.v
+        for length in range(1, how.depth + 2):
+            self.sequences(length)
+        base = (self.counts[1] + 1) / (n + v + 1)
+        p = base.copy()
+        for length in range(1, how.depth + 1):
+            places, _, which = self.contexts(length)
+            counted = self.got.get(CONTEXT + length, np.zeros(0, np.int64))
+            counted = counted[which] if len(places) else np.zeros(0, np.int64)
+            places, counted = places[counted > 0], counted[counted > 0] - 1
+            whole, c = self.counts[length][places - 1], self.counts[length + 1][places]
+            c = np.where(c >= how.least, c, 0)
+            p[places] = (c + (whole - counted + how.strength) * p[places]) / (whole + how.strength)
+        add = lambda x: np.add.reduceat(x, self.starts)
+        return {"doc_id": self.doc_id, "held_out": self.held, "n_tokens": pa.array(self.lengths.astype(np.int64)), "n_known": pa.array(add((self.counts[1] > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(self.lengths), n, np.int64)), "base_score": pa.array(add(np.log10(base))), "score": pa.array(add(np.log10(p)))}
+
+
+def _rows(rows: Iterator[dict], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_pylist(list(rows), schema)
+
+
+def _sums(data: bytes, kinds: tuple[type, ...]) -> list[np.ndarray]:
+    out, at = [], 0
+    for kind in kinds:
+        size = int.from_bytes(data[at : at + 8], "little")
+        out.append(unpacked(data[at + 8 : at + 8 + size], kind))
+        at += 8 + size
     return out
 
 
-def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    tree: Tree = model.value
-    for batch in batches:
-        rows = []
-        for start in range(0, batch.num_rows, 500):
-            part = batch.slice(start, 500)
-            (ids,) = _token_blocks(iter([part]))
-            after = np.flatnonzero(ids == -2)
-            at = np.concatenate(([0], after[:-1] + 1))
-            logs = token_logs(tree, ids)
-            known = ids >= 0
-            base = np.where(known, tree.symbol_log[np.maximum(ids, 0)] if len(tree.symbol_log) else 0.0, 0.0)
-            logs[after] = 0
-            rows.append((np.add.reduceat(logs, at), np.add.reduceat(base, at), np.add.reduceat(known.astype(np.int64), at), after - at))
-        score, base, known, n = (np.concatenate(x) for x in zip(*rows)) if rows else [np.zeros(0)] * 4
-        same = {c: batch.column(c) for c in ("rid", "doc_id", "held_out")}
-        yield pa.record_batch(same | {"state_log": score, "base_log": base, "numbered": known.astype(np.int64), "n_tokens": n.astype(np.int64)})
+def _answer(part: pa.Table, model: Model) -> pa.Table:
+    """The answers of one range of keys to all blocks. To a count: twice the count, and one more for the block that
+    answers for the key in round 3; 0 below the least count (words: none). To a test: one more than the context's
+    counted successors' sum, or 0 where it doesn't stay."""
+    kinds, out = part.column("kind").to_numpy(), []
+    number, keys, sums = part.column("part")[0].as_py(), part.column("keys"), part.column("sums")
+    for kind in np.unique(kinds).tolist():
+        rows = np.flatnonzero(kinds == kind).tolist()
+        some = [np.cumsum(unpacked(keys[i].as_py(), np.uint64), dtype=np.uint64) for i in rows]
+        sizes = np.cumsum([len(x) for x in some])
+        found, first, which = np.unique(np.concatenate(some), return_index=True, return_inverse=True)
+        n, distinct, total = len(found), 0, 0
+        if kind < CONTEXT:
+            own = np.concatenate([_sums(sums[i].as_py(), (np.int64,))[0] for i in rows])
+            counts = np.bincount(which, own, n).astype(np.int64)
+            distinct, total = int((counts > 0).sum()), int(counts.sum())
+            counts[counts < (model.how.least if kind > 1 else 1)] = 0
+            answer = (counts << 1)[which]
+            answer[first] += counts > 0
+        else:
+            columns = zip(*(_sums(sums[i].as_py(), (np.int64, np.int64, np.int64, np.float64, np.float64)) for i in rows))
+            cells, c, whole, share, gain = (np.concatenate(x) for x in columns)
+            cells, c, share, gain = (np.bincount(which, x, n) for x in (cells, c, share, gain))
+            of = np.zeros(n)
+            np.maximum.at(of, which, whole)
+            left = np.maximum(of - c, 0)
+            gain += np.where(left > 0, left * np.log(np.maximum(left, 1) / np.maximum(of, 1) / np.maximum(1 - share, 1e-12)), 0)
+            stays = (cells > 0) & (2 * gain > cells + model.how.sigmas * np.sqrt(2 * cells))
+            answer = np.where(stays, c + 1, 0).astype(np.int64)[which]
+        blocks_ = part.column("block")
+        out += [{"block": blocks_[i].as_py(), "kind": kind, "part": number, "data": packed(a), "distinct": 0, "total": 0} for i, a in zip(rows, np.split(answer, sizes[:-1]))]
+        out.append({"block": -1, "kind": kind, "part": number, "data": None, "distinct": distinct, "total": total})
+    return _rows(iter(out), ANSWER)
+
+
+def _round(table: DataFrame, answers: DataFrame, model: Model, ask) -> DataFrame:
+    """The answers to what ask(block) yields, stored."""
 
+    def asked(block: pa.Table, before: pa.Table) -> pa.Table:
+        return _rows(ask(Block(block, before, model)), ASK)
 
-def _arrays(df: DataFrame) -> dict[str, np.ndarray]:
-    """A bounded table's columns on the driver."""
-    found = df.toArrow()
-    return {c: found.column(c).to_numpy() for c in found.column_names}
+    requests = table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(asked, from_arrow_schema(ASK))
+    return stored(requests.groupBy("part").applyInArrow(lambda part: _answer(part, model), from_arrow_schema(ANSWER)), "answers")
 
 
 def lm_scores(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs (doc_id, text)."""
-    sc = docs.sparkSession.sparkContext
-    rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    counts = stored(rows.where("NOT held_out").select("text").mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 0"), "words")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = _arrays(counts.where(F.col("c") >= how.least_symbol * n))
-    order = np.argsort(top["h"].view(np.uint64))
-    symbols = sc.broadcast((top["h"].view(np.uint64)[order],))
-
-    # row ids are stored with the numbers, so that every later job sees the same ones
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    numbered = rows.withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "held_out", "text")
-    numbered = stored(numbered.mapInArrow(lambda b: _number(b, symbols), f"rid long, doc_id {kind}, held_out boolean, ids array<int>, rare array<long>"), "numbered")
-    # a block is as good a sieve as it is long: few long partitions rather than many short ones
-    training = numbered.where("NOT held_out").select("ids").coalesce(max(1, n // BLOCK_TOKENS))
-
-    found = training.mapInArrow(lambda b: _candidates(b, how.depth, how.least_share), "n int, key long").distinct()
-    found = _arrays(found)
-    wanted = sc.broadcast({k: np.sort(found["key"][found["n"] == k].view(np.uint64)) for k in np.unique(found["n"]).tolist()})
-    counted = training.mapInArrow(lambda b: _count_grams(b, how.depth, wanted), "n int, key long, context long, suffix long, c long")
-    counted = counted.groupBy("n", "key").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.sum("c").alias("c")).where(F.col("c") >= how.least_share * n)
-    table = _arrays(counted)
-    grams = {k: {c: table[c][table["n"] == k] if c == "c" else table[c][table["n"] == k].view(np.uint64) for c in ("key", "context", "suffix", "c")} for k in np.unique(table["n"]).tolist()}
-    tree = sc.broadcast(grow(top["c"][order], n, v, grams, how))
-
-    scored = numbered.select("rid", "doc_id", "held_out", "ids").mapInArrow(lambda b: _score(b, tree), f"rid long, doc_id {kind}, held_out boolean, state_log double, base_log double, numbered long, n_tokens long")
-    few = counts.where(F.col("c") < how.least_symbol * n)
-    rare = numbered.select("rid", F.explode("rare").alias("h")).join(few, "h", "left")
-    rare = rare.groupBy("rid").agg(F.sum(F.log10((F.coalesce("c", F.lit(0)) + F.lit(1.0)) / F.lit(float(n + v + 1)))).alias("rare_log"), F.count("c").alias("rare_known"))
-    rare_log, rare_known = F.coalesce("rare_log", F.lit(0.0)), F.coalesce("rare_known", F.lit(0))
-    return scored.join(rare, "rid", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("numbered") + rare_known).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base_log") + rare_log).alias("base_score"),
-        (F.col("state_log") + rare_log).alias("score"),
-    )
+    made = rows.mapInArrow(lambda b: _block(b, how.block), f"doc_id array<{kind}>, held_out array<boolean>, words binary, ids binary, lengths binary, tokens long")
+    # bucketed by block, so that no round shuffles the texts; block numbers are written with them
+    name = f"lociflow_blocks_{uuid.uuid4().hex}"
+    made = made.withColumn("block", F.monotonically_increasing_id())
+    made.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("path", f"{shared_dir(spark)}/lociflow/{name}").saveAsTable(name)
+    table = spark.table(name)
+    tokens = table.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    model = Model(how, -(-tokens // how.block) or 1, min(64, max(33, tokens.bit_length() + 26)))
+    none = spark.createDataFrame([], from_arrow_schema(ANSWER))
+    counts = _round(table, none, model, lambda b: b.ask_counts(range(1, 3)))
+    v, n = counts.where("block = -1 AND kind = 1").agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    model = Model(how, model.parts, model.bits, n, v)
+    answers = counts.where("block >= 0")
+    if how.depth > 1:
+        answers = answers.unionByName(_round(table, answers, model, lambda b: b.ask_counts(range(3, how.depth + 2))).where("block >= 0"))
+    answers = answers.unionByName(_round(table, answers, model, lambda b: b.ask_tests()).where("block >= 0"))
+
+    result = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    each = table.groupBy("block").cogroup(answers.groupBy("block"))
+    return each.applyInArrow(lambda block, before: pa.table(Block(block, before, model).scored()), result)

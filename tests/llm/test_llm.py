@@ -4,6 +4,8 @@ import itertools
 import json
 import math
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -59,33 +61,62 @@ def test_suffix_tree(spark, none):
     assert pst.lm_scores(none).count() == 0
 
 
+def brute_scores(rows, how):
+    """The suffix tree by dictionaries: (n_tokens, n_known, base_score, score) of each text."""
+    split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or "")), None]
+    train = [split(t) for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(tuple(w[i : i + k]) for w in train for k in range(1, how.depth + 2) for i in range(len(w) - k + 1))
+    n, v = sum(map(len, train)), sum(len(g) == 1 for g in counts)
+    after = {}
+    for g, c in counts.items():
+        if len(g) > 1 and c >= how.least:
+            after.setdefault(g[:-1], {})[g[-1]] = c
+    nodes = set()
+    for s, found in after.items():
+        share = [counts[*s[1:], w] / (counts[s[1:]] if len(s) > 1 else n) for w in found]
+        gain = sum(c * math.log(c / counts[s] / q) for c, q in zip(found.values(), share))
+        left = counts[s] - sum(found.values())
+        gain += left * math.log(left / counts[s] / max(1 - sum(share), 1e-12)) if left else 0
+        if 2 * gain > len(found) + how.sigmas * math.sqrt(2 * len(found)):
+            nodes.add(s)
+
+    def p(w, before):
+        if not before:
+            return (counts[w,] + 1) / (n + v + 1)
+        shorter = p(w, before[1:])
+        if before not in nodes:
+            return shorter
+        found = after[before]
+        return (found.get(w, 0) + (counts[before] - sum(found.values()) + how.strength) * shorter) / (counts[before] + how.strength)
+
+    out = []
+    for i, t in rows:
+        w = split(t)
+        out.append((i, len(w), sum(counts[x,] > 0 for x in w), n, sum(math.log10(p(x, ())) for x in w), sum(math.log10(p(x, tuple(w[max(0, k - how.depth) : k]))) for k, x in enumerate(w))))
+    return out, nodes, p, {g[0] for g in counts if len(g) == 1}
+
+
+def test_suffix_tree_against_dictionaries(spark):
+    rng = np.random.default_rng(4)
+    word = [f"W{k}" for k in range(30)]
+    phrase = [list(rng.choice(word, 6)) for _ in range(8)]
+    texts = [" ".join(x for _ in range(rng.integers(1, 12)) for x in (phrase[rng.integers(8)] if rng.random() < 0.6 else rng.choice(word, 4))) for _ in range(56)]
+    rows = [*enumerate(texts), (60, None), (61, ""), (62, "É  w1\tw2"), (None, texts[0]), (None, texts[0]), (3, texts[3])]
+    for how in (pst.Settings(), pst.Settings(block=300), pst.Settings(depth=1, least=4, strength=2.0)):
+        exp, nodes, _, _ = brute_scores(rows, how)
+        assert len(nodes) > 10
+        df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
+        out = pst.lm_scores(df, how).collect()
+        got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in out), key=str)
+        for g, e in zip(got, sorted(exp, key=str), strict=True):
+            assert g[:4] == e[:4] and abs(g[4] - e[4]) < 1e-9 and abs(g[5] - e[5]) < 1e-9
+
+
 def test_suffix_tree_sums_to_one():
-    rng = np.random.default_rng(1)
-    ids = np.concatenate([np.append(rng.integers(0, 5, 60) if k % 2 else np.tile([0, 1, 2, 3, 1, 4], 10), -2) for k in range(40)]).astype(np.int32)
-    how = pst.Settings(least_share=1e-3)
-    import pyarrow as pa
-
-    at = np.flatnonzero(ids == -2)
-    batch = pa.record_batch({"ids": pa.array([x[:-1].tolist() for x in np.split(ids, at + 1)[:-1]], pa.list_(pa.int32()))})
-    keys = {}
-    for b in pst._candidates(iter([batch]), how.depth, how.least_share):
-        for n, k in zip(b.column("n").to_pylist(), b.column("key").to_numpy()):
-            keys.setdefault(n, []).append(k)
-
-    class Box:
-        value = {n: np.sort(np.array(k).view(np.uint64)) for n, k in keys.items()}
-
-    grams = {}
-    for b in pst._count_grams(iter([batch]), how.depth, Box):
-        n = b.column("n")[0].as_py()
-        grams[n] = {c: b.column(c).to_numpy().view(np.uint64) if c != "c" else b.column(c).to_numpy() for c in ("key", "context", "suffix", "c")}
-    counts = np.bincount(ids[ids >= 0], minlength=5)
-    tree = pst.grow(counts, int(counts.sum()), 5, grams, how)
-    assert len(tree.contexts[1])
-    for before in ([], [1], [0, 1], [3, 1], [2, 3, 1]):
-        total = sum(10 ** pst.token_logs(tree, np.array([*before, w, -2], np.int32))[len(before)] for w in range(5))
-        unknown = 10 ** pst.token_logs(tree, np.array([*before, -1, -2], np.int32))[len(before)] / (counts.sum() + 6)
-        assert abs(total + unknown - 1) < 1e-9
+    rows = [(i, " ".join(["a b c b d"] * 3 + ["e a"] * (i % 5))) for i in range(40)]
+    _, nodes, p, words = brute_scores(rows, pst.Settings())
+    for s in [(), *nodes]:
+        assert abs(sum(p(w, s) for w in words) + p("unknown", s) - 1) < 1e-9
 
 
 def test_tool_calls(spark):
@@ -123,6 +154,63 @@ def test_levels_of_several_dependencies(spark):
     assert {r.call_id: r.level for r in chat.levels(calls).collect()} == {"a": 0, "b": 1, "c": 2, "d": -1}
 
 
+def test_levels_of_long_chains(spark):
+    rows = [(1, f"c{i}", [f"c{i - 1}"] if i else []) for i in range(3000)]
+    rows[700] = (1, "c700", ["c699", "c3", "c3", "nowhere"])
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, after array<string>")
+    assert {r.call_id: r.level for r in chat.levels(calls).collect()} == {f"c{i}": i for i in range(3000)}
+
+
+def test_levels_against_recursion(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for conv in range(6):
+        n = 30
+        for i in range(n):
+            back = [f"x{j}" for j in rng.integers(0, i, rng.integers(0, 4))] if i else []
+            rows.append((conv, f"x{i}", back + ([f"x{rng.integers(0, n)}"] if rng.random() < 0.05 else [])))
+    after = {(c, i): {(c, d) for d in a} for c, i, a in rows}
+    level = {}
+    while ready := [k for k, a in after.items() if k not in level and all(d in level for d in a)]:
+        level |= {k: max((level[d] + 1 for d in after[k]), default=0) for k in ready}
+    out = chat.levels(spark.createDataFrame(rows, "conv_id long, call_id string, after array<string>")).collect()
+    assert {(r.conv_id, r.call_id): r.level for r in out} == {k: level.get(k, -1) for k in after}
+    assert -1 in {r.level for r in out}
+
+
+def test_links_against_loops(spark):
+    rng = np.random.default_rng(9)
+    pick = lambda *x: x[rng.integers(len(x))]
+    calls = [(pick(None, 1, 2), pick(None, 0, 1, 2), pick(None, "a", "b", "c"), "count", pick(None, "{}", "[1]", '{"text":"x"}'), []) for _ in range(60)]
+    results = [(pick(None, 1, 2), pick(None, 0, 1, 2), pick(None, "a", "b", "d"), pick(None, "u", "v")) for _ in range(40)]
+    order = lambda *x: [(v is not None, v or 0) if not isinstance(v, str) else (True, v) for v in x]
+    exp = []
+    for conv, call in itertools.product((None, 1, 2), (None, "a", "b", "c", "d")):
+        some = sorted((c for c in calls if (c[0], c[2]) == (conv, call)), key=lambda c: order(c[1], c[3], c[4]))
+        answers = sorted((r for r in results if (r[0], r[2]) == (conv, call)), key=lambda r: order(r[1], r[3]))
+        if None in (conv, call):
+            exp += [("call", *c[:3], False, None) for c in some] + [("orphan", *r[:3], False, r[3]) for r in answers]
+            continue
+        for k, c in enumerate(some):
+            linked = not k and bool(answers)
+            exp.append(("repeat" if k else "call", *c[:3], linked, answers[0][3] if linked else None))
+        exp += [("orphan", *r[:3], False, r[3]) for r in answers[bool(some) :]]
+    a = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string, after array<string>").withColumn("uid", F.lit("clash"))
+    b = spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string").withColumn("taken", F.lit(1))
+    out = chat.link(a, b, repeats=True).collect()
+    got = [(r.kind, r.conv_id, r.turn, r.call_id, r.linked, json.loads(r.json)["result"]) for r in out]
+    assert Counter(got) == Counter(exp)
+    assert chat.link(a.limit(0), b.limit(0), repeats=True).count() == 0 and chat.levels(a.limit(0)).count() == 0
+
+
+def test_arguments_that_are_no_json():
+    for text, problem in (('{"text":NaN}', "not JSON"), ('{"text":"\\ud800"}', "lone surrogate"), ("[" * 200_000, "nested too deeply"), ("{", "not JSON"), (None, "not object")):
+        valid, found, made = chat.line("c", "count", text, [], None, chat.SCHEMAS)
+        assert not valid and problem in found and json.loads(made)["arguments"] == text
+    long = json.dumps({"text": "x" * 1_000_000})
+    assert chat.line("c", "count", long, [], None, chat.SCHEMAS)[0]
+
+
 def all_splits(table, text):
     def go(i):
         if i == len(text):
