@@ -2,20 +2,25 @@
 
 Forward Viterbi scores of the lattice's nodes are the exact best scores of what lies before them, so a backward A*
 search that adds them to the score of what it has built pops whole segmentations in order of score. A text is cut
-where no piece of the vocabulary can span (before a run of spaces that follows other characters); its lattice is then
-a chain of small lattices, each searched once and cached, and the text's N best are the best combinations of theirs:
-only the n - 1 chunks with the smallest loss for a second choice can differ from their best, and these are searched.
-The Viterbi scores of a block's new chunks are computed together, by numpy over chunks of one length; a chunk's loss
-is that of the best path through a piece off its best path.
+where no piece of the vocabulary can span (before a run of spaces that follows other characters, between signs and
+words, and in long chunks between any two characters that no piece has side by side); its lattice is then a chain of
+small lattices, and the text's N best are the best combinations of theirs: only the n - 1 chunks with the smallest loss
+for a second choice can differ from their best, and these are searched for all their choices. The Viterbi scores of a
+block's new chunks are computed together, by numpy over chunks of one length; a chunk's loss is that of the best path
+through a piece off its best path, and the best path itself, which is the first that A* would pop, is read off the
+same scores.
 
 Pieces and scores come from a SentencePiece model file (its path is a parameter). A unigram model's scores are log
 probabilities and are taken as they are. A BPE model's scores only give the order of merges, so a piece of rank r gets
-a Zipf log probability, -ln(r + shift), normalised over the vocabulary. A character without a piece is spelled in
-UTF-8 byte pieces. Ties go to the segmentation found first, which depends on the text and vocabulary alone.
-
-Edge cases: null and empty texts have no pieces and one segmentation, of score 0; decoding gives the empty text.
-Texts of any length are read whole. Repeated rows are encoded alike. Extra columns are kept; those with the name of a
-result column are replaced. An empty table gives an empty result.
+a Zipf log probability, -ln(r + shift), normalised over the vocabulary: its ids then aren't those of the model's own
+merges. Scores are rounded to multiples of 2 ** -20, so that every sum of them is exact and equal scores are equal in
+any order of adding. Of equal segmentations of a chunk the one with the longest last piece goes first, then with the
+longest piece before it, and so on. A character without a piece is spelled in UTF-8 byte pieces.
+
+Edge cases: null and empty texts have no pieces and one segmentation, of score 0; decoding gives the empty text. A
+text that holds U+2581, the sign for a space, decodes to one with a space there, and its round_trip is false. Texts of
+any length are read whole. Repeated rows are encoded alike. Extra columns are kept; those with the name of a result
+column are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,19 +35,21 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .words import blocks, chain, mix64
 
 SPACE = "▁"
-RESULT = ("pieces", "n_pieces", "scores", "round_trip")
+RESULT = ("pieces", "n_pieces", "scores", "others", "round_trip")
 CACHE = 120_000
 #: Longer chunks are searched one by one.
 LONG = 48
 #: Bytes of text encoded at once, and characters of new chunks whose tables are filled at once: what a task holds.
 BLOCK, TABLE = 1 << 20, 1 << 16
+#: Scores are multiples of this.
+UNIT = 2.0**-20
 
 
 def default_model() -> str:
@@ -74,6 +81,7 @@ class Pieces(dict):
             rank[np.argsort(-scores, kind="stable")] = np.arange(len(plain))
             weights = 1 / (rank + how.shift)
             scores = np.log(weights / weights.sum())
+        scores = np.round(scores / UNIT) * UNIT
         self.table = {names[i]: (float(s), i) for i, s in zip(plain, scores)}
         self.longest = max(map(len, self.table), default=1)
         self.bytes = {int(names[i][3:5], 16): i for i in range(n) if model.is_byte(i)}
@@ -90,7 +98,10 @@ class Pieces(dict):
         sign = "".join(map(re.escape, sorted(signs)))
         body = f"(?:[^{SPACE}{lone}{sign}]+|[{sign}]+)" if sign else f"[^{SPACE}{lone}]+"
         self.chunk = re.compile(f"{SPACE}*{body}|{SPACE}+" + (f"|[{lone}]" if lone else ""))
-        self.few: dict[str, list[float]] = {}
+        #: by chunk: its n best choices (loss, ids)
+        self.few: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
+        #: characters that some piece has side by side
+        self.beside = {p[k : k + 2] for p in self.table for k in range(len(p) - 1)}
         self.byte_score = float(scores.min()) - 1.0 if len(scores) else -1.0
         whole = [p for p in self.table if re.search(f"[^{SPACE}]{SPACE}", p)]
         if whole:
@@ -121,7 +132,7 @@ class Pieces(dict):
     def n_best(self, chunk: str, n: int) -> list[tuple[float, tuple]]:
         """The n best segmentations with their scores, best first, by A* from the chunk's end."""
         into, ahead = self.edges(chunk)
-        heap = [(-ahead[-1], len(chunk), 0, 0.0, ())]  # of equal scores, the one nearest its end goes first
+        heap = [(-ahead[-1], len(chunk), 0, 0.0, ())]  # of equal scores, the one nearest its start goes first
         found, count = [], 1
         while heap and len(found) < n:
             low, at, _, done, tail = heapq.heappop(heap)
@@ -134,8 +145,7 @@ class Pieces(dict):
                 continue
             for start, s, piece in into[at]:
                 total = done + s
-                # rounded, so that sums in another order are ties and not a crowd of near ties
-                heapq.heappush(heap, (-round(total + ahead[start], 6), start, count, total, (piece, tail)))
+                heapq.heappush(heap, (-(total + ahead[start]), start, count, total, (piece, tail)))
                 count += 1
         return found
 
@@ -197,8 +207,9 @@ class Pieces(dict):
         ahead[:, 0] = behind[:, length] = 0
         took = np.zeros((m, length + 1), np.int64)
         for end in range(1, length + 1):
-            new = np.stack([ahead[:, end - k] + scores[k - 1][:, end - k] for k in range(1, min(end, len(scores)) + 1)])
-            took[:, end] = new.argmax(axis=0) + 1
+            most = min(end, len(scores))
+            new = np.stack([ahead[:, end - k] + scores[k - 1][:, end - k] for k in range(most, 0, -1)])
+            took[:, end] = most - new.argmax(axis=0)  # of equal ones the longest
             ahead[:, end] = new.max(axis=0)
         for start in range(length - 1, -1, -1):
             for k in range(1, min(length - start, len(scores)) + 1):
@@ -222,34 +233,51 @@ class Pieces(dict):
                 self[chunk] = (out[i, length - n :].tobytes(), max(lost, 0.0), total)
 
     def chunks(self, text: str) -> list[str]:
-        return self.chunk.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        found = self.chunk.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        if found and max(map(len, found)) > LONG:
+            found = [x for c in found for x in (self.cut(c) if len(c) > LONG else (c,))]
+        return found
 
-    def encode(self, text: str) -> tuple[bytes, list[float]]:
-        """The best segmentation's ids (int32 bytes), and the scores of the N best of the whole text."""
+    def cut(self, chunk: str) -> Iterator[str]:
+        """A long chunk between the characters that no piece has side by side."""
+        start = 0
+        for k in range(1, len(chunk)):
+            if chunk[k - 1 : k + 1] not in self.beside:
+                yield chunk[start:k]
+                start = k
+        yield chunk[start:]
+
+    def encode(self, text: str) -> tuple[bytes, list[float], list[list[tuple[int, int, tuple[int, ...]]]]]:
+        """The best segmentation's ids (int32 bytes), the scores of the N best of the whole text, and for each after
+        the first what it has instead: (start, length, ids) of the best one's pieces."""
         return self.encoded(self.chunks(text))
 
-    def encoded(self, parts: list[str]) -> tuple[bytes, list[float]]:
+    def encoded(self, parts: list[str]) -> tuple[bytes, list[float], list[list[tuple[int, int, tuple[int, ...]]]]]:
         if not parts:
-            return b"", [0.0]
+            return b"", [0.0], []
         ids, losses, scores = zip(*map(self.__getitem__, parts))
-        return b"".join(ids), [x for x, _ in self.combined(parts, np.array(losses), math.fsum(scores))]
+        best = self.combined(parts, np.array(losses), sum(scores))
+        others = []
+        for _, choices in best[1:]:
+            others.append([(sum(map(len, ids[:i])) // 4, len(ids[i]) // 4, self.few[parts[i]][k][1]) for i, k in sorted(choices.items())])
+        return b"".join(ids), [x for x, _ in best], others
 
     def combined(self, parts: list[str], losses: np.ndarray, top: float) -> list[tuple[float, dict[int, int]]]:
         """The N best scores of a chain of chunks, each with the choices that differ from the best (place: choice)."""
         n = self.best
         if n == 1:
             return [(top, {})]
-        near = np.argsort(losses, kind="stable")[: n - 1] if len(losses) <= 64 else np.sort(np.argpartition(losses, n - 1)[: n - 1])
-        near = [int(i) for i in sorted(near, key=lambda i: (losses[i], i)) if losses[i] < math.inf]
+        near = np.argsort(losses, kind="stable")[: n - 1].tolist()
+        near = [i for i in near if losses[i] < math.inf]
+        if len(self.few) > CACHE:
+            self.few.clear()
         options = []
         for i in near:
-            lost = self.few.get(parts[i])
-            if lost is None:
+            found = self.few.get(parts[i])
+            if found is None:
                 found = self.n_best(parts[i], n)
-                lost = [found[0][0] - x for x, _ in found]
-                if len(self.few) < CACHE:
-                    self.few[parts[i]] = lost
-            options.append(lost)
+                found = self.few[parts[i]] = [(found[0][0] - x, ids) for x, ids in found]
+            options.append([x for x, _ in found])
         # choices for the first chunks extended by the next chunk's, the n best kept: exact for sums
         best = [(0.0, ())]
         for losses_of in options:
@@ -277,26 +305,40 @@ def _pieces(how: Settings) -> Pieces:
     return Pieces(how)
 
 
+def _edits(others: tuple[list[list[tuple[int, int, tuple[int, ...]]]], ...]) -> pa.Array:
+    """Lists by text of lists by rank of (start, length, ids), built from their flat columns."""
+    ranks = [r for o in others for r in o]
+    edits = [e for r in ranks for e in r]
+    at = lambda some: np.concatenate(([0], np.cumsum(np.fromiter(map(len, some), np.int64, len(some))))).astype(np.int32)
+    ids = pa.ListArray.from_arrays(at([e[2] for e in edits]), pa.array([i for e in edits for i in e[2]], pa.int32()))
+    flat = pa.StructArray.from_arrays([pa.array([e[0] for e in edits], pa.int32()), pa.array([e[1] for e in edits], pa.int32()), ids], names=["start", "length", "ids"])
+    return pa.ListArray.from_arrays(at(others), pa.ListArray.from_arrays(at(ranks), flat))
+
+
 def _encode(batches: Iterator[pa.RecordBatch], how: Settings) -> Iterator[pa.RecordBatch]:
     table = _pieces(how)
     for block in blocks(batches, size=BLOCK):
         texts = [t or "" for t in block.column("text").to_pylist()]
         parts = [table.chunks(t) for t in texts]
         table.learn(set().union(*parts))
-        raw, scores = zip(*map(table.encoded, parts))
+        raw, scores, others = zip(*map(table.encoded, parts))
         sizes = np.fromiter((len(r) // 4 for r in raw), np.int64, len(raw))
         flat = np.frombuffer(b"".join(raw), np.int32)
         at = np.concatenate(([0], np.cumsum(sizes)))
         same = [table.decode(flat[a:b]) == t for a, b, t in zip(at[:-1], at[1:], texts)]
-        made = [pa.ListArray.from_arrays(at.astype(np.int32), pa.array(flat)), pa.array(sizes), pa.array([list(s) for s in scores], pa.list_(pa.float64())), pa.array(same)]
+        made = [pa.ListArray.from_arrays(at.astype(np.int32), pa.array(flat)), pa.array(sizes), pa.array(scores, pa.list_(pa.float64())), _edits(others), pa.array(same)]
         yield pa.RecordBatch.from_arrays([*block.columns, *made], names=[*block.schema.names, *RESULT])
 
 
+EDIT = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+
 def encode(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
-    """docs with pieces (ids of the best segmentation), n_pieces, scores (of the N best, best first) and round_trip:
-    whether decoding gives the text again."""
+    """docs with pieces (ids of the best segmentation), n_pieces, scores (of the N best, best first), others (for each
+    of the N best after the first, in order, what it has instead of which of the best one's pieces: start, length, ids;
+    segmentation() puts it together) and round_trip: whether decoding gives the text again."""
     docs = docs.drop(*RESULT)
-    added = [("pieces", T.ArrayType(T.IntegerType())), ("n_pieces", T.LongType()), ("scores", T.ArrayType(T.DoubleType())), ("round_trip", T.BooleanType())]
+    added = [("pieces", T.ArrayType(T.IntegerType())), ("n_pieces", T.LongType()), ("scores", T.ArrayType(T.DoubleType())), ("others", T.ArrayType(T.ArrayType(EDIT))), ("round_trip", T.BooleanType())]
     schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in docs.schema.fields], *[T.StructField(n, t) for n, t in added]])
     return docs.mapInArrow(lambda b: _encode(b, how), schema)
 
@@ -315,6 +357,15 @@ def decode(encoded: DataFrame, how: Settings = Settings()) -> DataFrame:
     return encoded.mapInArrow(back, schema)
 
 
-def digest(encoded: DataFrame) -> DataFrame:
-    """What tells two encodings apart: the count of pieces, the scores, and a hash of the ids."""
-    return encoded.select("doc_id", "n_pieces", "scores", "round_trip", F.xxhash64("pieces").alias("pieces_hash"))
+def segmentation(rank: int) -> Column:
+    """The ids of an encoded row's segmentation of that rank, 0 being the best; null where the text has fewer."""
+    whole = F.col("pieces")
+    edits = F.get("others", F.lit(rank - 1))
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("ids"))
+
+    def step(acc: Column, e: Column) -> Column:
+        kept = F.slice(whole, acc["at"] + 1, e["start"] - acc["at"])
+        return F.struct((e["start"] + e["length"]).alias("at"), F.concat(acc["ids"], kept, e["ids"]).alias("ids"))
+
+    end = lambda acc: F.concat(acc["ids"], F.slice(whole, acc["at"] + 1, F.size(whole)))
+    return whole if not rank else F.when(edits.isNotNull(), F.aggregate(edits, start, step, end))
