@@ -72,4 +72,4 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_lm_scoring, op4_chat_format, op5_pieces, op6_secrets, op7_near_dedup, op8_toxicity, op9_exact_dedup, op10_neighbours)}
-ORACLES = {"op1_url_filter": url_filter.sql(), "op2_mixing": mixing.sql(), "op9_exact_dedup": exact_dedup.SQL}
+ORACLES = {"op1_url_filter": url_filter.sql(), "op2_mixing": mixing.sql(), "op6_secrets": secrets.sql(), "op9_exact_dedup": exact_dedup.SQL}

@@ -1,14 +1,16 @@
 r"""Secret scan: fixed patterns, then sliding-window Shannon entropy over candidate strings, in DataFrame functions only.
 
 Positions come from the text itself: split() gives the gaps between a pattern's matches and regexp_extract_all() the
-matches, so a running sum of their lengths gives each match's start in code points.
+matches, so running sums of their lengths, by blocks of matches and then over the blocks, give each match's start in
+code points.
 
 A candidate is a run of at least MIN_RUN characters of `[A-Za-z0-9+/_=-]`, without any `=` in front. Its class (hex, letters and digits, or
 base64 with its symbols) sets the entropy that a window must reach; runs without a digit or without a letter have no
 class and are passed over. The window's entropy is log2(W) - S / W with S the sum of n * log2(n) over its character
-counts n; a step takes the leaving character out of S and puts the entering one in, so only two counts are read.
+counts n. S and the counts are carried from window to window: a step takes the leaving character out of both and puts
+the entering one in.
 
-Edge cases: a null text counts as empty; it and texts without matches give 0 spans, the SHA-256 of the empty string
+SQL_ALLOW holds the allow-list for engines whose patterns can't look ahead. Edge cases: a null text counts as empty; it and texts without matches give 0 spans, the SHA-256 of the empty string
 and an empty `spans`. Texts of any length are read whole. Repeated rows are scanned alike. Extra columns are kept;
 those with the name of a result column are replaced. An empty table gives an empty result.
 """
@@ -39,10 +41,16 @@ ALLOW = (
     rf"^(?=.*/.*/)([A-Za-z_-]+=)?{SEGMENT}(/{SEGMENT})*$",
     r"^[/_+-]*[A-Za-z]+([_-][A-Za-z]+)*[_-]?[0-9]{0,4}$",
 )
+# The same with two slashes asked for apart: (pattern, and one that must also match).
+SQL_ALLOW = (*((p, "") for p in (*ALLOW[:3], ALLOW[4])), (ALLOW[3].replace("(?=.*/.*/)", ""), "/.*/"))
 RESULT = ("n_assign", "n_access", "n_hex", "base_spans", "entropy_spans")
 
 
 SPANS = "array<struct<at:int,until:int,m:string>>"
+#: Matches whose places are summed up in one go: appending to an array copies it, so long ones are built from blocks.
+RUN_OF = 64
+#: The characters of candidates, in the order of their counts.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -55,7 +63,18 @@ def matches(text: Column, pattern: str) -> Column:
         return F.struct(until.alias("at"), F.concat(acc["all"], F.array(F.struct(at.alias("at"), until.alias("until"), x["m"].alias("m")))).alias("all"))
 
     none = F.expr(f"cast(array() as {SPANS})")
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("all")), step, lambda acc: acc["all"])
+    some = lambda part: F.aggregate(part, F.struct(F.lit(0).alias("at"), none.alias("all")), step)
+
+    def by_block(pairs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / RUN_OF).cast("int")), lambda k: some(F.slice(pairs, k * RUN_OF + 1, F.lit(RUN_OF))))
+        return bound(blocks, moved)
+
+    def moved(blocks: Column) -> Column:
+        starts = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b["at"])))
+        by = lambda x, n: F.struct((x["at"] + n).alias("at"), (x["until"] + n).alias("until"), x["m"].alias("m"))
+        return bound(starts, lambda n: F.flatten(F.transform(blocks, lambda b, k: F.transform(b["all"], lambda x: by(x, F.get(n, k))))))
+
+    found = bound(pairs, lambda p: F.when(F.size(p) <= RUN_OF, some(p)["all"]).otherwise(by_block(p)))
     return F.when(text.rlike(pattern), F.filter(found, lambda x: x["m"].isNotNull())).otherwise(none)
 
 
@@ -67,20 +86,26 @@ def bound(value: Column, use) -> Column:
 def entropy_peak(chars: Column, window: int = WINDOW) -> Column:
     """The highest entropy, in bits, of the windows over an array of characters at least as long as a window."""
     xlogx = lambda n: F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
+    changed = lambda counts, k, by: F.concat(F.slice(counts, F.lit(1), k - 1), F.array(F.get(counts, k - 1) + by), F.slice(counts, k + 1, F.lit(len(ALPHABET))))
+
+    def over(codes: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            full = i >= window
+            old, new = F.get(codes, i - window), F.get(codes, i)
+            leaving = F.get(acc["counts"], old - 1)
+            left = F.when(full, changed(acc["counts"], old, -1)).otherwise(acc["counts"])
 
-    def step(acc: Column, i: Column) -> Column:
-        full = i >= window
-        inside = F.slice(chars, F.greatest(i - window + 1, F.lit(1)), F.least(i, F.lit(window)))  # before this step
-        count = lambda c: F.size(F.filter(inside, lambda x: x == c))
-        old, new = F.get(chars, i - window), F.get(chars, i)
-        leaving = F.when(full, count(old)).otherwise(0)
-        entering = count(new) - F.when(full & (old == new), 1).otherwise(0)
-        s = acc["s"] - F.when(full, xlogx(leaving) - xlogx(leaving - 1)).otherwise(0.0) + xlogx(entering + 1) - xlogx(entering)
-        bits = F.when(i >= window - 1, F.log2(F.lit(float(window))) - s / window).otherwise(0.0)
-        return F.struct(s.alias("s"), F.greatest(acc["peak"], bits).alias("peak"))
+            def entered(counts: Column) -> Column:
+                entering = F.get(counts, new - 1)
+                s = acc["s"] - F.when(full, xlogx(leaving) - xlogx(leaving - 1)).otherwise(0.0) + xlogx(entering + 1) - xlogx(entering)
+                return bound(s, lambda s: F.struct(s.alias("s"), F.greatest(acc["peak"], F.when(i >= window - 1, F.log2(F.lit(float(window))) - s / window).otherwise(0.0)).alias("peak"), changed(counts, new, 1).alias("counts")))
 
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("peak"))
-    return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), start, step, lambda acc: acc["peak"])
+            return bound(left, entered)
+
+        start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("peak"), F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, lambda acc: acc["peak"])
+
+    return bound(F.transform(chars, lambda c: F.instr(F.lit(ALPHABET), c)), over)
 
 
 def is_secret(m: Column) -> Column:
@@ -116,3 +141,34 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["name"], s["at"].cast("string"), s["until"].cast("string"))), ",")
+
+
+def sql() -> str:
+    """The query in DuckDB's SQL: matches and gaps unnested side by side, places by window sums, and the entropy of
+    each window from its characters grouped anew."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    kinds = [*((k, name, p) for k, (name, p, _, _) in enumerate(KINDS)), (len(KINDS), "entropy", RUN)]
+    found = " UNION ALL ".join(
+        f"""SELECT rid, {k} AS kind, '{name}' AS name, unnest(string_split_regex(t, {quoted(p)})) AS gap, unnest(regexp_extract_all(t, {quoted(p)})) AS m, generate_subscripts(string_split_regex(t, {quoted(p)}), 1) AS i FROM d"""
+        for k, name, p in kinds
+    )
+    long_enough = " OR ".join(f"kind = {k} AND length({f'regexp_extract(m, {quoted(p)}, {g})' if g else 'm'}) >= {n}" for k, (_, p, g, n) in enumerate(KINDS))
+    allowed = " OR ".join(f"(regexp_matches(m, {quoted(p)})" + (f" AND regexp_matches(m, {quoted(q)}))" if q else ")") for p, q in SQL_ALLOW)
+    spans = "coalesce(string_agg(name || ':' || pos || ':' || until, ',' ORDER BY pos, kind, until){}, '')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+placed AS (SELECT *, (sum(length(gap)) OVER w + sum(coalesce(length(m), 0)) OVER w)::BIGINT AS until FROM found WINDOW w AS (PARTITION BY rid, kind ORDER BY i)),
+matched AS (SELECT rid, kind, name, m, until - length(m) AS pos, until FROM placed WHERE m IS NOT NULL),
+base AS (SELECT * FROM matched WHERE {long_enough}),
+runs AS (SELECT *, CASE WHEN regexp_matches(m, '^[0-9a-fA-F]+$') THEN {BITS["hex"]}::DOUBLE WHEN regexp_matches(m, '^[A-Za-z0-9]+$') THEN {BITS["alnum"]}::DOUBLE ELSE {BITS["base64"]}::DOUBLE END AS bits FROM matched
+  WHERE kind = {len(KINDS)} AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT ({allowed})),
+cuts AS (SELECT rid, pos, unnest(range(1, length(m) - {WINDOW - 2})) AS w, m FROM runs),
+letters AS (SELECT rid, pos, w, unnest(string_split(substr(m, w, {WINDOW}), '')) AS c FROM cuts),
+sums AS (SELECT rid, pos, w, sum(n * log2(n)) AS s FROM (SELECT rid, pos, w, c, count(*) AS n FROM letters GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+peaks AS (SELECT rid, pos, max(log2({WINDOW}) - s / {WINDOW}::DOUBLE) AS peak FROM sums GROUP BY 1, 2),
+secret AS (SELECT r.* FROM runs r JOIN peaks p ON r.rid = p.rid AND r.pos = p.pos WHERE p.peak >= r.bits
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = r.rid AND b.pos <= r.pos AND r.until <= b.until)),
+spans AS (SELECT rid, kind, name, pos, until FROM base UNION ALL SELECT rid, kind, name, pos, until FROM secret),
+whole AS (SELECT rid, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, {spans.format(f" FILTER (kind < {len(KINDS)})")} AS base, {spans.format("")} AS spans FROM spans GROUP BY 1)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN whole USING (rid)"""

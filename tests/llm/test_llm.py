@@ -3,15 +3,19 @@
 import itertools
 import json
 import math
+import os
 import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lociflow.llm import ann, chat, exact_dedup, mixing, near_dedup, pieces, pst, secrets, toxicity, url_filter
+from lociflow.llm import ann, chat, exact_dedup, mixing, near_dedup, pieces, pst, queries, secrets, toxicity, url_filter
+
+DATA = "/root/testdata/sf0.001"
 
 EDGES = [(1, None, "a"), (2, "", "a"), (3, "one two three", None), (3, "one two three", None), (4, "one  two\tthree", "b"), (5, "x" * 50_000, "a"), (6, "a b c d e f g h", "b")]
 
@@ -315,6 +319,28 @@ def test_entropy_windows(spark):
     assert all(abs(r.h - brute(r.s)) < 1e-9 for r in rows)
 
 
+def test_many_matches(spark):
+    texts = ["é", "deadbeef" * 3, " ".join(f"é{k:016x}" for k in range(700)), "x" + " 0123456789abcdef" * 64, " 0123456789abcdef" * 65 + "z"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", secrets.matches(F.col("t"), secrets.FAST["hex"]).alias("f")).collect()
+    assert all([(x.at, x.until, x.m) for x in r.f] == [(m.start(), m.end(), m[0]) for m in re.finditer(secrets.FAST["hex"], r.t)] for r in rows)
+
+
+TABLES = "documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", list(queries.ORACLES))
+def test_same_rows_as_sql(spark, name):
+    duck = duckdb.connect()
+    for t in TABLES:
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
+    df = queries.QUERIES[name](spark, DATA)
+    columns = sorted(df.columns)
+    norm = lambda x: f"{x:.9g}" if isinstance(x, float) else str(x)
+    got = sorted([norm(x) for x in row] for row in df.select(*columns).collect())
+    assert got == sorted([norm(x) for x in row] for row in duck.sql(f"SELECT {', '.join(columns)} FROM ({queries.ORACLES[name]})").fetchall())
+
+
 def test_near_dedup(spark, docs, none):
     rng = np.random.default_rng(3)
     base = [[f"w{x}" for x in rng.integers(0, 4000, 200)] for _ in range(12)]
