@@ -1,7 +1,8 @@
 """Approximate nearest neighbours with an inverted multi-index.
 
 Two codebooks, one for each half of the vectors, are fitted by k-means on a bounded sample (`sample` rows of least
-hash, a documented bound). Every row is indexed, in the cell of its two nearest centroids. A query visits cells in
+hash, a documented bound). They grow with the root of the number of vectors, up to `centroids` each, so that a cell
+holds about `per_cell` vectors at first. Every row is indexed, in the cell of its two nearest centroids. A query visits cells in
 order of the summed distance of its halves to the cells' centroids, which a heap yields pair by pair, until the cells
 visited hold `candidates` vectors and `share` of all; all of them are ranked by exact distance. The share is what
 vectors without structure (spread evenly over a sphere, as the test tables are) need for a recall of 0.9; vectors in
@@ -15,7 +16,8 @@ every query its best few. No cell, hot or not, is in one task.
 Edge cases: vectors that are null, of another length than most, all zeros, or that hold a null or a non-finite
 component take no part; nor do rows with a null vec_id. Rows that repeat a vec_id and vector are one. A query's own
 vec_id is no candidate. Ties go to the smaller vec_id. An empty table gives an empty result. Extra columns are kept
-out of the result.
+out of the result. A vec_id with several vectors is one query, whose neighbours are the nearest to any of them; as a
+candidate it counts with its nearest one.
 """
 
 from __future__ import annotations
@@ -39,7 +41,8 @@ QUERY_BLOCK = 64
 class Settings:
     k: int = 10
     every: int = 100
-    centroids: int = 32
+    centroids: int = 256
+    per_cell: int = 64
     candidates: int = 4000
     share: float = 0.5
     sample: int = 20_000
@@ -113,7 +116,7 @@ def search(vectors: DataFrame, how: Settings = Settings()) -> DataFrame:
     empty = "query_id long, rank int, vec_id long, score double"
     v = F.col("embedding")
     fine = v.isNotNull() & F.col("vec_id").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"))  # numbers are widened where they are reckoned with
     length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if length is None:
         return spark.createDataFrame([], empty)
@@ -131,7 +134,9 @@ def search(vectors: DataFrame, how: Settings = Settings()) -> DataFrame:
     if not len(points):
         points = _matrix(entries.select("v").limit(1).toArrow().column("v").combine_chunks())
     half = max(1, length.d // 2)
-    books = (kmeans(points[:, :half], how.centroids, how.rounds, how.seed), kmeans(points[:, half:], how.centroids, how.rounds, how.seed) if length.d > half else np.zeros((1, 0)))
+    size = int(min(how.centroids, max(16, (n / how.per_cell) ** 0.5)))
+    books = (kmeans(points[:, :half], size, how.rounds, how.seed), kmeans(points[:, half:], size, how.rounds, how.seed) if length.d > half else np.zeros((1, 0)))
+    numbers = rows.schema["v"].dataType.simpleString()
     shared = spark.sparkContext.broadcast(books)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +146,7 @@ def search(vectors: DataFrame, how: Settings = Settings()) -> DataFrame:
             cell = squared(x[:, :half], a).argmin(1) * len(b) + squared(x[:, half:], b).argmin(1)
             yield pa.record_batch([batch.column("v"), batch.column("ids"), pa.array(cell.astype(np.int32))], names=["v", "ids", "cell"])
 
-    placed = stored(entries.mapInArrow(place, "v array<double>, ids array<long>, cell int"), "placed")
+    placed = stored(entries.mapInArrow(place, f"v {numbers}, ids array<long>, cell int"), "placed")
     # at most centroids ** 2 rows
     sizes = {r.cell: r["count"] for r in placed.groupBy("cell").count().collect()}
     enough = max(how.candidates, int(how.share * n))
@@ -159,7 +164,7 @@ def search(vectors: DataFrame, how: Settings = Settings()) -> DataFrame:
             yield pa.record_batch([batch.column("vec_id").take(pa.array(at)), batch.column("v").take(pa.array(at)), pa.array([c for f in found for c in f], pa.int32())], names=["query_id", "q", "cell"])
 
     queries = rows.where(F.col("vec_id") % how.every == 0).distinct()
-    visits = queries.mapInArrow(visit, "query_id long, q array<double>, cell int")
+    visits = queries.mapInArrow(visit, f"query_id long, q {numbers}, cell int")
     blocks = spark.createDataFrame([(int(c), int(-(-s // BLOCK))) for c, s in sizes.items()], "cell int, parts int")
     dealt = placed.join(F.broadcast(blocks), "cell").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")))
     dealt = dealt.groupBy("cell", "part").agg(F.collect_list(F.struct("v", "ids")).alias("entries"))

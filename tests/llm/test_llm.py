@@ -40,6 +40,23 @@ def test_url_rules(spark):
     assert [got[k][2] for k in (6, 7, 8)] == ["block", "block", "allow"] and got[9][1] is None
 
 
+def test_urls_at_the_edges(spark):
+    long = "http://b.org/" + "a" * 200_000
+    urls = ["", long, long + "/casino", "http://b.org/free/free/free", "http://b.org/free-pills", "http://b.org/free/pillsx", "http://cheap.b.org/win", None, None]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumns({"rule": F.lit(1), "terms": F.lit(2), "verdict": F.lit(3)})
+    out = {r.page_id: r for r in url_filter.filter_urls(rows).collect()}
+    assert [out[k].verdict for k in range(9)] == ["allow", "allow", "block", "allow", "block", "allow", "block", "allow", "allow"]
+    assert out[4].terms == ["free", "pills"] and out[3].weight == 0.5 and out[1].path == long[12:]
+    assert url_filter.filter_urls(rows.limit(0)).count() == 0
+    same = (url_filter.Rule("block", "b.org", "/"), url_filter.Rule("allow", "b.org", "/"), url_filter.Rule("allow", "c.org", "/"))
+    assert {r.verdict for r in url_filter.filter_urls(rows.where("page_id IN (3, 5)"), same).collect()} == {"block"}
+    terms = spark.createDataFrame([("Foo", 2.0), ("foo", 0.1), ("", 1.0), (None, 1.0), ("bar", None), ("baz", 0.5)], "term string, weight double")
+    assert url_filter.vocabulary(terms) == (("baz", 0.5), ("foo", 2.0))
+    assert url_filter.filter_urls(spark.createDataFrame([(1, "a://x/FOO")], "page_id long, url string"), terms=url_filter.vocabulary(terms)).first().verdict == "block"
+    with pytest.raises(ValueError):
+        url_filter.vocabulary(terms, 1)
+
+
 def test_mixing(docs, none):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(EDGES)
@@ -441,5 +458,32 @@ def test_neighbours(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_recall_on_a_sphere(spark):
+    """Default settings, where the vectors a query must visit are half of all: no structure helps the index."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(12_000, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert ann.Settings().candidates < len(x) / 2 == len(x) * ann.Settings().share
+    rows = spark.createDataFrame([(i, v.tolist(), "clash") for i, v in enumerate(x)], "vec_id long, embedding array<float>, cell string")
+    found: dict[int, list[int]] = {}
+    for r in ann.search(rows).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    y = x.astype(float)
+    hits = 0
+    for q in range(0, len(x), 100):
+        d = ((y - y[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & set(found[q]))
+    assert hits / 10 / len(found) >= 0.9
+
+
+def test_neighbours_at_the_edges(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (100, [0.0, 1.0]), (100, [5.0, 5.0]), (1, [1.0, 0.0]), (2, [5.0, 5.0]), (3, [None, 1.0]), (4, [float("inf"), 1.0]), (None, [1.0, 1.0])]
+    out = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("ids", F.lit(1))).collect()
+    got = {q: [(r.vec_id, r.score) for r in sorted(out, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 100)}
+    assert got[0] == [(1, 0.0), (100, math.sqrt(2)), (2, math.sqrt(41))]
+    assert got[100] == [(2, 0.0), (0, math.sqrt(2)), (1, math.sqrt(2))]
+
+
 def test_canonical_json():
     assert json.loads(chat.canonical({"b": 1, "a": "é"})) == {"a": "é", "b": 1}
