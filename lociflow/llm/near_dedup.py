@@ -15,8 +15,8 @@ Only distinct word sequences take part (equal ones form one node). In each band
 against the bucket's pivot, the node that meets most others in all buckets: a number of pairs that grows with the rows, not with their square. After the
 components of those links, the only pairs that can still matter are those of different classes in one bucket; of
 these, exactly the ones are checked that share one of the rare shingles that similar sets must share (prefix filter)
-and whose sizes, less the shingles that no other such document has, allow the similarity. Buckets, copies, classes and
-shingles with a large share of the rows are dealt over several tasks where they are joined. So no link between different classes is lost and copies aren't expanded.
+and whose sizes, less the shingles that no other such document has, allow the similarity. Buckets, copies and classes
+with a large share of the rows are dealt over several tasks where they are joined. So no link between different classes is lost and copies aren't expanded.
 
 Edge cases: a null text counts as empty; texts without words are one class. Repeated rows are in one class. A null
 doc_id takes part; the class is named by its smallest doc_id that isn't null. near_dedup() leaves extra columns out,
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, dealt, small, spread_join, stored
+from .common import components, small, spread_join, stored
 from .words import Hashes, blocks, chain, mix64, texts
 
 #: Words of parity bits of a text's shingles.
@@ -212,12 +212,13 @@ def classes(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     prefix = ranked.where(shared & (F.col("place") <= start(how.least)) & (F.col("met") >= F.col("n") * how.least - 1e-9)).select("g", "id", "root", "n", "place")
     prefix = stored(prefix.join(sets.select("id", "marks"), "id"), "prefix")
     common = how.least / (1 + how.least)
-    probes = prefix.where(F.col("place") <= start(2 * common))
-    x, y = (t.alias(n) for t, n in zip(dealt(prefix, probes, "g", prefix.groupBy("g").agg(F.count(F.lit(1)).alias("n"))), "xy"))
+    # a frequent shingle's rows aren't copied to several tasks, which would cost more rows than they are: where its
+    # partition is large, adaptive execution splits it by the files it comes from
+    x, y = prefix.alias("x"), prefix.where(F.col("place") <= start(2 * common)).alias("y")
     apart = " + ".join(f"bit_count(x.marks[{k}] ^ y.marks[{k}])" for k in range(MARKS))
     cross = x.join(
         y,
-        F.expr(f"""x.g = y.g AND x.__lf_salt = y.__lf_salt AND x.root != y.root AND (y.n < x.n OR y.n = x.n AND y.id < x.id)
+        F.expr(f"""x.g = y.g AND x.root != y.root AND (y.n < x.n OR y.n = x.n AND y.id < x.id)
             AND least(x.n - x.place, y.n - y.place) + 1 >= {common!r}D * (x.n + y.n) - 1e-9D
             AND {apart} <= {1 - 2 * common!r}D * (x.n + y.n) + 1e-9D"""),
     ).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
