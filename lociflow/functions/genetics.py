@@ -53,8 +53,54 @@ def complement(base: Column) -> Column:
 
 
 def chromosome_number(name: Column) -> Column:
+    """1 and up from `7` or `chr7`; X, Y, XY and MT are 23 to 26; null for other names."""
     bare = F.regexp_replace(name, "^chr", "")
-    return F.coalesce(F.expr("try_cast(regexp_replace(chrom, '^chr', '') as int)"), F.when(bare == "X", 23).when(bare == "Y", 24).when(bare == "XY", 25).when(bare == "MT", 26))
+    return F.coalesce(bare.try_cast("int"), F.when(bare == "X", 23).when(bare == "Y", 24).when(bare == "XY", 25).when(bare == "MT", 26))
+
+
+def two_bit(base: Column) -> Column:
+    """0 to 3 for A, C, G and T in either case, else null."""
+    at = F.instr(F.lit("ACGT"), F.upper(base)) - 1
+    return F.when((at >= 0) & (F.length(base) == 1), at)
+
+
+def likelihood(phreds: Column, first: Column, second: Column) -> Column:
+    """The likelihood of two alleles (0 or 1 each) from the phreds of 0, 1 and 2 alternative ones."""
+    return phred_prob(F.get(phreds, first + second))
+
+
+def stored_probability(p: Column) -> Column:
+    """A probability as it is kept: at least the smallest normal 32-bit number."""
+    return F.greatest(p, F.lit(1.17549435e-38))
+
+
+def hash_uniform(seed: int, *keys: Column) -> Column:
+    """A number from 0 to below 1 that only the seed and the keys set, wherever a row is."""
+    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) / F.lit(float(1 << 52))
+
+
+def panel_ref_freq(info: Column, alts: Column) -> Column:
+    """The reference allele's frequency from a panel's INFO: of two alternatives AF is taken as it is, of one as
+    1 - AF; without AF, smoothed counts AC and AN; without those 1e-6."""
+    number = lambda key: F.get(F.split(F.element_at(info, key), ","), F.lit(0)).try_cast("double")
+    af, ac, an = number("AF"), number("AC"), number("AN")
+    return F.coalesce(F.when(F.size(alts) > 1, af).otherwise(1.0 - af), 1.0 - (ac + 0.5) / (an + 1.0), F.lit(1e-6))
+
+
+def error_rate(matches: Column, mismatches: Column, uncertain: Column, rounds: int = 200) -> Column:
+    """The share of mismatches, where each of the uncertain pairs holds two mismatches or none: the fixed point of
+    r = (mismatches + 2 u r^2 / (r^2 + (1 - r)^2)) / (all + 2 u), by rounds that stop within 1e-4 of the last."""
+    whole = matches + mismatches + 2.0 * uncertain
+    start = F.when(matches + mismatches > 0, mismatches / (matches + mismatches)).otherwise(F.lit(0.0))
+
+    def step(acc: Column, _: Column) -> Column:
+        r = acc["r"]
+        new = (mismatches + 2.0 * uncertain * r * r / (r * r + (1.0 - r) * (1.0 - r))) / whole
+        near = F.abs(new - r) <= 1e-4 * r
+        return F.when(acc["done"], acc).otherwise(F.struct(new.alias("r"), near.alias("done")))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(start.cast("double").alias("r"), F.lit(False).alias("done")), step, lambda acc: acc["r"])
+    return F.when(whole > 0, F.when(uncertain > 0, found).otherwise(start)).otherwise(F.lit(0.0))
 
 
 def r6(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import genetics as G
+from ..functions import stats as S
 
 
 def posteriors(phreds: DataFrame) -> DataFrame:
@@ -34,15 +35,17 @@ def marker_info(post: DataFrame) -> DataFrame:
 
 
 def welch(post: DataFrame, status: DataFrame) -> DataFrame:
-    """Case-control t of the alternative dosage by site, with Satterthwaite's degrees of freedom; sites with a group of
-    one or none are left out."""
-    dose = post.join(status, "sample_id").withColumn("x", F.col("p1") + 2 * F.col("p2"))
+    """Case-control t of the reference dosage by site (1: controls, 2: cases), Satterthwaite's degrees of freedom and
+    the two-sided p-value; sites with a group of one or none are left out. Where neither group varies, the guard of
+    1e-10 under the root gives t, and df and p are null; so is p below one degree of freedom."""
+    dose = post.join(status, "sample_id").withColumn("x", 2 * F.col("p0") + F.col("p1"))
     side = lambda k, f: f(F.when(F.col("status") == k, F.col("x")))
     g = dose.groupBy("site").agg(*[side(k, f).alias(f"{n}{k}") for k in (1, 2) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))]).where("n1 > 1 AND n2 > 1")
     a, b = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
-    g = g.withColumns({"a": a, "b": b}).where("a + b > 1e-9")
+    g = g.withColumns({"a": a, "b": b})
     df = (F.col("a") + F.col("b")) ** 2 / (F.col("a") * F.col("a") / (F.col("n1") - 1) + F.col("b") * F.col("b") / (F.col("n2") - 1))
-    return g.select("site", "n1", "n2", ((F.col("m2") - F.col("m1")) / F.sqrt(F.col("a") + F.col("b"))).alias("t"), df.alias("df"))
+    g = g.withColumns({"t": (F.col("m2") - F.col("m1")) / F.sqrt(F.col("a") + F.col("b") + 1e-10), "df": F.when(F.col("a") + F.col("b") > 1e-15, df)})
+    return g.select("site", "n1", "n2", "t", "df", F.when(F.col("df") >= 1, S.t_tail(F.col("t"), F.col("df"))).alias("p"))
 
 
 def chi_square(reads: DataFrame, status: DataFrame) -> DataFrame:
@@ -53,15 +56,16 @@ def chi_square(reads: DataFrame, status: DataFrame) -> DataFrame:
     g = g.where((a + b > 0) & (c + d > 0) & (a + c > 0) & (b + d > 0))
     x = (a * d - b * c).cast("double")
     chi = (a + b + c + d) * x * x / ((a + b) * (c + d) * (a + c) * (b + d))
-    return g.select("site", "a", "b", "c", "d", chi.alias("chi2")).withColumn("warn", F.col("chi2") > 15.13)
+    g = g.select("site", "a", "b", "c", "d", chi.alias("chi2"))
+    return g.withColumns({"p": S.chi_square_tail(F.col("chi2"), F.lit(1.0)), "warn": F.col("chi2") > 15.13})
 
 
 def pooled_error(reads: DataFrame) -> DataFrame:
     """Error rate by site from reads that disagree with the majority; sites of at most 2 such reads share one rate.
-    The pool is a sum over a grouping, joined as one row."""
+    The pool is a sum over a grouping, joined as one row. Without any read the rate is null."""
     site = reads.groupBy("site").agg(F.sum(F.least("n_ref", "n_alt")).alias("mm"), F.sum(F.col("n_ref") + F.col("n_alt")).alias("n"))
     pool = site.where("mm <= 2").agg(F.sum("mm").alias("pm"), F.sum("n").alias("pn"))
-    return site.join(F.broadcast(pool)).select("site", "mm", "n", F.when(F.col("mm") <= 2, F.col("pm") / F.col("pn")).otherwise(F.col("mm") / F.col("n")).alias("error"))
+    return site.join(F.broadcast(pool)).select("site", "mm", "n", F.when(F.col("mm") <= 2, F.col("pm") / F.nullif("pn", F.lit(0))).otherwise(F.col("mm") / F.nullif("n", F.lit(0))).alias("error"))
 
 
 def votes(draws: DataFrame, *keys: str) -> DataFrame:
@@ -78,3 +82,29 @@ def ks_distance(rows: DataFrame, key: str, group: str, value: str) -> DataFrame:
     at = at.withColumns({"n": F.sum("a").over(whole), "m": F.sum("b").over(whole), "fa": F.sum("a").over(so_far), "fb": F.sum("b").over(so_far)}).where("n > 0 AND m > 0")
     gap = F.abs(F.col("fa") / F.col("n") - F.col("fb") / F.col("m"))
     return at.groupBy(key).agg(F.max(gap).alias("d"), F.first("n").alias("n"), F.first("m").alias("m")).withColumn("bound", 1.44 * 1.22 * F.sqrt(1 / F.col("n") + 1 / F.col("m")))
+
+
+def ks_test(distances: DataFrame, exact_below: int = 10_000, level: float = 0.1) -> DataFrame:
+    """Rows of ks_distance() with p and similar. Below that product of sizes p is exact (of samples without ties) and
+    similar is p >= level; from it on p is the limit distribution's, and similar is a distance within the bound."""
+    size = F.col("n") * F.col("m")
+    small = size < exact_below
+    x = F.col("d") * F.sqrt(size / (F.col("n") + F.col("m")))
+    only = lambda c: F.when(small, F.col(c))
+    exact = S.smirnov_tail(only("n"), only("m"), only("d"))
+    out = distances.withColumn("p", F.when(small, exact).otherwise(G.kolmogorov_tail(x)))
+    return out.withColumn("similar", F.when(small, F.col("p") >= level).otherwise(F.col("d") <= F.col("bound")))
+
+
+def group_regression(rows: DataFrame, key: str, group: str, value: str) -> DataFrame:
+    """By key, the sums of value and its square in both groups (0 and 1), their correlation with the group, its t and
+    two-sided p, and whether p is below 0.05: the point-biserial test, from partial sums that add up over parts."""
+    x, y = F.col(group).cast("double"), F.col(value).cast("double")
+    g = rows.groupBy(key).agg(F.count(y).cast("double").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"))
+    n, sx, sy, syy, sxy = map(F.col, ("n", "sx", "sy", "syy", "sxy"))
+    vx, vy = n * sx - sx * sx, n * syy - sy * sy
+    g = g.withColumn("r", F.when((vx > 0) & (vy > 1e-9 * n * syy), (n * sxy - sx * sy) / F.sqrt(vx * vy)))
+    t = F.col("r") * F.sqrt(n - 2) / F.sqrt(F.greatest(1 - F.col("r") * F.col("r"), F.lit(1e-12)))
+    g = g.withColumn("t", F.when(n > 2, t))
+    g = g.withColumn("p", S.t_tail(F.col("t"), n - 2))
+    return g.select(key, F.col("n").cast("long").alias("n"), "r", "t", "p", (F.col("p") < 0.05).alias("differ"))

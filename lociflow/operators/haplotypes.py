@@ -1,8 +1,9 @@
-"""Ordered haplotypes (positional Burrows-Wheeler), their clusters, and the haplotype graph, as windows and groupings."""
+"""Ordered haplotypes (positional Burrows-Wheeler) at every site, forwards and backwards, their clusters, and the
+haplotype graph, as windows and groupings. A haplotype of a region is one whole number, code, a bit a site."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,23 +16,124 @@ def pbwt(haps: DataFrame) -> DataFrame:
     return rows.select("region", "hap_id", "code", "rank", F.when(F.col("before").isNull(), -1).when(differ == 0, 0).otherwise(F.length(F.bin(differ))).alias("agree_from"))
 
 
+def _ranked(distinct: DataFrame, first: Column) -> DataFrame:
+    """Distinct keys (region, site, key, n) with their place among those of the site: from, the rows before theirs, and
+    div, the highest bit in which they differ from the key before (counted from 1; first's value for the first)."""
+    by = Window.partitionBy("region", "site").orderBy("key")
+    before = F.lag("key").over(by)
+    start = F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return distinct.select("*", start.alias("from"), F.when(before.isNull(), first).otherwise(F.length(F.bin(F.col("key").bitwiseXOR(before)))).alias("div"))
+
+
+def _at_sites(haps: DataFrame, sites: int, key: Column) -> DataFrame:
+    return haps.withColumn("site", F.explode(F.sequence(F.lit(0), F.lit(sites - 1)))).withColumn("key", key)
+
+
+def _order(haps: DataFrame, sites: int, key: Column, first: Column) -> DataFrame:
+    """(region, site, hap_id, rank, div): the windows run over distinct keys; only ties are ranked by haplotype."""
+    rows = _at_sites(haps, sites, key)
+    of = _ranked(rows.groupBy("region", "site", "key").agg(F.count(F.lit(1)).alias("n")), first)
+    tie = F.row_number().over(Window.partitionBy("region", "site", "key").orderBy("hap_id"))
+    rows = rows.select("region", "site", "key", "hap_id", tie.alias("tie")).join(of, ["region", "site", "key"])
+    return rows.select("region", "site", "hap_id", (F.col("from") + F.col("tie") - 1).cast("int").alias("rank"), F.when(F.col("tie") == 1, F.col("div")).otherwise(0).cast("int").alias("div"))
+
+
+def forward_order(haps: DataFrame, sites: int) -> DataFrame:
+    """The order of the haplotypes read back from each site: rank from 0, and the site from which on a haplotype agrees
+    with the one before it (site + 1 where they differ at the site, 0 where they are alike)."""
+    return _order(haps, sites, F.expr("code & (shiftleft(2L, site) - 1)"), F.col("site") + 1)
+
+
+def reversed_code(sites: int) -> Column:
+    return F.aggregate(F.sequence(F.lit(0), F.lit(sites - 1)), F.lit(0).cast("long"), lambda acc, s: F.call_function("shiftleft", acc, F.lit(1)).bitwiseOR(F.call_function("shiftright", F.col("code"), s).bitwiseAND(F.lit(1))))
+
+
+def backward_order(haps: DataFrame, sites: int) -> DataFrame:
+    """The order of the haplotypes read on from each site: rank from 0, and the number of sites to the end from the
+    first in which a haplotype differs from the one before it (0 where they are alike)."""
+    rows = haps.withColumn("back", reversed_code(sites))
+    return _order(rows, sites, F.expr(f"back & (shiftleft(1L, {sites} - site) - 1)"), F.lit(sites) - F.col("site"))
+
+
 def clusters(haps: DataFrame) -> DataFrame:
     """A dense number for each distinct haplotype of a region, with its members' count."""
     counts = haps.groupBy("region", "code").agg(F.count(F.lit(1)).alias("n"), F.min("hap_id").alias("first_hap"))
     return counts.withColumn("cluster", F.dense_rank().over(Window.partitionBy("region").orderBy("code")))
 
 
+def site_clusters(haps: DataFrame, sites: int, window: int) -> DataFrame:
+    """(region, site, key, n, allele, node): the distinct prefixes at each site, in order; a new node begins where a
+    prefix differs from the one before within the last `window` sites."""
+    prefix = F.expr("code & (shiftleft(2L, site) - 1)")
+    counts = haps.groupBy("region", "code").agg(F.count(F.lit(1)).alias("n"))
+    keys = _at_sites(counts, sites, prefix).groupBy("region", "site", "key").agg(F.sum("n").alias("n"))
+    ranked = _ranked(keys, F.col("site") + 1)
+    begins = (F.col("from") > 0) & (F.col("div") > F.col("site") + 1 - F.least(F.col("site") + 1, F.lit(window)))
+    node = F.sum(begins.cast("int")).over(Window.partitionBy("region", "site").orderBy("key"))
+    return ranked.select("region", "site", "key", "n", F.expr("cast(shiftright(key, site) & 1 as int)").alias("allele"), node.cast("int").alias("node"))
+
+
+def graph(haps: DataFrame, sites: int, window: int) -> tuple[DataFrame, DataFrame]:
+    """The haplotype graph's nodes (region, site, node, allele, n) and edges (region, site, parent, child, allele, n):
+    site is the child's; an edge of the first site has parent -1. Prefixes are added up before anything is joined."""
+    of = site_clusters(haps, sites, window)
+    nodes = of.groupBy("region", "site", "node").agg(F.min("allele").alias("allele"), F.sum("n").alias("n"))
+    parent = of.select("region", (F.col("site") + 1).alias("site"), F.col("key").alias("stem"), F.col("node").alias("parent"))
+    child = of.withColumn("stem", F.expr("key & (shiftleft(1L, site) - 1)"))
+    steps = child.join(parent, ["region", "site", "stem"], "left")
+    edges = steps.groupBy("region", "site", F.coalesce("parent", F.lit(-1)).alias("parent"), F.col("node").alias("child")).agg(F.min("allele").alias("allele"), F.sum("n").alias("n"))
+    return nodes, edges
+
+
+def edge_probabilities(edges: DataFrame) -> DataFrame:
+    """edges with p_child, given the parent, and p_edge, among all of the region's haplotypes."""
+    of_parent, of_site = Window.partitionBy("region", "site", "parent"), Window.partitionBy("region", "site")
+    return edges.withColumns({"p_child": F.col("n") / F.sum("n").over(of_parent), "p_edge": F.col("n") / F.sum("n").over(of_site)})
+
+
+def node_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes with p (their share of the region's haplotypes, by their own count also at the last site, where there are
+    no children to count), parents (sorted), child0 and child1 (-1: none), and siblings: whether a parent has another
+    child; true for all of the first site."""
+    place = ["region", "site"]
+    family = edges.groupBy(*place, "parent").agg(F.count(F.lit(1)).alias("children"))
+    up = edges.join(family, [*place, "parent"]).groupBy(*place, F.col("child").alias("node")).agg(F.array_sort(F.collect_list("parent")).alias("parents"), F.max(F.col("children") > 1).alias("siblings"))
+    of = lambda a: F.coalesce(F.max(F.when(F.col("allele") == a, F.col("child"))), F.lit(-1)).alias(f"child{a}")
+    down = edges.where("parent >= 0").groupBy("region", (F.col("site") - 1).alias("site"), F.col("parent").alias("node")).agg(of(0), of(1))
+    out = nodes.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*place))).join(up, [*place, "node"]).join(down, [*place, "node"], "left")
+    out = out.withColumns({f"child{a}": F.coalesce(f"child{a}", F.lit(-1)) for a in (0, 1)})
+    first = F.col("site") == 0
+    return out.withColumns({"siblings": first | F.col("siblings"), "parents": F.when(first, F.expr("cast(array() as array<int>)")).otherwise(F.col("parents"))})
+
+
+def transitions(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """pairs (region, site, parent, child) with the edge's count and conditional probability; 0 where there is none."""
+    found = edge_probabilities(edges).select("region", "site", "parent", "child", F.col("n").alias("freq"), F.col("p_child").alias("prob"))
+    out = pairs.join(found, ["region", "site", "parent", "child"], "left")
+    return out.withColumns({"freq": F.coalesce("freq", F.lit(0).cast("long")), "prob": F.coalesce("prob", F.lit(0.0))})
+
+
 def edges(haps: DataFrame, sites: int) -> DataFrame:
-    """The graph's edges (region, site, parent, allele, n) with P(child | parent) and P(edge). Equal haplotypes are
-    added up first, so a site costs a row for each distinct haplotype."""
+    """The unmerged graph's edges (region, site, parent, allele, n), the parent being named by its prefix, with
+    P(child | parent), P(edge), and whether the child has a sibling, which all of the first site have. Equal haplotypes
+    are added up first, so a site costs a row for each distinct haplotype."""
     counts = haps.groupBy("region", "code").agg(F.count(F.lit(1)).alias("n"))
     steps = counts.withColumn("site", F.explode(F.sequence(F.lit(0), F.lit(sites - 1))))
     bit = F.expr("shiftright(code, site) & 1")
     parent = F.expr("code & (shiftleft(1L, site) - 1)")
     edge = steps.groupBy("region", "site", parent.alias("parent"), bit.alias("allele")).agg(F.sum("n").alias("n"))
     of_parent, of_site = Window.partitionBy("region", "site", "parent"), Window.partitionBy("region", "site")
-    return edge.withColumns({"p_child": F.col("n") / F.sum("n").over(of_parent), "p_edge": F.col("n") / F.sum("n").over(of_site), "siblings": F.count(F.lit(1)).over(of_parent) > 1})
+    siblings = (F.col("site") == 0) | (F.count(F.lit(1)).over(of_parent) > 1)
+    return edge.withColumns({"p_child": F.col("n") / F.sum("n").over(of_parent), "p_edge": F.col("n") / F.sum("n").over(of_site), "siblings": siblings})
 
 
 def summary(edge: DataFrame) -> DataFrame:
     return edge.groupBy("site").agg(F.countDistinct("region", "parent").alias("nodes"), F.count(F.lit(1)).alias("edges"), F.sum("n").alias("haps"))
+
+
+def level_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """By region: mean, greatest and total number of nodes and edges over the sites, and how many haplotypes a node has
+    on average."""
+    level = lambda t, name: t.groupBy("region", "site").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).groupBy("region").agg(F.avg("k").alias(f"mean_{name}"), F.max("k").alias(f"max_{name}"), F.sum("k").alias(name), F.sum("n").alias(f"{name}_n"))
+    out = level(nodes, "nodes").join(level(edges, "edges"), "region")
+    return out.select("region", "mean_nodes", "max_nodes", "nodes", "mean_edges", "max_edges", "edges", (F.col("nodes_n") / F.col("nodes")).alias("haps_per_node"))

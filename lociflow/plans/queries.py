@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import genetics as G
 from ..functions.genetics import r6
-from ..operators import genotypes, haplotypes, markers
+from ..functions import stats as S
+from ..operators import genotypes, haplotypes, markers, phasing
+from ..sources import sinks, vcf
 from ..sources import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +27,22 @@ def query(sql: str, ctes: str = ""):
     return add
 
 
+def sql_beta(x: str, a: str, b: str) -> str:
+    """I_x(a, b) by its power series, in SQL; meant for x below 1/2, where 100 terms are plenty."""
+    terms = f"list_sum(list_transform(range(0, 100), lambda k: exp(lgamma({a} + {b} + k) + lgamma({a} + 1) - lgamma({a} + {b}) - lgamma({a} + 1 + k) + k * ln({x}))))"
+    return f"(exp({a} * ln({x}) + {b} * ln(1 - {x}) - lgamma({a}) - lgamma({b}) + lgamma({a} + {b})) / {a} * {terms})"
+
+
+def sql_t_tail(t: str, df: str) -> str:
+    y = f"({t} * {t} / ({df} + {t} * {t}))"
+    return f"CASE WHEN {t} = 0 THEN 1e0 WHEN {y} < 5e-1 THEN 1 - {sql_beta(y, '5e-1', f'({df} / 2)')} ELSE {sql_beta(f'({df} / ({df} + {t} * {t}))', f'({df} / 2)', '5e-1')} END"
+
+
+def sql_chi_tail(x: str) -> str:
+    """The tail of chi-square with one degree of freedom, by the series of the lower incomplete gamma function."""
+    return f"CASE WHEN {x} <= 0 THEN 1e0 ELSE 1 - exp(5e-1 * ln({x} / 2) - {x} / 2) * list_sum(list_transform(range(0, 400), lambda k: exp(k * ln({x} / 2) - lgamma(k + 15e-1)))) END"
+
+
 POST = """ rf AS (SELECT site, (sum(n_ref) + 5e-1) / (sum(n_ref) + sum(n_alt) + 1e0) AS rf FROM phreds GROUP BY site),
 w AS (SELECT sample_id, site, rf * rf * pow(1e1, pl0 * -1e-1) AS w0, 2e0 * rf * (1 - rf) * pow(1e1, pl1 * -1e-1) AS w1, (1 - rf) * (1 - rf) * pow(1e1, pl2 * -1e-1) AS w2 FROM phreds JOIN rf USING (site)),
 post AS (SELECT sample_id, site, w0 / (w0 + w1 + w2) AS p0, w1 / (w0 + w1 + w2) AS p1, w2 / (w0 + w1 + w2) AS p2 FROM w)"""
@@ -57,24 +75,26 @@ def marker_info(spark, d):
 
 
 @query(
-    """SELECT site, n1, n2, round((m2 - m1) / sqrt(v1 / n1 + v2 / n2), 4) + 0e0 AS t, round(pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)), 4) AS df
+    f"""SELECT site, n1, n2, round(t, 4) + 0e0 AS t, round(df, 4) AS df, round(CASE WHEN df >= 1 THEN {sql_t_tail("t", "df")} END, 6) AS p FROM (
+SELECT site, n1, n2, (m2 - m1) / sqrt(v1 / n1 + v2 / n2 + 1e-10) AS t, CASE WHEN v1 / n1 + v2 / n2 > 1e-15 THEN pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) END AS df
 FROM (SELECT site, count(x) FILTER (status = 1) AS n1, count(x) FILTER (status = 2) AS n2, avg(x) FILTER (status = 1) AS m1, avg(x) FILTER (status = 2) AS m2, var_samp(x) FILTER (status = 1) AS v1, var_samp(x) FILTER (status = 2) AS v2
-FROM (SELECT site, status, p1 + 2 * p2 AS x FROM post JOIN status USING (sample_id)) GROUP BY site) WHERE n1 > 1 AND n2 > 1 AND v1 / n1 + v2 / n2 > 1e-9""",
+FROM (SELECT site, status, 2 * p0 + p1 AS x FROM post JOIN status USING (sample_id)) GROUP BY site) WHERE n1 > 1 AND n2 > 1)""",
     POST,
 )
 def assoc_welch(spark, d):
     out = genotypes.welch(genotypes.posteriors(V.phreds(spark, d)), V.status(spark, d))
-    return out.select("site", "n1", "n2", (F.round("t", 4) + F.lit(0.0)).alias("t"), F.round("df", 4).alias("df"))
+    return out.select("site", "n1", "n2", (F.round("t", 4) + F.lit(0.0)).alias("t"), F.round("df", 4).alias("df"), r6(F.col("p")).alias("p"))
 
 
 @query(
-    """SELECT site, a, b, c, d, round((a + b + c + d) * pow((a * d - b * c)::DOUBLE, 2) / ((a + b) * (c + d) * (a + c) * (b + d)), 6) AS chi2,
-(a + b + c + d) * pow((a * d - b * c)::DOUBLE, 2) / ((a + b) * (c + d) * (a + c) * (b + d)) > 1.513e1 AS warn
+    f"""SELECT site, a, b, c, d, round(x, 6) AS chi2, round({sql_chi_tail("x")}, 6) AS p, x > 1.513e1 AS warn FROM (
+SELECT *, (a + b + c + d) * pow((a * d - b * c)::DOUBLE, 2) / ((a + b) * (c + d) * (a + c) * (b + d)) AS x
 FROM (SELECT site, sum(CASE WHEN status = 1 THEN n_ref ELSE 0 END)::BIGINT AS a, sum(CASE WHEN status = 1 THEN n_alt ELSE 0 END)::BIGINT AS b, sum(CASE WHEN status = 2 THEN n_ref ELSE 0 END)::BIGINT AS c, sum(CASE WHEN status = 2 THEN n_alt ELSE 0 END)::BIGINT AS d
-FROM reads JOIN status USING (sample_id) GROUP BY site) WHERE a + b > 0 AND c + d > 0 AND a + c > 0 AND b + d > 0"""
+FROM reads JOIN status USING (sample_id) GROUP BY site) WHERE a + b > 0 AND c + d > 0 AND a + c > 0 AND b + d > 0)"""
 )
 def freq_chisq(spark, d):
-    return genotypes.chi_square(V.reads(spark, d), V.status(spark, d)).withColumn("chi2", r6(F.col("chi2")))
+    out = genotypes.chi_square(V.reads(spark, d), V.status(spark, d))
+    return out.withColumns({"chi2": r6(F.col("chi2")), "p": r6(F.col("p"))})
 
 
 @query(
@@ -148,24 +168,99 @@ def recomb_rate(spark, d):
 
 
 @query(
-    """SELECT site, ref, a1, a2, CASE WHEN a1 = ref THEN a2 WHEN a2 = ref THEN a1 WHEN translate(a1, 'ACGT', 'TGCA') = ref THEN translate(a2, 'ACGT', 'TGCA') WHEN translate(a2, 'ACGT', 'TGCA') = ref THEN translate(a1, 'ACGT', 'TGCA') ELSE '.' END AS alt,
-replace(chrom, 'chr', '')::INT AS chrom_num FROM (SELECT *, substr('ACGT', (1 + pos % 4)::INT, 1) AS a1, substr('TGAC', (1 + site % 4)::INT, 1) AS a2 FROM markers)"""
+    """SELECT site, ref, a1, a2, CASE WHEN a1 = ref AND a2 = '0' OR a2 = ref AND a1 = '0' THEN '.' WHEN a1 = ref THEN a2 WHEN a2 = ref THEN a1 WHEN translate(a1, 'ACGT', 'TGCA') = ref AND a2 <> '0' THEN translate(a2, 'ACGT', 'TGCA') WHEN translate(a2, 'ACGT', 'TGCA') = ref AND a1 <> '0' THEN translate(a1, 'ACGT', 'TGCA') ELSE '.' END AS alt,
+CASE WHEN a1 = ref AND a2 <> '0' THEN a2 WHEN a2 = ref AND a1 <> '0' THEN a1 ELSE '.' END AS same_strand, strpos('ACGT', ref) - 1 AS ref_code,
+replace(chrom, 'chr', '')::INT AS chrom_num FROM (SELECT *, substr('AC0T', (1 + pos % 4)::INT, 1) AS a1, substr('TGAC', (1 + site % 4)::INT, 1) AS a2 FROM markers)"""
 )
 def complement_alt(spark, d):
     pick = lambda s, c: F.substring(F.lit(s), (1 + F.col(c) % 4).cast("int"), F.lit(1))
-    rows = V.markers(spark, d).withColumns({"a1": pick("ACGT", "pos"), "a2": pick("TGAC", "site")})
-    return rows.select("site", "ref", "a1", "a2", markers.resolved_alt(F.col("ref"), F.col("a1"), F.col("a2")).alias("alt"), G.chromosome_number(F.col("chrom")).alias("chrom_num"))
+    rows = V.markers(spark, d).withColumns({"a1": pick("AC0T", "pos"), "a2": pick("TGAC", "site")})
+    three = [F.col(c) for c in ("ref", "a1", "a2")]
+    return rows.withColumnRenamed("chrom", "name").select("site", "ref", "a1", "a2", markers.resolved_alt(*three).alias("alt"), markers.resolved_alt(*three, flip=False).alias("same_strand"), G.two_bit(F.col("ref")).cast("long").alias("ref_code"), G.chromosome_number(F.col("name")).alias("chrom_num"))
+
+
+RAW = """ raw AS (SELECT sample_id, site, n_ref + n_alt AS n, pl0, pl1, pl2, (sample_id + site) % 3 AS kind, row_number() OVER (PARTITION BY site ORDER BY sample_id)::INT - 1 AS sample_idx,
+  CASE WHEN n_ref + n_alt < 1 THEN './.' WHEN n_alt = 0 THEN '0/0' WHEN n_ref = 0 THEN '1|1' ELSE '1/0' END AS gt FROM phreds),
+lines AS (SELECT m.*, r.ac, r.an FROM markers m JOIN (SELECT site, sum(n_alt)::BIGINT AS ac, sum(n_ref + n_alt)::BIGINT AS an FROM phreds GROUP BY 1) r ON m.site = r.site)"""
+
+
+def _records(spark, d):
+    return vcf.records(V.vcf_lines(spark, d))
 
 
 @query(
-    """SELECT sample_id, site, (CASE WHEN gt = './.' THEN 65535 WHEN gt = '0/0' THEN 0 WHEN gt = '1/1' THEN 257 ELSE 1 END)::INT AS packed, n_ref + n_alt AS dp, pl0, pl1, pl2
-FROM (SELECT *, CASE WHEN n_ref + n_alt < 1 THEN './.' WHEN n_alt = 0 THEN '0/0' WHEN n_ref = 0 THEN '1/1' ELSE '1/0' END AS gt FROM phreds)"""
+    """SELECT 'm' || site AS id, chrom, pos::INT AS pos, ref, alt, (CASE WHEN site % 2 = 0 THEN -1 ELSE site % 100 + 25e-2 END)::FLOAT AS qual,
+CASE WHEN site % 3 = 0 THEN '0.' || site % 10 WHEN site % 3 = 1 THEN ac::VARCHAR ELSE 'none' END AS first_info, CASE site % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 0 END AS infos,
+round(CASE site % 3 WHEN 0 THEN 1 - (site % 10) / 1e1 WHEN 1 THEN 1 - (ac + 5e-1) / (an + 1e0) ELSE 1e-6 END, 6) AS ref_freq FROM lines""",
+    RAW,
+)
+def vcf_records(spark, d):
+    info = F.col("info")
+    first = F.coalesce(F.element_at(info, "AF"), vcf.info_or(info, "AC", "none"))
+    return _records(spark, d).select("id", "chrom", "pos", "ref", F.array_join("alts", ",").alias("alt"), "qual", first.alias("first_info"), F.size("info").alias("infos"), r6(G.panel_ref_freq(info, F.col("alts"))).alias("ref_freq"))
+
+
+@query(
+    """SELECT 'm' || site AS id, sample_idx, (CASE gt WHEN './.' THEN 65535 WHEN '0/0' THEN 0 WHEN '1|1' THEN 32768 + 257 ELSE 1 END)::INT AS genotype, CASE WHEN gt <> './.' THEN n END::INT AS depth,
+(CASE WHEN kind < 2 AND gt <> './.' THEN pl0 ELSE CASE gt WHEN '0/0' THEN 0 WHEN '1|1' THEN 127 WHEN '1/0' THEN 100 END END)::INT AS pl0,
+(CASE WHEN kind < 2 AND gt <> './.' THEN pl1 ELSE CASE gt WHEN '0/0' THEN 100 WHEN '1|1' THEN 100 WHEN '1/0' THEN 0 END END)::INT AS pl1,
+(CASE WHEN kind < 2 AND gt <> './.' THEN pl2 ELSE CASE gt WHEN '0/0' THEN 127 WHEN '1|1' THEN 0 WHEN '1/0' THEN 100 END END)::INT AS pl2 FROM raw WHERE site IN (SELECT site FROM markers)""",
+    RAW,
 )
 def sample_parse(spark, d):
-    gt = F.when(F.col("n_ref") + F.col("n_alt") < 1, "./.").when(F.col("n_alt") == 0, "0/0").when(F.col("n_ref") == 0, "1/1").otherwise("1/0")
-    text = F.concat_ws(":", gt, (F.col("n_ref") + F.col("n_alt")).cast("string"), F.concat_ws(",", *[F.col(f"pl{i}").cast("string") for i in range(3)]))
-    rows = V.phreds(spark, d).select("sample_id", "site", text.alias("text"))
-    return rows.select("sample_id", "site", *[c.alias(n) for n, c in markers.parsed_sample(F.col("text")).items()])
+    found = vcf.calls(_records(spark, d), "id").withColumn("pl", vcf.phreds(F.col("fields")))
+    return found.select("id", "sample_idx", "genotype", "depth", *[F.get("pl", F.lit(i)).alias(f"pl{i}") for i in range(3)])
+
+
+@query(
+    """SELECT 'm' || site AS id, count(*) FILTER (gt <> './.' AND n >= 2) AS ns, (2 * count(*) FILTER (gt <> './.' AND n >= 2))::BIGINT AS an,
+coalesce(sum(CASE gt WHEN '1|1' THEN 2 WHEN '1/0' THEN 1 ELSE 0 END) FILTER (n >= 2), 0)::BIGINT AS ac FROM raw WHERE site IN (SELECT site FROM markers) GROUP BY site""",
+    RAW,
+)
+def vcf_counts(spark, d):
+    return sinks.site_counts(vcf.calls(_records(spark, d), "id", least_depth=2), "id").select("id", "ns", "an", "ac")
+
+
+@query(
+    """SELECT l.chrom || chr(9) || l.pos || chr(9) || 'm' || l.site || chr(9) || l.ref || chr(9) || l.alt || chr(9) || CASE WHEN l.site % 2 = 0 THEN '.' ELSE (l.site % 100)::VARCHAR END || chr(9) || 'PASS' || chr(9) ||
+CASE l.site % 3 WHEN 0 THEN 'AF=0.' || l.site % 10 || ';DB' WHEN 1 THEN 'AC=' || l.ac || ';AN=' || l.an || ';NS=1' ELSE '.' END || chr(9) || 'GT:PL' || chr(9) ||
+string_agg(CASE r.gt WHEN './.' THEN './.:0,0,0' WHEN '0/0' THEN '0/0:0,10,20' WHEN '1|1' THEN '1|1:20,10,0' ELSE '0/1:10,0,10' END, chr(9) ORDER BY r.sample_id) AS line
+FROM lines l JOIN raw r ON l.site = r.site GROUP BY l.chrom, l.pos, l.site, l.ref, l.alt, l.ac, l.an""",
+    RAW,
+)
+def vcf_rewrite(spark, d):
+    """The lines parsed, and written again with GT and PL of the hard calls."""
+    found = _records(spark, d).withColumn("key", F.col("id"))
+    text = F.concat_ws(":", sinks.genotype_text(F.col("genotype")), sinks.hard_call_phreds(F.col("genotype"), 10))
+    values = vcf.calls(found, "key").select("key", "sample_idx", text.alias("text"))
+    return sinks.record_lines(found, values, "GT:PL").select(F.col("value").alias("line"))
+
+
+@query("SELECT 'm' || site AS id, sample_idx, h AS hap, (CASE gt WHEN '1|1' THEN 1 WHEN '0/0' THEN 0 ELSE h END)::INT AS allele FROM raw, (SELECT unnest([0, 1])::INT AS h) WHERE gt <> './.' AND site IN (SELECT site FROM markers)", RAW)
+def haplotype_slots(spark, d):
+    return vcf.haplotype_calls(vcf.calls(_records(spark, d), "id"), "id", "sample_idx")
+
+
+@query(
+    """SELECT m.chrom || ':' || m.pos || ':' || m.alt AS key, row_number() OVER (ORDER BY m.site) - 1 AS panel_index, row_number() OVER (ORDER BY -m.site) - 1 AS target_index
+FROM markers m WHERE m.alt <> '.' AND m.site IN (SELECT site FROM reads WHERE n_alt > 0)"""
+)
+def shared_markers(spark, d):
+    named = V.markers(spark, d).where("alt != '.'").withColumn("key", markers.marker_key(F.col("chrom"), F.col("pos"), F.col("alt")))
+    seen = V.reads(spark, d).where("n_alt > 0").select("site")
+    return markers.shared_markers(named.select("key", F.col("site").alias("ordinal")), named.join(seen, "site").select("key", (-F.col("site")).alias("ordinal"))).select("key", "panel_index", "target_index")
+
+
+@query(
+    """SELECT source, sample_idx, sample_id, CASE WHEN row_number() OVER (PARTITION BY sample_id ORDER BY source, sample_idx) > 1 THEN sample_id || '_dup' ELSE sample_id END AS person FROM (
+SELECT 0 AS source, c_custkey AS sample_idx, 'id' || c_nationkey * 7 + c_custkey % 40 AS sample_id FROM customer UNION ALL SELECT 1, s_suppkey, 'id' || s_nationkey * 7 + s_suppkey % 40 FROM supplier)
+WHERE sample_id IN (SELECT 'id' || p_partkey FROM part WHERE p_size < 40) AND sample_id NOT IN (SELECT 'id' || p_partkey FROM part WHERE p_size > 45)"""
+)
+def sample_names(spark, d):
+    name = lambda a, b: F.concat(F.lit("id"), (F.col(a) * 7 + F.col(b) % 40).cast("string")).alias("sample_id")
+    both = V.table(spark, d, "customer").select(F.lit(0).alias("source"), F.col("c_custkey").alias("sample_idx"), name("c_nationkey", "c_custkey")).union(V.table(spark, d, "supplier").select(F.lit(1), "s_suppkey", name("s_nationkey", "s_suppkey")))
+    part = V.table(spark, d, "part").select(F.concat(F.lit("id"), F.col("p_partkey").cast("string")).alias("sample_id"), "p_size")
+    return markers.selected_samples(both, part.where("p_size < 40"), part.where("p_size > 45"))
 
 
 @query(
@@ -232,7 +327,7 @@ edges AS (SELECT region, site, code & ((1::BIGINT << site) - 1) AS parent, (code
 
 
 @query(
-    """SELECT region, site, parent, allele, n, round(n / sum(n) OVER p::DOUBLE, 6) AS p_child, round(n / sum(n) OVER (PARTITION BY region, site)::DOUBLE, 6) AS p_edge, count(*) OVER p > 1 AS siblings
+    """SELECT region, site, parent, allele, n, round(n / sum(n) OVER p::DOUBLE, 6) AS p_child, round(n / sum(n) OVER (PARTITION BY region, site)::DOUBLE, 6) AS p_edge, site = 0 OR count(*) OVER p > 1 AS siblings
 FROM edges WINDOW p AS (PARTITION BY region, site, parent)""",
     EDGES,
 )
@@ -243,3 +338,138 @@ def dag_edges(spark, d):
 @query("SELECT site, count(DISTINCT (region, parent)) AS nodes, count(*) AS edges, sum(n)::BIGINT AS haps FROM edges GROUP BY site", EDGES)
 def dag_summary(spark, d):
     return haplotypes.summary(haplotypes.edges(V.haplotypes(spark, d), V.SITES))
+
+
+ORDERS = f""" at_site AS (SELECT region, site, hap_id, code & ((2::BIGINT << site) - 1) AS fwd, list_sum(list_transform(range(site, {V.SITES}), lambda j: ((code >> j) & 1) << ({V.SITES} - 1 - j)))::BIGINT AS bwd
+  FROM haplotypes CROSS JOIN (SELECT unnest(range({V.SITES}))::INT AS site))"""
+
+
+def _order_sql(key: str, first: str) -> str:
+    return f"""SELECT region, site, hap_id, rank - 1 AS rank, (CASE WHEN b IS NULL THEN {first} WHEN b = k THEN 0 ELSE length(bin(xor(k, b))) END)::INT AS div
+FROM (SELECT *, {key} AS k, row_number() OVER w::INT AS rank, lag({key}) OVER w AS b FROM at_site WINDOW w AS (PARTITION BY region, site ORDER BY {key}, hap_id))"""
+
+
+@query(_order_sql("fwd", "site + 1"), ORDERS)
+def pbwt_forward(spark, d):
+    return haplotypes.forward_order(V.haplotypes(spark, d), V.SITES)
+
+
+@query(_order_sql("bwd", f"{V.SITES} - site"), ORDERS)
+def pbwt_backward(spark, d):
+    return haplotypes.backward_order(V.haplotypes(spark, d), V.SITES)
+
+
+#: Sites that nodes of the graph look back.
+WINDOW = 4
+GRAPH = f""" codes AS (SELECT region, code, count(*) AS n FROM haplotypes GROUP BY 1, 2),
+prefixes AS (SELECT region, site, code & ((2::BIGINT << site) - 1) AS k, sum(n)::BIGINT AS n FROM codes CROSS JOIN (SELECT unnest(range({V.SITES}))::INT AS site) GROUP BY 1, 2, 3),
+marked AS (SELECT *, CASE WHEN lag(k) OVER w IS NULL THEN 0 WHEN length(bin(xor(k, lag(k) OVER w))) > greatest(site + 1 - {WINDOW}, 0) THEN 1 ELSE 0 END AS begins FROM prefixes WINDOW w AS (PARTITION BY region, site ORDER BY k)),
+members AS (SELECT region, site, k, n, ((k >> site) & 1)::INT AS allele, sum(begins) OVER (PARTITION BY region, site ORDER BY k)::INT AS node FROM marked),
+nodes AS (SELECT region, site, node, min(allele) AS allele, sum(n)::BIGINT AS n FROM members GROUP BY 1, 2, 3),
+steps AS (SELECT c.region, c.site, coalesce(p.node, -1) AS parent, c.node AS child, min(c.allele) AS allele, sum(c.n)::BIGINT AS n
+  FROM members c LEFT JOIN members p ON c.region = p.region AND p.site = c.site - 1 AND p.k = c.k & ((1::BIGINT << c.site) - 1) GROUP BY 1, 2, 3, 4)"""
+
+
+def _graph(spark, d):
+    return haplotypes.graph(V.haplotypes(spark, d), V.SITES, WINDOW)
+
+
+@query("SELECT region, site, parent, child, allele, n, round(n / sum(n) OVER (PARTITION BY region, site, parent)::DOUBLE, 6) AS p_child, round(n / sum(n) OVER (PARTITION BY region, site)::DOUBLE, 6) AS p_edge FROM steps", GRAPH)
+def graph_edges(spark, d):
+    return haplotypes.edge_probabilities(_graph(spark, d)[1]).withColumns({c: r6(F.col(c)) for c in ("p_child", "p_edge")})
+
+
+@query(
+    """SELECT v.region, v.site, v.node, v.allele, v.n, round(v.n / sum(v.n) OVER (PARTITION BY v.region, v.site)::DOUBLE, 6) AS p,
+coalesce((SELECT string_agg(e.parent::VARCHAR, ',' ORDER BY e.parent) FROM steps e WHERE e.region = v.region AND e.site = v.site AND e.child = v.node AND e.site > 0), '') AS parents,
+coalesce((SELECT max(e.child) FROM steps e WHERE e.region = v.region AND e.site = v.site + 1 AND e.parent = v.node AND e.allele = 0), -1) AS child0,
+coalesce((SELECT max(e.child) FROM steps e WHERE e.region = v.region AND e.site = v.site + 1 AND e.parent = v.node AND e.allele = 1), -1) AS child1,
+v.site = 0 OR EXISTS (SELECT 1 FROM steps e JOIN steps o ON o.region = e.region AND o.site = e.site AND o.parent = e.parent AND o.child <> e.child WHERE e.region = v.region AND e.site = v.site AND e.child = v.node) AS siblings FROM nodes v""",
+    GRAPH,
+)
+def graph_nodes(spark, d):
+    out = haplotypes.node_table(*_graph(spark, d))
+    return out.select("region", "site", "node", "allele", "n", r6(F.col("p")).alias("p"), F.array_join("parents", ",").alias("parents"), "child0", "child1", "siblings")
+
+
+@query(
+    """SELECT v.region, v.site, u.node AS parent, v.node AS child, coalesce(e.n, 0) AS freq, round(coalesce(e.n / t.n::DOUBLE, 0), 6) AS prob FROM nodes v JOIN nodes u ON u.region = v.region AND u.site = v.site - 1
+LEFT JOIN steps e ON e.region = v.region AND e.site = v.site AND e.parent = u.node AND e.child = v.node LEFT JOIN nodes t ON t.region = u.region AND t.site = u.site AND t.node = u.node""",
+    GRAPH,
+)
+def graph_transitions(spark, d):
+    nodes, edges = _graph(spark, d)
+    before = nodes.select("region", (F.col("site") + 1).alias("site"), F.col("node").alias("parent"))
+    pairs = nodes.select("region", "site", F.col("node").alias("child")).join(before, ["region", "site"])
+    return haplotypes.transitions(pairs, edges).select("region", "site", "parent", "child", "freq", r6(F.col("prob")).alias("prob"))
+
+
+@query(
+    """SELECT v.region, round(v.mean, 6) AS mean_nodes, v.most AS max_nodes, v.k AS nodes, round(e.mean, 6) AS mean_edges, e.most AS max_edges, e.k AS edges, round(v.n / v.k::DOUBLE, 6) AS haps_per_node
+FROM (SELECT region, avg(k) AS mean, max(k) AS most, sum(k)::BIGINT AS k, sum(n) AS n FROM (SELECT region, site, count(*) AS k, sum(n) AS n FROM nodes GROUP BY 1, 2) GROUP BY 1) v
+JOIN (SELECT region, avg(k) AS mean, max(k) AS most, sum(k)::BIGINT AS k FROM (SELECT region, site, count(*) AS k FROM steps GROUP BY 1, 2) GROUP BY 1) e ON v.region = e.region""",
+    GRAPH,
+)
+def graph_levels(spark, d):
+    return haplotypes.level_summary(*_graph(spark, d)).withColumns({c: r6(F.col(c)) for c in ("mean_nodes", "mean_edges", "haps_per_node")})
+
+
+@query(
+    f"""SELECT l_suppkey, n, round(r, 6) AS r, round(t, 4) + 0e0 AS t, round({sql_t_tail("t", "(n - 2)")}, 6) AS p FROM (
+SELECT l_suppkey, n, r, r * sqrt(n - 2) / sqrt(greatest(1 - r * r, 1e-12)) AS t FROM (
+SELECT l_suppkey, count(*) AS n, corr(CASE WHEN l_linestatus = 'O' THEN 1e0 ELSE 0e0 END, l_quantity::DOUBLE) AS r FROM lineitem GROUP BY 1) WHERE n > 2 AND r IS NOT NULL)"""
+)
+def group_regression(spark, d):
+    rows = V.table(spark, d, "lineitem").select("l_suppkey", (F.col("l_linestatus") == "O").cast("int").alias("g"), F.col("l_quantity").cast("double").alias("v"))
+    out = genotypes.group_regression(rows, "l_suppkey", "g", "v").where("n > 2 AND r IS NOT NULL")
+    return out.select("l_suppkey", "n", r6(F.col("r")).alias("r"), (F.round("t", 4) + F.lit(0.0)).alias("t"), r6(F.col("p")).alias("p"))
+
+
+@query(
+    """SELECT site, crossovers, round(CASE WHEN crossovers <= 1 THEN (SELECT sum(crossovers) / count(*)::DOUBLE FROM x WHERE crossovers <= 1) / 5e2 ELSE crossovers / 5e2 END, 8) AS theta FROM x""",
+    " x AS (SELECT l_partkey AS site, count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'O') + count(*) FILTER (l_quantity > 48) AS crossovers FROM lineitem GROUP BY 1)",
+)
+def theta_update(spark, d):
+    one = lambda c: F.count(F.when(c, 1))
+    counts = V.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("site")).agg((one((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O")) + one(F.col("l_quantity") > 48)).alias("crossovers"))
+    return markers.updated_theta(counts, 500).join(counts, "site").select("site", "crossovers", F.round("theta", 8).alias("theta"))
+
+
+@query(
+    """SELECT site, matches, mismatches, uncertain, round(r, 6) AS rate FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY k DESC) AS last FROM rounds) WHERE last = 1""",
+    """ counts AS (SELECT site, sum(greatest(n_ref, n_alt))::BIGINT AS matches, sum(least(n_ref, n_alt))::BIGINT AS mismatches, count(*) FILTER (n_ref = n_alt) AS uncertain FROM reads GROUP BY 1),
+rounds AS (SELECT * FROM (WITH RECURSIVE it AS (
+  SELECT *, 0 AS k, CASE WHEN matches + mismatches > 0 THEN mismatches / (matches + mismatches)::DOUBLE ELSE 0e0 END AS r, uncertain = 0 AS done FROM counts
+  UNION ALL SELECT site, matches, mismatches, uncertain, k + 1, new, abs(new - r) <= 1e-4 * r FROM (SELECT *, (mismatches + 2e0 * uncertain * r * r / (r * r + (1 - r) * (1 - r))) / (matches + mismatches + 2e0 * uncertain) AS new FROM it WHERE NOT done AND k < 200))
+  SELECT * FROM it))""",
+)
+def error_fixed_point(spark, d):
+    low, high = F.least("n_ref", "n_alt"), F.greatest("n_ref", "n_alt")
+    counts = V.reads(spark, d).groupBy("site").agg(F.sum(high).alias("matches"), F.sum(low).alias("mismatches"), F.count(F.when(F.col("n_ref") == F.col("n_alt"), 1)).alias("uncertain"))
+    return counts.withColumn("rate", r6(G.error_rate(F.col("matches"), F.col("mismatches"), F.col("uncertain"))))
+
+
+def ks_similar(spark, d):
+    """Exact p-values where samples are small; SQL can't count the paths."""
+    rows = V.table(spark, d, "lineitem").select("l_partkey", F.col("l_extendedprice").alias("v"), F.when(F.col("l_linestatus") == "O", 0).otherwise(1).alias("g"))
+    out = genotypes.ks_test(genotypes.ks_distance(rows, "l_partkey", "g", "v"))
+    return out.select("l_partkey", "n", "m", r6(F.col("d")).alias("d"), r6(F.col("p")).alias("p"), "similar")
+
+
+def phase_posterior(spark, d):
+    """Each sample's genotypes given all its reads of the region and the panel's graph."""
+    return phasing.posteriors(V.regional_phreds(spark, d), *_graph(spark, d), V.SITES)
+
+
+def phase_consensus(spark, d):
+    """The consensus of haplotypes drawn for each sample."""
+    drawn = phasing.draws(V.regional_phreds(spark, d), *_graph(spark, d), V.SITES, rounds=5)
+    return phasing.consensus(drawn, V.SITES, "region", "sample_id")
+
+
+def initial_haplotypes(spark, d):
+    """Alleles drawn from each genotype's posterior, by a hash of sample and site."""
+    return phasing.initial_haplotypes(genotypes.posteriors(V.phreds(spark, d))).select("sample_id", "site", "allele1", "allele2")
+
+
+QUERIES |= {f.__name__: f for f in (ks_similar, phase_posterior, phase_consensus, initial_haplotypes)}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranges import running_sum
+
 #: Sites a region; a region's haplotype is one whole number, a bit a site.
 SITES = 16
 
@@ -35,9 +37,8 @@ def genetic_map(spark: SparkSession, d: str) -> DataFrame:
     """Each site's place and cumulated distance on its chromosome."""
     k = F.col("p_partkey")
     chrom = F.concat(F.lit("chr"), (1 + k % 3).cast("string"))
-    by = Window.partitionBy("chrom").orderBy("bp")
     every = table(spark, d, "part").select(chrom.alias("chrom"), (k * 1000).alias("bp"), "p_size")
-    return every.select("chrom", "bp", (F.sum("p_size").over(by) * F.lit(0.01)).alias("cm"))
+    return running_sum(every, "chrom", "bp", "p_size", "sum").select("chrom", "bp", (F.col("sum") * F.lit(0.01)).alias("cm"))
 
 
 def haplotypes(spark: SparkSession, d: str) -> DataFrame:
@@ -51,6 +52,31 @@ def status(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("sample_id"), F.when(F.col("s_nationkey") % 2 == 0, 1).otherwise(2).alias("status"))
 
 
+def regional_phreds(spark: SparkSession, d: str) -> DataFrame:
+    """phreds by region and the region's site, as haplotypes() cuts them."""
+    return phreds(spark, d).select("sample_id", F.expr(f"site div {SITES}").alias("region"), (F.col("site") % SITES).cast("int").alias("site"), "pl0", "pl1", "pl2")
+
+
+def vcf_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A VCF line for each marker with reads, with the samples that read it: GT, DP and PL for every third pair of
+    sample and site, GL for the next, GT alone for the others; samples without a reference read are phased."""
+    n, r, a = F.col("n_ref") + F.col("n_alt"), F.col("n_ref"), F.col("n_alt")
+    kind = (F.col("sample_id") + F.col("site")) % 3
+    gt = F.when(n < 1, "./.").when(a == 0, "0/0").when(r == 0, "1|1").otherwise("1/0")
+    tens = lambda c: F.concat(F.when(c > 0, "-").otherwise(""), F.floor(c / 10).cast("string"), F.lit("."), (c % 10).cast("string"))
+    triple = lambda to: F.concat_ws(",", *[to(F.col(f"pl{i}")) for i in range(3)])
+    pl, gl = F.when(kind == 0, triple(lambda c: c.cast("string"))).otherwise(""), F.when(kind == 1, triple(tens)).otherwise("")
+    text = F.when(n < 1, "./.").otherwise(F.concat_ws(":", gt, n.cast("string"), pl, gl))
+    each = phreds(spark, d).select("site", "sample_id", text.alias("text"), "n_alt", n.alias("n"))
+    rows = each.groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_id", "text"))), lambda x: x["text"]).alias("texts"), F.sum("n_alt").alias("ac"), F.sum("n").alias("an"))
+    m = markers(spark, d).join(rows, "site")
+    k = F.col("site")
+    info = F.when(k % 3 == 0, F.concat(F.lit("AF=0."), (k % 10).cast("string"), F.lit(";DB"))).when(k % 3 == 1, F.concat(F.lit("AC="), "ac", F.lit(";AN="), "an", F.lit(";NS=1;AC=9"))).otherwise(".")
+    qual = F.when(k % 2 == 0, ".").otherwise(F.concat((k % 100).cast("string"), F.lit(".25")))
+    fixed = ["chrom", F.col("pos").cast("string"), F.concat(F.lit("m"), k.cast("string")), F.lower("ref"), F.lower("alt"), qual, F.lit("PASS"), info, F.lit("GT:DP:PL:GL")]
+    return m.select(F.concat_ws("\t", *fixed, "texts").alias("value"))
+
+
 WITH = f"""WITH reads AS (SELECT l_suppkey AS sample_id, l_partkey AS site, sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END)::BIGINT AS n_ref,
   sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS n_alt FROM lineitem GROUP BY 1, 2),
 phreds AS (SELECT *, least(127, 20 * n_alt)::BIGINT AS pl0, least(127, 3 * (n_ref + n_alt))::BIGINT AS pl1, least(127, 20 * n_ref)::BIGINT AS pl2 FROM reads),

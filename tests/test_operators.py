@@ -1,9 +1,16 @@
 """Goldens and edge cases of the genotype operators."""
 
+import itertools
+import math
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lociflow.functions import genetics as G
-from lociflow.operators import genotypes, haplotypes, markers
+from lociflow.functions import stats as S
+from lociflow.operators import genotypes, haplotypes, markers, phasing
+from lociflow.sources import sinks, vcf
 
 #: 600 haplotypes of 4 sites.
 GROUPS = [("0000", 21), ("0001", 79), ("0010", 95), ("0011", 116), ("0100", 25), ("0101", 112), ("0111", 152)]
@@ -28,7 +35,7 @@ def test_order_of_the_panel(spark):
 
 def test_graph_of_the_panel(spark):
     edges = {(r.site, r.parent, r.allele): r for r in haplotypes.edges(panel(spark), 4).collect()}
-    assert edges[0, 0, 0].n == 600 and not edges[0, 0, 0].siblings
+    assert edges[0, 0, 0].n == 600 and edges[0, 0, 0].siblings
     assert edges[1, 0, 0].n == 311 and edges[1, 0, 1].n == 289
     for site in range(4):
         assert sum(e.n for (s, _, _), e in edges.items() if s == site) == 600
@@ -63,3 +70,296 @@ def test_kolmogorov_tail(spark):
     p = [r.p for r in rows.select(G.kolmogorov_tail(F.col("x")).alias("p")).collect()]
     assert p[0] == 1 and p[1] > 0.999999 and abs(p[2] - p[3]) < 1e-5 and p[6] < 1e-60
     assert abs(p[4] - 0.05) < 1e-5 and abs(p[5] - 0.01) < 1e-5
+
+
+def test_orders_of_the_panel(spark):
+    rows = haplotypes.forward_order(panel(spark), 4).where("site = 3").orderBy("rank").collect()
+    assert {r["rank"]: r["div"] for r in rows if r["div"]} == {0: 4, 21: 2, 46: 3, 141: 4, 220: 2, 332: 3, 448: 2}
+    rows = haplotypes.backward_order(panel(spark), 4).where("site = 0").orderBy("rank").collect()
+    assert [r.hap_id for r in rows] == list(range(600))
+    assert {r["rank"]: r["div"] for r in rows if r["div"]} == {0: 4, 21: 1, 100: 2, 195: 1, 311: 3, 336: 1, 448: 2}
+
+
+def test_orders_against_sorting(spark):
+    rng = np.random.default_rng(2)
+    haps = [(k, int(rng.integers(0, 2**7)) & ~(1 << int(rng.integers(0, 7)))) for k in range(60)]
+    table = spark.createDataFrame([(1, k, c) for k, c in haps], "region long, hap_id long, code long")
+    text = {k: "".join(str(c >> s & 1) for s in range(7)) for k, c in haps}
+    for order, key in ((haplotypes.forward_order, lambda k, s: text[k][s::-1]), (haplotypes.backward_order, lambda k, s: text[k][s:])):
+        got = {}
+        for r in order(table, 7).collect():
+            got.setdefault(r.site, []).append((r["rank"], r.hap_id))
+        for site in range(7):
+            assert [h for _, h in sorted(got[site])] == sorted(text, key=lambda k: (key(k, site), k))
+
+
+def test_graph_without_and_with_a_window(spark):
+    nodes, edges = haplotypes.graph(panel(spark), 4, 4)
+    # the trie of the panel: a node for each distinct prefix
+    prefixes = [len({g[: k + 1] for g, _ in GROUPS}) for k in range(4)]
+    sizes = {r.site: r["count"] for r in nodes.groupBy("site").count().collect()}
+    assert sizes == dict(enumerate(prefixes))
+    out = {(r.site, r.node): r for r in haplotypes.node_table(nodes, edges).collect()}
+    assert all(out[0, k].siblings for k in range(prefixes[0])) and out[0, 0].parents == [] and out[0, 0].p == 1
+    assert {(r.n, r.allele) for r in edges.where("site = 1").collect()} == {(311, 0), (289, 1)}
+    assert out[3, 0].child0 == out[3, 0].child1 == -1
+    # with a window of one site, what ends in one allele is one node
+    nodes, edges = haplotypes.graph(panel(spark), 4, 1)
+    assert {r["count"] for r in nodes.groupBy("site").count().where("site > 0").collect()} == {2}
+    r = haplotypes.level_summary(nodes, edges).first()
+    assert (r.max_nodes, r.nodes, r.mean_nodes) == (2, 7, 1.75)
+    pairs = spark.createDataFrame([(0, 1, 0, 0), (0, 1, 0, 7)], "region long, site int, parent int, child int")
+    assert sorted((t.freq, t.prob) for t in haplotypes.transitions(pairs, edges).collect()) == [(0, 0.0), (311, 311 / 600)]
+    assert haplotypes.graph(panel(spark).limit(0), 4, 1)[0].count() == 0
+
+
+def small_graph(rng, sizes=(2, 3, 3, 2)):
+    graph, before = [], 1
+    for n in sizes:
+        step = rng.random((before, n)) * (rng.random((before, n)) < 0.8)
+        step[step.sum(1) == 0] = 1
+        share = rng.random(n)
+        graph.append((np.array([k % 2 for k in range(n)]), share / share.sum(), step / step.sum(1, keepdims=True)))
+        before = n
+    return graph
+
+
+def brute_posterior(graph, phreds, rates):
+    """Every path of node pairs, with and without a switch of either side before each step."""
+    like = lambda s, a, b: 10 ** (-0.1 * phreds[s][a + b]) if phreds[s][a + b] < 127 else 0.0
+    total = np.zeros((len(graph), 3))
+
+    def one_side(s, p, c):
+        """From node p of site s - 1 to c: on by the edge, or by one from a node drawn anew."""
+        keep = 1 - rates[s]
+        return keep * graph[s][2][p, c] + rates[s] * float(graph[s - 1][1] @ graph[s][2][:, c])
+
+    ranges = [range(len(a)) for a, _, _ in graph]
+    for one in itertools.product(*ranges):
+        for two in itertools.product(*ranges):
+            w = graph[0][1][one[0]] * graph[0][1][two[0]]
+            kinds = [int(graph[s][0][one[s]] + graph[s][0][two[s]]) for s in range(len(graph))]
+            for s in range(len(graph)):
+                w *= like(s, int(graph[s][0][one[s]]), int(graph[s][0][two[s]]))
+                if s:
+                    w *= one_side(s, one[s - 1], one[s]) * one_side(s, two[s - 1], two[s])
+            for s, k in enumerate(kinds):
+                total[s, k] += w
+    return total / total.sum(1, keepdims=True)
+
+
+def test_forward_backward_against_all_paths():
+    rng = np.random.default_rng(7)
+    for _ in range(5):
+        graph = small_graph(rng)
+        phreds = rng.integers(0, 40, (2, 4, 3)).astype(float)
+        phreds[0, 1] = 0
+        phreds[1, 2, 0] = 127
+        rates = np.array([0.0, 0.01, 0.2, 0.05])
+        got = phasing.posterior(graph, phreds, rates)
+        for k in range(2):
+            assert np.allclose(got[k], brute_posterior(graph, phreds[k], rates))
+
+
+def test_draws_follow_the_posterior():
+    rng = np.random.default_rng(3)
+    graph = small_graph(rng)
+    phreds, rates = rng.integers(0, 15, (1, 4, 3)).astype(float), np.full(4, 0.05)
+    ahead = [a[0] for a in phasing.forward(graph, phreds, rates)]
+    drawn = [phasing.draw(graph, rates, np.random.default_rng([1, k]), ahead) for k in range(4000)]
+    share = np.array([[np.mean([(a >> s & 1) + (b >> s & 1) == g for a, b in drawn]) for g in range(3)] for s in range(4)])
+    assert np.abs(share - phasing.posterior(graph, phreds, rates)[0]).max() < 0.04
+
+
+def test_excluded_genotypes_count_only_if_all_are():
+    alleles = np.array([0, 1])
+    assert phasing.emissions(np.array([[127.0, 10.0, 127.0]]), alleles)[0, 0, 0] == 0
+    assert (phasing.emissions(np.array([[127.0, 127.0, 127.0]]), alleles) > 0).all()
+
+
+def test_posteriors_of_a_table(spark):
+    nodes, edges = haplotypes.graph(panel(spark), 4, 2)
+    reads = [(0, 1, s, 0, 30, 60) for s in range(4)] + [(0, 2, 1, 60, 30, 0), (9, 3, 0, 0, 0, 0)]
+    rows = phasing.posteriors(spark.createDataFrame(reads, "region long, sample_id long, site int, pl0 long, pl1 long, pl2 long"), nodes, edges, 4).collect()
+    assert len(rows) == 8 and {r.sample_id for r in rows} == {1, 2}
+    graph = phasing.levels(*phasing.graph_rows(nodes, edges).select("nodes", "edges").first())
+    one = np.array([[[0, 30, 60]] * 4], float)
+    exp = brute_posterior(graph, one[0], np.full(4, 0.01))
+    got = np.array([[r.p0, r.p1, r.p2] for r in sorted(rows, key=lambda r: r.site) if r.sample_id == 1])
+    assert np.allclose(got, exp)
+
+
+def test_consensus_of_draws(spark):
+    # 4 sites, read from bit 0: two draws of one phase, one of the mirror image, one that flips half way
+    a, b = 0b0101, 0b1010
+    assert phasing.vote([(a, b), (a, b), (b, a)], 4)[:2] == (0b1010, 0b0101)
+    one, other, flips, errors = phasing.vote([(0b0011, 0b1100), (0b0011, 0b1100), (0b1111, 0b0000)], 4)
+    assert {one, other} == {0b0011, 0b1100} and flips == 1 and errors == 0
+    rows = spark.createDataFrame([(1, k, a, b) for k in range(3)] + [(2, 0, 0, 0)], "sample_id long, round int, code1 long, code2 long")
+    out = {r.sample_id: r for r in phasing.consensus(rows, 4, "sample_id").collect()}
+    assert {out[1].code1, out[1].code2} == {a, b} and (out[2].code1, out[2].errors) == (0, 0.0)
+
+
+def test_initial_haplotypes_follow_the_posterior(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("sample_id"), F.lit(1).alias("site"), F.lit(0.2).alias("p0"), F.lit(0.5).alias("p1"), F.lit(0.3).alias("p2"))
+    out = phasing.initial_haplotypes(rows)
+    share = {(r.allele1, r.allele2): r["count"] / 20_000 for r in out.groupBy("allele1", "allele2").count().collect()}
+    assert abs(share[0, 0] - 0.2) < 0.02 and abs(share[1, 1] - 0.3) < 0.02 and abs(share[0, 1] - 0.25) < 0.02 and abs(share[1, 0] - 0.25) < 0.02
+    assert out.exceptAll(phasing.initial_haplotypes(rows.repartition(7))).count() == 0
+
+
+def test_distribution_functions(spark):
+    df = spark.createDataFrame([(x,) for x in (0.0, 0.3, 1.0, 2.5, 7.0, 30.0)], "x double")
+    x = F.col("x")
+    rows = df.select("x", S.chi_square_tail(x, F.lit(2.0)).alias("chi"), S.t_tail(x, F.lit(1.0)).alias("t1"), S.t_tail(x, F.lit(2.0)).alias("t2"), S.f_tail(x, F.lit(2.0), F.lit(4.0)).alias("f"), S.normal_lower(x).alias("z"), S.gamma_upper(F.lit(3.0), x).alias("g"), S.log_gamma(x + 0.1).alias("lg"), S.normal_quantile(x / 31 + 0.01).alias("q"))
+    for r in rows.collect():
+        v = r.x
+        assert math.isclose(r.chi, math.exp(-v / 2), rel_tol=1e-9)
+        assert math.isclose(r.t1, 1 - 2 * math.atan(v) / math.pi, rel_tol=1e-8)
+        assert math.isclose(r.t2, 1 - v / math.sqrt(2 + v * v), rel_tol=1e-8, abs_tol=1e-12)
+        assert math.isclose(r.f, (1 + v / 2) ** -2, rel_tol=1e-8)
+        assert math.isclose(r.z, 0.5 * math.erfc(-v / math.sqrt(2)), rel_tol=1e-9)
+        assert math.isclose(r.g, math.exp(-v) * (1 + v + v * v / 2), rel_tol=1e-9)
+        assert math.isclose(r.lg, math.lgamma(v + 0.1), rel_tol=1e-9, abs_tol=1e-9)
+        assert math.isclose(0.5 * math.erfc(-r.q / math.sqrt(2)), v / 31 + 0.01, rel_tol=1e-8)
+    none = df.limit(1).select(S.t_tail(x, F.lit(0.0)), S.normal_quantile(x), S.log_gamma(x), S.chi_square_tail(F.lit(None).cast("double"), F.lit(1.0))).first()
+    assert list(none) == [None] * 4
+
+
+def test_exact_smirnov():
+    for m, n in ((2, 3), (3, 3), (4, 6)):
+        distances = []
+        for at in itertools.combinations(range(m + n), m):
+            steps = np.where(np.isin(np.arange(m + n), at), 1 / m, -1 / n)
+            distances.append(np.abs(steps.cumsum()).max())
+        for d in {round(x, 9) for x in distances}:
+            assert math.isclose(S.smirnov(m, n, d), np.mean([x < d - 1e-9 for x in distances]), abs_tol=1e-12)
+    # the two goldens: one exact, one by the limit distribution
+    assert math.isclose(1 - S.smirnov(21, 57, 948 / 1197), 3.054e-10, rel_tol=1e-3)
+    assert math.isclose(2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * 0.38**2 * 50) for k in range(1, 9)), 1.071e-06, rel_tol=1e-3)
+
+
+def test_one_sample_kolmogorov():
+    # n = 1: D is uniform on (1/2, 1); n = 2 by its piecewise form; and a limit
+    assert math.isclose(S.kolmogorov_one(1, 0.75), 0.5) and math.isclose(S.kolmogorov_one(2, 0.4), 2 * (2 * 0.4 - 0.5) ** 2)
+    x = 0.12 * math.sqrt(2000)
+    assert abs(S.kolmogorov_one(2000, 0.12 / math.sqrt(10) * 1.0) - (1 - 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * (x / math.sqrt(10)) ** 2) for k in range(1, 50)))) < 0.02
+
+
+def test_ks_decisions(spark):
+    rows = spark.createDataFrame([("a", 0.5, 2, 2, 2.4), ("b", 948 / 1197, 21, 57, 0.4), ("c", 0.38, 100, 100, 0.25), ("d", 0.1, 200, 100, 0.2)], "k string, d double, n long, m long, bound double")
+    out = {r.k: r for r in genotypes.ks_test(rows).collect()}
+    assert out["a"].p == 1 and out["a"].similar and math.isclose(out["b"].p, 3.054e-10, rel_tol=1e-3) and not out["b"].similar
+    assert math.isclose(out["c"].p, 1.071e-06, rel_tol=1e-3) and not out["c"].similar and out["d"].similar
+
+
+def test_error_rates(spark):
+    rows = spark.createDataFrame([(90, 10, 0), (90, 10, 20), (0, 0, 0), (50, 50, 10)], "a long, b long, u long")
+    got = [r.e for r in rows.select(G.error_rate(F.col("a"), F.col("b"), F.col("u")).alias("e")).collect()]
+    r = 0.1
+    for _ in range(100):
+        r = (10 + 40 * r * r / (r * r + (1 - r) ** 2)) / 140
+    assert got[0] == 0.1 and abs(got[1] - r) < 1e-4 and got[2] == 0 and abs(got[3] - 0.5) < 1e-9
+
+
+TEXT = """##fileformat=VCFv4.1
+##note
+##a=b=c
+#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2
+chr1\t10\tr1\ta\tc\t.\tPASS\tAF=0.25;DB;AF=9\tGT:DP:PL\t0/1:7:10,0,20\t./.
+chr1\tx\tr2\tG\tT,a\t12.6\tq10;s50\t.\tGT:GD:GQ:DS\t1|0:3:40:0.5\t2/1:9:5:.
+chrX\t5\t.\tC\tT\t0\t.\tAC=3;AN=9\tGT\t1\t.
+20\t7\tr4\tA\t.\t-3\tPASS\tAC=1\tGL\t-1.25,-0.5,-3\t-0,-1,-2
+"""
+
+
+def test_reading_vcf(spark):
+    rows = spark.createDataFrame([(x,) for x in TEXT.splitlines()], "value string")
+    assert vcf.meta(rows).collect() == [("fileformat", "VCFv4.1"), ("note", ""), ("a", "b=c")]
+    assert vcf.header(rows)[8:] == ["FORMAT", "s1", "s2"]
+    assert vcf.samples(rows).collect() == [(0, "s1"), (1, "s2")]
+    r = vcf.records(rows).collect()
+    assert [x.pos for x in r] == [10, 0, 5, 7] and [x.ref for x in r] == ["A", "G", "C", "A"]
+    assert r[1].alts == ["T", "A"] and [round(x.qual, 1) for x in r] == [-1, 12.6, 0, -3] and r[1].filters == ["q10", "s50"]
+    assert r[0].info == {"AF": "0.25", "DB": ""} and r[1].info == {} and r[2].info == {"AC": "3", "AN": "9"}
+    found = {(x.pos, x.sample_idx): x for x in vcf.calls(vcf.records(rows), "pos").withColumn("pl", vcf.phreds(F.col("fields"))).collect()}
+    assert found[10, 0].genotype == 1 and found[10, 0].pl == [10, 0, 20] and found[10, 0].depth == 7
+    assert found[10, 1].genotype == 65535 and found[10, 1].pl is None and found[10, 1].fields == {"GT": "./.", "DP": "", "PL": ""}
+    assert found[0, 0].genotype == 1 << 15 | 1 << 8 and abs(found[0, 0].dosage - 0.5) < 1e-9 and found[0, 1].genotype == 1 << 8 | 2 and found[0, 1].dosage is None
+    assert found[5, 0].genotype == 1 << 8 | 0xFF and found[5, 1].genotype == 65535
+    assert found[7, 0].genotype == 65535 and found[7, 0].pl == [12, 5, 30]
+    low = {(x.pos, x.sample_idx): x.genotype for x in vcf.calls(vcf.records(rows), "pos", least_depth=5, least_quality=10).collect()}
+    assert low[0, 0] == 65535 and low[0, 1] == 65535 and low[10, 0] == 1
+    freq = [x.f for x in vcf.records(rows).select(G.panel_ref_freq(F.col("info"), F.col("alts")).alias("f")).collect()]
+    assert freq == [0.75, 1e-6, 1 - 3.5 / 10, 1e-6]
+    assert vcf.biallelic(vcf.records(rows)).count() == 3
+    with pytest.raises(Exception, match="differ in number"):
+        vcf.calls(vcf.records(spark.createDataFrame([("1\t1\t.\tA\tC\t.\t.\t.\tGT:DP\t0/1",)], "value string")), "pos").collect()
+    with pytest.raises(Exception, match="cannot parse"):
+        vcf.calls(vcf.records(spark.createDataFrame([("1\t1\t.\tA\tC\t.\t.\t.\tGT\t0",)], "value string")), "pos").collect()
+    with pytest.raises(ValueError):
+        vcf.header(rows.where("value LIKE '##%'"))
+
+
+def test_vcf_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([(x,) for x in TEXT.splitlines()], "value string")
+    sites = vcf.records(rows).withColumn("key", F.concat_ws(":", "chrom", "pos"))
+    found = vcf.calls(sites, "key")
+    values = found.select("key", "sample_idx", sinks.genotype_text(F.col("genotype")).alias("text"))
+    sinks.write(spark, sinks.header_lines(vcf.meta(rows), vcf.samples(rows)), sinks.record_lines(sites, values), f"{tmp_path}/out")
+    again = vcf.lines(spark, f"{tmp_path}/out")
+    assert [r.value for r in again.limit(4).collect()] == ["##fileformat=VCFv4.1", "##note=", "##a=b=c", TEXT.splitlines()[3]]
+    assert [r.value.split("\t")[:2] for r in again.collect()[4:]] == [["20", "7"], ["chr1", "0"], ["chr1", "10"], ["chrX", "5"]]
+    keep = ["key", "sample_idx", "genotype"]
+    second = vcf.calls(vcf.records(again).withColumn("key", F.concat_ws(":", "chrom", "pos")), "key")
+    assert sorted(map(tuple, second.select(keep).collect())) == sorted(map(tuple, found.select(keep).collect()))
+    lines = {r.value.split("\t")[2]: r.value.split("\t") for r in sinks.record_lines(sites).collect()}
+    assert lines["r2"][5:] == ["13", "q10;s50", "."] and lines["r1"][7] == "AF=0.25;DB" and lines["r4"][5] == "."
+    counts = {r.key: (r.ac, r.an, r.ns) for r in sinks.site_counts(found, "key").collect()}
+    assert counts == {"chr1:10": (1, 2, 1), "chr1:0": (3, 4, 2), "chrX:5": (1, 2, 1), "20:7": (0, 0, 0)}
+
+
+def test_side_files(spark, tmp_path):
+    (tmp_path / "ids").write_text("a\n\n b \n")
+    assert [r.sample_id for r in vcf.id_list(spark, f"{tmp_path}/ids").collect()] == ["a", "b"]
+    (tmp_path / "map").write_text("chr bp cM\n1 100 0.5\n1 200 0.75\n1 100 0.6\n")
+    assert sorted(map(tuple, vcf.genetic_map(spark, f"{tmp_path}/map").collect())) == [("chr1", 100, 0.6), ("chr1", 200, 0.75)]
+    (tmp_path / "rates").write_text("interval rate\nx 0.5\ny 0.25\n")
+    assert [tuple(r) for r in vcf.rate_map(spark, f"{tmp_path}/rates").orderBy("ordinal").collect()] == [(0, 0.5), (1, 0.25)]
+    (tmp_path / "sites").write_text("chr1 10 A C 0.75 0.01\n")
+    assert tuple(vcf.site_file(spark, f"{tmp_path}/sites").first()) == ("chr1", 10, "A", "C", 0.75, 0.01)
+
+
+def test_sample_selection_with_empty_lists(spark):
+    rows = spark.createDataFrame([(0, 0, "a"), (0, 1, "b"), (1, 0, "a"), (1, 1, "c")], "source int, sample_idx int, sample_id string")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "sample_id string")
+    names = lambda *lists: sorted(r.person for r in markers.selected_samples(rows, *lists).collect())
+    assert names() == ["a", "a_dup", "b", "c"] == names(ids(), ids())
+    assert names(ids("a", "c")) == ["a", "a_dup", "c"] and names(None, ids("a")) == ["b", "c"] and names(ids("z")) == []
+
+
+def test_maps_across_ranges(spark):
+    rng = np.random.default_rng(5)
+    at = sorted(rng.choice(10_000, 80, replace=False).tolist())
+    cm = np.sort(rng.random(80) * 50).tolist()
+    points = spark.createDataFrame([("c", a, c) for a, c in zip(at, cm)], "chrom string, bp long, cm double")
+    sites = sorted(rng.choice(12_000, 300, replace=False).tolist()) + at[:5]
+    table = spark.createDataFrame([(k, "c", p) for k, p in enumerate(sites)] + [(9999, "d", 5)], "site long, chrom string, pos long")
+    for width in (50, 700, 10**6):
+        placed = markers.interpolated(table, points, width)
+        got = {r.site: r.cm for r in placed.collect()}
+        assert got.pop(9999) is None
+        assert all(abs(got[k] - np.interp(p, at, cm)) < 1e-9 for k, p in enumerate(sites))
+        rate = {r.site: r.rate for r in markers.rates(placed.where("cm IS NOT NULL"), width).collect()}
+        order = sorted(range(len(sites)), key=lambda k: (sites[k], k))
+        assert order[0] not in rate and len(rate) == len(sites) - 1
+        for a, b in zip(order, order[1:]):
+            assert abs(rate[b] - max((1 + got[a] / 200) ** -2 - (1 + got[b] / 200) ** -2, 1e-5)) < 1e-12
+    assert {r.rate for r in markers.theta(table).collect()} == {0.01}
+    assert markers.theta(table, points).count() == len(sites) + 1
+
+
+def test_other_allele(spark):
+    rows = spark.createDataFrame([("A", "A", "0"), ("A", "0", "A"), ("A", "T", "G"), ("A", "C", "G"), ("A", "C", "A"), ("A", "T", "0")], "r string, a string, b string")
+    got = rows.select(markers.resolved_alt(F.col("r"), F.col("a"), F.col("b")), markers.resolved_alt(F.col("r"), F.col("a"), F.col("b"), flip=False)).collect()
+    assert [tuple(r) for r in got] == [(".", "."), (".", "."), ("C", "."), (".", "."), ("C", "C"), (".", ".")]
