@@ -123,9 +123,18 @@ class Model:
         return ((keys >> np.uint64(bits - 32)) * np.uint64(self.parts)) >> np.uint64(32)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct keys, one place of each, and each place's number among them."""
+    found, which = np.unique(keys, return_inverse=True)
+    one = np.empty(len(found), np.int64)
+    one[which] = np.arange(len(keys))
+    return found, one, which
+
+
 class Block:
-    """A block's texts with the answers it got so far: for each length the tokens whose sequence was asked for, the
-    sorted distinct keys, each token's place among them, and the count in the whole corpus by token."""
+    """A block's texts with the answers it got so far. asked: for each length the tokens whose sequence was asked for,
+    the sorted distinct keys, a token of each, and by token its place among them; counts: by token, that of the
+    sequence that ends there in the whole corpus, 0 below the least."""
 
     def __init__(self, block: pa.Table, answers: pa.Table, model: Model):
         self.model, row = model, {c: block.column(c)[0] for c in block.column_names}
@@ -135,12 +144,13 @@ class Block:
         ids = unpacked(row["ids"].as_py(), np.int32)
         words = unpacked(row["words"].as_py(), np.uint64)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.before = np.arange(len(ids)) - np.repeat(self.starts, self.lengths)  # tokens before each in its text
+        self.before = np.arange(len(ids), dtype=np.int32) - np.repeat(self.starts, self.lengths).astype(np.int32)  # tokens before each in its text
         self.train = np.repeat(~np.asarray(self.held.to_numpy(zero_copy_only=False), bool), self.lengths)
+        order = np.argsort(words)
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        self.words, self.ranks = words[order], rank[ids]
         self.keys = {1: words[ids]}
-        for length in range(2, model.how.depth + 2):
-            self.keys[length] = np.zeros(len(ids), np.uint64)
-            self.keys[length][1:] = chain(self.keys[length - 1][:-1], self.keys[1][1:])
         self.got: dict[int, np.ndarray] = {}
         kinds, parts = (answers.column(c).to_numpy() for c in ("kind", "part"))
         for kind in np.unique(kinds).tolist():
@@ -155,28 +165,40 @@ class Block:
 
     def sequences(self, length: int) -> None:
         """Finds the keys to ask for, and takes the answer if there is one."""
-        if length < 3:
-            places = np.flatnonzero(self.before >= length - 1)
+        n = len(self.before)
+        if length == 1:
+            one = np.empty(len(self.words), np.int64)
+            one[self.ranks] = np.arange(n)
+            self.asked[1] = (np.arange(n), self.words, one, self.ranks)
         else:
-            often = self.counts[2] > 0
+            if length not in self.keys:
+                self.keys[length] = np.zeros(n, np.uint64)
+                self.keys[length][1:] = chain(self.keys[length - 1][:-1], self.keys[1][1:])
             fine = self.before >= length - 1
-            for back in range(length - 1):
-                fine[back:] &= often[: len(often) - back]
+            if length > 2:  # all its pairs occur often enough
+                often = self.counts[2] > 0
+                for back in range(length - 1):
+                    fine[back:] &= often[: n - back]
             places = np.flatnonzero(fine)
-        keys = self.keys[length][places] >> np.uint64(64 - self.bits(length))
-        found, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        self.asked[length] = (places, found, first, which)
+            found, one, which = _distinct(self.keys[length][places] >> np.uint64(64 - self.bits(length)))
+            of_token = np.full(n, -1, np.int32)
+            of_token[places] = which
+            self.asked[length] = (places, found, places[one], of_token)
         if length in self.got:
-            counts = np.zeros(len(self.before), np.int64)
-            counts[places] = (self.got[length] >> 1)[which]
-            self.counts[length] = counts
+            places, _, _, of_token = self.asked[length]
+            self.counts[length] = np.zeros(n, np.int64)
+            self.counts[length][places] = (self.got[length] >> 1)[of_token[places]]
 
     def contexts(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens after a counted context of that length, the distinct contexts, and each token's place among them."""
+        """Tokens after a counted context of that length, the sorted distinct contexts, and each such token's place
+        among them."""
         often = self.counts[length] >= self.model.how.least
         places = np.flatnonzero((self.before[1:] >= length) & often[:-1]) + 1
-        keys = self.keys[length][places - 1] >> np.uint64(64 - self.bits(length))
-        return places, *np.unique(keys, return_inverse=True)
+        _, found, _, of_token = self.asked[length]
+        mine = of_token[places - 1]
+        here = np.zeros(len(found), bool)
+        here[mine] = True
+        return places, found[here], (np.cumsum(here) - 1)[mine]
 
     def ask(self, kind: int, keys: np.ndarray, sums: list[np.ndarray]) -> Iterator[dict]:
         """Rows of ASK: the sorted keys by range, as steps from the one before."""
@@ -190,8 +212,8 @@ class Block:
         for length in range(1, lengths.stop):
             self.sequences(length)
             if length in lengths:
-                places, keys, _, which = self.asked[length]
-                yield from self.ask(length, keys, [np.bincount(which, self.train[places], len(keys)).astype(np.int64)])
+                _, keys, _, of_token = self.asked[length]
+                yield from self.ask(length, keys, [np.bincount(of_token[self.train & (of_token >= 0)], minlength=len(keys))])
 
     def ask_tests(self) -> Iterator[dict]:
         """For each context the sums of its successors that this block answers for: how many, their counts, their
@@ -202,8 +224,7 @@ class Block:
             places, keys, which = self.contexts(length)
             of_token = np.zeros(len(self.before), np.int64)
             of_token[places] = which
-            longer, _, first, _ = self.asked[length + 1]
-            mine = longer[first[self.got[length + 1] & 1 == 1]]
+            mine = self.asked[length + 1][2][self.got[length + 1] & 1 == 1]
             mine = mine[self.counts[length + 1][mine] >= self.model.how.least]
             c, of = self.counts[length + 1][mine].astype(float), self.counts[length][mine - 1].astype(float)
             shorter = self.counts[length - 1][mine - 1] if length > 1 else float(self.model.n)
@@ -255,7 +276,7 @@ def _answer(part: pa.Table, model: Model) -> pa.Table:
         rows = np.flatnonzero(kinds == kind).tolist()
         some = [np.cumsum(unpacked(keys[i].as_py(), np.uint64), dtype=np.uint64) for i in rows]
         sizes = np.cumsum([len(x) for x in some])
-        found, first, which = np.unique(np.concatenate(some), return_index=True, return_inverse=True)
+        found, one, which = _distinct(np.concatenate(some))
         n, distinct, total = len(found), 0, 0
         if kind < CONTEXT:
             own = np.concatenate([_sums(sums[i].as_py(), (np.int64,))[0] for i in rows])
@@ -263,7 +284,7 @@ def _answer(part: pa.Table, model: Model) -> pa.Table:
             distinct, total = int((counts > 0).sum()), int(counts.sum())
             counts[counts < (model.how.least if kind > 1 else 1)] = 0
             answer = (counts << 1)[which]
-            answer[first] += counts > 0
+            answer[one] += counts > 0
         else:
             columns = zip(*(_sums(sums[i].as_py(), (np.int64, np.int64, np.int64, np.float64, np.float64)) for i in rows))
             cells, c, whole, share, gain = (np.concatenate(x) for x in columns)
