@@ -25,14 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def temporary(spark: SparkSession, path: str) -> None:
+    """Has a folder of the shared one deleted when the application ends."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet into the shared folder and read again: later jobs survive the loss of any executor, and nothing is computed twice. The files go when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lociflow/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    temporary(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -23,8 +23,8 @@ bounded size, and the number of both grows with the input.
 Edge cases: a null text counts as empty, and an empty text is its end alone. A text is never split, so one of more
 tokens than a block is a block of its own. Rows with a null doc_id train. Repeated rows count as often as they occur
 and score alike. Without training rows N is 0, V is 0 and every token is unknown. Extra columns are kept out of the
-result. An empty table gives an empty result. Words are told apart by 64-bit hashes, sequences by a hash with 26 bits
-more than the logarithm of the number of tokens, so that about one key in 2 ** 26 shares its count with another.
+result. An empty table gives an empty result. Words are told apart by 64-bit hashes, sequences by a hash with 20 bits
+more than the logarithm of the number of tokens, so that about one key in 2 ** 20 shares its count with another.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from .common import shared_dir, stored
+from .common import shared_dir, temporary
 from .words import Hashes, blocks, chain, texts
 
 #: No word holds a line feed.
@@ -124,10 +124,10 @@ class Model:
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sorted distinct keys, one place of each, and each place's number among them."""
+    """The sorted distinct keys, the first place of each, and each place's number among them."""
     found, which = np.unique(keys, return_inverse=True)
     one = np.empty(len(found), np.int64)
-    one[which] = np.arange(len(keys))
+    one[which[::-1]] = np.arange(len(keys) - 1, -1, -1)  # the last write stands, so the first place does
     return found, one, which
 
 
@@ -232,7 +232,7 @@ class Block:
             at, n = of_token[mine], len(keys)
             whole = np.zeros(n, np.int64)
             whole[at] = of.astype(np.int64)
-            sums = [np.bincount(at, minlength=n), np.bincount(at, c, n).astype(np.int64), whole, np.bincount(at, share, n), np.bincount(at, c * np.log(c / of / share), n)]
+            sums = [np.bincount(at, minlength=n), np.bincount(at, c, n).astype(np.int64), whole, *(np.bincount(at, x, n).astype(np.float32) for x in (share, c * np.log(c / of / share)))]
             yield from self.ask(CONTEXT + length, keys, sums)
 
     def scored(self) -> dict[str, pa.Array]:
@@ -270,10 +270,12 @@ def _answer(part: pa.Table, model: Model) -> pa.Table:
     """The answers of one range of keys to all blocks. To a count: twice the count, and one more for the block that
     answers for the key in round 3; 0 below the least count (words: none). To a test: one more than the context's
     counted successors' sum, or 0 where it doesn't stay."""
-    kinds, out = part.column("kind").to_numpy(), []
+    kinds, numbers, out = part.column("kind").to_numpy(), part.column("block").to_numpy(), []
     number, keys, sums = part.column("part")[0].as_py(), part.column("keys"), part.column("sums")
     for kind in np.unique(kinds).tolist():
-        rows = np.flatnonzero(kinds == kind).tolist()
+        rows = np.flatnonzero(kinds == kind)
+        # by block, so that the first block with a key answers for it: few blocks then share a context's successors
+        rows = rows[np.argsort(numbers[rows], kind="stable")].tolist()
         some = [np.cumsum(unpacked(keys[i].as_py(), np.uint64), dtype=np.uint64) for i in rows]
         sizes = np.cumsum([len(x) for x in some])
         found, one, which = _distinct(np.concatenate(some))
@@ -286,7 +288,7 @@ def _answer(part: pa.Table, model: Model) -> pa.Table:
             answer = (counts << 1)[which]
             answer[one] += counts > 0
         else:
-            columns = zip(*(_sums(sums[i].as_py(), (np.int64, np.int64, np.int64, np.float64, np.float64)) for i in rows))
+            columns = zip(*(_sums(sums[i].as_py(), (np.int64, np.int64, np.int64, np.float32, np.float32)) for i in rows))
             cells, c, whole, share, gain = (np.concatenate(x) for x in columns)
             cells, c, share, gain = (np.bincount(which, x, n) for x in (cells, c, share, gain))
             of = np.zeros(n)
@@ -295,20 +297,33 @@ def _answer(part: pa.Table, model: Model) -> pa.Table:
             gain += np.where(left > 0, left * np.log(np.maximum(left, 1) / np.maximum(of, 1) / np.maximum(1 - share, 1e-12)), 0)
             stays = (cells > 0) & (2 * gain > cells + model.how.sigmas * np.sqrt(2 * cells))
             answer = np.where(stays, c + 1, 0).astype(np.int64)[which]
-        blocks_ = part.column("block")
-        out += [{"block": blocks_[i].as_py(), "kind": kind, "part": number, "data": packed(a), "distinct": 0, "total": 0} for i, a in zip(rows, np.split(answer, sizes[:-1]))]
+        out += [{"block": int(numbers[i]), "kind": kind, "part": number, "data": packed(a), "distinct": 0, "total": 0} for i, a in zip(rows, np.split(answer, sizes[:-1]))]
         out.append({"block": -1, "kind": kind, "part": number, "data": None, "distinct": distinct, "total": total})
     return _rows(iter(out), ANSWER)
 
 
-def _round(table: DataFrame, answers: DataFrame, model: Model, ask) -> DataFrame:
-    """The answers to what ask(block) yields, stored."""
+def _bucketed(rows: DataFrame, name: str, mode: str = "error") -> DataFrame:
+    """rows written to (or appended to) a table bucketed by block in the shared folder, and the whole table."""
+    spark = rows.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark)}/lociflow/{name}"
+    rows.write.mode(mode).bucketBy(buckets, "block").option("path", path).saveAsTable(name)
+    temporary(spark, path)
+    return spark.table(name)
+
+
+def _round(table: DataFrame, name: str, model: Model, ask) -> DataFrame:
+    """The answers to what ask(block) yields, appended to the answers so far."""
+    spark = table.sparkSession
 
     def asked(block: pa.Table, before: pa.Table) -> pa.Table:
         return _rows(ask(Block(block, before, model)), ASK)
 
-    requests = table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(asked, from_arrow_schema(ASK))
-    return stored(requests.groupBy("part").applyInArrow(lambda part: _answer(part, model), from_arrow_schema(ANSWER)), "answers")
+    before = spark.table(name).where("block >= 0")
+    requests = table.groupBy("block").cogroup(before.groupBy("block")).applyInArrow(asked, from_arrow_schema(ASK))
+    made = requests.groupBy("part").applyInArrow(lambda part: _answer(part, model), from_arrow_schema(ANSWER))
+    # an answer is shuffled to its block once, however many rounds read it
+    return _bucketed(made.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block"), name, "append")
 
 
 def lm_scores(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
@@ -318,21 +333,18 @@ def lm_scores(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
     made = rows.mapInArrow(lambda b: _block(b, how.block), f"doc_id array<{kind}>, held_out array<boolean>, words binary, ids binary, lengths binary, tokens long")
     # bucketed by block, so that no round shuffles the texts; block numbers are written with them
-    name = f"lociflow_blocks_{uuid.uuid4().hex}"
-    made = made.withColumn("block", F.monotonically_increasing_id())
-    made.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("path", f"{shared_dir(spark)}/lociflow/{name}").saveAsTable(name)
-    table = spark.table(name)
+    run = uuid.uuid4().hex
+    table = _bucketed(made.withColumn("block", F.monotonically_increasing_id()), f"lociflow_blocks_{run}")
     tokens = table.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    model = Model(how, -(-tokens // how.block) or 1, min(64, max(33, tokens.bit_length() + 26)))
-    none = spark.createDataFrame([], from_arrow_schema(ANSWER))
-    counts = _round(table, none, model, lambda b: b.ask_counts(range(1, 3)))
+    model = Model(how, -(-tokens // how.block) or 1, min(64, max(33, tokens.bit_length() + 20)))
+    name = f"lociflow_answers_{run}"
+    _bucketed(spark.createDataFrame([], from_arrow_schema(ANSWER)), name)
+    counts = _round(table, name, model, lambda b: b.ask_counts(range(1, 3)))
     v, n = counts.where("block = -1 AND kind = 1").agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     model = Model(how, model.parts, model.bits, n, v)
-    answers = counts.where("block >= 0")
     if how.depth > 1:
-        answers = answers.unionByName(_round(table, answers, model, lambda b: b.ask_counts(range(3, how.depth + 2))).where("block >= 0"))
-    answers = answers.unionByName(_round(table, answers, model, lambda b: b.ask_tests()).where("block >= 0"))
-
+        _round(table, name, model, lambda b: b.ask_counts(range(3, how.depth + 2)))
+    answers = _round(table, name, model, lambda b: b.ask_tests()).where("block >= 0")
     result = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     each = table.groupBy("block").cogroup(answers.groupBy("block"))
     return each.applyInArrow(lambda block, before: pa.table(Block(block, before, model).scored()), result)
