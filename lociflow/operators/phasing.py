@@ -22,6 +22,8 @@ from . import haplotypes
 CHUNK = 64
 #: Phreds from here on exclude a genotype.
 EXCLUDED = 127
+#: Seeds are taken as numbers without a sign.
+MASK = (1 << 64) - 1
 
 
 def graph_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -186,7 +188,7 @@ def draws(phreds: DataFrame, nodes: DataFrame, edges: DataFrame, sites: int, rou
                 made = []
                 for k, sample in enumerate(ids):
                     mine = [a[k] for a in ahead]
-                    made += [(region, sample, n, *draw(graph, rates, np.random.default_rng([seed, region, sample, n]), mine)) for n in range(rounds)]
+                    made += [(region, sample, n, *draw(graph, rates, np.random.default_rng([x & MASK for x in (seed, region, sample, n)]), mine)) for n in range(rounds)]
                 yield pd.DataFrame(made, columns=["region", "sample_id", "round", "code1", "code2"])
 
     return rows.mapInPandas(work, "region long, sample_id long, round int, code1 long, code2 long")

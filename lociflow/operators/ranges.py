@@ -42,3 +42,14 @@ def with_neighbours(rows: DataFrame, group: str, order: list[Column], position:
     ends = ends.select(group, "__lf_range", carried("high", across).alias("__lf_low"), carried("low", beyond).alias("__lf_high"))
     out = marked.join(ends, [group, "__lf_range"])
     return out.withColumns({"before": F.coalesce("before", "__lf_low"), "after": F.coalesce("after", "__lf_high")}).drop("__lf_range", "__lf_value", "__lf_low", "__lf_high")
+
+
+def numbered(rows: DataFrame, group: str, position: str, order: list[Column], name: str, width: int = WIDTH) -> DataFrame:
+    """rows with their number, from 0, in the order of their group; the order begins with the position."""
+    rows = in_ranges(rows, position, width)
+    counts = rows.groupBy(group, "__lf_range").agg(F.count(F.lit(1)).alias("__lf_n"))
+    ahead = Window.partitionBy(group).orderBy("__lf_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(group, "__lf_range", F.coalesce(F.sum("__lf_n").over(ahead), F.lit(0)).alias("__lf_start"))
+    own = F.row_number().over(Window.partitionBy(group, "__lf_range").orderBy(*order))
+    out = rows.withColumn(name, own).join(starts, [group, "__lf_range"])
+    return out.withColumn(name, (F.col(name) + F.col("__lf_start") - 1).cast("long")).drop("__lf_range", "__lf_start")
