@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,9 @@ from ..functions.genetics import hash_uniform
 from . import haplotypes
 
 #: Samples of a region in one row.
-CHUNK = 64
+CHUNK = 256
+#: Numbers that a step of the work holds for all its samples and sites.
+PAIRS = 1 << 20
 #: Phreds from here on exclude a genotype.
 EXCLUDED = 127
 #: Seeds are taken as numbers without a sign.
@@ -34,27 +37,24 @@ def graph_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return one.join(other, "region")
 
 
-def levels(nodes: list, edges: list) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By site: the nodes' alleles, their shares of the haplotypes, and P(child | parent) as a matrix."""
-    out = []
-    by_site: dict[int, list] = {}
-    for e in edges:
-        by_site.setdefault(e["site"], []).append(e)
-    sizes: dict[int, list] = {}
-    for v in nodes:
-        sizes.setdefault(v["site"], []).append(v)
-    before = 1
-    for site in sorted(sizes):
-        here = sizes[site]
-        share = np.array([v["n"] for v in here], float)
-        step = np.zeros((before, len(here)))
-        for e in by_site.get(site, []):
-            step[max(e["parent"], 0), e["child"]] = e["p_child"]
-        out.append((np.array([v["allele"] for v in here]), share / share.sum(), step))
-        before = len(here)
+def levels(nodes: dict[str, np.ndarray], edges: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By site: the nodes' alleles, their shares of the haplotypes, and P(child | parent) as a matrix. Columns come
+    sorted by site and node."""
+    out, before = [], 1
+    for site in range(int(nodes["site"].max()) + 1):
+        here, on = nodes["site"] == site, edges["site"] == site
+        share = nodes["n"][here].astype(float)
+        step = np.zeros((before, len(share)))
+        step[np.maximum(edges["parent"][on], 0), edges["child"][on]] = edges["p_child"][on]
+        out.append((nodes["allele"][here].astype(np.int64), share / share.sum(), step))
+        before = len(share)
     return out
 
 
+def columns(structs: pa.StructArray) -> dict[str, np.ndarray]:
+    return {f.name: structs.field(f.name).to_numpy(zero_copy_only=False) for f in structs.type}
+
+
 def emissions(phreds: np.ndarray, alleles: np.ndarray) -> np.ndarray:
     """By sample (a row of three phreds), the likelihood of each pair of nodes; excluded genotypes count 0 unless all
     are."""
@@ -119,27 +119,39 @@ def posterior(graph: list, phreds: np.ndarray, rates: np.ndarray) -> np.ndarray:
     return out
 
 
-def draw(graph: list, rates: np.ndarray, rng: np.random.Generator, ahead: list[np.ndarray]) -> tuple[int, int]:
-    """Two haplotypes (bits by site) of one sample drawn backwards from its forward probabilities."""
-    codes = [0, 0]
-    pair: tuple[int, int] | None = None
+def uniforms(seed: int, keys: np.ndarray, site: int) -> np.ndarray:
+    """A number from 0 to below 1 for each key at a site, set by seed, key and site alone."""
+    x = keys ^ np.uint64((seed * 0x9E3779B97F4A7C15 + site * 0xD1B54A32D192ED03) & MASK)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x >> np.uint64(11)).astype(float) / 2.0**53
+
+
+def draw_keys(region: int, ids: list[int], rounds: int) -> np.ndarray:
+    """A key for each sample and round."""
+    one = np.array([i & MASK for i in ids], np.uint64)
+    both = one[:, None] * np.uint64(0x9FB21C651E98DF25) + np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (both + np.uint64(region & MASK) * np.uint64(0x165667B19E3779F9)).ravel()
+
+
+def draw(graph: list, rates: np.ndarray, seed: int, keys: np.ndarray, ahead: list[np.ndarray]) -> np.ndarray:
+    """Two haplotypes (bits by site) for each key, drawn backwards from the forward probabilities. The keys are those of
+    the samples in order, as many for each."""
+    n = len(keys)
+    of = np.repeat(np.arange(len(ahead[0])), n // len(ahead[0]))
+    codes, pair = np.zeros((n, 2), np.int64), None
     for site in range(len(graph) - 1, -1, -1):
-        weights = ahead[site]
+        weights = ahead[site][of]
         if pair is not None:
             step, rate, shares = graph[site + 1][2], rates[site + 1], graph[site][1]
-            # weights of the parents that lead to the pair drawn, each side with or without a switch
-            sides = []
-            for child in pair:
-                sides.append((step[:, child], step[:, child] @ shares))
-            (u, su), (v, sv) = sides
-            keep = 1.0 - rate
-            weights = weights * (keep * keep * np.outer(u, v) + keep * rate * (u[:, None] * sv + su * v[None, :]) + rate * rate * su * sv)
-        flat = weights.ravel().cumsum()
-        at = min(int(np.searchsorted(flat, rng.random() * flat[-1], "right")), len(flat) - 1)
-        pair = (at // weights.shape[1], at % weights.shape[1])
-        for k in (0, 1):
-            codes[k] |= int(graph[site][0][pair[k]]) << site
-    return codes[0], codes[1]
+            # by side, what leads from each parent to the child drawn: by the edge, or from a node drawn by its share
+            one, two = (((1.0 - rate) * step + rate * (shares @ step)).T[pair[:, k]] for k in (0, 1))
+            weights = weights * one[:, :, None] * two[:, None, :]
+        sums = weights.reshape(n, -1).cumsum(1)
+        at = np.minimum((sums <= (uniforms(seed, keys, site) * sums[:, -1])[:, None]).sum(1), sums.shape[1] - 1)
+        pair = np.stack(np.divmod(at, weights.shape[2]), axis=1)
+        codes |= graph[site][0][pair].astype(np.int64) << site
+    return codes
 
 
 def chunks(phreds: DataFrame) -> DataFrame:
@@ -151,14 +163,19 @@ def chunks(phreds: DataFrame) -> DataFrame:
     return each.groupBy("region", "chunk").agg(F.array_sort(F.collect_list(F.struct("sample_id", "reads"))).alias("samples"))
 
 
-def _work(rows: pd.DataFrame, sites: int):
-    """For each row the region, the sample ids, the graph, and the phreds by sample, site and dose."""
-    for region, samples, nodes, edges in zip(rows["region"], rows["samples"], rows["nodes"], rows["edges"]):
-        phreds = np.zeros((len(samples), sites, 3))
-        for k, s in enumerate(samples):
-            for r in s["reads"]:
-                phreds[k, r["site"]] = r["pl0"], r["pl1"], r["pl2"]
-        yield region, [s["sample_id"] for s in samples], levels(nodes, edges), phreds
+def _work(batch: pa.RecordBatch, sites: int) -> Iterator[tuple[int, np.ndarray, list, np.ndarray]]:
+    """For some samples of a row at a time the region, the sample ids, the graph, and the phreds by sample, site and
+    dose: as many as keep the pairs of nodes of all sites within PAIRS numbers, one at least."""
+    for k in range(batch.num_rows):
+        nodes, edges, samples = (batch.column(c)[k].values for c in ("nodes", "edges", "samples"))
+        graph = levels(columns(nodes), columns(edges))
+        ids, reads = samples.field("sample_id").to_numpy(), samples.field("reads")
+        phreds = np.zeros((len(ids), sites, 3))
+        found, of = columns(reads.flatten()), np.repeat(np.arange(len(ids)), np.diff(reads.offsets.to_numpy()))
+        phreds[of, found["site"]] = np.stack([found[f"pl{g}"] for g in range(3)], axis=1)
+        some = max(1, PAIRS // sum(len(share) ** 2 for _, share, _ in graph))
+        for start in range(0, len(ids), some):
+            yield batch.column("region")[k].as_py(), ids[start : start + some], graph, phreds[start : start + some]
 
 
 def posteriors(phreds: DataFrame, nodes: DataFrame, edges: DataFrame, sites: int, rate: float = 0.01) -> DataFrame:
@@ -166,13 +183,14 @@ def posteriors(phreds: DataFrame, nodes: DataFrame, edges: DataFrame, sites: int
     pl1, pl2) and the region's graph; sites without reads are flat. Samples of a region without a graph drop out."""
     rows = chunks(phreds).join(graph_rows(nodes, edges), "region")
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for region, ids, graph, reads in _work(batch, sites):
                 p = posterior(graph, reads, np.full(sites, rate)).reshape(-1, 3)
-                yield pd.DataFrame({"region": region, "sample_id": np.repeat(ids, sites), "site": np.tile(np.arange(sites), len(ids)), "p0": p[:, 0], "p1": p[:, 1], "p2": p[:, 2]})
+                made = {"region": np.full(len(p), region), "sample_id": np.repeat(ids, sites), "site": np.tile(np.arange(sites, dtype=np.int32), len(ids))}
+                yield pa.record_batch(made | {f"p{g}": np.ascontiguousarray(p[:, g]) for g in range(3)})
 
-    return rows.mapInPandas(work, "region long, sample_id long, site int, p0 double, p1 double, p2 double")
+    return rows.mapInArrow(work, "region long, sample_id long, site int, p0 double, p1 double, p2 double")
 
 
 def draws(phreds: DataFrame, nodes: DataFrame, edges: DataFrame, sites: int, rounds: int, rate: float = 0.01, seed: int = 1) -> DataFrame:
@@ -180,43 +198,42 @@ def draws(phreds: DataFrame, nodes: DataFrame, edges: DataFrame, sites: int, rou
     region, sample and round alone set the draw."""
     rows = chunks(phreds).join(graph_rows(nodes, edges), "region")
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for region, ids, graph, reads in _work(batch, sites):
                 rates = np.full(sites, rate)
-                ahead = forward(graph, reads, rates)
-                made = []
-                for k, sample in enumerate(ids):
-                    mine = [a[k] for a in ahead]
-                    made += [(region, sample, n, *draw(graph, rates, np.random.default_rng([x & MASK for x in (seed, region, sample, n)]), mine)) for n in range(rounds)]
-                yield pd.DataFrame(made, columns=["region", "sample_id", "round", "code1", "code2"])
-
-    return rows.mapInPandas(work, "region long, sample_id long, round int, code1 long, code2 long")
-
-
-def vote(pairs: list[tuple[int, int]], sites: int) -> tuple[int, int, int, int]:
-    """The consensus of haplotype pairs with unknown phase: two codes, flips and errors.
-
-    A pair begins turned so that the reference stands first at its first differing site; at a site the commonest of the four ordered genotypes wins, the lowest of equals. Where a heterozygote wins, the pairs that
-    voted for its mirror image are turned from there on."""
-    bit = np.array([[[c >> s & 1 for s in range(sites)] for c in p] for p in pairs])
-    differ = bit[:, 0] != bit[:, 1]
-    first = differ.argmax(1)
-    turn = np.where(differ.any(1), bit[np.arange(len(pairs)), 0, first], 0)
-    codes, flips, errors = [0, 0], 0, 0
-    row = np.arange(len(pairs))
+                codes = draw(graph, rates, seed, draw_keys(region, ids.tolist(), rounds), forward(graph, reads, rates))
+                yield pa.record_batch({"region": np.full(len(codes), region), "sample_id": np.repeat(ids, rounds), "round": np.tile(np.arange(rounds, dtype=np.int32), len(ids)), "code1": np.ascontiguousarray(codes[:, 0]), "code2": np.ascontiguousarray(codes[:, 1])})
+
+    return rows.mapInArrow(work, "region long, sample_id long, round int, code1 long, code2 long")
+
+
+def vote(codes: np.ndarray, sites: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The consensus of haplotype pairs with unknown phase, for codes by sample, draw and side: codes by sample and
+    side, flips and errors.
+
+    A pair begins turned so that the reference stands first at its first differing site; at a site the commonest of the
+    four ordered genotypes wins, the lowest of equals. Where a heterozygote wins, the pairs that voted for its mirror
+    image are turned from there on."""
+    bit = (codes[..., None] >> np.arange(sites)) & 1
+    differ = bit[:, :, 0] != bit[:, :, 1]
+    first = differ.argmax(2)
+    turn = np.where(differ.any(2), np.take_along_axis(bit[:, :, 0], first[..., None], 2)[..., 0], 0)
+    out = np.zeros((len(codes), 2), np.int64)
+    flips, errors = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
     for s in range(sites):
-        kind = 2 * bit[row, turn, s] + bit[row, 1 - turn, s]
-        counts = np.bincount(kind, minlength=4)
-        best = int(counts.argmax())
-        codes[0] |= (best >> 1) << s
-        codes[1] |= (best & 1) << s
-        errors += int(counts[0] + counts[3]) if best in (1, 2) else len(pairs) - int(counts[best])
-        if best in (1, 2):
-            mirror = kind == 3 - best
-            flips += int(mirror.sum())
-            turn = np.where(mirror, 1 - turn, turn)
-    return codes[0], codes[1], flips, errors
+        here = bit[..., s]
+        front = np.take_along_axis(here, turn[..., None], 2)[..., 0]
+        kind = 2 * front + here.sum(2) - front
+        counts = (kind[..., None] == np.arange(4)).sum(1)
+        best = counts.argmax(1)
+        out |= np.stack([best >> 1, best & 1], axis=1) << s
+        het = (best == 1) | (best == 2)
+        errors += np.where(het, counts[:, 0] + counts[:, 3], codes.shape[1] - counts.max(1))
+        mirror = het[:, None] & (kind == 3 - best[:, None])
+        flips += mirror.sum(1)
+        turn = np.where(mirror, 1 - turn, turn)
+    return out, flips, errors
 
 
 def consensus(drawn: DataFrame, sites: int, *keys: str) -> DataFrame:
@@ -224,14 +241,21 @@ def consensus(drawn: DataFrame, sites: int, *keys: str) -> DataFrame:
 
     @F.pandas_udf("code1 long, code2 long, flips double, errors double")
     def voted(pairs: pd.Series) -> pd.DataFrame:
-        rows = []
-        for p in pairs:
-            a, b, flips, errors = vote([(int(x["code1"]), int(x["code2"])) for x in p], sites)
-            rows.append((a, b, flips / len(p), errors / len(p)))
-        return pd.DataFrame(rows, columns=["code1", "code2", "flips", "errors"])
+        sizes = pairs.map(len).to_numpy()
+        flat = np.concatenate(pairs.to_list()).reshape(-1, 2) if len(pairs) else np.zeros((0, 2), np.int64)
+        starts = np.cumsum(sizes) // 2 - sizes // 2
+        out = np.zeros((len(pairs), 4))
+        codes = np.zeros((len(pairs), 2), np.int64)
+        for size in np.unique(sizes).tolist():  # samples of as many draws together
+            of = np.flatnonzero(sizes == size)
+            rows = starts[of][:, None] + np.arange(size // 2)
+            codes[of], flips, errors = vote(flat[rows], sites)
+            out[of, 2], out[of, 3] = flips / (size // 2), errors / (size // 2)
+        return pd.DataFrame({"code1": codes[:, 0], "code2": codes[:, 1], "flips": out[:, 2], "errors": out[:, 3]})
 
     each = drawn.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("round", "code1", "code2"))).alias("pairs"))
-    return each.withColumn("v", voted("pairs")).select(*keys, "v.*")
+    flat = F.flatten(F.transform("pairs", lambda x: F.array(x["code1"], x["code2"])))
+    return each.withColumn("v", voted(flat)).select(*keys, "v.*")
 
 
 def initial_haplotypes(post: DataFrame, seed: int = 1, copy: Column | None = None) -> DataFrame:

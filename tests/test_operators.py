@@ -165,8 +165,7 @@ def test_draws_follow_the_posterior():
     rng = np.random.default_rng(3)
     graph = small_graph(rng)
     phreds, rates = rng.integers(0, 15, (1, 4, 3)).astype(float), np.full(4, 0.05)
-    ahead = [a[0] for a in phasing.forward(graph, phreds, rates)]
-    drawn = [phasing.draw(graph, rates, np.random.default_rng([1, k]), ahead) for k in range(4000)]
+    drawn = phasing.draw(graph, rates, 1, phasing.draw_keys(5, [9], 4000), phasing.forward(graph, phreds, rates)).tolist()
     share = np.array([[np.mean([(a >> s & 1) + (b >> s & 1) == g for a, b in drawn]) for g in range(3)] for s in range(4)])
     assert np.abs(share - phasing.posterior(graph, phreds, rates)[0]).max() < 0.04
 
@@ -182,7 +181,8 @@ def test_posteriors_of_a_table(spark):
     reads = [(0, 1, s, 0, 30, 60) for s in range(4)] + [(0, 2, 1, 60, 30, 0), (9, 3, 0, 0, 0, 0)]
     rows = phasing.posteriors(spark.createDataFrame(reads, "region long, sample_id long, site int, pl0 long, pl1 long, pl2 long"), nodes, edges, 4).collect()
     assert len(rows) == 8 and {r.sample_id for r in rows} == {1, 2}
-    graph = phasing.levels(*phasing.graph_rows(nodes, edges).select("nodes", "edges").first())
+    row = phasing.graph_rows(nodes, edges).select("nodes", "edges").toArrow()
+    graph = phasing.levels(*(phasing.columns(row.column(c)[0].values) for c in ("nodes", "edges")))
     one = np.array([[[0, 30, 60]] * 4], float)
     exp = brute_posterior(graph, one[0], np.full(4, 0.01))
     got = np.array([[r.p0, r.p1, r.p2] for r in sorted(rows, key=lambda r: r.site) if r.sample_id == 1])
@@ -192,12 +192,14 @@ def test_posteriors_of_a_table(spark):
 def test_consensus_of_draws(spark):
     # 4 sites, read from bit 0: two draws of one phase, one of the mirror image, one that flips half way
     a, b = 0b0101, 0b1010
-    assert phasing.vote([(a, b), (a, b), (b, a)], 4)[:2] == (0b1010, 0b0101)
-    one, other, flips, errors = phasing.vote([(0b0011, 0b1100), (0b0011, 0b1100), (0b1111, 0b0000)], 4)
-    assert {one, other} == {0b0011, 0b1100} and flips == 1 and errors == 0
-    rows = spark.createDataFrame([(1, k, a, b) for k in range(3)] + [(2, 0, 0, 0)], "sample_id long, round int, code1 long, code2 long")
+    codes, flips, errors = phasing.vote(np.array([[(a, b), (a, b), (b, a)], [(3, 12), (3, 12), (15, 0)]]), 4)
+    assert codes[0].tolist() == [0b1010, 0b0101] and set(codes[1].tolist()) == {3, 12}
+    assert flips.tolist() == [0, 1] and errors.tolist() == [0, 0]
+    rows = spark.createDataFrame([(1, k, a, b) for k in range(3)] + [(2, 0, 0, 0), (3, 0, 1, 1), (3, 1, 1, 0), (3, 2, 0, 0)], "sample_id long, round int, code1 long, code2 long")
     out = {r.sample_id: r for r in phasing.consensus(rows, 4, "sample_id").collect()}
     assert {out[1].code1, out[1].code2} == {a, b} and (out[2].code1, out[2].errors) == (0, 0.0)
+    assert (out[3].code1, out[3].code2, out[3].flips, round(out[3].errors, 6)) == (0, 0, 0.0, round(2 / 3, 6))
+    assert phasing.consensus(rows.limit(0), 4, "sample_id").count() == 0
 
 
 def test_initial_haplotypes_follow_the_posterior(spark):
