@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import genetics as G
 from ..functions.genetics import r6
 from ..functions import stats as S
-from ..operators import genotypes, haplotypes, markers, phasing
+from ..operators import genotypes, haplotypes, markers, merging, phasing
 from ..sources import sinks, vcf
 from ..sources import views as V
 
@@ -472,4 +472,9 @@ def initial_haplotypes(spark, d):
     return phasing.initial_haplotypes(genotypes.posteriors(V.phreds(spark, d))).select("sample_id", "site", "allele1", "allele2")
 
 
-QUERIES |= {f.__name__: f for f in (ks_similar, phase_posterior, phase_consensus, initial_haplotypes)}
+def graph_merged(spark, d):
+    """The graph with nodes merged by how their haplotypes go on; merging goes from site to site, which SQL can't."""
+    return haplotypes.edge_probabilities(merging.merged_graph(V.haplotypes(spark, d), V.SITES)[1])
+
+
+QUERIES |= {f.__name__: f for f in (graph_merged, ks_similar, phase_posterior, phase_consensus, initial_haplotypes)}

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lociflow.functions import genetics as G
 from lociflow.functions import stats as S
-from lociflow.operators import genotypes, haplotypes, markers, phasing
+from lociflow.operators import genotypes, haplotypes, markers, merging, phasing
 from lociflow.sources import sinks, vcf
 
 #: 600 haplotypes of 4 sites.
@@ -365,3 +366,65 @@ def test_other_allele(spark):
     rows = spark.createDataFrame([("A", "A", "0"), ("A", "0", "A"), ("A", "T", "G"), ("A", "C", "G"), ("A", "C", "A"), ("A", "T", "0")], "r string, a string, b string")
     got = rows.select(markers.resolved_alt(F.col("r"), F.col("a"), F.col("b")), markers.resolved_alt(F.col("r"), F.col("a"), F.col("b"), flip=False)).collect()
     assert [tuple(r) for r in got] == [(".", "."), (".", "."), ("C", "."), (".", "."), ("C", "C"), (".", ".")]
+
+
+#: 600 haplotypes of 4 sites, whose nodes merge.
+MERGING = [("0000", 21), ("0001", 79), ("0011", 95), ("0110", 116), ("1000", 25), ("1001", 112), ("1011", 152)]
+
+
+def test_merged_graph(spark):
+    rows, k = [], 0
+    for text, n in MERGING:
+        rows += [(3, k + i, sum(1 << s for s in range(4) if text[s] == "1")) for i in range(n)]
+        k += n
+    table = spark.createDataFrame(rows, "region long, hap_id long, code long")
+    nodes, edges = merging.merged_graph(table, 4)
+    found = {}
+    for r in nodes.orderBy("site", "node").collect():
+        found.setdefault(r.site, []).append((r.allele, r.n))
+    assert [len(found[s]) for s in range(3)] == [2, 2, 3]
+    assert [[a for a, _ in found[s]] for s in range(3)] == [[0, 1], [0, 1], [0, 1, 1]] or sorted(a for a, _ in found[2]) == [0, 1, 1]
+    assert sorted(n for _, n in found[3]) == [46, 116, 191, 247]
+    assert {r["s"] for r in edges.groupBy("site").agg(F.sum("n").alias("s")).collect()} == {600}
+    assert merging.merged_graph(table.limit(0), 4)[0].count() == 0
+
+
+def test_merging_against_loops():
+    rng = np.random.default_rng(12)
+    for _ in range(20):
+        sites, codes = 6, np.unique(rng.integers(0, 64, 30))
+        counts = rng.integers(1, 40, len(codes))
+        label = dict.fromkeys(codes.tolist(), -1)
+        exp = set()
+        for site in range(sites):
+            groups = {}
+            for c, n in zip(codes.tolist(), counts.tolist()):
+                groups.setdefault((label[c], c >> site & 1), []).append((c, n))
+            keys = sorted(groups)
+            sibling = {g: site == 0 or sum(p == g[0] for p, _ in keys) > 1 for g in keys}
+
+            def share(g, depth, way):
+                return sum(n for c, n in groups[g] if (c >> site + 1) & ((1 << depth) - 1) == way) / sum(n for _, n in groups[g])
+
+            while site < sites - 1:
+                pairs = []
+                for g, h in itertools.combinations(keys, 2):
+                    if g[1] == h[1] and (sibling[g] or sibling[h]):
+                        d = max(abs(share(g, k, w) - share(h, k, w)) for k in range(1, sites - site) for w in range(1 << k))
+                        limit = 0.8 * 1.44 * 1.22 * math.sqrt(sum(1 / sum(n for _, n in groups[x]) for x in (g, h)))
+                        pairs.append((round(d / limit, 12), g, h))
+                if not pairs or min(pairs)[0] > 1:
+                    break
+                _, g, h = min(pairs)
+                groups[g] += groups.pop(h)
+                sibling[g] |= sibling[h]
+                keys.remove(h)
+            before = dict(label)
+            for number, g in enumerate(keys):
+                for c, _ in groups[g]:
+                    label[c] = number
+            sums = Counter()
+            for c, n in zip(codes.tolist(), counts.tolist()):
+                sums[site, before[c], label[c], c >> site & 1] += n
+            exp |= {(*k, n) for k, n in sums.items()}
+        assert set(merging.merged_edges(codes, counts, sites, 16, 0.8)) == exp
