@@ -191,13 +191,17 @@ class Block:
 
     def contexts(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens after a counted context of that length, the sorted distinct contexts, and each such token's place
-        among them."""
-        often = self.counts[length] >= self.model.how.least
-        places = np.flatnonzero((self.before[1:] >= length) & often[:-1]) + 1
+        among them. Contexts that can't have a counted successor are left out: those that occur less than the least
+        count beside the successors seen here that aren't counted."""
+        least = self.model.how.least
+        places = np.flatnonzero((self.before[1:] >= length) & (self.counts[length][:-1] >= least)) + 1
         _, found, _, of_token = self.asked[length]
         mine = of_token[places - 1]
-        here = np.zeros(len(found), bool)
-        here[mine] = True
+        rare = self.train[places] & (self.counts[length + 1][places] < least)
+        left = np.zeros(len(found), np.int64)
+        left[mine] = self.counts[length][places - 1]
+        here = left - np.bincount(mine[rare], minlength=len(found)) >= least
+        places, mine = places[here[mine]], mine[here[mine]]
         return places, found[here], (np.cumsum(here) - 1)[mine]
 
     def ask(self, kind: int, keys: np.ndarray, sums: list[np.ndarray]) -> Iterator[dict]:
