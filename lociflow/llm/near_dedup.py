@@ -39,7 +39,7 @@ from .words import Hashes, blocks, chain, mix64, texts
 #: Words of parity bits of a text's shingles.
 MARKS = 8
 #: Bytes of text whose shingles are held at once.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 RESULT = ("class_id", "class_size", "kept")
 
 

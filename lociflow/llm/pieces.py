@@ -43,11 +43,11 @@ from .words import blocks, chain, mix64
 
 SPACE = "▁"
 RESULT = ("pieces", "n_pieces", "scores", "others", "round_trip")
-CACHE = 120_000
+CACHE, FEW = 60_000, 20_000
 #: Longer chunks are searched one by one.
 LONG = 48
 #: Bytes of text encoded at once, and characters of new chunks whose tables are filled at once: what a task holds.
-BLOCK, TABLE = 1 << 20, 1 << 16
+BLOCK, TABLE = 1 << 19, 1 << 15
 #: Scores are multiples of this.
 UNIT = 2.0**-20
 
@@ -269,7 +269,7 @@ class Pieces(dict):
             return [(top, {})]
         near = np.argsort(losses, kind="stable")[: n - 1].tolist()
         near = [i for i in near if losses[i] < math.inf]
-        if len(self.few) > CACHE:
+        if len(self.few) > FEW:
             self.few.clear()
         options = []
         for i in near:

@@ -168,9 +168,13 @@ def train(docs: DataFrame, labels: DataFrame, how: Settings = Settings()) -> Mac
     sample = marks.where(F.col("turn") < 2.0**32 * min(1.0, how.most_rows / max(n, 1)))
     # at most about most_rows narrow rows, so the texts stay where they are
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    # one row a label, however often its doc_id occurs, so that the sample stays within its bound
-    one_each = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "label", "turn")).alias("r"))
-    rows = stored(one_each.select("r.text", "r.label", "r.turn"), "sample")
+    # one row a label, however often its doc_id occurs, so that the sample stays within its bound; the ids that occur
+    # more than once are found without the texts, and are at most as many as the sample
+    often = docs.select("doc_id").join(F.broadcast(sample.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    often = F.broadcast(stored(often.where("n > 1").select("doc_id"), "often"))
+    least = rows.join(often, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "label", "turn")).alias("r"))
+    once = rows.join(often, "doc_id", "left_anti").select("text", "label", "turn")
+    rows = stored(once.unionByName(least.select("r.text", "r.label", "r.turn")), "sample")
     counts = rows.mapInArrow(lambda b: _count(b, how.bits), "term long, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     zero, one = rows.agg(F.coalesce(F.sum(1 - F.col("label")), F.lit(0)), F.coalesce(F.sum("label"), F.lit(0))).first()
     a, b = F.col("n1"), F.col("n0")
