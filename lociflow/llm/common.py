@@ -100,3 +100,11 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "root")
         if not moved:
             return labels
+
+
+#: For the SQL twins: a table `crc_table` of one row, and the unsigned CRC-32 of an ASCII text where it is joined.
+CRC_TABLE = "crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384))) AS crcs)"
+
+
+def crc_sql(text: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295)"

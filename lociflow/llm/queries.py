@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, exact_dedup, mixing, near_dedup, pieces, pst, secrets, toxicity, url_filter
+from . import ann, chat, exact_dedup, mixing, near_dedup, packing, pieces, prefixes, pst, secrets, structure, toxicity, url_filter
 from .common import stored
 
 
@@ -71,5 +71,20 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_lm_scoring, op4_chat_format, op5_pieces, op6_secrets, op7_near_dedup, op8_toxicity, op9_exact_dedup, op10_neighbours)}
-ORACLES = {"op1_url_filter": url_filter.sql(), "op2_mixing": mixing.sql(), "op6_secrets": secrets.sql(), "op9_exact_dedup": exact_dedup.SQL}
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return structure.of_all(turns, *structure.repair(structure.damaged(turns)))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefixes.trie(*prefixes.rebuilt(turns))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_lm_scoring, op4_chat_format, op5_pieces, op6_secrets, op7_near_dedup, op8_toxicity, op9_exact_dedup, op10_neighbours, op11_structure_repair, op12_packing, op13_prefix_trie)}
+ORACLES = {"op1_url_filter": url_filter.sql(), "op2_mixing": mixing.sql(), "op6_secrets": secrets.sql(), "op9_exact_dedup": exact_dedup.SQL, "op11_structure_repair": structure.sql(), "op13_prefix_trie": prefixes.sql()}
