@@ -33,7 +33,8 @@ BITS = {"hex": 3.0, "alnum": 3.6, "base64": 3.9}
 #: A part of a path between slashes: words (one case, or capitals in front), each with up to eight digits behind it.
 PART = r"([A-Z]?[a-z]+([A-Z][a-z]+)*|[A-Z]+)?[0-9]{0,8}"
 SEGMENT = rf"{PART}([_-]{PART})*"
-# Candidates that are no secrets: identifiers, placeholders, counted-up digits, file paths and names.
+# Candidates that are no secrets: identifiers, placeholders, counted-up digits, file paths and names. The last two repeat
+# groups, for which Java's matcher recurses, once a part: allowed() tests the parts instead.
 ALLOW = (
     r"^[/_+-]*[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i)example|sample|placeholder|dummy|changeme|your[_-]|xxxx",
@@ -108,13 +109,26 @@ def entropy_peak(chars: Column, window: int = WINDOW) -> Column:
     return bound(F.transform(chars, lambda c: F.instr(F.lit(ALPHABET), c)), over)
 
 
+def _is_part(part: Column) -> Column:
+    """PART: letters and up to eight digits; the letters all capitals, or each capital with a small letter behind it."""
+    return part.rlike("^[A-Za-z]*[0-9]{0,8}$") & (part.rlike("^[A-Z]*[0-9]*$") | ~part.rlike("[A-Z]([A-Z0-9]|$)"))
+
+
+def allowed(m: Column) -> Column:
+    """Whether a candidate is on the allow-list, for candidates of any length."""
+    found = F.lit(False)
+    for pattern in ALLOW[:3]:
+        found = found | m.rlike(pattern)
+    path = (F.size(F.split(m, "/")) > 2) & F.forall(F.split(F.regexp_replace(m, "^[A-Za-z_-]+=", ""), "[/_-]"), _is_part)
+    words = F.regexp_replace(F.regexp_replace(m, "^[/_+-]+", ""), "[_-]?[0-9]{0,4}$", "")
+    name = words.rlike("^[A-Za-z]([A-Za-z_-]*[A-Za-z])?$") & ~words.rlike("[_-]{2}")
+    return found | path | name
+
+
 def is_secret(m: Column) -> Column:
     mixed = m.rlike("[0-9]") & m.rlike("[A-Za-z]")
     bits = F.when(m.rlike("^[0-9a-fA-F]+$"), BITS["hex"]).when(m.rlike("^[A-Za-z0-9]+$"), BITS["alnum"]).otherwise(BITS["base64"])
-    allowed = F.lit(False)
-    for pattern in ALLOW:
-        allowed = allowed | m.rlike(pattern)
-    return F.when(mixed & ~allowed, bound(F.split(m, ""), entropy_peak) >= bits).otherwise(False)
+    return F.when(mixed & ~allowed(m), bound(F.split(m, ""), entropy_peak) >= bits).otherwise(False)
 
 
 def base_spans(text: Column, k: int, name: str, pattern: str, group: int, least: int) -> Column:
