@@ -6,6 +6,8 @@ import math
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,20 +89,28 @@ def panel_ref_freq(info: Column, alts: Column) -> Column:
     return F.coalesce(F.when(F.size(alts) > 1, af).otherwise(1.0 - af), 1.0 - (ac + 0.5) / (an + 1.0), F.lit(1e-6))
 
 
-def error_rate(matches: Column, mismatches: Column, uncertain: Column, rounds: int = 200) -> Column:
+def settled_error(matches: np.ndarray, mismatches: np.ndarray, uncertain: np.ndarray) -> np.ndarray:
+    known = matches + mismatches
+    rate = np.divide(mismatches, known, out=np.zeros(len(known)), where=known > 0)
+    going = (known > 0) & (uncertain > 0) & (rate > 1e-10)
+    while going.any():
+        r, u = rate[going], uncertain[going]
+        new = (mismatches[going] + 2.0 * u * r * r / (r * r + (1.0 - r) ** 2)) / (known[going] + 2.0 * u)
+        rate[going] = new
+        going[going] = (np.abs(new - r) > 1e-4 * new) & (new > 1e-10)
+    return rate
+
+
+def error_rate(matches: Column, mismatches: Column, uncertain: Column) -> Column:
     """The share of mismatches, where each of the uncertain pairs holds two mismatches or none: the fixed point of
-    r = (mismatches + 2 u r^2 / (r^2 + (1 - r)^2)) / (all + 2 u), by rounds that stop within 1e-4 of the last."""
-    whole = matches + mismatches + 2.0 * uncertain
-    start = F.when(matches + mismatches > 0, mismatches / (matches + mismatches)).otherwise(F.lit(0.0))
-
-    def step(acc: Column, _: Column) -> Column:
-        r = acc["r"]
-        new = (mismatches + 2.0 * uncertain * r * r / (r * r + (1.0 - r) * (1.0 - r))) / whole
-        near = F.abs(new - r) <= 1e-4 * r
-        return F.when(acc["done"], acc).otherwise(F.struct(new.alias("r"), near.alias("done")))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(start.cast("double").alias("r"), F.lit(False).alias("done")), step, lambda acc: acc["r"])
-    return F.when(whole > 0, F.when(uncertain > 0, found).otherwise(start)).otherwise(F.lit(0.0))
+    r = (mismatches + 2 u r^2 / (r^2 + (1 - r)^2)) / (all + 2 u), by steps until one moves it by no more than 1e-4 of
+    itself or it is below 1e-10; 0 where nothing but uncertain pairs was counted."""
+
+    @F.pandas_udf("double")
+    def settled(m: pd.Series, x: pd.Series, u: pd.Series) -> pd.Series:
+        return pd.Series(settled_error(*(c.fillna(0).to_numpy(float) for c in (m, x, u))))
+
+    return settled(*(c.cast("double") for c in (matches, mismatches, uncertain)))
 
 
 def r6(c: Column) -> Column:

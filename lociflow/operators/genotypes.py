@@ -34,6 +34,16 @@ def marker_info(post: DataFrame) -> DataFrame:
     return m.select("site", "freq", F.least("freq", 1 - F.col("freq")).alias("maf"), "avg_post", (F.col("v2") / (F.col("v1") + 1e-30)).alias("rsq"))
 
 
+def draw_dosages(drawn: DataFrame, sites: int, *keys: str) -> DataFrame:
+    """(keys, sample_id, site, n, p0, p1, p2, dosage, best, quality) of drawn haplotypes (keys, sample_id, code1, code2): how
+    many draws there are, the shares of 0, 1 and 2 alternative alleles among them, the mean dose, the commonest genotype
+    (ties to 0, then 1) and its share. A task sends one row for each of its samples and sites."""
+    rows = drawn.select(*keys, "sample_id", "code1", "code2").withColumn("site", F.explode(F.sequence(F.lit(0), F.lit(sites - 1))))
+    dose = F.expr("cast((shiftright(code1, site) & 1) + (shiftright(code2, site) & 1) as int)")
+    out = rows.groupBy(*keys, "sample_id", "site").agg(F.count(F.lit(1)).alias("n"), *[F.avg((dose == k).cast("double")).alias(f"p{k}") for k in range(3)])
+    return out.select("*", (F.col("p1") + 2 * F.col("p2")).alias("dosage"), best().alias("best"), F.greatest("p0", "p1", "p2").alias("quality"))
+
+
 def welch(post: DataFrame, status: DataFrame) -> DataFrame:
     """Case-control t of the reference dosage by site (1: controls, 2: cases), Satterthwaite's degrees of freedom and
     the two-sided p-value; sites with a group of one or none are left out. Where neither group varies, the guard of

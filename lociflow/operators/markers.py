@@ -91,6 +91,16 @@ def updated_theta(counts: DataFrame, haplotypes: int) -> DataFrame:
     return counts.join(F.broadcast(pool)).select("site", F.when(few, F.col("base")).otherwise(F.col("crossovers") / F.lit(float(haplotypes))).alias("theta"))
 
 
+def updated_error(counts: DataFrame) -> DataFrame:
+    """(site, error) from counted alleles (site, matches, mismatches, uncertain: pairs that hold two mismatches or none):
+    sites of two mismatches at most share the rate of all such sites, the others have their own."""
+    few, names = F.col("mismatches") <= 2, ("matches", "mismatches", "uncertain")
+    pool = counts.where(few).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    pool = pool.select(G.error_rate(*map(F.col, names)).alias("base"))
+    own = G.error_rate(*map(F.col, names))
+    return counts.join(F.broadcast(pool)).select("site", F.when(few, F.col("base")).otherwise(own).alias("error"))
+
+
 def resolved_alt(ref: Column, a1: Column, a2: Column, flip: bool = True) -> Column:
     """The allele that isn't the reference, also on the other strand if `flip`; `.` if neither strand has the
     reference, or where the other allele is missing (`0`)."""

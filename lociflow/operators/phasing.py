@@ -55,14 +55,30 @@ def columns(structs: pa.StructArray) -> dict[str, np.ndarray]:
     return {f.name: structs.field(f.name).to_numpy(zero_copy_only=False) for f in structs.type}
 
 
-def emissions(phreds: np.ndarray, alleles: np.ndarray) -> np.ndarray:
-    """By sample (a row of three phreds), the likelihood of each pair of nodes; excluded genotypes count 0 unless all
-    are."""
+def penetrance(error: float) -> np.ndarray:
+    """By the dose that a pair of nodes holds and the genotype's dose, its probability where each allele is the other
+    one with probability `error`."""
+    keep = 1.0 - error
+    hom, het = (keep * keep, 2.0 * error * keep, error * error), (error * keep, keep * keep + error * error, error * keep)
+    return np.array([hom, het, hom[::-1]])
+
+
+def likelihoods(phreds: np.ndarray) -> np.ndarray:
+    """Likelihoods of the doses by sample; excluded ones are 0 unless all are."""
+    like = 10.0 ** (-0.1 * phreds)
+    found = np.where(phreds < EXCLUDED, like, 0.0)
+    return np.where(found.any(axis=-1, keepdims=True), found, like)
+
+
+def emissions(phreds: np.ndarray, alleles: np.ndarray, error: float = 0.0) -> np.ndarray:
+    """By sample (a row of three phreds), the likelihood of each pair of nodes, whose alleles may be misread; excluded
+    genotypes count 0 unless all that the pairs may give are."""
     doses = alleles[:, None] + alleles[None, :]
+    chance = penetrance(error)
     like = 10.0 ** (-0.1 * phreds)
-    found = np.where(phreds < EXCLUDED, like, 0.0)[:, doses]
+    found = (np.where(phreds < EXCLUDED, like, 0.0) @ chance.T)[:, doses]
     none = ~found.any(axis=(1, 2))
-    found[none] = like[none][:, doses]
+    found[none] = (like[none] @ chance.T)[:, doses]
     return found
 
 
@@ -86,36 +102,42 @@ def gathered(values: np.ndarray, shares: np.ndarray, rate: float) -> np.ndarray:
     return keep * keep * values + keep * rate * (one[:, :, None] + other[:, None, :]) + rate * rate * (one @ shares)[:, None, None]
 
 
-def forward(graph: list, phreds: np.ndarray, rates: np.ndarray) -> list[np.ndarray]:
+def forward(graph: list, phreds: np.ndarray, rates: np.ndarray, errors: np.ndarray | None = None) -> list[np.ndarray]:
     """By site, the probability of each pair of nodes given the reads so far, for phreds by sample, site and dose."""
     out: list[np.ndarray] = []
+    errors = np.zeros(len(graph)) if errors is None else errors
     for site, (alleles, shares, step) in enumerate(graph):
         if not site:
             a = np.outer(shares, shares)[None]
         else:
             a = step.T @ mixed(out[-1], graph[site - 1][1], rates[site]) @ step
-        out.append(_scaled(a * emissions(phreds[:, site], alleles)))
+        out.append(_scaled(a * emissions(phreds[:, site], alleles, errors[site])))
     return out
 
 
-def backward(graph: list, phreds: np.ndarray, rates: np.ndarray) -> list[np.ndarray]:
+def backward(graph: list, phreds: np.ndarray, rates: np.ndarray, errors: np.ndarray | None = None) -> list[np.ndarray]:
     """By site, in proportion to the probability of the later reads given a pair of nodes."""
+    errors = np.zeros(len(graph)) if errors is None else errors
     out = [np.ones((len(phreds), *(len(graph[-1][0]),) * 2))]
     for site in range(len(graph) - 1, 0, -1):
         alleles, _, step = graph[site]
-        b = step @ (out[0] * emissions(phreds[:, site], alleles)) @ step.T
+        b = step @ (out[0] * emissions(phreds[:, site], alleles, errors[site])) @ step.T
         out.insert(0, _scaled(gathered(b, graph[site - 1][1], rates[site])))
     return out
 
 
-def posterior(graph: list, phreds: np.ndarray, rates: np.ndarray) -> np.ndarray:
+def posterior(graph: list, phreds: np.ndarray, rates: np.ndarray, errors: np.ndarray | None = None) -> np.ndarray:
     """By sample and site, the probabilities of 0, 1 and 2 alternative alleles given all reads."""
     out = np.empty((len(phreds), len(graph), 3))
-    for site, (a, b) in enumerate(zip(forward(graph, phreds, rates), backward(graph, phreds, rates))):
+    errors = np.zeros(len(graph)) if errors is None else errors
+    for site, (a, b) in enumerate(zip(forward(graph, phreds, rates, errors), backward(graph, phreds, rates, errors))):
         doses = graph[site][0][:, None] + graph[site][0][None, :]
-        pairs = _scaled(a * b)
-        for dose in range(3):
-            out[:, site, dose] = pairs[:, doses == dose].sum(1)
+        # what the nodes say of the genotype, times what the reads do
+        held = a * b if not errors[site] else a * b / np.maximum(emissions(phreds[:, site], graph[site][0], errors[site]), 1e-300)
+        by_dose = np.stack([held[:, doses == dose].sum(1) for dose in range(3)], axis=1)
+        if errors[site]:
+            by_dose = by_dose @ penetrance(errors[site]) * likelihoods(phreds[:, site])
+        out[:, site] = by_dose / by_dose.sum(1, keepdims=True)
     return out
 
 
@@ -131,27 +153,70 @@ def draw_keys(region: int, ids: list[int], rounds: int) -> np.ndarray:
     """A key for each sample and round."""
     one = np.array([i & MASK for i in ids], np.uint64)
     both = one[:, None] * np.uint64(0x9FB21C651E98DF25) + np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (both + np.uint64(region & MASK) * np.uint64(0x165667B19E3779F9)).ravel()
+    return (both + np.uint64((region & MASK) * 0x165667B19E3779F9 & MASK)).ravel()
 
 
-def draw(graph: list, rates: np.ndarray, seed: int, keys: np.ndarray, ahead: list[np.ndarray]) -> np.ndarray:
-    """Two haplotypes (bits by site) for each key, drawn backwards from the forward probabilities. The keys are those of
-    the samples in order, as many for each."""
+def draw(graph: list, rates: np.ndarray, seed: int, keys: np.ndarray, ahead: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two haplotypes (bits by site) for each key, drawn backwards from the forward probabilities, and the sites in
+    front of which each has switched. The keys are those of the samples in order, as many for each."""
     n = len(keys)
     of = np.repeat(np.arange(len(ahead[0])), n // len(ahead[0]))
-    codes, pair = np.zeros((n, 2), np.int64), None
+    codes, crossed, pair = np.zeros((n, 2), np.int64), np.zeros((n, 2), np.int64), None
     for site in range(len(graph) - 1, -1, -1):
         weights = ahead[site][of]
         if pair is not None:
             step, rate, shares = graph[site + 1][2], rates[site + 1], graph[site][1]
             # by side, what leads from each parent to the child drawn: by the edge, or from a node drawn by its share
-            one, two = (((1.0 - rate) * step + rate * (shares @ step)).T[pair[:, k]] for k in (0, 1))
+            kept, anew = (1.0 - rate) * step, rate * (shares @ step)
+            one, two = ((kept + anew).T[pair[:, k]] for k in (0, 1))
             weights = weights * one[:, :, None] * two[:, None, :]
         sums = weights.reshape(n, -1).cumsum(1)
         at = np.minimum((sums <= (uniforms(seed, keys, site) * sums[:, -1])[:, None]).sum(1), sums.shape[1] - 1)
-        pair = np.stack(np.divmod(at, weights.shape[2]), axis=1)
+        new = np.stack(np.divmod(at, weights.shape[2]), axis=1)
+        if pair is not None:
+            for k in (0, 1):
+                switched = anew[pair[:, k]]
+                share = switched / np.maximum(switched + kept[new[:, k], pair[:, k]], 1e-300)
+                crossed[:, k] |= (uniforms(seed + 7919 * (k + 1), keys, site) < share).astype(np.int64) << (site + 1)
+        pair = new
         codes |= graph[site][0][pair].astype(np.int64) << site
-    return codes
+    return codes, crossed
+
+
+def imputed(codes: np.ndarray, phreds: np.ndarray, errors: np.ndarray, seed: int, keys: np.ndarray) -> np.ndarray:
+    """The haplotypes that the reads and the drawn nodes' alleles give together: the genotype is drawn from its
+    likelihood times the chance of misread alleles; a heterozygote keeps the order of differing nodes, unless both were
+    misread, and has an order drawn for it where they are alike."""
+    n = len(keys)
+    of = np.repeat(np.arange(len(phreds)), n // len(phreds))
+    out = np.zeros_like(codes)
+    for site in range(phreds.shape[1]):
+        held = (codes >> site) & 1
+        weights = penetrance(errors[site])[held.sum(1)] * likelihoods(phreds[:, site])[of]
+        bare = ~weights.any(axis=1)  # the reads exclude what the nodes hold
+        weights[bare] = likelihoods(phreds[:, site])[of[bare]]
+        sums = weights.cumsum(1)
+        dose = (sums <= (uniforms(seed + 104729, keys, site) * sums[:, -1])[:, None]).sum(1)
+        e = errors[site]
+        both = uniforms(seed + 1299709, keys, site) < e * e / (e * e + (1.0 - e) ** 2)
+        coin = uniforms(seed + 15485863, keys, site) < 0.5
+        first = np.where(held[:, 0] != held[:, 1], held[:, 0] ^ both, coin)
+        first = np.where(dose == 1, first, dose // 2)
+        out |= np.stack([first, dose - first], axis=1).astype(np.int64) << site
+    return out
+
+
+def imputed_counts(drawn: DataFrame, sites: int, *keys: str) -> DataFrame:
+    """(keys, site, matches, mismatches, uncertain, crossovers) of drawn haplotypes (keys, code1, code2, copied1,
+    copied2, crossed1, crossed2): by site, how many alleles agree with the nodes they were copied from, and not; how
+    many heterozygotes have nodes that differ, so that both agree or neither; and the switches in front of the site."""
+    rows = drawn.withColumn("site", F.explode(F.sequence(F.lit(0), F.lit(sites - 1))))
+    bit = lambda c: F.expr(f"cast(shiftright({c}, site) & 1 as int)")
+    got, held = bit("code1") + bit("code2"), bit("copied1") + bit("copied2")
+    pair = (got == 1) & (held == 1)
+    off = F.abs(got - held)
+    total = lambda c, name: F.sum(c.cast("long")).alias(name)
+    return rows.groupBy(*keys, "site").agg(total(F.when(pair, 0).otherwise(2 - off), "matches"), total(off, "mismatches"), total(pair, "uncertain"), total(bit("crossed1") + bit("crossed2"), "crossovers"))
 
 
 def chunks(phreds: DataFrame) -> DataFrame:
@@ -163,49 +228,66 @@ def chunks(phreds: DataFrame) -> DataFrame:
     return each.groupBy("region", "chunk").agg(F.array_sort(F.collect_list(F.struct("sample_id", "reads"))).alias("samples"))
 
 
-def _work(batch: pa.RecordBatch, sites: int) -> Iterator[tuple[int, np.ndarray, list, np.ndarray]]:
-    """For some samples of a row at a time the region, the sample ids, the graph, and the phreds by sample, site and
-    dose: as many as keep the pairs of nodes of all sites within PAIRS numbers, one at least."""
+def _work(batch: pa.RecordBatch, sites: int) -> Iterator[tuple[int, np.ndarray, list, np.ndarray, np.ndarray, np.ndarray]]:
+    """For some samples of a row at a time the region, the sample ids, the graph, the phreds by sample, site and dose,
+    and the rates and errors by site: as many as keep the pairs of nodes of all sites within PAIRS numbers, one at
+    least."""
     for k in range(batch.num_rows):
-        nodes, edges, samples = (batch.column(c)[k].values for c in ("nodes", "edges", "samples"))
+        nodes, edges, samples, by_site = (batch.column(c)[k].values for c in ("nodes", "edges", "samples", "by_site"))
         graph = levels(columns(nodes), columns(edges))
+        rates, errors = np.zeros(sites), np.zeros(sites)
+        own = columns(by_site)
+        rates[own["site"]], errors[own["site"]] = own["rate"], own["error"]
         ids, reads = samples.field("sample_id").to_numpy(), samples.field("reads")
         phreds = np.zeros((len(ids), sites, 3))
         found, of = columns(reads.flatten()), np.repeat(np.arange(len(ids)), np.diff(reads.offsets.to_numpy()))
         phreds[of, found["site"]] = np.stack([found[f"pl{g}"] for g in range(3)], axis=1)
         some = max(1, PAIRS // sum(len(share) ** 2 for _, share, _ in graph))
         for start in range(0, len(ids), some):
-            yield batch.column("region")[k].as_py(), ids[start : start + some], graph, phreds[start : start + some]
+            yield batch.column("region")[k].as_py(), ids[start : start + some], graph, phreds[start : start + some], rates, errors
 
 
-def posteriors(phreds: DataFrame, nodes: DataFrame, edges: DataFrame, sites: int, rate: float = 0.01) -> DataFrame:
-    """(region, sample_id, site, p0, p1, p2) for every site of the region, from phreds (region, sample_id, site, pl0,
-    pl1, pl2) and the region's graph; sites without reads are flat. Samples of a region without a graph drop out."""
+def _rows(phreds: DataFrame, nodes: DataFrame, edges: DataFrame, sites: int, rate: float | DataFrame, error: float) -> DataFrame:
+    """The rows that _work() takes; rates are one for all sites, or a table (region, site, rate, error)."""
     rows = chunks(phreds).join(graph_rows(nodes, edges), "region")
+    if isinstance(rate, DataFrame):
+        own = rate.groupBy("region").agg(F.collect_list(F.struct("site", "rate", "error")).alias("by_site"))
+        return rows.join(own, "region")
+    each = F.transform(F.sequence(F.lit(0), F.lit(sites - 1)), lambda k: F.struct(k.alias("site"), F.lit(float(rate)).alias("rate"), F.lit(float(error)).alias("error")))
+    return rows.withColumn("by_site", each)
+
+
+def posteriors(phreds: DataFrame, nodes: DataFrame, edges: DataFrame, sites: int, rate: float | DataFrame = 0.01, error: float = 0.0) -> DataFrame:
+    """(region, sample_id, site, p0, p1, p2) for every site of the region, from phreds (region, sample_id, site, pl0,
+    pl1, pl2) and the region's graph; sites without reads are flat. rate may be a table (region, site, rate, error).
+    Samples of a region without a graph drop out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for region, ids, graph, reads in _work(batch, sites):
-                p = posterior(graph, reads, np.full(sites, rate)).reshape(-1, 3)
-                made = {"region": np.full(len(p), region), "sample_id": np.repeat(ids, sites), "site": np.tile(np.arange(sites, dtype=np.int32), len(ids))}
+            for region, ids, graph, reads, rates, errors in _work(batch, sites):
+                p = posterior(graph, reads, rates, errors).reshape(-1, 3)
+                made = {"region": np.full(len(p), region), "sample_id": np.repeat(ids, len(graph)), "site": np.tile(np.arange(len(graph), dtype=np.int32), len(ids))}
                 yield pa.record_batch(made | {f"p{g}": np.ascontiguousarray(p[:, g]) for g in range(3)})
 
-    return rows.mapInArrow(work, "region long, sample_id long, site int, p0 double, p1 double, p2 double")
+    return _rows(phreds, nodes, edges, sites, rate, error).mapInArrow(work, "region long, sample_id long, site int, p0 double, p1 double, p2 double")
 
 
-def draws(phreds: DataFrame, nodes: DataFrame, edges: DataFrame, sites: int, rounds: int, rate: float = 0.01, seed: int = 1) -> DataFrame:
-    """(region, sample_id, round, code1, code2): haplotypes drawn for each sample, the same on every run, as the seed,
-    region, sample and round alone set the draw."""
-    rows = chunks(phreds).join(graph_rows(nodes, edges), "region")
+def draws(phreds: DataFrame, nodes: DataFrame, edges: DataFrame, sites: int, rounds: int, rate: float | DataFrame = 0.01, seed: int = 1, error: float = 0.0) -> DataFrame:
+    """(region, sample_id, round, code1, code2, copied1, copied2, crossed1, crossed2): haplotypes drawn for each sample,
+    the alleles of the nodes they were copied from, and the sites they switched in front of; the same on every run, as
+    the seed, region, sample and round alone set the draw. Without errors a genotype is the nodes'."""
+    names = ("code1", "code2", "copied1", "copied2", "crossed1", "crossed2")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for region, ids, graph, reads in _work(batch, sites):
-                rates = np.full(sites, rate)
-                codes = draw(graph, rates, seed, draw_keys(region, ids.tolist(), rounds), forward(graph, reads, rates))
-                yield pa.record_batch({"region": np.full(len(codes), region), "sample_id": np.repeat(ids, rounds), "round": np.tile(np.arange(rounds, dtype=np.int32), len(ids)), "code1": np.ascontiguousarray(codes[:, 0]), "code2": np.ascontiguousarray(codes[:, 1])})
-
-    return rows.mapInArrow(work, "region long, sample_id long, round int, code1 long, code2 long")
+            for region, ids, graph, reads, rates, errors in _work(batch, sites):
+                keys = draw_keys(region, ids.tolist(), rounds)
+                copied, crossed = draw(graph, rates, seed, keys, forward(graph, reads, rates, errors))
+                codes = imputed(copied, reads, errors, seed, keys) if errors.any() else copied
+                made = {"region": np.full(len(codes), region), "sample_id": np.repeat(ids, rounds), "round": np.tile(np.arange(rounds, dtype=np.int32), len(ids))}
+                yield pa.record_batch(made | {n: np.ascontiguousarray(x[:, k]) for n, (x, k) in zip(names, ((x, k) for x in (codes, copied, crossed) for k in (0, 1)))})
+
+    return _rows(phreds, nodes, edges, sites, rate, error).mapInArrow(work, "region long, sample_id long, round int, " + ", ".join(f"{n} long" for n in names))
 
 
 def vote(codes: np.ndarray, sites: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

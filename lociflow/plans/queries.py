@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import genetics as G
 from ..functions.genetics import r6
 from ..functions import stats as S
-from ..operators import genotypes, haplotypes, markers, merging, phasing
+from ..operators import genotypes, haplotypes, markers, merging, phasing, stitching
 from ..sources import sinks, vcf
 from ..sources import views as V
 
@@ -439,8 +439,8 @@ def theta_update(spark, d):
     """SELECT site, matches, mismatches, uncertain, round(r, 6) AS rate FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY k DESC) AS last FROM rounds) WHERE last = 1""",
     """ counts AS (SELECT site, sum(greatest(n_ref, n_alt))::BIGINT AS matches, sum(least(n_ref, n_alt))::BIGINT AS mismatches, count(*) FILTER (n_ref = n_alt) AS uncertain FROM reads GROUP BY 1),
 rounds AS (SELECT * FROM (WITH RECURSIVE it AS (
-  SELECT *, 0 AS k, CASE WHEN matches + mismatches > 0 THEN mismatches / (matches + mismatches)::DOUBLE ELSE 0e0 END AS r, uncertain = 0 AS done FROM counts
-  UNION ALL SELECT site, matches, mismatches, uncertain, k + 1, new, abs(new - r) <= 1e-4 * r FROM (SELECT *, (mismatches + 2e0 * uncertain * r * r / (r * r + (1 - r) * (1 - r))) / (matches + mismatches + 2e0 * uncertain) AS new FROM it WHERE NOT done AND k < 200))
+  SELECT *, 0 AS k, CASE WHEN matches + mismatches > 0 THEN mismatches / (matches + mismatches)::DOUBLE ELSE 0e0 END AS r, uncertain = 0 OR matches + mismatches = 0 OR mismatches = 0 AS done FROM counts
+  UNION ALL SELECT site, matches, mismatches, uncertain, k + 1, new, abs(new - r) <= 1e-4 * new OR new <= 1e-10 FROM (SELECT *, (mismatches + 2e0 * uncertain * r * r / (r * r + (1 - r) * (1 - r))) / (matches + mismatches + 2e0 * uncertain) AS new FROM it WHERE NOT done))
   SELECT * FROM it))""",
 )
 def error_fixed_point(spark, d):
@@ -449,6 +449,74 @@ def error_fixed_point(spark, d):
     return counts.withColumn("rate", r6(G.error_rate(F.col("matches"), F.col("mismatches"), F.col("uncertain"))))
 
 
+# Haplotypes in windows of 16 sites that share 8: a sample's two, by line number; every third window has its sides turned.
+SIDES = """ found AS (SELECT l_suppkey AS sample_id, l_partkey AS o, max(CASE WHEN l_returnflag = 'R' AND l_linenumber % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS a1, max(CASE WHEN l_returnflag = 'R' AND l_linenumber % 2 = 1 THEN 1 ELSE 0 END)::BIGINT AS a2 FROM lineitem GROUP BY 1, 2),
+placed AS (SELECT sample_id, unnest(range(greatest(0, (o - 8) // 8), least(o // 8, greatest(0, ((SELECT max(o) FROM found) - 8) // 8)) + 1)) AS w, o, a1, a2 FROM found),
+codes AS (SELECT sample_id, w, sum(CASE WHEN (sample_id + w) % 3 = 0 THEN a2 ELSE a1 END << (o - 8 * w))::BIGINT AS c1, sum(CASE WHEN (sample_id + w) % 3 = 0 THEN a1 ELSE a2 END << (o - 8 * w))::BIGINT AS c2 FROM placed GROUP BY 1, 2),
+votes AS (SELECT b.sample_id, b.w, bit_count(xor(b.c1, b.c2) & xor(a.c1 >> 8, a.c2 >> 8) & 255) AS hets, bit_count(xor(b.c1, a.c1 >> 8) & xor(b.c1, b.c2) & xor(a.c1 >> 8, a.c2 >> 8) & 255) AS other FROM codes b JOIN codes a ON a.sample_id = b.sample_id AND a.w = b.w - 1)"""
+
+
+def window_codes(spark, d):
+    flag = lambda k: F.max(((F.col("l_returnflag") == "R") & (F.col("l_linenumber") % 2 == k)).cast("long"))
+    o, w = F.col("o"), F.col("window")
+    found = V.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("sample_id"), F.col("l_partkey").alias("o")).agg(flag(0).alias("a1"), flag(1).alias("a2"))
+    places = stitching.places(found.select(o.alias("key"), F.lit("all").alias("chrom"), o.alias("ordinal")).distinct(), 16, 8).select(F.col("key").alias("o"), "window", "site")
+    turned = (F.col("sample_id") + w) % 3 == 0
+    rows = found.join(places, "o").withColumns({"b1": F.when(turned, F.col("a2")).otherwise(F.col("a1")), "b2": F.when(turned, F.col("a1")).otherwise(F.col("a2"))})
+    return rows.groupBy("sample_id", "window").agg(*[F.sum(F.expr(f"shiftleft(b{k}, site)")).alias(f"code{k}") for k in (1, 2)])
+
+
+@query("""SELECT sample_id, w AS win, (hets - other)::BIGINT AS same, other::BIGINT AS other FROM votes""", SIDES)
+def phase_borders(spark, d):
+    return stitching.borders(window_codes(spark, d), 16, 8, "sample_id").withColumnRenamed("window", "win")
+
+
+@query(
+    """SELECT sample_id, w AS win, phase_set, CASE WHEN turned THEN c2 ELSE c1 END AS code1, CASE WHEN turned THEN c1 ELSE c2 END AS code2 FROM (
+SELECT c.*, (sum(CASE WHEN other > hets - other THEN 1 ELSE 0 END) OVER o) % 2 = 1 AS turned, (sum(CASE WHEN hets IS NULL OR 2 * other = hets THEN 1 ELSE 0 END) OVER o - 1)::BIGINT AS phase_set
+FROM codes c LEFT JOIN votes v ON v.sample_id = c.sample_id AND v.w = c.w WINDOW o AS (PARTITION BY c.sample_id ORDER BY c.w))""",
+    SIDES,
+)
+def phase_joined(spark, d):
+    return stitching.joined(window_codes(spark, d), 16, 8, "sample_id").select("sample_id", F.col("window").alias("win"), "phase_set", "code1", "code2")
+
+
+# What was drawn: a sample's haplotypes of a region, those they were copied from, and switches, from the table's flags.
+DRAWN = f""" held AS (SELECT h.region, h.hap_id // 2 AS sample_id, sum(CASE WHEN h.hap_id % 2 = 0 THEN code ELSE 0 END)::BIGINT AS k1, sum(CASE WHEN h.hap_id % 2 = 1 THEN code ELSE 0 END)::BIGINT AS k2 FROM haplotypes h GROUP BY 1, 2),
+drawn AS (SELECT region, sample_id, k1, k2, xor(k1, 1::BIGINT << (sample_id % {V.SITES})::INT) AS c1, xor(k2, 3::BIGINT << (region % 15)::INT) AS c2, k1 & (k2 >> 1) AS x1, k2 & (k1 >> 1) AS x2 FROM held),
+bits AS (SELECT region, sample_id, s AS site, c1 >> s & 1 AS c1, c2 >> s & 1 AS c2, k1 >> s & 1 AS k1, k2 >> s & 1 AS k2, (x1 >> s & 1) + (x2 >> s & 1) AS x FROM drawn, (SELECT unnest(range({V.SITES}))::INT AS s))"""
+
+
+def drawn_codes(spark, d):
+    side = lambda k: F.sum(F.when(F.col("hap_id") % 2 == k, F.col("code")).otherwise(0)).alias(f"copied{k + 1}")
+    held = V.haplotypes(spark, d).groupBy("region", F.expr("hap_id div 2").alias("sample_id")).agg(side(0), side(1))
+    new = {"code1": f"copied1 ^ shiftleft(1L, cast(sample_id % {V.SITES} as int))", "code2": "copied2 ^ shiftleft(3L, cast(region % 15 as int))", "crossed1": "copied1 & shiftright(copied2, 1)", "crossed2": "copied2 & shiftright(copied1, 1)"}
+    return held.withColumns({n: F.expr(e) for n, e in new.items()})
+
+
+@query(
+    """SELECT region, site, sum(CASE WHEN c1 + c2 = 1 AND k1 + k2 = 1 THEN 0 ELSE 2 - abs(c1 + c2 - k1 - k2) END)::BIGINT AS matches, sum(abs(c1 + c2 - k1 - k2))::BIGINT AS mismatches,
+count(*) FILTER (c1 + c2 = 1 AND k1 + k2 = 1) AS uncertain, sum(x)::BIGINT AS crossovers FROM bits GROUP BY 1, 2""",
+    DRAWN,
+)
+def imputed_counts(spark, d):
+    return phasing.imputed_counts(drawn_codes(spark, d), V.SITES, "region")
+
+
+@query(
+    """SELECT region, site, round(avg(p0 + p1 / 2), 6) AS freq, round(avg(greatest(p0, p1, p2)), 6) AS quality, round(avg(dosage), 6) AS dosage, count(*) FILTER (best = 1) AS heterozygotes FROM (
+SELECT *, p1 + 2 * p2 AS dosage, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS best FROM (
+SELECT region, sample_id // 4 AS sample_id, site, avg((c1 + c2 = 0)::INT) AS p0, avg((c1 + c2 = 1)::INT) AS p1, avg((c1 + c2 = 2)::INT) AS p2 FROM bits GROUP BY 1, 2, 3)) GROUP BY 1, 2""",
+    DRAWN,
+)
+def draw_dosages(spark, d):
+    """Four neighbouring samples' haplotypes stand for a sample's draws."""
+    drawn = drawn_codes(spark, d).withColumn("sample_id", F.expr("sample_id div 4"))
+    doses = genotypes.draw_dosages(drawn, V.SITES, "region")
+    mean = lambda c, name: r6(F.avg(c)).alias(name)
+    return doses.groupBy("region", "site").agg(mean(F.col("p0") + F.col("p1") / 2, "freq"), mean(F.col("quality"), "quality"), mean(F.col("dosage"), "dosage"), F.count(F.when(F.col("best") == 1, 1)).alias("heterozygotes"))
+
+
 def ks_similar(spark, d):
     """Exact p-values where samples are small; SQL can't count the paths."""
     rows = V.table(spark, d, "lineitem").select("l_partkey", F.col("l_extendedprice").alias("v"), F.when(F.col("l_linestatus") == "O", 0).otherwise(1).alias("g"))

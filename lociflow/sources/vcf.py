@@ -6,10 +6,11 @@ itself, so lines made by Spark are read alike. Sample columns are exploded to on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import genetics as G
+from ..operators.ranges import numbered
 
 # The names of the first columns.
 COLUMNS = ("#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO")
@@ -167,7 +168,9 @@ def rate_map(spark: SparkSession, path: str) -> DataFrame:
     rows = _words(spark, path)
     first = rows.agg(F.min("line")).first()[0]
     rows = rows.where(F.col("line") != F.lit(first)) if first is not None else rows
-    return rows.select((F.row_number().over(Window.orderBy("line")) - 1).alias("ordinal"), F.get("words", F.lit(1)).try_cast("double").alias("rate"))
+    # a line's number has its split in front: a range a split
+    rows = numbered(rows.withColumn("file", F.lit(0)), "file", "line", [F.col("line")], "ordinal", 1 << 33)
+    return rows.select("ordinal", F.get("words", F.lit(1)).try_cast("double").alias("rate"))
 
 
 def site_file(spark: SparkSession, path: str) -> DataFrame:

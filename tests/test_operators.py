@@ -166,7 +166,7 @@ def test_draws_follow_the_posterior():
     rng = np.random.default_rng(3)
     graph = small_graph(rng)
     phreds, rates = rng.integers(0, 15, (1, 4, 3)).astype(float), np.full(4, 0.05)
-    drawn = phasing.draw(graph, rates, 1, phasing.draw_keys(5, [9], 4000), phasing.forward(graph, phreds, rates)).tolist()
+    drawn = phasing.draw(graph, rates, 1, phasing.draw_keys(5, [9], 4000), phasing.forward(graph, phreds, rates))[0].tolist()
     share = np.array([[np.mean([(a >> s & 1) + (b >> s & 1) == g for a, b in drawn]) for g in range(3)] for s in range(4)])
     assert np.abs(share - phasing.posterior(graph, phreds, rates)[0]).max() < 0.04
 
