@@ -152,38 +152,62 @@ def normal_quantile(p: Column) -> Column:
     return _column(normal_quantile_of, p)
 
 
-def smirnov(m: int, n: int, d: float) -> float:
-    """P(D < d) of the two-sample Kolmogorov-Smirnov distance without ties: the share of the monotone paths from (0, 0)
-    to (m, n) whose points stay nearer than d to the diagonal, counted column by column."""
-    if not (m > 0 and n > 0):
-        return math.nan
+def kolmogorov_of(x: float, terms: int = 10) -> float:
+    """P(K >= x) of Kolmogorov's limit distribution: genetics.kolmogorov_tail() for one number."""
+    if x <= 0:
+        return 1.0
+    k = np.arange(1, terms + 1)
+    if x < 1:
+        return float(1.0 - math.sqrt(2 * math.pi) / x * np.exp(-((2 * k - 1) ** 2) * math.pi**2 / 8 / (x * x)).sum())
+    return float(2.0 * ((-1.0) ** (k - 1) * np.exp(-2.0 * k * k * x * x)).sum())
+
+
+def smirnov(m: int, n: int, d: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+    """P(D < d) of two-sample Kolmogorov-Smirnov distances of samples of m and n values, for each distance: the share of
+    the monotone paths from (0, 0) to (m, n) whose points stay nearer than d to the diagonal, all paths' points of one
+    sum of coordinates at a time. A path's points are the pooled values in order; with ties, ends says by distance and
+    point (1 to m + n) whether it is the last of equal values: the distance is taken at those alone."""
+    m, n = min(m, n), max(m, n)
+    d = np.atleast_1d(np.asarray(d, float))
+    if not m > 0:
+        return np.full(len(d), math.nan)
     # distances are multiples of 1 / (m n): compared as whole numbers
-    least = math.floor(d * m * n - 1e-7) + 1
-    j = np.arange(n + 1)
-    share = (j * m < least).astype(float)  # the part of the paths to (0, j) that stayed near
-    for i in range(1, m + 1):
-        near = np.abs(i * n - j * m) < least
-        new = np.empty(n + 1)
-        last = 0.0
+    least = np.floor(d * m * n - 1e-7) + 1
+    i = np.arange(m + 1)
+    share = np.zeros((len(d), m + 1))  # the part of the paths to (i, k - i) that stayed near
+    share[:, 0] = 1.0
+    for k in range(1, m + n + 1):
         # a path to (i, j) comes from (i - 1, j) in i of i + j cases
-        for k in range(n + 1):
-            last = (share[k] * i + last * k) / (i + k) if near[k] else 0.0
-            new[k] = last
+        new = share * ((k - i) / k)
+        new[:, 1:] += share[:, :-1] * (i[1:] / k)
+        off = np.abs(i * n - (k - i) * m)
+        far = off >= least[:, None]
+        if ends is not None:
+            far &= ends[:, k - 1, None]
+        new[far] = 0.0
+        new[:, (i > k) | (k - i > n)] = 0.0
         share = new
-    return float(share[n])
+    return share[:, m]
 
 
 @F.pandas_udf(T.DoubleType())
-def smirnov_tail(n: pd.Series, m: pd.Series, d: pd.Series) -> pd.Series:
-    """P(D >= d) of two samples of n and m values without ties, exactly; null arguments give null. Each pair of sizes
-    and distance of a batch is worked out once, in n * m steps."""
-    known: dict[tuple, float | None] = {}
-    out = []
-    for key in zip(n, m, d):
-        if key not in known:
-            known[key] = None if any(pd.isna(x) for x in key) else 1.0 - smirnov(int(min(key[:2])), int(max(key[:2])), float(key[2]))
-        out.append(known[key])
-    return pd.Series(out, dtype="float64")
+def smirnov_tail(n: pd.Series, m: pd.Series, d: pd.Series, groups: pd.Series) -> pd.Series:
+    """P(D >= d) of two samples of n and m values, exactly; groups holds how many pooled values are equal, in their
+    order, or is null where none are. Null sizes or distances give null. Rows of equal sizes are worked out together, in
+    n + m steps."""
+    out = np.full(len(d), np.nan)
+    known = (n.notna() & m.notna() & d.notna()).to_numpy()
+    low, high = np.minimum(n, m).to_numpy(), np.maximum(n, m).to_numpy()
+    for a, b in {(low[k], high[k]) for k in np.flatnonzero(known)}:
+        of = np.flatnonzero(known & (low == a) & (high == b))
+        for some in np.array_split(of, max(1, len(of) * int(a + b) // 4_000_000)):
+            ends = np.ones((len(some), int(a + b)), bool)
+            for row, g in enumerate(groups.iloc[some]):
+                if g is not None:
+                    ends[row] = False
+                    ends[row, np.cumsum(g) - 1] = True
+            out[some] = 1.0 - smirnov(int(a), int(b), d.iloc[some].to_numpy(), None if ends.all() else ends)
+    return pd.Series(out).where(known, None)
 
 
 def kolmogorov_one(n: int, d: float) -> float:

@@ -84,25 +84,29 @@ def votes(draws: DataFrame, *keys: str) -> DataFrame:
     return counts.groupBy(*keys).agg(F.max(F.struct("n", (-F.col("code")).alias("m"))).alias("w"), F.sum("n").alias("draws")).select(*keys, (-F.col("w.m")).alias("code"), F.col("w.n").alias("votes"), "draws")
 
 
-def ks_distance(rows: DataFrame, key: str, group: str, value: str) -> DataFrame:
+def ks_distance(rows: DataFrame, key: str, group: str, value: str, exact_below: int = 10_000) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance of value between the two groups (0 and 1) of each key, and the bound
-    1.44 * 1.22 * sqrt(1 / n + 1 / m). Ties are added up first, so that a key costs one running sum over its values."""
+    1.44 * 1.22 * sqrt(1 / n + 1 / m). Ties are added up first, so that a key costs one running sum over its values.
+    groups holds, where the product of sizes is below exact_below and values are equal, how many are, in their order."""
     at = rows.groupBy(key, value).agg(F.sum(F.when(F.col(group) == 0, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col(group) == 1, 1).otherwise(0)).alias("b"))
     whole, so_far = Window.partitionBy(key), Window.partitionBy(key).orderBy(value)
     at = at.withColumns({"n": F.sum("a").over(whole), "m": F.sum("b").over(whole), "fa": F.sum("a").over(so_far), "fb": F.sum("b").over(so_far)}).where("n > 0 AND m > 0")
     gap = F.abs(F.col("fa") / F.col("n") - F.col("fb") / F.col("m"))
-    return at.groupBy(key).agg(F.max(gap).alias("d"), F.first("n").alias("n"), F.first("m").alias("m")).withColumn("bound", 1.44 * 1.22 * F.sqrt(1 / F.col("n") + 1 / F.col("m")))
+    tied = F.when(F.col("n") * F.col("m") < exact_below, F.struct(value, (F.col("a") + F.col("b")).alias("c")))
+    out = at.groupBy(key).agg(F.max(gap).alias("d"), F.first("n").alias("n"), F.first("m").alias("m"), F.transform(F.array_sort(F.collect_list(tied)), lambda x: x["c"]).alias("groups"))
+    out = out.withColumn("groups", F.when(F.exists("groups", lambda c: c > 1), F.col("groups")))
+    return out.withColumn("bound", 1.44 * 1.22 * F.sqrt(1 / F.col("n") + 1 / F.col("m")))
 
 
 def ks_test(distances: DataFrame, exact_below: int = 10_000, level: float = 0.1) -> DataFrame:
-    """Rows of ks_distance() with p and similar. Below that product of sizes p is exact (of samples without ties) and
-    similar is p >= level; from it on p is the limit distribution's, and similar is a distance within the bound."""
+    """Rows of ks_distance() with p and similar. Below that product of sizes p is exact, ties included, and similar is
+    p >= level; from it on p is the limit distribution's, and similar is a distance within the bound."""
     size = F.col("n") * F.col("m")
     small = size < exact_below
     x = F.col("d") * F.sqrt(size / (F.col("n") + F.col("m")))
     only = lambda c: F.when(small, F.col(c))
-    exact = S.smirnov_tail(only("n"), only("m"), only("d"))
-    out = distances.withColumn("p", F.when(small, exact).otherwise(G.kolmogorov_tail(x)))
+    exact = S.smirnov_tail(only("n"), only("m"), only("d"), F.col("groups") if "groups" in distances.columns else F.lit(None).cast("array<long>"))
+    out = distances.withColumn("p", F.when(small, exact).otherwise(G.kolmogorov_tail(x))).drop("groups")
     return out.withColumn("similar", F.when(small, F.col("p") >= level).otherwise(F.col("d") <= F.col("bound")))
 
 

@@ -449,6 +449,28 @@ def error_fixed_point(spark, d):
     return counts.withColumn("rate", r6(G.error_rate(F.col("matches"), F.col("mismatches"), F.col("uncertain"))))
 
 
+@query(
+    f"""SELECT region, site, hap_id, rank, div, round(sum(1e0 / greatest({V.SITES} - site - div, 20)) OVER (PARTITION BY region, site ORDER BY place, hap_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS coordinate FROM (
+SELECT o.*, coalesce(n.rank, 0) AS place FROM orders o LEFT JOIN orders n ON n.region = o.region AND n.site = o.site + 1 AND n.hap_id = o.hap_id)""",
+    ORDERS + ", orders AS (" + _order_sql("bwd", f"{V.SITES} - site") + ")",
+)
+def bk_distance(spark, d):
+    found = merging.backward_coordinates(V.haplotypes(spark, d), V.SITES)
+    return found.withColumn("coordinate", r6(F.col("coordinate")))
+
+
+@query(
+    """SELECT l_suppkey, n0 AS n, n1 AS m, CASE WHEN (low0 < low1) <> (high0 >= high1) THEN round((CASE WHEN low0 < low1 THEN i1 ELSE i0 END) / least(n0, n1)::DOUBLE, 6) END AS share,
+(low0 < low1) = (high0 >= high1) OR (CASE WHEN low0 < low1 THEN i1 ELSE i0 END) / least(n0, n1)::DOUBLE > 5e-1 AS ok FROM (
+SELECT e.l_suppkey, n0, n1, low0, low1, high0, high1, count(*) FILTER (l_linestatus <> 'O' AND l_extendedprice < high0) AS i1, count(*) FILTER (l_linestatus = 'O' AND l_extendedprice < high1) AS i0 FROM lineitem JOIN (
+SELECT l_suppkey, count(*) FILTER (l_linestatus = 'O') AS n0, count(*) FILTER (l_linestatus <> 'O') AS n1, min(l_extendedprice) FILTER (l_linestatus = 'O') AS low0, min(l_extendedprice) FILTER (l_linestatus <> 'O') AS low1,
+max(l_extendedprice) FILTER (l_linestatus = 'O') AS high0, max(l_extendedprice) FILTER (l_linestatus <> 'O') AS high1 FROM lineitem GROUP BY 1) e ON e.l_suppkey = lineitem.l_suppkey GROUP BY ALL) WHERE n0 > 0 AND n1 > 0"""
+)
+def overlap_ok(spark, d):
+    rows = V.table(spark, d, "lineitem").select("l_suppkey", F.when(F.col("l_linestatus") == "O", 0).otherwise(1).alias("g"), F.col("l_extendedprice").alias("v"))
+    return merging.overlap(rows, "l_suppkey", "g", "v").select("l_suppkey", "n", "m", r6(F.col("share")).alias("share"), F.col("overlaps").alias("ok"))
+
+
 # Haplotypes in windows of 16 sites that share 8: a sample's two, by line number; every third window has its sides turned.
 SIDES = """ found AS (SELECT l_suppkey AS sample_id, l_partkey AS o, max(CASE WHEN l_returnflag = 'R' AND l_linenumber % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS a1, max(CASE WHEN l_returnflag = 'R' AND l_linenumber % 2 = 1 THEN 1 ELSE 0 END)::BIGINT AS a2 FROM lineitem GROUP BY 1, 2),
 placed AS (SELECT sample_id, unnest(range(greatest(0, (o - 8) // 8), least(o // 8, greatest(0, ((SELECT max(o) FROM found) - 8) // 8)) + 1)) AS w, o, a1, a2 FROM found),

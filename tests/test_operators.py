@@ -236,12 +236,34 @@ def test_exact_smirnov():
             steps = np.where(np.isin(np.arange(m + n), at), 1 / m, -1 / n)
             distances.append(np.abs(steps.cumsum()).max())
         for d in {round(x, 9) for x in distances}:
-            assert math.isclose(S.smirnov(m, n, d), np.mean([x < d - 1e-9 for x in distances]), abs_tol=1e-12)
+            assert math.isclose(S.smirnov(m, n, d)[0], np.mean([x < d - 1e-9 for x in distances]), abs_tol=1e-12)
     # the two goldens: one exact, one by the limit distribution
-    assert math.isclose(1 - S.smirnov(21, 57, 948 / 1197), 3.054e-10, rel_tol=1e-3)
+    assert math.isclose(1 - S.smirnov(21, 57, 948 / 1197)[0], 3.054e-10, rel_tol=1e-3)
     assert math.isclose(2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * 0.38**2 * 50) for k in range(1, 9)), 1.071e-06, rel_tol=1e-3)
 
 
+def test_smirnov_with_ties(spark):
+    """Against all ways to deal the pooled values to the two samples."""
+    for pooled, m in (([1, 1, 2, 3, 3, 3, 5], 3), ([1, 1, 1, 1, 2, 2, 4, 9], 4), ([7] * 6, 2), ([1, 2, 2, 3, 4, 4, 4, 8, 9], 2)):
+        n, values = len(pooled) - m, sorted(set(pooled))
+        sizes = np.array([pooled.count(v) for v in values])
+        found = []
+        for at in itertools.combinations(range(len(pooled)), m):
+            one = [pooled[k] for k in at]
+            rest = [pooled[k] for k in range(len(pooled)) if k not in at]
+            found.append(max(abs(sum(x <= v for x in one) / m - sum(x <= v for x in rest) / n) for v in values))
+        ends = np.zeros((1, len(pooled)), bool)
+        ends[0, np.cumsum(sizes) - 1] = True
+        for d in {round(x, 9) for x in found if x > 0}:
+            assert math.isclose(S.smirnov(m, n, d, ends)[0], np.mean([x < d - 1e-9 for x in found]), abs_tol=1e-12)
+    rows = spark.createDataFrame([(1, g, v) for g, v in [(0, 1), (0, 1), (0, 3), (1, 1), (1, 2), (1, 3), (1, 3), (1, 5)]] + [(2, 0, 1), (2, 1, 2)], "k int, g int, v int")
+    out = {r.k: r for r in genotypes.ks_test(genotypes.ks_distance(rows, "k", "g", "v")).collect()}
+    far = lambda one, rest: max(abs(sum(x <= v for x in one) / 3 - sum(x <= v for x in rest) / 5) for v in (1, 2, 3, 5))
+    pooled = [1, 1, 3, 1, 2, 3, 3, 5]
+    ways = [far([pooled[k] for k in at], [pooled[k] for k in range(8) if k not in at]) for at in itertools.combinations(range(8), 3)]
+    assert math.isclose(out[1].p, np.mean([x >= out[1].d - 1e-9 for x in ways]), rel_tol=1e-9) and math.isclose(out[2].p, 1.0)
+
+
 def test_one_sample_kolmogorov():
     # n = 1: D is uniform on (1/2, 1); n = 2 by its piecewise form; and a limit
     assert math.isclose(S.kolmogorov_one(1, 0.75), 0.5) and math.isclose(S.kolmogorov_one(2, 0.4), 2 * (2 * 0.4 - 0.5) ** 2)
@@ -389,42 +411,107 @@ def test_merged_graph(spark):
     assert merging.merged_graph(table.limit(0), 4)[0].count() == 0
 
 
-def test_merging_against_loops():
-    rng = np.random.default_rng(12)
-    for _ in range(20):
-        sites, codes = 6, np.unique(rng.integers(0, 64, 30))
-        counts = rng.integers(1, 40, len(codes))
-        label = dict.fromkeys(codes.tolist(), -1)
-        exp = set()
-        for site in range(sites):
-            groups = {}
-            for c, n in zip(codes.tolist(), counts.tolist()):
-                groups.setdefault((label[c], c >> site & 1), []).append((c, n))
-            keys = sorted(groups)
-            sibling = {g: site == 0 or sum(p == g[0] for p, _ in keys) > 1 for g in keys}
-
-            def share(g, depth, way):
-                return sum(n for c, n in groups[g] if (c >> site + 1) & ((1 << depth) - 1) == way) / sum(n for _, n in groups[g])
-
-            while site < sites - 1:
-                pairs = []
-                for g, h in itertools.combinations(keys, 2):
-                    if g[1] == h[1] and (sibling[g] or sibling[h]):
-                        d = max(abs(share(g, k, w) - share(h, k, w)) for k in range(1, sites - site) for w in range(1 << k))
-                        limit = 0.8 * 1.44 * 1.22 * math.sqrt(sum(1 / sum(n for _, n in groups[x]) for x in (g, h)))
-                        pairs.append((round(d / limit, 12), g, h))
-                if not pairs or min(pairs)[0] > 1:
-                    break
-                _, g, h = min(pairs)
-                groups[g] += groups.pop(h)
-                sibling[g] |= sibling[h]
-                keys.remove(h)
-            before = dict(label)
-            for number, g in enumerate(keys):
-                for c, _ in groups[g]:
-                    label[c] = number
-            sums = Counter()
-            for c, n in zip(codes.tolist(), counts.tolist()):
-                sums[site, before[c], label[c], c >> site & 1] += n
-            exp |= {(*k, n) for k, n in sums.items()}
-        assert set(merging.merged_edges(codes, counts, sites, 16, 0.8)) == exp
+#: Two sets of places, and whether they overlap.
+OVERLAPS = [([1, 2, 3, 4, 6, 7], [5, 8, 9], False), ([1, 2, 3, 4, 6, 7], [5], True), ([1, 2, 3, 4, 6, 7], [9], False), ([1, 2, 3, 4, 6, 7], [-1, 9], True)]
+
+
+def test_overlapping_sets(spark):
+    for a, b, exp in OVERLAPS:
+        assert merging.overlapping(np.array(a), np.array(b)) is exp and merging.overlapping(np.array(b), np.array(a)) is exp
+    rows = spark.createDataFrame([(k, g, x) for k, (a, b, _) in enumerate(OVERLAPS) for g, s in enumerate((a, b)) for x in s], "k int, g int, x int")
+    assert [r.overlaps for r in merging.overlap(rows, "k", "g", "x").orderBy("k").collect()] == [exp for *_, exp in OVERLAPS]
+    assert merging.overlap(rows.where("g = 0"), "k", "g", "x").count() == 0
+
+
+def test_look_ahead():
+    assert merging.next_ahead(0.5, 100, 100) == 10 and merging.next_ahead(1.5, 80, 100) == 96
+    assert merging.next_ahead(3.0, 96, 100) == 115 and merging.next_ahead(1.5, 96, 100) == 100
+
+
+def plain_merge(members, allele, related, site, sites, ahead):
+    """Greedy merging of groups of (code, count) by plain loops over all pairs; gives the group each ends in."""
+    behind = sites - 1 - site
+    rev = lambda c: sum((c >> (site + 1 + j) & 1) << (behind - 1 - j) for j in range(behind))
+    everything = sorted((rev(c), c, n, allele[g]) for g, m in enumerate(members) for c, n in m)
+    place, at, before = {}, 0.0, {}
+    for key, code, n, side in everything:
+        length = 0
+        if side in before:
+            length = 1 + next((j for j in range(behind) if (key ^ before[side]) >> (behind - 1 - j)), behind)
+        before[side] = key
+        for k in range(n):
+            at += 1 / max(length if k == 0 else behind + 1, 20)
+            place.setdefault(key, []).append(at)
+    members, into, related = [list(m) for m in members], list(range(len(members))), list(related)
+
+    def test(a, b):
+        na, nb = (sum(n for _, n in members[g]) for g in (a, b))
+        share = lambda g, t, w, n: sum(k for c, k in members[g] if rev(c) >> (behind - t) == w) / n
+        keys = [[x for c, n in members[g] for x in [rev(c)] * n] for g in (a, b)]
+        if na * nb < 10_000:
+            d = max(abs(share(a, t, w, na) - share(b, t, w, nb)) for t in range(1, min(ahead, behind) + 1) for w in {rev(c) >> (behind - t) for g in (a, b) for c, _ in members[g]})
+            ok = d <= 0.8 * 0.9 * math.sqrt(1 / na + 1 / nb) + 1e-12
+            if min(na, nb) <= 5:
+                less, more = (keys[0], keys[1]) if na < nb else (keys[1], keys[0])
+                near = lambda x: {k >> (behind - min(5, behind)) for k in x}
+                ok &= near(less) <= near(more) or na == nb and near(more) <= near(less)
+            return (0.10001, d) if ok else None
+        # haplotypes that go on alike share their coordinates
+        y, yy = ([sum(np.mean(np.array(place[k]) ** e) for k in keys[g]) for g in (0, 1)] for e in (1, 2))
+        n, sx = na + nb, nb
+        vx, vy = n * sx - sx * sx, n * sum(yy) - sum(y) ** 2
+        r2 = (n * y[1] - sx * sum(y)) ** 2 / (vx * vy)
+        t = math.sqrt(r2 * (n - 2) / max(1 - r2, 1e-12))
+        if S.t_two_sided(np.array([t]), np.array([n - 2.0]))[0] < 0.05 or not merging.overlapping(np.sort(keys[0]), np.sort(keys[1])):
+            return None
+        d = max(abs(np.mean(np.array(keys[0]) <= v) - np.mean(np.array(keys[1]) <= v)) for v in set(keys[0] + keys[1]))
+        z = d * math.sqrt(na * nb / (na + nb))
+        p = 1.0 if z <= 0 else min(1.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * z * z) for k in range(1, 200)))
+        return (p, d) if p > 0.1 else None
+
+    while True:
+        pairs = []
+        for a, b in itertools.combinations([g for g in range(len(members)) if members[g]], 2):
+            if allele[a] == allele[b] and (related[a] or related[b]) and (found := test(a, b)):
+                pairs.append((-round(found[0], 9), round(found[1], 12), a, b))
+        if not pairs:
+            return into
+        _, _, a, b = min(pairs)
+        members[a] += members[b]
+        members[b] = []
+        related[a] |= related[b]
+        into = [a if g == b else g for g in into]
+
+
+@pytest.mark.parametrize("most, block", [(40, 1 << 22), (400, 1 << 22), (4, 64)])
+def test_merging_against_loops(monkeypatch, most, block):
+    monkeypatch.setattr(merging, "BLOCK", block)
+    rng, merges = np.random.default_rng(most), 0
+    for _ in range(12):
+        sites, codes = 7, np.unique(rng.integers(0, 128, 40))
+        counts = rng.integers(1, most, len(codes))
+        for site in (1, 3):
+            node = np.unique(codes & ((2 << site) - 1), return_inverse=True)[1] % 6 * 2 + (codes >> site & 1)
+            found, node = np.unique(node, return_inverse=True)
+            allele, related = found % 2, rng.random(len(found)) < 0.7
+            behind = sites - 1 - site
+            key = np.array([sum((c >> (site + 1 + j) & 1) << (behind - 1 - j) for j in range(behind)) for c in codes.tolist()])
+            order = np.lexsort((codes, key))
+            here = merging.Site(key[order], counts[order], node[order], allele, related, behind, 16)
+            got = np.empty(len(codes), int)
+            got[order] = here.merge(False)[0]
+            members = [[(c, n) for c, n, k in zip(codes.tolist(), counts.tolist(), node.tolist()) if k == g] for g in range(len(found))]
+            into = plain_merge(members, allele.tolist(), related.tolist(), site, sites, 16)
+            assert got.tolist() == [into[k] for k in node.tolist()]
+            merges += len(set(into)) < len(found)
+    assert merges
+
+
+def test_look_ahead_grows_with_what_is_undecided():
+    """Alike nodes over few sites keep the look-ahead going; what goes on unlike farther off is then told apart."""
+    rng = np.random.default_rng(3)
+    codes = np.unique(rng.integers(0, 1 << 14, 300))
+    counts = rng.integers(1, 9, len(codes))
+    near, far = (merging.merged_edges(codes, counts, 14, k) for k in (2, 16))
+    assert sum(e[4] for e in near if e[0] == 13) == sum(e[4] for e in far if e[0] == 13) == counts.sum()
+    assert len([e for e in near if e[0] == 5]) <= len([e for e in far if e[0] == 5])
