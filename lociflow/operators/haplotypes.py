@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import spread
+
 
 def pbwt(haps: DataFrame) -> DataFrame:
     """Rank by the reversed haplotype, and the site from which a haplotype agrees with the one before it. The order of
@@ -26,7 +28,8 @@ def _ranked(distinct: DataFrame, first: Column) -> DataFrame:
 
 
 def _at_sites(haps: DataFrame, sites: int, key: Column) -> DataFrame:
-    return haps.withColumn("site", F.explode(F.sequence(F.lit(0), F.lit(sites - 1)))).withColumn("key", key)
+    # one shuffle of haplotypes, by which all later keys, which begin with the region, are dealt too
+    return spread(haps, "region").withColumn("site", F.explode(F.sequence(F.lit(0), F.lit(sites - 1)))).withColumn("key", key)
 
 
 def _order(haps: DataFrame, sites: int, key: Column, first: Column) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import kolmogorov_of, t_two_sided
 from . import haplotypes
+from .ranges import spread
 
 EDGES = "region long, site int, parent int, child int, allele int, n long"
 # The tests' bounds, and the look-ahead's.
@@ -254,7 +255,7 @@ def merged_edges(codes: np.ndarray, counts: np.ndarray, sites: int, ahead: int)
 def merged_graph(haps: DataFrame, sites: int, ahead: int = 16) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges as haplotypes.graph() gives them, of haplotypes (region, hap_id, code), with nodes merged; ahead:
     sites looked ahead at first. An empty table gives an empty graph."""
-    counts = haps.groupBy("region", "code").agg(F.count(F.lit(1)).alias("n"))
+    counts = spread(haps, "region").groupBy("region", "code").agg(F.count(F.lit(1)).alias("n"))
     schema = pa.schema({"region": pa.int64(), "site": pa.int32(), "parent": pa.int32(), "child": pa.int32(), "allele": pa.int32(), "n": pa.int64()})
 
     def grow(rows: pa.Table) -> pa.Table:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.genetics import hash_uniform
 from . import haplotypes
+from .ranges import spread
 
 #: Samples of a region in one row.
 CHUNK = 256
@@ -252,9 +253,9 @@ def _rows(phreds: DataFrame, nodes: DataFrame, edges: DataFrame, sites: int, rat
     rows = chunks(phreds).join(graph_rows(nodes, edges), "region")
     if isinstance(rate, DataFrame):
         own = rate.groupBy("region").agg(F.collect_list(F.struct("site", "rate", "error")).alias("by_site"))
-        return rows.join(own, "region")
+        return spread(rows.join(own, "region"), "region", "chunk")
     each = F.transform(F.sequence(F.lit(0), F.lit(sites - 1)), lambda k: F.struct(k.alias("site"), F.lit(float(rate)).alias("rate"), F.lit(float(error)).alias("error")))
-    return rows.withColumn("by_site", each)
+    return spread(rows.withColumn("by_site", each), "region", "chunk")
 
 
 def posteriors(phreds: DataFrame, nodes: DataFrame, edges: DataFrame, sites: int, rate: float | DataFrame = 0.01, error: float = 0.0) -> DataFrame:

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 WIDTH = 1_000_000
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by keys over as many partitions as the session shuffles into. Where a small row stands for much work, as
+    a region does, adaptive execution would put all of them into one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def in_ranges(rows: DataFrame, position: str, width: int = WIDTH) -> DataFrame:
     return rows.withColumn("__lf_range", F.floor(F.col(position) / F.lit(width)))
 
