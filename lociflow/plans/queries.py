@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import genetics as G
 from ..functions.genetics import r6
 from ..functions import stats as S
-from ..operators import genotypes, haplotypes, markers, merging, phasing, stitching
+from ..operators import genotypes, haplotypes, markers, merging, phasing, selection, stitching
 from ..sources import sinks, vcf
 from ..sources import views as V
 
@@ -539,6 +539,63 @@ def draw_dosages(spark, d):
     return doses.groupBy("region", "site").agg(mean(F.col("p0") + F.col("p1") / 2, "freq"), mean(F.col("quality"), "quality"), mean(F.col("dosage"), "dosage"), F.count(F.when(F.col("best") == 1, 1)).alias("heterozygotes"))
 
 
+@query(
+    f"""SELECT region, start, stop, count(DISTINCT (code >> start) & ((2::BIGINT << (stop - start)) - 1)) AS n, count(*) AS haps FROM haplotypes, (SELECT unnest(range({V.SITES}))::INT AS start) a, (SELECT unnest(range({V.SITES}))::INT AS stop) b WHERE start <= stop GROUP BY 1, 2, 3"""
+)
+def hap_blocks(spark, d):
+    return selection.block_counts(V.haplotypes(spark, d), V.SITES)
+
+
+@query(
+    f"""SELECT region, start, stop, n FROM (WITH RECURSIVE longest AS (SELECT region, start, max(stop) AS stop, arg_max(n, stop) AS n FROM counts WHERE n <= 12 OR start = stop GROUP BY 1, 2),
+chain AS (SELECT * FROM longest WHERE start = 0 UNION ALL SELECT l.* FROM chain c JOIN longest l ON l.region = c.region AND l.start = c.stop + 1) SELECT * FROM chain)""",
+    f""" counts AS (SELECT region, start, stop, count(DISTINCT (code >> start) & ((2::BIGINT << (stop - start)) - 1)) AS n FROM haplotypes, (SELECT unnest(range({V.SITES}))::INT AS start) a, (SELECT unnest(range({V.SITES}))::INT AS stop) b WHERE start <= stop GROUP BY 1, 2, 3)""",
+)
+def hap_parse(spark, d):
+    return selection.greedy_blocks(selection.block_counts(V.haplotypes(spark, d), V.SITES), V.SITES, 12)
+
+
+PEOPLE = """ people AS (SELECT region, hap_id // 2 AS person, max(code) FILTER (hap_id % 2 = 0) AS code1, max(code) FILTER (hap_id % 2 = 1) AS code2 FROM haplotypes GROUP BY 1, 2 HAVING count(*) = 2)"""
+
+
+@query(
+    f"""SELECT region, sample_id, rank::INT AS rank, person, score AS loglik FROM (SELECT *, row_number() OVER (PARTITION BY region, sample_id ORDER BY score DESC, person) AS rank FROM (
+SELECT region, sample_id, person, max(score) AS score FROM (SELECT p.region, sample_id, person, h, round(sum(CASE WHEN (CASE h WHEN 1 THEN code1 ELSE code2 END >> s) & 1 = 1 THEN l1 ELSE l0 END), 6) AS score
+FROM scores p JOIN people USING (region), (SELECT unnest([1, 2]) AS h) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)) WHERE rank <= 4""",
+    PEOPLE
+    + f""", shares AS (SELECT region, s, 1 - avg((code >> s) & 1) AS f FROM haplotypes, (SELECT unnest(range({V.SITES}))::INT AS s) GROUP BY 1, 2),
+scores AS (SELECT x.region, x.s, sample_id, ln(pow(10, -0.1 * pl0) * f + pow(10, -0.1 * pl1) * (1 - f)) AS l0, ln(pow(10, -0.1 * pl1) * f + pow(10, -0.1 * pl2) * (1 - f)) AS l1
+  FROM (SELECT *, site // {V.SITES} AS region, (site % {V.SITES})::INT AS s FROM phreds) x JOIN shares USING (region, s))""",
+)
+def ref_by_likelihood(spark, d):
+    return selection.by_likelihood(V.regional_phreds(spark, d), V.haplotypes(spark, d), V.SITES, 4)
+
+
+RUNS = f"""list_max(list_transform([xor(a.code1, b.code1), xor(a.code1, b.code2), xor(a.code2, b.code1), xor(a.code2, b.code2)], lambda x: list_max(list_transform(string_split(lpad(bin(x), {V.SITES}, '0'), '1'), lambda r: length(r)))))"""
+STEP = """{'u': least(z.u, z.v + 2) + CASE WHEN (x >> z.s) & 1 = (one >> z.s) & 1 THEN 0 ELSE 2 END, 'v': least(z.v, z.u + 2) + CASE WHEN (x >> z.s) & 1 = (two >> z.s) & 1 THEN 0 ELSE 2 END, 's': z.s + 1}"""
+
+
+@query(
+    f"""SELECT region, person, rank::BIGINT AS rank, other, switches::BIGINT AS switches, mismatches::BIGINT AS mismatches, longest::BIGINT AS longest, round(1e0 / (1 + mismatches), 6) AS by_mismatch FROM (
+SELECT *, row_number() OVER (PARTITION BY region, person ORDER BY switches, other) AS rank FROM (
+SELECT a.region, a.person, b.person AS other, c.cost AS switches, bit_count(xor(a.code1, b.code1)) + bit_count(xor(a.code1, b.code2)) + bit_count(xor(a.code2, b.code1)) + bit_count(xor(a.code2, b.code2)) AS mismatches, {RUNS} AS longest
+FROM people a JOIN people b ON a.region = b.region AND a.person <> b.person JOIN costs c ON c.t1 = a.code1 AND c.t2 = a.code2 AND c.one = b.code1 AND c.two = b.code2)) WHERE rank <= 3""",
+    PEOPLE
+    + f""", kinds AS (SELECT DISTINCT a.code1 AS t1, a.code2 AS t2, b.code1 AS one, b.code2 AS two FROM people a JOIN people b USING (region)),
+walks AS (SELECT t1, t2, one, two, unnest([t1, t2]) AS x FROM kinds),
+ends AS (SELECT t1, t2, one, two, list_reduce(list_prepend({{'u': 0, 'v': 0, 's': 0}}, list_transform(range({V.SITES}), lambda k: {{'u': 0, 'v': 0, 's': k::INT}})), lambda z, k: {STEP}) AS z FROM walks),
+costs AS (SELECT t1, t2, one, two, min(least(z.u, z.v)) AS cost FROM ends GROUP BY ALL)""",
+)
+def weight_nearest(spark, d):
+    near = selection.weights(selection.nearest_people(V.haplotypes(spark, d), V.SITES, 3))
+    return near.select("region", "person", "rank", "other", "switches", "mismatches", "longest", r6(F.col("by_mismatch")).alias("by_mismatch"))
+
+
+def hap_cut(spark, d):
+    """The cheapest cut of each region into blocks; a dynamic program over cuts, which SQL can't."""
+    return selection.cheapest_blocks(selection.block_counts(V.haplotypes(spark, d), V.SITES), V.SITES).select("region", "cost", F.transform("blocks", lambda b: F.concat_ws("-", b["start"], b["stop"])).alias("blocks"))
+
+
 def ks_similar(spark, d):
     """Exact p-values where samples are small; SQL can't count the paths."""
     rows = V.table(spark, d, "lineitem").select("l_partkey", F.col("l_extendedprice").alias("v"), F.when(F.col("l_linestatus") == "O", 0).otherwise(1).alias("g"))
@@ -567,4 +624,4 @@ def graph_merged(spark, d):
     return haplotypes.edge_probabilities(merging.merged_graph(V.haplotypes(spark, d), V.SITES)[1])
 
 
-QUERIES |= {f.__name__: f for f in (graph_merged, ks_similar, phase_posterior, phase_consensus, initial_haplotypes)}
+QUERIES |= {f.__name__: f for f in (graph_merged, hap_cut, ks_similar, phase_posterior, phase_consensus, initial_haplotypes)}

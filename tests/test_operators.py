@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lociflow.functions import genetics as G
 from lociflow.functions import stats as S
-from lociflow.operators import genotypes, haplotypes, markers, merging, phasing
+from lociflow.operators import genotypes, haplotypes, markers, merging, phasing, selection, stitching
 from lociflow.sources import sinks, vcf
 
 #: 600 haplotypes of 4 sites.
@@ -515,3 +515,95 @@ def test_look_ahead_grows_with_what_is_undecided():
     near, far = (merging.merged_edges(codes, counts, 14, k) for k in (2, 16))
     assert sum(e[4] for e in near if e[0] == 13) == sum(e[4] for e in far if e[0] == 13) == counts.sum()
     assert len([e for e in near if e[0] == 5]) <= len([e for e in far if e[0] == 5])
+
+
+def test_cheapest_cut_against_all_cuts():
+    rng = np.random.default_rng(9)
+    for _ in range(15):
+        sites, n = 6, int(rng.integers(4, 40))
+        codes = rng.integers(0, 1 << int(rng.integers(1, sites + 1)), n)
+        unique = np.zeros((1, sites, sites))
+        for a in range(sites):
+            for b in range(a, sites):
+                unique[0, a, b] = len(set(((codes >> a) & ((2 << b - a) - 1)).tolist()))
+
+        def price(first, last):
+            u = unique[0, first, last]
+            return math.inf if u > n / 2 else (4 * u * u + u * n) * (last - first) + 2 * n * n
+
+        def cheapest(at):
+            if at == 0:
+                return n * n
+            return min([cheapest(at - 1) + n * n, *(cheapest(f) + price(f, at) for f in range(at))])
+
+        cost, starts = selection.cheapest_cut(unique, np.array([float(n)]))
+        assert cost[0] == cheapest(sites - 1)
+        paid = sum(n * n if f == k else price(f, k) for k, f in enumerate(starts[0].tolist()) if f >= 0)
+        assert paid == cost[0]
+
+
+def test_nearest_people_against_loops(spark, monkeypatch):
+    monkeypatch.setattr(selection, "BLOCK", 4)
+    rng, sites = np.random.default_rng(2), 9
+    codes = rng.integers(0, 1 << sites, (11, 2))
+    rows = [(5, 2 * p + k, int(codes[p, k])) for p in range(11) for k in (0, 1)] + [(5, 99, 3), (6, 0, 1)]
+    haps = spark.createDataFrame(rows, "region long, hap_id long, code long")
+    bit = lambda c, s: int(c) >> s & 1
+
+    def cost(t, a, b):
+        return min(sum(2 * (bit(t, s) != bit((a, b)[w[s]], s)) for s in range(sites)) + sum(2 * (x != y) for x, y in zip(w, w[1:])) for w in itertools.product((0, 1), repeat=sites))
+
+    def run(x):
+        return max(len(r) for r in format(x, f"0{sites}b").split("1"))
+
+    exp = {}
+    for a in range(11):
+        near = sorted((min(cost(t, *codes[b]) for t in codes[a]), b) for b in range(11) if b != a)[:3]
+        for rank, (c, b) in enumerate(near):
+            apart = [int(x ^ y) for x in codes[a] for y in codes[b]]
+            exp[a, rank + 1] = (b, c, sum(bin(x).count("1") for x in apart), max(map(run, apart)))
+    got = {(r.person, r.rank): (r.other, r.switches, r.mismatches, r.longest) for r in selection.nearest_people(haps, sites, 3).collect()}
+    assert got == exp and selection.nearest_people(haps.limit(0), sites, 3).count() == 0
+
+
+def test_weighted_sample(spark):
+    rows = spark.createDataFrame([(g, k, float(w)) for g in range(600) for k, w in enumerate((4, 2, 1, 0, 1))], "g long, k long, w double")
+    got = selection.sampled(rows, "w", 2, 7, "g", item="k").collect()
+    share = Counter(r.k for r in got)
+    assert len(got) == 1200 and share[3] == 0 and share[0] > share[1] > max(share[2], share[4])
+    # P(item 0 is drawn) of two draws without replacement
+    first = {0: 0.5, 1: 0.25, 2: 0.125, 4: 0.125}
+    exp = first[0] + sum(p * 4 / (8 - w) for k, p, w in ((1, 0.25, 2), (2, 0.125, 1), (4, 0.125, 1)))
+    assert abs(share[0] / 600 - exp) < 0.06
+    assert sorted(map(tuple, got)) == sorted(map(tuple, selection.sampled(rows.repartition(7), "w", 2, 7, "g", item="k").collect()))
+
+
+def test_phase_carried_over_ranges(spark):
+    """Turns and phase sets by ranges of windows are those of one walk."""
+    rng = np.random.default_rng(4)
+    votes = [(g, w, int(rng.integers(0, 3)), int(rng.integers(0, 3))) for g in range(3) for w in range(1, 40) if rng.random() < 0.9]
+    windows = spark.createDataFrame([(g, w) for g in range(3) for w in range(40)], "g long, window long")
+    table = spark.createDataFrame(votes, "g long, window long, same long, other long")
+    got = {(r.g, r.window): (r.turned, r.phase_set) for r in stitching.carried(windows, table, "g", width=7).collect()}
+    by = {(g, w): (a, b) for g, w, a, b in votes}
+    for g in range(3):
+        turned, phase_set = False, 0
+        for w in range(40):
+            same, other = by.get((g, w), (0, 0))
+            turned ^= other > same
+            phase_set += w > 0 and same == other
+            assert got[g, w] == (turned, phase_set)
+
+
+def test_places(spark):
+    for n, sites, overlap in ((32, 16, 8), (7, 16, 8), (200, 24, 6), (17, 16, 0)):
+        markers_ = spark.createDataFrame([(f"k{o}", "c", o) for o in range(n)], "key string, chrom string, ordinal long")
+        rows = stitching.places(markers_, sites, overlap).collect()
+        step = sites - overlap
+        assert Counter(r.key for r in rows if r.core) == {f"k{o}": 1 for o in range(n)}
+        for r in rows:
+            assert r.window * step + r.site == int(r.key[1:]) and 0 <= r.site < sites
+        ends = {w: sorted(r.site for r in rows if r.window == w) for w in {r.window for r in rows}}
+        assert all(s == list(range(sites)) for w, s in ends.items() if w < max(ends)) and ends[max(ends)][0] == 0
+    with pytest.raises(ValueError):
+        stitching.places(markers_, 16, 9)
