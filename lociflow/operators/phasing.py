@@ -273,17 +273,22 @@ def posteriors(phreds: DataFrame, nodes: DataFrame, edges: DataFrame, sites: int
     return _rows(phreds, nodes, edges, sites, rate, error).mapInArrow(work, "region long, sample_id long, site int, p0 double, p1 double, p2 double")
 
 
-def draws(phreds: DataFrame, nodes: DataFrame, edges: DataFrame, sites: int, rounds: int, rate: float | DataFrame = 0.01, seed: int = 1, error: float = 0.0) -> DataFrame:
+def draws(phreds: DataFrame, nodes: DataFrame, edges: DataFrame, sites: int, rounds: int, rate: float | DataFrame = 0.01, seed: int = 1, error: float = 0.0, keep: int | None = None) -> DataFrame:
     """(region, sample_id, round, code1, code2, copied1, copied2, crossed1, crossed2): haplotypes drawn for each sample,
     the alleles of the nodes they were copied from, and the sites they switched in front of; the same on every run, as
-    the seed, region, sample and round alone set the draw. Without errors a genotype is the nodes'."""
+    the seed, region, sample and round alone set the draw. Without errors a genotype is the nodes'. keep: of how many pairs
+    of nodes a site's sums are; all of them, if it isn't given."""
     names = ("code1", "code2", "copied1", "copied2", "crossed1", "crossed2")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for region, ids, graph, reads, rates, errors in _work(batch, sites):
                 keys = draw_keys(region, ids.tolist(), rounds)
-                copied, crossed = draw(graph, rates, seed, keys, forward(graph, reads, rates, errors))
+                if keep is None:
+                    copied, crossed = draw(graph, rates, seed, keys, forward(graph, reads, rates, errors))
+                else:
+                    each = [draw_pairs(graph, rates, seed, k, forward_pairs(graph, own, rates, errors, keep)) for own, k in zip(reads, keys.reshape(len(ids), rounds))]
+                    copied, crossed = (np.concatenate(x) for x in zip(*each))
                 codes = imputed(copied, reads, errors, seed, keys) if errors.any() else copied
                 made = {"region": np.full(len(codes), region), "sample_id": np.repeat(ids, rounds), "round": np.tile(np.arange(rounds, dtype=np.int32), len(ids))}
                 yield pa.record_batch(made | {n: np.ascontiguousarray(x[:, k]) for n, (x, k) in zip(names, ((x, k) for x in (codes, copied, crossed) for k in (0, 1)))})
@@ -291,6 +296,108 @@ def draws(phreds: DataFrame, nodes: DataFrame, edges: DataFrame, sites: int, rou
     return _rows(phreds, nodes, edges, sites, rate, error).mapInArrow(work, "region long, sample_id long, round int, " + ", ".join(f"{n} long" for n in names))
 
 
+def _most(rows: np.ndarray, first: np.ndarray, second: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The greatest `keep` values of pairs, in falling order to nine digits of the greatest, ties by node."""
+    top = rows.max()
+    order = np.lexsort((second, first, -np.round(rows / top, 9)))[:keep] if top > 0 else np.arange(0)
+    return rows[order], first[order], second[order]
+
+
+def topped(first: np.ndarray, second: np.ndarray, values: np.ndarray, step: np.ndarray, shares: np.ndarray, rate: float, like: np.ndarray, alleles: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What `keep` pairs of parents (their values and nodes) pass on to the pairs of a level's nodes, times the likelihood
+    of the pair's dose: the greatest `keep`, exactly. Pairs that edges reach are summed up one by one, at most four for
+    each pair of parents. The others' value is a(c) q(d) + q(c) b(d), q being the share of a node that is switched to:
+    the rows c are looked at in the order of the most that one can hold, until that is below the keep-th value found."""
+    n, stay = len(alleles), 1.0 - rate
+    q = shares @ step
+    one, two = np.bincount(first, values, len(step)) @ step, np.bincount(second, values, len(step)) @ step
+    whole = values.sum()
+    a, b = stay * rate * one + 0.5 * rate * rate * whole * q, stay * rate * two + 0.5 * rate * rate * whole * q
+    # by edges: a node's children, of which there are two at most
+    reached: dict[int, float] = {}
+    children = [np.flatnonzero(row) for row in step]
+    for i, j, v in zip(first.tolist(), second.tolist(), (stay * stay * values).tolist()):
+        for c in children[i].tolist():
+            for d in children[j].tolist():
+                reached[c * n + d] = reached.get(c * n + d, 0.0) + v * step[i, c] * step[j, d]
+    at = np.array(sorted(reached), np.int64)
+    c, d = np.divmod(at, n)
+    found = (np.array([reached[x] for x in at.tolist()]) + a[c] * q[d] + q[c] * b[d]) * like[alleles[c] + alleles[d]]
+    if rate:
+        # the most that a row can hold beside what edges give
+        best = np.array([max(like[allele + side] for side in set(alleles.tolist())) for allele in (0, 1)])[alleles]
+        bound = (a * q.max() + q * b.max()) * best
+        for row in np.argsort(-bound, kind="stable").tolist():
+            if len(found) >= keep and bound[row] < np.partition(found, -keep)[-keep] * (1 - 1e-8):
+                break
+            rest = np.setdiff1d(np.arange(n), d[c == row])
+            c, d = np.concatenate([c, np.full(len(rest), row)]), np.concatenate([d, rest])
+            found = np.concatenate([found, (a[row] * q[rest] + q[row] * b[rest]) * like[alleles[row] + alleles[rest]]])
+            found, c, d = _most(found, c, d, max(keep, 4 * keep)) if len(found) > 8 * keep else (found, c, d)
+    return _most(found, c, d, keep)
+
+
+def forward_pairs(graph: list, phreds: np.ndarray, rates: np.ndarray, errors: np.ndarray, keep: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """forward() for one sample's phreds by site and dose with the `keep` likeliest pairs of nodes of each site alone:
+    their values, which add up to one, and their nodes."""
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    like = likelihoods(phreds)
+    for site, (alleles, shares, step) in enumerate(graph):
+        chance = penetrance(errors[site]) @ like[site]
+        if not chance[np.unique(alleles[:, None] + alleles[None, :])].any():  # all that the nodes may give is excluded
+            chance = penetrance(errors[site]) @ 10.0 ** (-0.1 * phreds[site])
+        if site:
+            found = topped(out[-1][1], out[-1][2], out[-1][0], step, graph[site - 1][1], rates[site], chance, alleles, keep)
+            if not len(found[0]):  # nor do the pairs that were kept lead on
+                found = topped(out[-1][1], out[-1][2], out[-1][0], step, graph[site - 1][1], 0.5, chance, alleles, keep)
+        else:
+            # pairs of the first level, which has a node for each allele
+            c, d = np.divmod(np.arange(len(shares) ** 2), len(shares))
+            found = _most(shares[c] * shares[d] * chance[alleles[c] + alleles[d]], c, d, keep)
+        out.append((found[0] / found[0].sum(), found[1], found[2]))
+    return out
+
+
+def draw_pairs(graph: list, rates: np.ndarray, seed: int, keys: np.ndarray, ahead: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """draw() for one sample, from the pairs that forward_pairs() kept."""
+    codes, crossed = np.zeros((len(keys), 2), np.int64), np.zeros((len(keys), 2), np.int64)
+    pair = None
+    for site in range(len(graph) - 1, -1, -1):
+        values, *nodes = ahead[site]
+        weights = np.broadcast_to(values, (len(keys), len(values)))
+        if pair is not None:
+            step, rate, shares = graph[site + 1][2], rates[site + 1], graph[site][1]
+            anew = rate * (shares @ step)
+            ways = [((1.0 - rate) * step)[nodes[k][None, :], pair[:, k, None]] for k in (0, 1)]
+            weights = weights * (ways[0] + anew[pair[:, 0], None]) * (ways[1] + anew[pair[:, 1], None])
+            weights = np.where(weights.any(axis=1, keepdims=True), weights, values)
+        sums = weights.cumsum(1)
+        at = np.minimum((sums <= (uniforms(seed, keys, site) * sums[:, -1])[:, None]).sum(1), len(values) - 1)
+        if pair is not None:
+            for k in (0, 1):
+                switched = anew[pair[:, k]]
+                share = switched / np.maximum(switched + ways[k][np.arange(len(keys)), at], 1e-300)
+                crossed[:, k] |= (uniforms(seed + 7919 * (k + 1), keys, site) < share).astype(np.int64) << (site + 1)
+        pair = np.stack([nodes[0][at], nodes[1][at]], axis=1)
+        codes |= graph[site][0][pair].astype(np.int64) << site
+    return codes, crossed
+
+
+def top_pairs(phreds: DataFrame, nodes: DataFrame, edges: DataFrame, sites: int, keep: int, rate: float | DataFrame = 0.01, error: float = 0.0) -> DataFrame:
+    """(region, sample_id, site, rank, node1, node2, p): the pairs of nodes that forward_pairs() keeps of each site."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for region, ids, graph, reads, rates, errors in _work(batch, sites):
+                for sample, own in zip(ids.tolist(), reads):
+                    kept = forward_pairs(graph, own, rates, errors, keep)
+                    sizes = [len(x[0]) for x in kept]
+                    made = {"region": np.full(sum(sizes), region), "sample_id": np.full(sum(sizes), sample), "site": np.repeat(np.arange(len(kept), dtype=np.int32), sizes), "rank": np.concatenate([np.arange(1, n + 1, dtype=np.int32) for n in sizes])}
+                    yield pa.record_batch(made | {n: np.concatenate([x[k] for x in kept]).astype(np.int32) for k, n in ((1, "node1"), (2, "node2"))} | {"p": np.concatenate([x[0] for x in kept])})
+
+    return _rows(phreds, nodes, edges, sites, rate, error).mapInArrow(work, "region long, sample_id long, site int, rank int, node1 int, node2 int, p double")
+
+
 def vote(codes: np.ndarray, sites: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The consensus of haplotype pairs with unknown phase, for codes by sample, draw and side: codes by sample and
     side, flips and errors.

@@ -165,10 +165,11 @@ def consensus_lines(consensus: DataFrame, table: DataFrame, places: DataFrame, s
     return sinks.record_lines(rows, each.select("key", "sample_idx", F.concat(F.concat_ws("|", "a", "b"), F.lit(":"), "ps").alias("text")), "GT:PS")
 
 
-def phase(spark: SparkSession, target: str, panel: str, out: str, sites: int = SITES, rate: float = 0.01, error: float = 0.01, draws: int = 5, seed: int = 1, overlap: int | None = None, include: DataFrame | None = None, exclude: DataFrame | None = None, genetic_map: DataFrame | None = None, crossovers: DataFrame | None = None, errors: DataFrame | None = None) -> None:
+def phase(spark: SparkSession, target: str, panel: str, out: str, sites: int = SITES, rate: float = 0.01, error: float = 0.01, draws: int = 5, seed: int = 1, overlap: int | None = None, include: DataFrame | None = None, exclude: DataFrame | None = None, genetic_map: DataFrame | None = None, crossovers: DataFrame | None = None, errors: DataFrame | None = None, keep: int | None = None) -> None:
     """The target's genotypes given the indexed panel (a folder from index(), with the same sites and overlap):
     out/genotypes and out/consensus, each a folder of text parts that read in order are a VCF. include and exclude
-    (sample_id) choose the target's samples; rates are as marker_rates() takes them. Markers of a region in which no
+    (sample_id) choose the target's samples; rates are as marker_rates() takes them; keep bounds
+    the pairs of nodes whose sums haplotypes are drawn from. Markers of a region in which no
     sample has reads are left out."""
     read = lambda name: spark.read.parquet(f"{panel}/{name}")
     table, places, nodes, edges = map(read, ("markers", "places", "nodes", "edges"))
@@ -180,7 +181,7 @@ def phase(spark: SparkSession, target: str, panel: str, out: str, sites: int = S
     post = _kept(phasing.posteriors(asked, nodes, edges, sites, own), f"{out}/tables/posteriors")
     header = sinks.header_lines(vcf.meta(vcf.lines(spark, target)), samples)
     sinks.write(spark, header, genotype_lines(post, phreds, table, places, rates), f"{out}/genotypes")
-    drawn = phasing.draws(asked, nodes, edges, sites, draws, own, seed)
+    drawn = phasing.draws(asked, nodes, edges, sites, draws, own, seed, keep=keep)
     merged = _kept(phasing.consensus(drawn, sites, "region", "sample_id"), f"{out}/tables/consensus")
     sinks.write(spark, header, consensus_lines(merged, table, places, sites, _overlap(sites, overlap)), f"{out}/consensus")
 
@@ -213,7 +214,7 @@ def updated_rates(counts: DataFrame, rates: DataFrame, haplotypes: int) -> DataF
 def iterative(
     spark: SparkSession, target: str, panel: str, out: str, rounds: int = 4, burn_in: int = 1, sites: int = SITES, window: int = WINDOW, rate: float = 0.01, seed: int = 1,
     include: DataFrame | None = None, exclude: DataFrame | None = None, overlap: int | None = None, error: float = 0.01, start: str = "panel", copies: int = 0, learn: bool = True, last_draws: int = 5,
-    genetic_map: DataFrame | None = None, crossovers: DataFrame | None = None, errors: DataFrame | None = None, include_targets: DataFrame | None = None, exclude_targets: DataFrame | None = None,
+    genetic_map: DataFrame | None = None, crossovers: DataFrame | None = None, errors: DataFrame | None = None, include_targets: DataFrame | None = None, exclude_targets: DataFrame | None = None, keep: int | None = None,
 ) -> None:
     """Panel and target refined together: each round builds the graph over the panel's haplotypes and those drawn for
     the target in the round before, draws anew, and learns the markers' switch and error rates from what was drawn
@@ -246,7 +247,7 @@ def iterative(
         nodes, edges = haplotypes.graph(known, sites, window)
         nodes, edges = _kept(nodes, f"{out}/tables/nodes-{k}"), _kept(edges, f"{out}/tables/edges-{k}")
         own, single = placed_rates(rates, places), rounds - burn_in <= 1 and k == rounds - 1
-        new = _kept(phasing.draws(asked, nodes, edges, sites, last_draws if single else 1, own, seed + k), f"{out}/tables/round-{k}")
+        new = _kept(phasing.draws(asked, nodes, edges, sites, last_draws if single else 1, own, seed + k, keep=keep), f"{out}/tables/round-{k}")
         if k >= burn_in or k == rounds - 1:
             drawn.append(new if single else new.withColumn("round", F.lit(k)))
         if k == rounds - 1:

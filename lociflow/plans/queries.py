@@ -596,6 +596,38 @@ def hap_cut(spark, d):
     return selection.cheapest_blocks(selection.block_counts(V.haplotypes(spark, d), V.SITES), V.SITES).select("region", "cost", F.transform("blocks", lambda b: F.concat_ws("-", b["start"], b["stop"])).alias("blocks"))
 
 
+# Regions of two sites; a step from the three likeliest pairs of the first to those of the second.
+PAIRS = f""" two AS (SELECT region * {V.SITES // 2} + b AS region, (code >> (2 * b)) & 3 AS code FROM haplotypes, (SELECT unnest(range({V.SITES // 2}))::INT AS b)),
+n0 AS (SELECT region, code & 1 AS a, dense_rank() OVER (PARTITION BY region ORDER BY code & 1) - 1 AS node, count(*) / sum(count(*)) OVER (PARTITION BY region)::DOUBLE AS s FROM two GROUP BY region, code & 1),
+n1 AS (SELECT region, code & 1 AS up, code >> 1 AS a, dense_rank() OVER (PARTITION BY region ORDER BY code) - 1 AS node, count(*) / sum(count(*)) OVER (PARTITION BY region, code & 1)::DOUBLE AS t FROM two GROUP BY region, code),
+steps2 AS (SELECT n1.region, n0.node AS parent, n1.node AS child, n1.a, t, s * t AS q FROM n1 JOIN n0 ON n0.region = n1.region AND n0.a = n1.up),
+raw AS (SELECT sample_id, site // 2 AS region, site % 2 AS s, pl0, pl1, pl2 FROM phreds), asked AS (SELECT DISTINCT sample_id, region FROM raw),
+lk AS (SELECT sample_id, region, p.s, coalesce(pl0, 0) AS pl0, coalesce(pl1, 0) AS pl1, coalesce(pl2, 0) AS pl2 FROM asked CROSS JOIN (SELECT unnest([0, 1]) AS s) p LEFT JOIN raw USING (sample_id, region, s)),
+doses AS (SELECT sample_id, region, s, unnest([0, 1, 2]) AS dose, unnest([pl0, pl1, pl2]) AS pl FROM lk),
+open0 AS (SELECT d.*, u.node AS i, v.node AS j, u.s * v.s AS prior FROM doses d JOIN n0 u ON u.region = d.region JOIN n0 v ON v.region = d.region AND u.a + v.a = dose WHERE d.s = 0),
+first AS (SELECT sample_id, region, i, j, prior * (CASE WHEN min(pl) OVER w >= 127 OR pl < 127 THEN pow(1e1, pl * -1e-1) ELSE 0 END) AS v FROM open0 WINDOW w AS (PARTITION BY sample_id, region)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY sample_id, region ORDER BY round(v / top, 9) DESC, i, j) AS rank FROM (SELECT *, max(v) OVER (PARTITION BY sample_id, region) AS top FROM first) WHERE v > 0),
+kept AS (SELECT sample_id, region, i, j, rank, v / sum(v) OVER (PARTITION BY sample_id, region) AS w FROM ranked WHERE rank <= 3),
+one AS (SELECT sample_id, k.region, child AS c, sum(w * t) AS x FROM kept k JOIN steps2 e ON e.region = k.region AND e.parent = i GROUP BY 1, 2, 3), other AS (SELECT sample_id, k.region, child AS c, sum(w * t) AS x FROM kept k JOIN steps2 e ON e.region = k.region AND e.parent = j GROUP BY 1, 2, 3),
+both_ AS (SELECT sample_id, k.region, e.child AS c, f.child AS d, sum(w * e.t * f.t) AS x FROM kept k JOIN steps2 e ON e.region = k.region AND e.parent = i JOIN steps2 f ON f.region = k.region AND f.parent = j GROUP BY 1, 2, 3, 4),
+open1 AS (SELECT a.sample_id, a.region, dose, pl, e.child AS c, f.child AS d, 0.99::DOUBLE * 0.99::DOUBLE * coalesce(b.x, 0) + 0.99::DOUBLE * 0.01::DOUBLE * (coalesce(o.x, 0) * f.q + e.q * coalesce(h.x, 0)) + 0.01::DOUBLE * 0.01::DOUBLE * e.q * f.q AS v FROM asked a JOIN steps2 e ON e.region = a.region JOIN steps2 f ON f.region = a.region
+  JOIN doses p ON p.sample_id = a.sample_id AND p.region = a.region AND p.s = 1 AND p.dose = e.a + f.a LEFT JOIN both_ b ON b.sample_id = a.sample_id AND b.region = a.region AND b.c = e.child AND b.d = f.child
+  LEFT JOIN one o ON o.sample_id = a.sample_id AND o.region = a.region AND o.c = e.child LEFT JOIN other h ON h.sample_id = a.sample_id AND h.region = a.region AND h.c = f.child),
+second AS (SELECT sample_id, region, c AS i, d AS j, v * (CASE WHEN min(pl) OVER w >= 127 OR pl < 127 THEN pow(1e1, pl * -1e-1) ELSE 0 END) AS v FROM open1 WINDOW w AS (PARTITION BY sample_id, region)),
+ranked1 AS (SELECT *, row_number() OVER (PARTITION BY sample_id, region ORDER BY round(v / top, 9) DESC, i, j) AS rank FROM (SELECT *, max(v) OVER (PARTITION BY sample_id, region) AS top FROM second) WHERE v > 0),
+kept1 AS (SELECT sample_id, region, i, j, rank, v / sum(v) OVER (PARTITION BY sample_id, region) AS w FROM ranked1 WHERE rank <= 3)"""
+
+
+@query("""SELECT region, sample_id, 0 AS site, rank::INT AS rank, i::INT AS node1, j::INT AS node2, round(w, 11) AS p FROM kept UNION ALL SELECT region, sample_id, 1, rank::INT, i::INT, j::INT, round(w, 11) FROM kept1""", PAIRS)
+def pair_topk(spark, d):
+    half = V.SITES // 2
+    haps = V.haplotypes(spark, d).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(half - 1))))
+    haps = haps.select((F.col("region") * half + F.col("b")).alias("region"), "hap_id", F.expr("shiftright(code, 2 * b) & 3").alias("code"))
+    phreds = V.phreds(spark, d).select("sample_id", F.expr("site div 2").alias("region"), (F.col("site") % 2).cast("int").alias("site"), "pl0", "pl1", "pl2")
+    found = phasing.top_pairs(phreds, *haplotypes.graph(haps, 2, 2), 2, 3)
+    return found.withColumn("p", F.round("p", 11))
+
+
 def ks_similar(spark, d):
     """Exact p-values where samples are small; SQL can't count the paths."""
     rows = V.table(spark, d, "lineitem").select("l_partkey", F.col("l_extendedprice").alias("v"), F.when(F.col("l_linestatus") == "O", 0).otherwise(1).alias("g"))

@@ -607,3 +607,49 @@ def test_places(spark):
         assert all(s == list(range(sites)) for w, s in ends.items() if w < max(ends)) and ends[max(ends)][0] == 0
     with pytest.raises(ValueError):
         stitching.places(markers_, 16, 9)
+
+
+def random_graph(rng, sites, haps):
+    """Levels of a graph of `haps` haplotypes whose nodes are their last four alleles."""
+    codes, out, before = rng.integers(0, 1 << sites, haps), [], np.zeros(haps, int)
+    for site in range(sites):
+        found, node = np.unique((codes >> max(0, site - 3)) & ((1 << min(4, site + 1)) - 1), return_inverse=True)
+        counts = np.zeros((before.max() + 1, len(found)))
+        np.add.at(counts, (before, node), 1)
+        out.append((found >> min(3, site) & 1, np.bincount(node) / haps, counts / counts.sum(1, keepdims=True)))
+        before = node
+    return out
+
+
+@pytest.mark.parametrize("rate, error", [(0.01, 0.0), (0.2, 0.03), (0.0, 0.01)])
+def test_pairs_that_are_kept(rate, error):
+    rng = np.random.default_rng(6)
+    for _ in range(6):
+        sites = 7
+        graph, phreds = random_graph(rng, sites, 60), rng.integers(0, 40, (1, sites, 3)).astype(float)
+        rates, errors = np.full(sites, rate), np.full(sites, error)
+        whole = phasing.forward(graph, phreds, rates, errors)
+        for kept, full in zip(phasing.forward_pairs(graph, phreds[0], rates, errors, 10**6), whole):
+            dense = np.zeros(full[0].shape)
+            dense[kept[1], kept[2]] = kept[0]
+            assert np.allclose(dense, full[0], atol=1e-12)
+        few = phasing.forward_pairs(graph, phreds[0], rates, errors, 5)
+        for site in range(1, sites):
+            values, i, j = few[site - 1]
+            before = np.zeros((len(graph[site - 1][0]),) * 2)
+            before[i, j] = values
+            alleles, _, step = graph[site]
+            exp = (step.T @ phasing.mixed(before[None], graph[site - 1][1], rate) @ step * phasing.emissions(phreds[:, site], alleles, error))[0]
+            top = np.sort(exp.ravel())[::-1][:5]
+            got = exp[few[site][1], few[site][2]]
+            assert len(got) == min(5, (exp > 0).sum()) and np.allclose(got, top[: len(got)]) and np.allclose(few[site][0], got / got.sum())
+
+
+def test_draws_from_kept_pairs():
+    rng = np.random.default_rng(7)
+    graph, phreds, rates, errors = random_graph(rng, 6, 30), rng.integers(0, 15, (1, 6, 3)).astype(float), np.full(6, 0.05), np.zeros(6)
+    keys = phasing.draw_keys(3, [4], 4000)
+    codes, crossed = phasing.draw_pairs(graph, rates, 1, keys, phasing.forward_pairs(graph, phreds[0], rates, errors, 10**6))
+    share = np.array([[np.mean(((codes >> s) & 1).sum(1) == d) for d in range(3)] for s in range(6)])
+    assert np.abs(share - phasing.posterior(graph, phreds, rates)[0]).max() < 0.04
+    assert 0 < np.mean((crossed >> 3) & 1) < 0.2 and not (crossed & 1).any()
