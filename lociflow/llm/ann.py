@@ -166,11 +166,13 @@ def search(vectors: DataFrame, how: Settings = Settings()) -> DataFrame:
     queries = rows.where(F.col("vec_id") % how.every == 0).distinct()
     visits = queries.mapInArrow(visit, f"query_id long, q {numbers}, cell int")
     blocks = spark.createDataFrame([(int(c), int(-(-s // BLOCK))) for c, s in sizes.items()], "cell int, parts int")
-    dealt = placed.join(F.broadcast(blocks), "cell").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")))
+    dealt = placed.join(F.broadcast(blocks), "cell").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("long"))
     dealt = dealt.groupBy("cell", "part").agg(F.collect_list(F.struct("v", "ids")).alias("entries"))
     asked = visits.withColumn("deal", F.pmod(F.xxhash64("query_id"), F.lit(max(1, n // (how.every * QUERY_BLOCK)))))
     asked = asked.groupBy("cell", "deal").agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
-    pairs = asked.join(dealt, "cell")
+    # to each block of the cell, so that neither a cell's vectors nor its queries meet in one task
+    asked = asked.join(F.broadcast(blocks), "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("parts") - 1).cast("long")))).drop("parts")
+    pairs = asked.join(dealt.drop("parts"), ["cell", "part"])
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -231,3 +231,44 @@ def test_secrets_in_long_candidates(spark):
     made = ["".join(rnd.choice(["Ab", "a", "A", "12", "/", "_", "-", "=", "B2", "c", "+"]) for _ in range(rnd.randint(1, 9))) for _ in range(4000)]
     rows = spark.createDataFrame([(m,) for m in made], "m string").select("m", secrets.allowed(F.col("m")).alias("ok")).collect()
     assert [r.ok for r in rows] == [any(re.search(p, r.m) for p in secrets.ALLOW) for r in rows]
+
+
+def test_mixing_of_alike_rows(spark):
+    """Thousands of rows of one key: added up before ranges, cut once, and taken as far as their source's words go."""
+    from lociflow.llm import mixing
+
+    rows = [(k, f"w{k} x y", "a") for k in range(50)] + [(7, "one two three four", "b")] * 3000 + [(9, "p q", "b")] * 5 + [(None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    found = mixing.mix(docs).collect()
+    sums = Counter()
+    for r in found:
+        sums[r.source] += r.taken
+        assert 0 <= r.taken <= 2 * r.size
+    targets = {r.source: r.target for r in found}
+    assert len(found) == len(rows) and all(sums[s] == round(targets[s]) for s in targets)
+    assert len({(r.taken, r.size) for r in found if r.source == "b" and r.size == 4}) <= 3
+
+
+def test_neighbours_of_a_hot_cell(spark):
+    """Most vectors in one cell: its blocks and its queries are joined block by block, and found as by brute force."""
+    from lociflow.llm import ann
+
+    rng = np.random.default_rng(3)
+    near = np.concatenate([rng.normal(0, 1e-3, (9000, 8)) + 5.0, rng.normal(0, 1, (1000, 8))])
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(near)], "vec_id long, embedding array<double>")
+    found = ann.search(rows)
+    import contextlib
+    import io
+
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        found.explain("formatted")
+    assert re.search(r"Left keys \[2\]: \[cell#\d+, part#\d+L?\]", plan.getvalue()) or re.search(r"\[cell#\d+, part#\d+L?\], \[cell#\d+, part#\d+L?\]", plan.getvalue())
+    got = defaultdict(set)
+    for r in found.collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 10_000, 100):
+        d = ((near - near[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert hits / 1000 >= 0.9
