@@ -7,8 +7,8 @@ digits, which md5 fills evenly) is the unit of the sort and of the first prefix
 it in its range. A hot source thus spreads over all its ranges.
 
 Edge cases: a null or empty text has size 0 and is taken 0 words. A null source is a source, last in the order of
-weights. Null doc_ids are a doc_id. Only rows alike in doc_id, source and text share a key; they share the words taken
-in some order, which leaves the result's rows the same. Extra columns are kept; mix() replaces those with the name of a
+weights. Null doc_ids are a doc_id. Only rows alike in doc_id, source and text share a key: they are added up before
+anything is sorted, and numbered only where the cut falls among them, which leaves the result's rows the same. Extra columns are kept; mix() replaces those with the name of a
 result column, mixed() hands them on. If all sizes are 0, all targets are 0. An empty table gives an empty result. The
 weights are set by windows over one row a source, in one task: sources are taken to be far fewer than documents.
 """
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spread_join, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order, repeating.
@@ -69,19 +69,32 @@ def shares(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1
     that the mix holds, repeats counted. The document at the budget's end is cut there, so that the words taken of a
     source are its target, rounded to whole words."""
     size, key, part, src = "__lf_size", "__lf_key", "__lf_part", "__lf_src"
-    keyed = rows.withColumns({src: F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), part: F.substring(key, 1, digits)})
+    source = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    keyed = rows.withColumn("__lf_place", F.concat(F.col(key), source))
+    # rows alike in all that counts are one row here, with their number
+    keys = keyed.groupBy("__lf_place").agg(F.count(F.lit(1)).alias("__lf_n"), F.max(size).alias("__lf_each"), F.max("source").alias("source"))
+    keys = keys.withColumns({src: F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), part: F.substring("__lf_place", 1, digits), "__lf_all": F.col("__lf_n") * F.col("__lf_each")})
+    keys = stored(keys, "keys")
     # a row for each range of each source, read twice
-    parts = stored(keyed.groupBy(src, part).agg(F.sum(size).alias("__lf_sum"), F.max("source").alias("source")), "ranges")
+    parts = stored(keys.groupBy(src, part).agg(F.sum("__lf_all").alias("__lf_sum"), F.max("source").alias("source")), "ranges")
     goal = targets(parts.groupBy("source").agg(F.sum("__lf_sum").alias("source_size")), weights, share, most)
     goal = goal.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias(src), F.col("source_size").alias("__lf_total"), F.col("target").alias("__lf_target"))
     ahead = Window.partitionBy(src).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select(src, part, F.coalesce(F.sum("__lf_sum").over(ahead), F.lit(0)).alias("__lf_start")).join(goal, src)
-    within = Window.partitionBy(src, part).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    joined = keyed.withColumn("__lf_before", F.coalesce(F.sum(size).over(within), F.lit(0))).join(starts, [src, part])
+    within = Window.partitionBy(src, part).orderBy("__lf_place").rowsBetween(Window.unboundedPreceding, -1)
+    placed = keys.withColumn("__lf_before", F.coalesce(F.sum("__lf_all").over(within), F.lit(0))).join(starts, [src, part])
     passes = F.expr("CASE WHEN __lf_total > 0 THEN cast(round(__lf_target) as bigint) div __lf_total ELSE 0L END")
-    left = F.round("__lf_target").cast("long") - passes * F.col("__lf_total")
-    cut = F.least(F.greatest(left - F.col("__lf_start") - F.col("__lf_before"), F.lit(0)), F.col(size))
-    return joined.withColumn("__lf_taken", (passes * F.col(size) + cut).cast("long")).drop(key, part, src, "__lf_before", "__lf_start")
+    left = F.round("__lf_target").cast("long") - passes * F.col("__lf_total") - F.col("__lf_start") - F.col("__lf_before")
+    # words of the key's rows before the cut, and whether the cut is among them
+    some = F.least(F.greatest(left, F.lit(0)), F.col("__lf_all"))
+    table = stored(placed.select("__lf_place", "__lf_n", "__lf_total", "__lf_target", passes.alias("__lf_passes"), some.alias("__lf_some"), ((some > 0) & (some < F.col("__lf_all")) & (F.col("__lf_n") > 1)).alias("__lf_cut")), "placed")
+    joined = spread_join(keyed, table.drop("__lf_n"), "__lf_place", table.select("__lf_place", F.col("__lf_n").alias("n")))
+    # of a source's alike rows that hold its cut, one key at most, each is told apart by a number
+    nth = F.row_number().over(Window.partitionBy("__lf_place").orderBy("__lf_place")) - 1
+    apart = joined.where("__lf_cut").withColumn("__lf_nth", nth).withColumn("__lf_own", F.least(F.greatest(F.col("__lf_some") - F.col("__lf_nth") * F.col(size), F.lit(0)), F.col(size))).drop("__lf_nth")
+    whole = joined.where("NOT __lf_cut").withColumn("__lf_own", F.least(F.col("__lf_some"), F.col(size)))
+    out = whole.unionByName(apart).withColumn("__lf_taken", (F.col("__lf_passes") * F.col(size) + F.col("__lf_own")).cast("long"))
+    return out.drop(key, "__lf_place", "__lf_passes", "__lf_some", "__lf_cut", "__lf_own")
 
 
 def named(rows: DataFrame) -> DataFrame:
