@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import genetics as G
-from ..operators import genotypes, haplotypes, markers, phasing, stitching
+from ..operators import genotypes, haplotypes, markers, mosaic, phasing, stitching
 from ..operators.ranges import numbered
 from ..sources import sinks, vcf
 
@@ -165,11 +165,12 @@ def consensus_lines(consensus: DataFrame, table: DataFrame, places: DataFrame, s
     return sinks.record_lines(rows, each.select("key", "sample_idx", F.concat(F.concat_ws("|", "a", "b"), F.lit(":"), "ps").alias("text")), "GT:PS")
 
 
-def phase(spark: SparkSession, target: str, panel: str, out: str, sites: int = SITES, rate: float = 0.01, error: float = 0.01, draws: int = 5, seed: int = 1, overlap: int | None = None, include: DataFrame | None = None, exclude: DataFrame | None = None, genetic_map: DataFrame | None = None, crossovers: DataFrame | None = None, errors: DataFrame | None = None, keep: int | None = None) -> None:
+def phase(spark: SparkSession, target: str, panel: str, out: str, sites: int = SITES, rate: float = 0.01, error: float = 0.01, draws: int = 5, seed: int = 1, overlap: int | None = None, include: DataFrame | None = None, exclude: DataFrame | None = None, genetic_map: DataFrame | None = None, crossovers: DataFrame | None = None, errors: DataFrame | None = None, keep: int | None = None, people: int | None = None) -> None:
     """The target's genotypes given the indexed panel (a folder from index(), with the same sites and overlap):
     out/genotypes and out/consensus, each a folder of text parts that read in order are a VCF. include and exclude
     (sample_id) choose the target's samples; rates are as marker_rates() takes them; keep bounds
-    the pairs of nodes whose sums haplotypes are drawn from. Markers of a region in which no
+    the pairs of nodes whose sums haplotypes are drawn from; people has them drawn as mosaics of that many people's
+    haplotypes, a sample's likeliest, instead. Markers of a region in which no
     sample has reads are left out."""
     read = lambda name: spark.read.parquet(f"{panel}/{name}")
     table, places, nodes, edges = map(read, ("markers", "places", "nodes", "edges"))
@@ -181,7 +182,10 @@ def phase(spark: SparkSession, target: str, panel: str, out: str, sites: int = S
     post = _kept(phasing.posteriors(asked, nodes, edges, sites, own), f"{out}/tables/posteriors")
     header = sinks.header_lines(vcf.meta(vcf.lines(spark, target)), samples)
     sinks.write(spark, header, genotype_lines(post, phreds, table, places, rates), f"{out}/genotypes")
-    drawn = phasing.draws(asked, nodes, edges, sites, draws, own, seed, keep=keep)
+    if people:
+        drawn = mosaic.mosaics(asked, mosaic.likely_haplotypes(asked, read("haplotypes"), sites, people), sites, draws, own, seed=seed)
+    else:
+        drawn = phasing.draws(asked, nodes, edges, sites, draws, own, seed, keep=keep)
     merged = _kept(phasing.consensus(drawn, sites, "region", "sample_id"), f"{out}/tables/consensus")
     sinks.write(spark, header, consensus_lines(merged, table, places, sites, _overlap(sites, overlap)), f"{out}/consensus")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import genetics as G
 from ..functions.genetics import r6
 from ..functions import stats as S
-from ..operators import genotypes, haplotypes, markers, merging, phasing, selection, stitching
+from ..operators import genotypes, haplotypes, markers, merging, mosaic, phasing, selection, stitching
 from ..sources import sinks, vcf
 from ..sources import views as V
 
@@ -628,6 +628,13 @@ def pair_topk(spark, d):
     return found.withColumn("p", F.round("p", 11))
 
 
+def mosaic_draws(spark, d):
+    """Each sample's two haplotypes as mosaics of those of its three likeliest people."""
+    phreds = V.regional_phreds(spark, d)
+    chosen = mosaic.likely_haplotypes(phreds, V.haplotypes(spark, d), V.SITES, 3)
+    return mosaic.mosaics(phreds, chosen, V.SITES, 1).drop("round", "sources1", "sources2")
+
+
 def ks_similar(spark, d):
     """Exact p-values where samples are small; SQL can't count the paths."""
     rows = V.table(spark, d, "lineitem").select("l_partkey", F.col("l_extendedprice").alias("v"), F.when(F.col("l_linestatus") == "O", 0).otherwise(1).alias("g"))
@@ -656,4 +663,4 @@ def graph_merged(spark, d):
     return haplotypes.edge_probabilities(merging.merged_graph(V.haplotypes(spark, d), V.SITES)[1])
 
 
-QUERIES |= {f.__name__: f for f in (graph_merged, hap_cut, ks_similar, phase_posterior, phase_consensus, initial_haplotypes)}
+QUERIES |= {f.__name__: f for f in (graph_merged, hap_cut, mosaic_draws, ks_similar, phase_posterior, phase_consensus, initial_haplotypes)}

@@ -108,8 +108,11 @@ def test_phase_holds_over_windows(spark, tmp_path):
     write_vcf(tmp_path / "target.vcf", ["t"], [32], lambda c, k, m: "0/1:127,0,127", "GT:PL")
     commands.index(spark, f"{tmp_path}/panel.vcf", f"{tmp_path}/index")
     commands.phase(spark, f"{tmp_path}/target.vcf", f"{tmp_path}/index", f"{tmp_path}/out")
-    a, b, sets = sides(spark, f"{tmp_path}/out/consensus")["chr1", 0]
-    assert sorted([a, b]) == [one, two] and sets == {"1"}
+    commands.phase(spark, f"{tmp_path}/target.vcf", f"{tmp_path}/index", f"{tmp_path}/few", keep=3)
+    commands.phase(spark, f"{tmp_path}/target.vcf", f"{tmp_path}/index", f"{tmp_path}/mosaic", people=2)
+    for out in ("out", "few", "mosaic"):
+        a, b, sets = sides(spark, f"{tmp_path}/{out}/consensus")["chr1", 0]
+        assert sorted([a, b]) == [one, two] and sets == {"1"}
 
 
 @pytest.mark.parametrize("sites", [16, 24])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lociflow.functions import genetics as G
 from lociflow.functions import stats as S
-from lociflow.operators import genotypes, haplotypes, markers, merging, phasing, selection, stitching
+from lociflow.operators import genotypes, haplotypes, markers, merging, mosaic, phasing, selection, stitching
 from lociflow.sources import sinks, vcf
 
 #: 600 haplotypes of 4 sites.
@@ -653,3 +653,65 @@ def test_draws_from_kept_pairs():
     share = np.array([[np.mean(((codes >> s) & 1).sum(1) == d) for d in range(3)] for s in range(6)])
     assert np.abs(share - phasing.posterior(graph, phreds, rates)[0]).max() < 0.04
     assert 0 < np.mean((crossed >> 3) & 1) < 0.2 and not (crossed & 1).any()
+
+
+def mosaic_case(rng, states=3, sites=5):
+    alleles = rng.integers(0, 2, (1, states, sites))
+    phreds = rng.integers(0, 12, (1, sites, 3)).astype(float)
+    phreds[0, [1, 2]] = 5.0  # nothing is read there
+    rates = np.concatenate([[0.0], rng.uniform(0.05, 0.3, sites - 1)])
+    return alleles, rng.uniform(0.5, 2, (1, states)), phreds, rates, np.full(sites, 0.05)
+
+
+def mosaic_paths(alleles, weights, phreds, rates, errors):
+    """The probability of each pair of paths, from all of them."""
+    _, states, sites = alleles.shape
+    w, like = weights[0] / weights.sum(), 10.0 ** (-0.1 * phreds[0])
+    pairs = list(itertools.product(range(states), repeat=2))
+    found = {}
+    for path in itertools.product(pairs, repeat=sites):
+        p = 1.0
+        for s, (i, j) in enumerate(path):
+            for now, old in ((i, path[s - 1][0]), (j, path[s - 1][1])):
+                p *= w[now] if s == 0 else rates[s] * w[now] + (1 - rates[s]) * (now == old)
+            dose = alleles[0, i, s] + alleles[0, j, s]
+            p *= phasing.penetrance(errors[s])[dose] @ like[s]
+        found[path] = p
+    total = sum(found.values())
+    return {k: v / total for k, v in found.items()}
+
+
+def test_mosaics_are_drawn_as_all_paths_say():
+    rng = np.random.default_rng(13)
+    case = mosaic_case(rng)
+    exp = mosaic_paths(*case)
+    keys = phasing.draw_keys(1, [3], 20_000)
+    drawn = mosaic.Mosaic(*case).draw(2, keys)
+    assert (drawn == mosaic.Mosaic(*case, every=1).draw(2, keys)).all() and (drawn == mosaic.Mosaic(*case, every=50).draw(2, keys)).all()
+    for s in range(5):
+        for pair in itertools.product(range(3), repeat=2):
+            assert abs(np.mean((drawn[:, :, s] == pair).all(1)) - sum(p for path, p in exp.items() if path[s] == pair)) < 0.02
+        if s:  # joint with the site before, skipped ones included
+            for side in (0, 1):
+                same = sum(p for path, p in exp.items() if path[s][side] == path[s - 1][side])
+                assert abs(np.mean(drawn[:, side, s] == drawn[:, side, s - 1]) - same) < 0.02
+    # the forward sums at the last site
+    last = mosaic.Mosaic(*case)
+    got = last.at(len(last.sites) - 1)[0]
+    assert np.allclose(got, [[sum(p for path, p in exp.items() if path[4] == (i, j)) for j in range(3)] for i in range(3)], atol=1e-9)
+    kept, steps = mosaic.kept_sites(case[2], case[3])
+    assert kept.tolist() == [0, 3, 4] and math.isclose(steps[1], 1 - np.prod(1 - case[3][1:4]))
+
+
+def test_mosaics_of_a_table(spark):
+    one, two = 0b00110101, 0b11001010
+    chosen = spark.createDataFrame([(1, s, h, c, 1.0) for s in (5, 6) for h, c in ((0, one), (1, two), (2, one ^ 255), (3, 0))], "region long, sample_id long, hap_id long, code long, weight double")
+    phreds = spark.createDataFrame([(1, s, k, *((0, 60, 120) if (one >> k & 1) + (two >> k & 1) == 0 else (60, 0, 60) if (one >> k & 1) + (two >> k & 1) == 1 else (120, 60, 0))) for s in (5, 6, 7) for k in range(8)], "region long, sample_id long, site int, pl0 long, pl1 long, pl2 long")
+    rows = mosaic.mosaics(phreds, chosen, 8, 3, 0.001, 0.001).collect()
+    assert len(rows) == 6 and {r.sample_id for r in rows} == {5, 6}
+    for r in rows:
+        assert r.code1 ^ r.code2 == 255 and len(r.sources1) == len(r.sources2) == 8 and set(r.sources1) | set(r.sources2) <= {0, 1, 2, 3}
+        codes = {0: one, 1: two, 2: one ^ 255, 3: 0}
+        assert r.code1 == sum((codes[h] >> k & 1) << k for k, h in enumerate(r.sources1))
+        assert r.crossed1 == sum(1 << k for k in range(1, 8) if r.sources1[k] != r.sources1[k - 1])
+    assert mosaic.mosaics(phreds.limit(0), chosen, 8, 1).count() == 0
