@@ -48,14 +48,19 @@ def welch(post: DataFrame, status: DataFrame) -> DataFrame:
     """Case-control t of the reference dosage by site (1: controls, 2: cases), Satterthwaite's degrees of freedom and
     the two-sided p-value; sites with a group of one or none are left out. Where neither group varies, the guard of
     1e-10 under the root gives t, and df and p are null; so is p below one degree of freedom."""
-    dose = post.join(status, "sample_id").withColumn("x", 2 * F.col("p0") + F.col("p1"))
+    return welch_of(post.withColumn("x", 2 * F.col("p0") + F.col("p1")), status, "site")
+
+
+def welch_of(rows: DataFrame, status: DataFrame, *keys: str) -> DataFrame:
+    """welch() of any values (keys, sample_id, x), by keys."""
+    dose = rows.join(status, "sample_id")
     side = lambda k, f: f(F.when(F.col("status") == k, F.col("x")))
-    g = dose.groupBy("site").agg(*[side(k, f).alias(f"{n}{k}") for k in (1, 2) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))]).where("n1 > 1 AND n2 > 1")
+    g = dose.groupBy(*keys).agg(*[side(k, f).alias(f"{n}{k}") for k in (1, 2) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))]).where("n1 > 1 AND n2 > 1")
     a, b = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
     g = g.withColumns({"a": a, "b": b})
     df = (F.col("a") + F.col("b")) ** 2 / (F.col("a") * F.col("a") / (F.col("n1") - 1) + F.col("b") * F.col("b") / (F.col("n2") - 1))
     g = g.withColumns({"t": (F.col("m2") - F.col("m1")) / F.sqrt(F.col("a") + F.col("b") + 1e-10), "df": F.when(F.col("a") + F.col("b") > 1e-15, df)})
-    return g.select("site", "n1", "n2", "t", "df", F.when(F.col("df") >= 1, S.t_tail(F.col("t"), F.col("df"))).alias("p"))
+    return g.select(*keys, "n1", "n2", "t", "df", F.when(F.col("df") >= 1, S.t_tail(F.col("t"), F.col("df"))).alias("p"))
 
 
 def chi_square(reads: DataFrame, status: DataFrame) -> DataFrame:

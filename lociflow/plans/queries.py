@@ -628,6 +628,14 @@ def pair_topk(spark, d):
     return found.withColumn("p", F.round("p", 11))
 
 
+def case_sharing(spark, d):
+    """By site, whether cases copy more from cases than controls do."""
+    phreds = V.regional_phreds(spark, d)
+    chosen = mosaic.likely_haplotypes(phreds, V.haplotypes(spark, d), V.SITES, 3)
+    found = mosaic.case_shares(phreds, chosen, V.status(spark, d), V.SITES)
+    return genotypes.welch_of(found.withColumnRenamed("score", "x"), V.status(spark, d), "region", "site")
+
+
 def mosaic_draws(spark, d):
     """Each sample's two haplotypes as mosaics of those of its three likeliest people."""
     phreds = V.regional_phreds(spark, d)
@@ -663,4 +671,4 @@ def graph_merged(spark, d):
     return haplotypes.edge_probabilities(merging.merged_graph(V.haplotypes(spark, d), V.SITES)[1])
 
 
-QUERIES |= {f.__name__: f for f in (graph_merged, hap_cut, mosaic_draws, ks_similar, phase_posterior, phase_consensus, initial_haplotypes)}
+QUERIES |= {f.__name__: f for f in (graph_merged, hap_cut, mosaic_draws, case_sharing, ks_similar, phase_posterior, phase_consensus, initial_haplotypes)}

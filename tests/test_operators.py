@@ -715,3 +715,27 @@ def test_mosaics_of_a_table(spark):
         assert r.code1 == sum((codes[h] >> k & 1) << k for k, h in enumerate(r.sources1))
         assert r.crossed1 == sum(1 << k for k in range(1, 8) if r.sources1[k] != r.sources1[k - 1])
     assert mosaic.mosaics(phreds.limit(0), chosen, 8, 1).count() == 0
+
+
+def test_marginals_and_case_shares(spark):
+    rng = np.random.default_rng(21)
+    for kept in (True, False):
+        case = mosaic_case(rng)
+        if not kept:
+            case[2][0, 0] = 3.0  # nothing is read at the first site either
+        exp, got = mosaic_paths(*case), mosaic.Mosaic(*case).marginals()[0]
+        for s in range(5):
+            for h in range(3):
+                assert math.isclose(got[s, h], sum(p * ((path[s][0] == h) + (path[s][1] == h)) for path, p in exp.items()), abs_tol=1e-7)
+    alleles, weights, phreds, rates, errors = case
+    codes = [int(sum(int(a) << k for k, a in enumerate(row))) for row in alleles[0]]
+    people = [(4, 2), (5, 1), (6, 0)]  # a case, a control, and one of unknown status
+    chosen = spark.createDataFrame([(1, 9, 2 * p, c, float(w)) for (p, _), c, w in zip(people, codes, weights[0])], "region long, sample_id long, hap_id long, code long, weight double")
+    reads = spark.createDataFrame([(1, 9, k, *map(int, phreds[0, k])) for k in range(5)], "region long, sample_id long, site int, pl0 long, pl1 long, pl2 long")
+    table = spark.createDataFrame([(1, k, float(rates[k]), float(errors[k])) for k in range(5)], "region long, site int, rate double, error double")
+    status = spark.createDataFrame([x for x in people if x[1]], "sample_id long, status int")
+    out = {r.site: r for r in mosaic.case_shares(reads, chosen, status, 5, table).collect()}
+    for s in range(5):
+        share = got[s, 0] / (got[s, 0] + got[s, 1])
+        assert math.isclose(out[s].share, share, abs_tol=1e-7) and math.isclose(out[s].score, 0.5 * share - 0.5 * (1 - share), abs_tol=1e-7)
+    assert mosaic.case_shares(reads, chosen, status.limit(0), 5, table).count() == 0
