@@ -35,6 +35,14 @@ def penetrance(e: Column) -> dict[str, Column]:
     return {"h0": keep * keep, "h1": 2.0 * e * keep, "h2": e * e, "t0": e * keep, "t1": keep * keep + e * e, "t2": e * keep}
 
 
+def penetrance_of(e: Column, held: Column, read: Column) -> Column:
+    """penetrance() of a genotype read (0, 1 or 2 alternative alleles) from one that is held, null for other numbers."""
+    p = penetrance(e)
+    hom = lambda dose: F.when(dose == 0, p["h0"]).when(dose == 1, p["h1"]).when(dose == 2, p["h2"])
+    het = F.when(read == 0, p["t0"]).when(read == 1, p["t1"]).when(read == 2, p["t2"])
+    return F.when(held == 0, hom(read)).when(held == 1, het).when(held == 2, hom(2 - read))
+
+
 def recombination(before: Column, here: Column) -> Column:
     """From two places in centimorgans."""
     part = lambda x: F.pow(1.0 + x / 200.0, F.lit(-2.0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import genetics as G
@@ -63,6 +63,11 @@ def welch_of(rows: DataFrame, status: DataFrame, *keys: str) -> DataFrame:
     return g.select(*keys, "n1", "n2", "t", "df", F.when(F.col("df") >= 1, S.t_tail(F.col("t"), F.col("df"))).alias("p"))
 
 
+def one_sided(t: str = "t", p: str = "p") -> Column:
+    """The p-value of a t that is asked to be above 0, from its two-sided one."""
+    return F.when(F.col(t) >= 0, F.col(p) / 2).otherwise(1 - F.col(p) / 2)
+
+
 def chi_square(reads: DataFrame, status: DataFrame) -> DataFrame:
     """2 x 2 chi-square of allele counts by status; a warning above 15.13."""
     count = lambda k, c: F.sum(F.when(F.col("status") == k, F.col(c)).otherwise(0))

@@ -83,12 +83,22 @@ def theta(markers: DataFrame, genetic_map: DataFrame | None = None, default: flo
     return markers.select("site").join(found, "site", "left").withColumn("rate", F.coalesce("rate", F.lit(default)))
 
 
+def gaps(placed: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(site, distance): how far each site lies from the one before it on its chromosome; the first has none."""
+    rows = with_neighbours(placed, "chrom", [F.col("pos"), F.col("site")], "pos", F.struct("cm"), width, strict=True)
+    return rows.where("before IS NOT NULL").select("site", (F.col("cm") - F.col("before")["cm"]).alias("distance"))
+
+
 def updated_theta(counts: DataFrame, haplotypes: int) -> DataFrame:
-    """(site, theta) from crossovers counted by interval (site, crossovers): intervals of one or none share the rate of
-    all such intervals, the others have their own. The shared rate is a sum over a grouping, joined as one row."""
-    few = F.col("crossovers") <= 1
-    pool = counts.where(few).agg(((F.sum("crossovers") + F.lit(0.0)) / (F.count(F.lit(1)) * haplotypes)).alias("base"))
-    return counts.join(F.broadcast(pool)).select("site", F.when(few, F.col("base")).otherwise(F.col("crossovers") / F.lit(float(haplotypes))).alias("theta"))
+    """(site, theta) from crossovers counted by interval (site, crossovers, and distance if it is known): intervals of
+    more than one have their own rate, the others share one, of their crossovers and one more, by interval or by
+    distance. The shared rate is a sum over a grouping, joined as one row."""
+    few, known = F.col("crossovers") <= 1, "distance" in counts.columns
+    length = F.coalesce(F.sum("distance"), F.lit(0.0)) if known else F.count(F.lit(1))
+    pool = counts.where(few).agg((F.coalesce(F.sum("crossovers"), F.lit(0)) + 1).alias("n"), length.alias("length"))
+    pool = pool.select((F.col("n") / (F.when(F.col("length") > 0, F.col("length")).otherwise(1) * F.lit(float(haplotypes)))).alias("base"))
+    shared = F.col("base") * F.col("distance") if known else F.col("base")
+    return counts.join(F.broadcast(pool)).select("site", F.when(few, shared).otherwise(F.col("crossovers") / F.lit(float(haplotypes))).alias("theta"))
 
 
 def updated_error(counts: DataFrame) -> DataFrame:

@@ -206,9 +206,10 @@ def guessed_haplotypes(phreds: DataFrame, table: DataFrame, places: DataFrame, s
 
 
 def updated_rates(counts: DataFrame, rates: DataFrame, haplotypes: int) -> DataFrame:
-    """(key, rate, error) learned from counts (key, first, matches, mismatches, uncertain, crossovers); the first marker
+    """(key, rate, error) learned from counts (key, first, matches, mismatches, uncertain, crossovers, and distance if it is known); the first marker
     of a chromosome, in front of which nothing switches, keeps its rate."""
-    theta = markers.updated_theta(counts.where("NOT first").select(F.col("key").alias("site"), "crossovers"), haplotypes).withColumnRenamed("site", "key")
+    known = ["distance"] if "distance" in counts.columns else []
+    theta = markers.updated_theta(counts.where("NOT first").select(F.col("key").alias("site"), "crossovers", *known), haplotypes).withColumnRenamed("site", "key")
     error = markers.updated_error(counts.select(F.col("key").alias("site"), "matches", "mismatches", "uncertain")).withColumnRenamed("site", "key")
     out = rates.join(theta, "key", "left").join(error.withColumnRenamed("error", "learned"), "key", "left")
     least = lambda c: F.greatest(c, F.lit(FLOOR))
@@ -259,6 +260,10 @@ def iterative(
         if learn:
             core = places.where("core").select("key", "region", "site", ((F.col("window") == 0) & (F.col("site") == 0)).alias("first"))
             counts = phasing.imputed_counts(new, sites, "region").join(core, ["region", "site"])
+            if genetic_map is not None:
+                placed = markers.interpolated(table.select(F.xxhash64("key").alias("site"), "chrom", "pos"), genetic_map)
+                apart = markers.gaps(placed.where("cm IS NOT NULL")).withColumnRenamed("site", "id")
+                counts = counts.join(apart, F.xxhash64("key") == F.col("id"), "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
             rates = _kept(updated_rates(counts, rates, 2 * n), f"{out}/tables/rates-{k}")
         # the target's haplotypes are numbered below 0, apart from the panel's
         known = codes.unionByName(new.select("region", F.inline(F.array(F.struct((-2 * F.col("sample_id") - 1).alias("hap_id"), F.col("code1").alias("code")), F.struct((-2 * F.col("sample_id") - 2).alias("hap_id"), F.col("code2").alias("code"))))))

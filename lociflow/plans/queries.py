@@ -426,7 +426,7 @@ def group_regression(spark, d):
 
 
 @query(
-    """SELECT site, crossovers, round(CASE WHEN crossovers <= 1 THEN (SELECT sum(crossovers) / count(*)::DOUBLE FROM x WHERE crossovers <= 1) / 5e2 ELSE crossovers / 5e2 END, 8) AS theta FROM x""",
+    """SELECT site, crossovers, round(CASE WHEN crossovers <= 1 THEN (SELECT (sum(crossovers) + 1) / count(*)::DOUBLE FROM x WHERE crossovers <= 1) / 5e2 ELSE crossovers / 5e2 END, 8) AS theta FROM x""",
     " x AS (SELECT l_partkey AS site, count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'O') + count(*) FILTER (l_quantity > 48) AS crossovers FROM lineitem GROUP BY 1)",
 )
 def theta_update(spark, d):
@@ -643,6 +643,48 @@ def mosaic_draws(spark, d):
     return mosaic.mosaics(phreds, chosen, V.SITES, 1).drop("round", "sources1", "sources2")
 
 
+@query(
+    """SELECT site, crossovers, round(CASE WHEN crossovers <= 1 THEN (SELECT (sum(crossovers) + 1) / sum(distance) FROM x WHERE crossovers <= 1) / 5e2 * distance ELSE crossovers / 5e2 END, 8) AS theta FROM x""",
+    """ x AS (SELECT m.site, count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'O' AND l_quantity > 48) AS crossovers, any_value(distance) AS distance FROM (
+SELECT p_partkey AS site, p_size * 1e-2 AS distance FROM part WHERE p_partkey > 2) m JOIN lineitem ON l_partkey = site GROUP BY 1)""",
+)
+def theta_distance(spark, d):
+    """Each interval's distance is that of the map: a site lies behind the one three keys before it."""
+    chrom = F.concat(F.lit("chr"), (1 + F.col("p_partkey") % 3).cast("string"))
+    sites = V.table(spark, d, "part").select(F.col("p_partkey").alias("site"), chrom.alias("chrom"), (F.col("p_partkey") * 1000).alias("pos"))
+    distances = markers.gaps(markers.interpolated(sites, V.genetic_map(spark, d)))
+    hit = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O") & (F.col("l_quantity") > 48)
+    counts = V.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("site")).agg(F.count(F.when(hit, 1)).alias("crossovers")).join(distances, "site")
+    return markers.updated_theta(counts, 500).join(counts, "site").select("site", "crossovers", F.round("theta", 8).alias("theta"))
+
+
+@query(
+    f"""SELECT site, round(t, 4) + 0e0 AS t, round(CASE WHEN t >= 0 THEN p / 2 ELSE 1 - p / 2 END, 6) AS p FROM (SELECT site, t, CASE WHEN df >= 1 THEN {sql_t_tail("t", "df")} END AS p FROM (
+SELECT site, (m2 - m1) / sqrt(v1 / n1 + v2 / n2 + 1e-10) AS t, CASE WHEN v1 / n1 + v2 / n2 > 1e-15 THEN pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) END AS df
+FROM (SELECT site, count(x) FILTER (status = 1) AS n1, count(x) FILTER (status = 2) AS n2, avg(x) FILTER (status = 1) AS m1, avg(x) FILTER (status = 2) AS m2, var_samp(x) FILTER (status = 1) AS v1, var_samp(x) FILTER (status = 2) AS v2
+FROM (SELECT site, status, 2 * p0 + p1 AS x FROM post JOIN status USING (sample_id)) GROUP BY site) WHERE n1 > 1 AND n2 > 1))""",
+    POST,
+)
+def assoc_one_sided(spark, d):
+    out = genotypes.welch(genotypes.posteriors(V.phreds(spark, d)), V.status(spark, d))
+    return out.select("site", (F.round("t", 4) + F.lit(0.0)).alias("t"), r6(genotypes.one_sided()).alias("p"))
+
+
+@query(
+    """SELECT r.sample_id, r.site, round(pow(1e1, (CASE a + b WHEN 0 THEN pl0 WHEN 1 THEN pl1 ELSE pl2 END) * -1e-1), 9) AS likelihood,
+round(CASE a + b WHEN 0 THEN list_extract([pow(1 - error, 2), 2 * error * (1 - error), error * error], g + 1) WHEN 1 THEN list_extract([error * (1 - error), pow(1 - error, 2) + error * error, error * (1 - error)], g + 1)
+  ELSE list_extract([error * error, 2 * error * (1 - error), pow(1 - error, 2)], g + 1) END, 6) AS chance FROM (
+SELECT *, (n_alt > n_ref)::INT AS a, (n_alt > 0)::INT AS b, CASE WHEN n_ref = 0 THEN 2 WHEN n_alt = 0 THEN 0 ELSE 1 END AS g FROM phreds) r JOIN errors USING (site)""",
+    ERROR,
+)
+def pair_likelihood(spark, d):
+    """Of each sample and site, the likelihood of two alleles and the chance that the genotype read comes of them."""
+    rows = V.phreds(spark, d).withColumns({"a": (F.col("n_alt") > F.col("n_ref")).cast("int"), "b": (F.col("n_alt") > 0).cast("int"), "g": F.when(F.col("n_ref") == 0, 2).when(F.col("n_alt") == 0, 0).otherwise(1)})
+    rows = rows.join(genotypes.pooled_error(V.reads(spark, d)).select("site", "error"), "site")
+    like = G.likelihood(F.array("pl0", "pl1", "pl2"), F.col("a"), F.col("b"))
+    return rows.select("sample_id", "site", F.round(like, 9).alias("likelihood"), r6(G.penetrance_of(F.col("error"), F.col("a") + F.col("b"), F.col("g"))).alias("chance"))
+
+
 def ks_similar(spark, d):
     """Exact p-values where samples are small; SQL can't count the paths."""
     rows = V.table(spark, d, "lineitem").select("l_partkey", F.col("l_extendedprice").alias("v"), F.when(F.col("l_linestatus") == "O", 0).otherwise(1).alias("g"))
