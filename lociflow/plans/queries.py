@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import genetics as G
 from ..functions.genetics import r6
 from ..functions import stats as S
-from ..operators import genotypes, haplotypes, markers, merging, mosaic, phasing, selection, stitching
+from ..operators import genotypes, haplotypes, labels, markers, merging, mosaic, phasing, selection, stitching
 from ..sources import sinks, vcf
 from ..sources import views as V
 
@@ -685,6 +685,34 @@ def pair_likelihood(spark, d):
     return rows.select("sample_id", "site", F.round(like, 9).alias("likelihood"), r6(G.penetrance_of(F.col("error"), F.col("a") + F.col("b"), F.col("g"))).alias("chance"))
 
 
+# A site's labels as another panel has them: alike, as numbers, on the other strand, half of them, or foreign, by its key.
+LABELS = """ panel AS (SELECT site, ref AS a0, CASE WHEN alt = '.' THEN NULL ELSE alt END AS a1 FROM markers),
+seen AS (SELECT DISTINCT l_partkey AS site, CASE WHEN l_returnflag = 'R' THEN a1 ELSE a0 END AS was FROM lineitem JOIN panel ON site = l_partkey),
+labels AS (SELECT site, CASE site % 7 WHEN 0 THEN was WHEN 1 THEN translate(was, 'ACGT', '1234') WHEN 2 THEN translate(was, 'ACGT', 'TGCA') WHEN 3 THEN translate(translate(was, 'ACGT', 'TGCA'), 'ACGT', '1234')
+  WHEN 4 THEN CASE WHEN was = 'A' THEN 'INS' ELSE was END WHEN 5 THEN translate(was, 'AC', 'GT') ELSE translate(was, 'G', '3') END AS label FROM seen WHERE was IS NOT NULL),
+sets AS (SELECT site, list_filter([a0, a1], lambda x: x IS NOT NULL) AS own, list_sort(list_distinct(list(label))) AS seen FROM labels JOIN panel USING (site) GROUP BY site, a0, a1),
+named AS (SELECT *, list_transform(seen, lambda x: CASE WHEN renamed AND NOT list_contains(own, x) THEN translate(x, '1234', 'ACGT') ELSE x END) AS named FROM (
+  SELECT *, len(new) BETWEEN 1 AND 2 AND len(list_filter(new, lambda x: NOT regexp_full_match(x, '[1-4]'))) = 0 AS renamed FROM (SELECT *, list_filter(seen, lambda x: NOT list_contains(own, x)) AS new FROM sets))),
+opened AS (SELECT *, len(list_distinct(list_concat(own, named))) > 2 AND len(fresh) > 0 AS open FROM (SELECT *, list_distinct(list_filter(named, lambda x: NOT list_contains(own, x))) AS fresh FROM named)),
+decided AS (SELECT *, open AND len(fresh) <= 2 AND len(list_filter(fresh, lambda x: NOT regexp_full_match(x, '[ACGT]'))) = 0 AND NOT (len(fresh) = 2 AND translate(fresh[1], 'ACGT', 'TGCA') = fresh[2])
+  AND len(list_filter(fresh, lambda x: NOT list_contains(own, translate(x, 'ACGT', 'TGCA')))) = 0 AND NOT list_has_any(named, own) AS flipped FROM opened)"""
+
+
+@query(
+    """SELECT site, label, CASE WHEN action <> 'mismatch' THEN CASE WHEN flipped THEN translate(name, 'ACGT', 'TGCA') ELSE name END END AS stands_for, action FROM (
+SELECT site, unnest(seen) AS label, unnest(named) AS name, flipped, CASE WHEN open AND NOT flipped THEN 'mismatch' WHEN renamed AND flipped THEN 'renamed, flipped' WHEN renamed THEN 'renamed' WHEN flipped THEN 'flipped' WHEN len(fresh) > 0 THEN 'kept' ELSE 'same' END AS action FROM decided)""",
+    LABELS,
+)
+def label_repair(spark, d):
+    m = V.markers(spark, d).select("site", F.col("ref").alias("allele0"), F.when(F.col("alt") != ".", F.col("alt")).alias("allele1"))
+    seen = V.table(spark, d, "lineitem").join(m, F.col("l_partkey") == F.col("site")).select("site", F.when(F.col("l_returnflag") == "R", F.col("allele1")).otherwise(F.col("allele0")).alias("was")).distinct().where("was IS NOT NULL")
+    was, kind = F.col("was"), F.col("site") % 7
+    other = F.translate(was, "ACGT", "TGCA")
+    label = F.when(kind == 0, was).when(kind == 1, F.translate(was, "ACGT", "1234")).when(kind == 2, other).when(kind == 3, F.translate(other, "ACGT", "1234")).when(kind == 4, F.when(was == "A", "INS").otherwise(was)).when(kind == 5, F.translate(was, "AC", "GT")).otherwise(F.translate(was, "G", "3"))
+    found = labels.decisions(m.withColumnRenamed("site", "key"), seen.select(F.col("site").alias("key"), label.alias("label")))
+    return found.select(F.col("key").alias("site"), "label", F.col("to").alias("stands_for"), "action")
+
+
 def ks_similar(spark, d):
     """Exact p-values where samples are small; SQL can't count the paths."""
     rows = V.table(spark, d, "lineitem").select("l_partkey", F.col("l_extendedprice").alias("v"), F.when(F.col("l_linestatus") == "O", 0).otherwise(1).alias("g"))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from lociflow.functions import genetics as G
 from lociflow.functions import stats as S
-from lociflow.operators import genotypes, haplotypes, markers, merging, mosaic, phasing, selection, stitching
-from lociflow.sources import sinks, vcf
+from lociflow.operators import genotypes, haplotypes, labels, markers, merging, mosaic, phasing, selection, stitching
+from lociflow.sources import panels, sinks, vcf
 
 #: 600 haplotypes of 4 sites.
 GROUPS = [("0000", 21), ("0001", 79), ("0010", 95), ("0011", 116), ("0100", 25), ("0101", 112), ("0111", 152)]
@@ -739,3 +739,60 @@ def test_marginals_and_case_shares(spark):
         share = got[s, 0] / (got[s, 0] + got[s, 1])
         assert math.isclose(out[s].share, share, abs_tol=1e-7) and math.isclose(out[s].score, 0.5 * share - 0.5 * (1 - share), abs_tol=1e-7)
     assert mosaic.case_shares(reads, chosen, status.limit(0), 5, table).count() == 0
+
+
+def test_label_branches(spark):
+    cases = {  # the panel's two, the sample's labels, what becomes of them
+        "same": ("A", "C", ["A", "C"], {"A": "A", "C": "C"}, "same"),
+        "numbers": ("A", "C", ["1", "2"], {"1": "A", "2": "C"}, "renamed"),
+        "one number": ("A", "C", ["A", "2"], {"A": "A", "2": "C"}, "renamed"),
+        "other strand": ("A", "C", ["T", "G"], {"T": "A", "G": "C"}, "flipped"),
+        "one of it": ("A", "C", ["G"], {"G": "C"}, "flipped"),
+        "numbers of it": ("A", "C", ["4", "3"], {"4": "A", "3": "C"}, "renamed, flipped"),
+        "each other's": ("A", "T", ["C", "G"], {"C": None, "G": None}, "mismatch"),
+        "own and new": ("A", "C", ["A", "G"], {"A": None, "G": None}, "mismatch"),
+        "long": ("A", "C", ["INS"], {"INS": None}, "mismatch"),
+        "three new": ("A", "C", ["T", "G", "N"], {"T": None, "G": None, "N": None}, "mismatch"),
+        "room": ("A", None, ["A", "G"], {"A": "A", "G": "G"}, "kept"),
+    }
+    panel = spark.createDataFrame([(k, a, b) for k, (a, b, *_) in cases.items()] + [("unseen", "A", "C")], "key string, allele0 string, allele1 string")
+    seen = spark.createDataFrame([(k, x) for k, c in cases.items() for x in [*c[2], *c[2], None]] + [("no panel", "A")], "key string, label string")
+    decided = labels.decisions(panel, seen)
+    got = {}
+    for r in decided.collect():
+        got.setdefault(r.key, ({}, set()))[0][r.label] = r.to
+        got[r.key][1].add(r.action)
+    assert got == {k: (to, {action}) for k, (_, _, _, to, action) in cases.items()}
+    calls = spark.createDataFrame([("other strand", "T", "G", 1), ("long", "INS", "INS", 2), ("same", "A", None, 3)], "key string, first string, second string, n int")
+    assert {r.n: (r.first, r.second) for r in labels.relabelled(calls, decided, "first", "second").collect()} == {1: ("A", "C"), 2: (None, None), 3: ("A", None)}
+
+
+def test_text_panels(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    table = [(f"rs{k}", 1000 * k + 5, "A", "G" if k % 2 else "T") for k in range(300)]
+    (tmp_path / "legend").write_text("rs position a0 a1\n\n" + "\n".join("  ".join(map(str, r)) for r in table) + "\n")
+    haps = rng.integers(0, 2, (41, 300))
+    (tmp_path / "haps").write_text("\n".join(" ".join(map(str, h)) for h in haps.tolist()) + "\n\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")  # several splits a file
+    try:
+        legend, lines = panels.legend(spark, str(tmp_path / "legend")), panels.haplotypes(spark, str(tmp_path / "haps"), 300)
+        assert lines.rdd.getNumPartitions() >= 1 and [tuple(r) for r in legend.select("ordinal", "name", "pos", "allele0", "allele1").orderBy("ordinal").collect()] == [(k, *r) for k, r in enumerate(table)]
+        assert [r.alleles for r in lines.orderBy("hap_id").collect()] == ["".join(map(str, h)) for h in haps.tolist()]
+        assert panels.long_form(lines).agg(F.sum("allele"), F.count(F.lit(1)), F.max("ordinal")).first()[:] == (int(haps.sum()), 41 * 300, 299)
+        panels.write(panels.legend_lines(legend), str(tmp_path / "legend2"))
+        panels.write(panels.haplotype_lines(lines), str(tmp_path / "haps2"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    text = lambda name: "".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*")))
+    assert text("haps2") == (tmp_path / "haps").read_text().rstrip("\n") + "\n"
+    assert text("legend2").splitlines() == ["rs position a0 a1", *(" ".join(map(str, r)) for r in table)]
+    (tmp_path / "bad").write_text("rs position a0 a1\nrs1 5 A\n")
+    (tmp_path / "twice").write_text("h\nrs1 5 A C\nrs1 6 A C\n")
+    with pytest.raises(Exception, match="four words"):
+        panels.legend(spark, str(tmp_path / "bad")).collect()
+    with pytest.raises(ValueError):
+        panels.legend(spark, str(tmp_path / "twice"))
+    for wrong in ("0 1 2", "0 1", "01 1 "):
+        (tmp_path / "wrong").write_text(wrong + "\n")
+        with pytest.raises(Exception, match="a haplotype is 3 alleles"):
+            panels.haplotypes(spark, str(tmp_path / "wrong"), 3).collect()
