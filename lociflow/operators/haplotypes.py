@@ -109,6 +109,15 @@ def node_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.withColumns({"siblings": first | F.col("siblings"), "parents": F.when(first, F.expr("cast(array() as array<int>)")).otherwise(F.col("parents"))})
 
 
+def second_relatives(table: DataFrame, edges: DataFrame) -> DataFrame:
+    """(region, site, node, cousins) of a node_table(): whether a parent of the node has a sibling, so that the node has
+    cousins; true for all nodes of the first two sites, in front of which all are of one family."""
+    parents = table.select("region", (F.col("site") + 1).alias("site"), F.col("node").alias("parent"), "siblings")
+    found = edges.join(parents, ["region", "site", "parent"]).groupBy("region", "site", F.col("child").alias("node")).agg(F.max("siblings").alias("up"))
+    out = table.select("region", "site", "node").join(found, ["region", "site", "node"], "left")
+    return out.select("region", "site", "node", ((F.col("site") <= 1) | F.coalesce("up", F.lit(False))).alias("cousins"))
+
+
 def transitions(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """pairs (region, site, parent, child) with the edge's count and conditional probability; 0 where there is none."""
     found = edge_probabilities(edges).select("region", "site", "parent", "child", F.col("n").alias("freq"), F.col("p_child").alias("prob"))

@@ -713,6 +713,16 @@ def label_repair(spark, d):
     return found.select(F.col("key").alias("site"), "label", F.col("to").alias("stands_for"), "action")
 
 
+@query(
+    """SELECT v.region, v.site, v.node, v.site <= 1 OR EXISTS (SELECT 1 FROM steps e JOIN steps p ON p.region = e.region AND p.site = e.site - 1 AND p.child = e.parent JOIN steps o ON o.region = p.region AND o.site = p.site AND o.parent = p.parent AND o.child <> p.child
+WHERE e.region = v.region AND e.site = v.site AND e.child = v.node) AS cousins FROM nodes v""",
+    GRAPH,
+)
+def graph_cousins(spark, d):
+    nodes, edges = _graph(spark, d)
+    return haplotypes.second_relatives(haplotypes.node_table(nodes, edges), edges)
+
+
 def ks_similar(spark, d):
     """Exact p-values where samples are small; SQL can't count the paths."""
     rows = V.table(spark, d, "lineitem").select("l_partkey", F.col("l_extendedprice").alias("v"), F.when(F.col("l_linestatus") == "O", 0).otherwise(1).alias("g"))
