@@ -389,11 +389,18 @@ def top_pairs(phreds: DataFrame, nodes: DataFrame, edges: DataFrame, sites: int,
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for region, ids, graph, reads, rates, errors in _work(batch, sites):
-                for sample, own in zip(ids.tolist(), reads):
-                    kept = forward_pairs(graph, own, rates, errors, keep)
-                    sizes = [len(x[0]) for x in kept]
-                    made = {"region": np.full(sum(sizes), region), "sample_id": np.full(sum(sizes), sample), "site": np.repeat(np.arange(len(kept), dtype=np.int32), sizes), "rank": np.concatenate([np.arange(1, n + 1, dtype=np.int32) for n in sizes])}
-                    yield pa.record_batch(made | {n: np.concatenate([x[k] for x in kept]).astype(np.int32) for k, n in ((1, "node1"), (2, "node2"))} | {"p": np.concatenate([x[0] for x in kept])})
+                # samples of the same reads have the same sums
+                distinct, which = np.unique(reads.reshape(len(ids), -1), axis=0, return_inverse=True)
+                kept = [forward_pairs(graph, own.reshape(-1, 3), rates, errors, keep) for own in distinct]
+                sizes = np.array([[len(x[0]) for x in k] for k in kept])
+                ends = np.cumsum(sizes.sum(1))
+                rows = np.concatenate([np.arange(ends[u] - sizes[u].sum(), ends[u]) for u in which.ravel().tolist()])
+                each = sizes.sum(1)[which.ravel()]
+                made = {"region": np.full(len(rows), region), "sample_id": np.repeat(ids, each)}
+                made["site"] = np.concatenate([np.repeat(np.arange(sizes.shape[1], dtype=np.int32), n) for n in sizes])[rows]
+                made["rank"] = np.concatenate([np.arange(1, n + 1, dtype=np.int32) for n in sizes.ravel()])[rows]
+                made |= {n: np.concatenate([x[k] for one in kept for x in one]).astype(np.int32)[rows] for k, n in ((1, "node1"), (2, "node2"))}
+                yield pa.record_batch(made | {"p": np.concatenate([x[0] for one in kept for x in one])[rows]})
 
     return _rows(phreds, nodes, edges, sites, rate, error).mapInArrow(work, "region long, sample_id long, site int, rank int, node1 int, node2 int, p double")
 
