@@ -35,6 +35,8 @@ from .common import stored
 
 BLOCK = 1024
 QUERY_BLOCK = 64
+#: Queries whose nearest a task holds before it gives them on.
+HELD = 50_000
 
 
 @dataclass(frozen=True)
@@ -175,17 +177,26 @@ def search(vectors: DataFrame, how: Settings = Settings()) -> DataFrame:
     pairs = asked.join(dealt.drop("parts"), ["cell", "part"])
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[tuple[float, int]]] = {}  # what the task's cells have given a query so far
+
+        def given() -> pa.RecordBatch:
+            out = [(query_id, j, d) for query_id, found in best.items() for d, j in found]
+            best.clear()
+            return pa.record_batch([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
             for asked_, entries_ in zip(batch.column("asked"), batch.column("entries")):
                 queries_, entries_ = asked_.values, entries_.values
                 x, ids = _matrix(entries_.field("v")), entries_.field("ids").to_pylist()
-                out: list[tuple[int, int, float]] = []
                 for query_id, q in zip(queries_.field("query_id").to_pylist(), _matrix(queries_.field("q"))):
-                    d = np.sqrt(((x - q) ** 2).sum(1))
-                    near = np.flatnonzero(d <= np.partition(d, min(how.k, len(d) - 1))[min(how.k, len(d) - 1)])
-                    best = heapq.nsmallest(how.k, ((float(d[i]), j) for i in near for j in ids[i] if j != query_id))
-                    out += [(query_id, j, s) for s, j in best]
-                yield pa.record_batch([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+                    d, held = np.sqrt(((x - q) ** 2).sum(1)), best.get(query_id, [])
+                    most = np.partition(d, min(how.k, len(d) - 1))[min(how.k, len(d) - 1)]
+                    near = np.flatnonzero(d <= (min(most, held[-1][0]) if len(held) == how.k else most))
+                    if len(near):
+                        best[query_id] = heapq.nsmallest(how.k, (*held, *((float(d[i]), j) for i in near for j in ids[i] if j != query_id)))
+                if len(best) >= HELD:
+                    yield given()
+        yield given()
 
     best = pairs.select("asked", "entries").mapInArrow(rank, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     last = Window.partitionBy("query_id").orderBy("score", "vec_id")
