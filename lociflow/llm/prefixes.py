@@ -269,7 +269,7 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     rows = stored(screened(prefixes), "screened")
     alone, shared = rows.where("alone"), rows.where("NOT alone")
     edge = alone.where("NOT up_alone")
-    nodes = shared.groupBy("key").agg(F.min("conv_id").alias("least"), F.count(F.lit(1)).alias("n"), F.max("words").alias("words"), F.min("up").alias("up"))
+    nodes = shared.groupBy("key").agg(F.min("conv_id").alias("least"), F.count(F.lit(1)).alias("n"), F.max("words").alias("words"), F.min("up").alias("up"), F.max("up_alone").alias("up_alone"))
     nodes = stored(nodes, "nodes")
     children = nodes.select("up").unionByName(edge.select("up")).groupBy(F.col("up").alias("key")).agg(F.count(F.lit(1)).alias("n_children"))
     children = stored(children, "children")
@@ -292,14 +292,16 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     def parents(rows: DataFrame) -> DataFrame:
         """rows with `over`, the conv_id of the node `up`."""
         low = rows.where("up.depth = 0").withColumn("over", F.lit(whole.root).cast("long"))
-        high = rows.where("up.depth > 0").withColumnsRenamed({"key": "own", "up": "key"})
+        high = rows.where("up.depth > 0 AND NOT up_alone").withColumnsRenamed({"key": "own", "up": "key"})
         return low.unionByName(spread_join(high, above, "key", by_up).withColumnsRenamed({"key": "up", "own": "key"}))
 
     lone = alone.where("up_alone").withColumn("over", F.col("conv_id")).drop("alone", "up_alone")
-    lone = lone.unionByName(parents(edge.drop("alone", "up_alone")))
+    lone = lone.unionByName(parents(edge).drop("alone", "up_alone"))
     ends = F.when(F.col("depth") == F.col("len"), F.sha2(F.col("conv_id").cast("string"), 256)).otherwise(empty)
     lone = lone.select("conv_id", number(F.col("depth")).alias("depth"), F.col("over").alias("parent_conv_id"), number(F.lit(1)).alias("n_convs"), number(F.col("depth") < F.col("len")).alias("n_children"), number(F.lit(1)).alias("n_leaves"), number(F.lit(0)).alias("saved_tokens"), ends.alias("ends_sha256"))
-    joint = parents(nodes).join(below, "key", "left").join(hashed_ids(shared.where("depth = len").select("key", "conv_id")), "key", "left")
+    # an estimate above one may be too high: a node that is not proved to have one member may lie below one that is
+    under = nodes.where("up_alone").withColumn("over", F.col("least"))
+    joint = parents(nodes).unionByName(under).join(below, "key", "left").join(hashed_ids(shared.where("depth = len").select("key", "conv_id")), "key", "left")
     joint = joint.select(F.col("least").alias("conv_id"), number(F.col("key.depth")).alias("depth"), F.col("over").alias("parent_conv_id"), F.col("n").alias("n_convs"), "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", empty).alias("ends_sha256"))
     if not whole.n:
         return joint

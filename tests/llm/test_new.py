@@ -206,6 +206,19 @@ def test_trie(spark, monkeypatch, forced):
     assert sorted((r[0], r[1], -1 if r[2] is None else r[2], *r[3:]) for r in found.collect()) == plain_trie(rows)
 
 
+def test_trie_below_proved_nodes(spark, monkeypatch):
+    """A sketch so small that many nodes with one member aren't proved to have one, though the node above is."""
+    for name, value in (("LEAST", 1 << 8), ("GREATEST", 1 << 10), ("SLICE", 1 << 8)):
+        monkeypatch.setattr(prefixes, name, value)
+    rnd = random.Random(11)
+    rows = [(c, n, "user", rnd.choice(["a b", f"t{c} {n}"]) if n < 3 else f"own {c} {n}") for c in range(60) for n in range(rnd.randint(1, 9))]
+    turns = prefixes.rebuilt(spark.createDataFrame(rows, TURNS).repartition(3))
+    screened = prefixes.screened(common.stored(prefixes.digested(turns[0]), "test"))
+    assert screened.where("up_alone AND NOT alone").count() > 0
+    found = prefixes.trie(*turns)
+    assert sorted((r[0], r[1], -1 if r[2] is None else r[2], *r[3:]) for r in found.collect()) == plain_trie(rows)
+
+
 def test_trie_of_nothing(spark):
     none = spark.createDataFrame([], TURNS)
     assert prefixes.trie(*prefixes.rebuilt(none)).count() == 0
