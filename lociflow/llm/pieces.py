@@ -28,6 +28,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -160,77 +161,91 @@ class Pieces(dict):
         """Fills the cache for the chunks of a block."""
         if len(self) > CACHE:
             self.clear()
-        by_length: dict[int, list[str]] = {}
-        for c in chunks:
-            if c not in self and len(c) <= LONG:
-                by_length.setdefault(len(c), []).append(c)
+        by_length: dict[int, list[str]] = defaultdict(list)
+        for c in chunks.difference(self):
+            if len(c) <= LONG:
+                by_length[len(c)].append(c)
         for length, some in by_length.items():
             step = TABLE // length
             for start in range(0, len(some), step):
                 self._learn(some[start : start + step], length)
 
-    def _lookup(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """By piece length: sorted keys, scores, ids."""
+    def _lookup(self) -> list[tuple[np.ndarray, ...]]:
+        """By length: sorted keys of the pieces' first characters, score and id of a piece that ends there (score -inf:
+        none), and whether a piece goes on."""
         if "_tables" not in self.__dict__:
-            by: dict[int, list[str]] = {}
+            by: list[dict[str, bool]] = [{} for _ in range(self.longest)]
             for p in self.table:
-                by.setdefault(len(p), []).append(p)
+                for k in range(1, len(p)):
+                    by[k - 1][p[:k]] = True
+                by[len(p) - 1].setdefault(p, False)
             self._tables = []
-            for k in range(1, self.longest + 1):
-                some = by.get(k, [])
+            for k, some in enumerate(by, 1):
                 codes = np.frombuffer("".join(some).encode("utf-32-le"), np.uint32).reshape(-1, k).astype(np.uint64)
-                keys = mix64(codes[:, 0]) if some else np.zeros(0, np.uint64)
-                for j in range(1, k if some else 1):
+                keys = mix64(codes[:, 0])
+                for j in range(1, k):
                     keys = chain(keys, codes[:, j])
                 order = np.argsort(keys)
-                score, ids = (np.array([self.table[p][i] for p in some])[order] if some else np.zeros(0) for i in (0, 1))
-                self._tables.append((keys[order], score, ids.astype(np.int32)))
+                score, ids = zip(*(self.table.get(p, (-math.inf, 0)) for p in some)) if some else ((), ())
+                self._tables.append((keys[order], np.array(score)[order], np.array(ids, np.int32)[order], np.array(list(some.values()), bool)[order]))
         return self._tables
 
     def _learn(self, some: list[str], length: int) -> None:
+        """Chunks of one length. All tables are by place, then chunk, so that a step reads and writes whole rows."""
         m = len(some)
-        codes = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, length).astype(np.uint64)
-        scores, ids = [], []  # by piece length: at each start
-        keys = None
-        for k, (table, score, number) in enumerate(self._lookup()[:length], 1):
-            keys = mix64(codes) if keys is None else chain(keys[:, :-1], codes[:, k - 1 :])
+        codes = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, length).T.astype(np.uint64).ravel()
+        tables = self._lookup()[:length]
+        # by piece length: at each start; only starts whose characters so far begin a longer piece go on
+        scores, ids = np.full((len(tables), length, m), -np.inf), np.zeros((len(tables), length, m), np.int32)
+        steps: list[tuple[int, int]] = []  # start and length, where any chunk has a piece
+        at, keys = np.arange(length * m), mix64(codes)
+        for k, (table, score, number, more) in enumerate(tables):
             if not len(table):
-                scores.append(np.full(keys.shape, -np.inf))
-                ids.append(np.zeros(keys.shape, np.int32))
-                continue
-            at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-            hit = table[at] == keys
-            scores.append(np.where(hit, score[at], -np.inf))
-            ids.append(number[at])
-        spelled = np.isneginf(scores[0]).any(axis=1)
-        ahead, behind = np.full((m, length + 1), -np.inf), np.full((m, length + 1), -np.inf)
-        ahead[:, 0] = behind[:, length] = 0
-        took = np.zeros((m, length + 1), np.int64)
-        for end in range(1, length + 1):
-            most = min(end, len(scores))
-            new = np.stack([ahead[:, end - k] + scores[k - 1][:, end - k] for k in range(most, 0, -1)])
-            took[:, end] = most - new.argmax(axis=0)  # of equal ones the longest
-            ahead[:, end] = new.max(axis=0)
-        for start in range(length - 1, -1, -1):
-            for k in range(1, min(length - start, len(scores)) + 1):
-                np.maximum(behind[:, start], scores[k - 1][:, start] + behind[:, start + k], out=behind[:, start])
-        through = np.stack([np.pad(ahead[:, : length - k + 1] + s + behind[:, k:], ((0, 0), (0, k - 1)), constant_values=-np.inf) for k, s in enumerate(scores, 1)], axis=1)
-        which = np.stack([np.pad(i, ((0, 0), (0, k - 1))) for k, i in enumerate(ids, 1)], axis=1)
+                break
+            if k:
+                fits = np.searchsorted(at, (length - k) * m)
+                at = at[:fits]
+                keys = chain(keys[:fits], codes[at + k * m])
+            place = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+            hit = np.flatnonzero(table[place] == keys)
+            at, keys, place = at[hit], keys[hit], place[hit]
+            scores[k].reshape(-1)[at], ids[k].reshape(-1)[at] = score[place], number[place]
+            steps += [(start, k + 1) for start in np.flatnonzero(np.bincount(at // m)).tolist()]
+            on = np.flatnonzero(more[place])
+            at, keys = at[on], keys[on]
+        spelled = np.isneginf(scores[0]).any(axis=0)
+        ahead, behind = np.full((length + 1, m), -np.inf), np.full((length + 1, m), -np.inf)
+        ahead[0] = behind[length] = 0
+        took = np.zeros((length + 1, m), np.int8)
+        for start, k in sorted(steps, key=lambda x: (x[0] + x[1], x[1])):
+            new = ahead[start] + scores[k - 1, start]
+            better = new >= ahead[start + k]  # of equal ones the longest
+            np.copyto(ahead[start + k], new, where=better)
+            np.copyto(took[start + k], k, where=better)
+        for start, k in sorted(steps, reverse=True):
+            np.maximum(behind[start], scores[k - 1, start] + behind[start + k], out=behind[start])
         out, count = np.zeros((m, length), np.int32), np.zeros(m, np.int64)
-        at, row = np.full(m, length), np.arange(m)
-        row = row[~spelled]
+        path = np.zeros((length, m), np.int8)  # lengths of the best path's pieces, at their starts
+        ends, row = np.full(m, length), np.flatnonzero(~spelled)
         while len(row):
-            k = took[row, at[row]]
-            at[row] -= k
+            k = took[ends[row], row]
+            ends[row] -= k
+            here = ends[row]
             count[row] += 1
-            out[row, length - count[row]] = which[row, k - 1, at[row]]
-            through[row, k - 1, at[row]] = -np.inf
-            row = row[at[row] > 0]
+            out[row, length - count[row]] = ids[k - 1, here, row]
+            path[here, row] = k
+            row = row[here > 0]
+        other = np.full(m, -np.inf)
+        for start, k in steps:
+            through = ahead[start] + scores[k - 1, start] + behind[start + k]
+            np.copyto(through, -np.inf, where=path[start] == k)
+            np.maximum(other, through, out=other)
         with np.errstate(invalid="ignore"):
-            loss = ahead[:, length] - through.reshape(m, -1).max(axis=1)
-        for i, (chunk, n, lost, total, odd) in enumerate(zip(some, count.tolist(), loss.tolist(), ahead[:, length].tolist(), spelled.tolist())):
+            loss = np.maximum(ahead[length] - other, 0.0)
+        raw, to = out.tobytes(), np.arange(1, m + 1) * (4 * length)
+        for chunk, a, b, lost, total, odd in zip(some, (to - 4 * count).tolist(), to.tolist(), loss.tolist(), ahead[length].tolist(), spelled.tolist()):
             if not odd:
-                self[chunk] = (out[i, length - n :].tobytes(), max(lost, 0.0), total)
+                self[chunk] = (raw[a:b], lost, total)
 
     def chunks(self, text: str) -> list[str]:
         found = self.chunk.findall(SPACE + text.replace(" ", SPACE)) if text else []
@@ -285,11 +300,7 @@ class Pieces(dict):
         return [(top - a, {i: k for i, k in zip(near, c) if k}) for a, c in best]
 
     def decode(self, ids: np.ndarray) -> str:
-        out = bytearray()
-        back = self.by_id
-        for i in ids.tolist():
-            out += back[i]
-        text = out.decode("utf-8", "surrogatepass").replace(SPACE, " ")
+        text = b"".join(map(self.by_id.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass").replace(SPACE, " ")
         return text[1:] if text[:1] == " " else text
 
     @property
@@ -322,6 +333,7 @@ def _encode(batches: Iterator[pa.RecordBatch], how: Settings) -> Iterator[pa.Rec
         parts = [table.chunks(t) for t in texts]
         table.learn(set().union(*parts))
         raw, scores, others = zip(*map(table.encoded, parts))
+        del parts
         sizes = np.fromiter((len(r) // 4 for r in raw), np.int64, len(raw))
         flat = np.frombuffer(b"".join(raw), np.int32)
         at = np.concatenate(([0], np.cumsum(sizes)))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lociflow.llm import common, packing, prefixes, secrets, structure
+from lociflow.llm import common, packing, pieces, prefixes, secrets, structure
 
 DATA = "/root/testdata/sf0.001"
 TURNS = "conv_id long, turn long, role string, text string"
@@ -236,6 +236,20 @@ def test_screen_proves_singletons(spark):
     assert seen.where("alone AND n > 1").count() == 0 and seen.where("alone").count() > 0
 
 
+def test_pieces_looks_up_beginnings_only(monkeypatch):
+    """A start goes on only while its characters begin a piece, and a block's segmentations are those found one by one."""
+    table = pieces.Pieces(pieces.Settings())
+    table._lookup()
+    rnd, keys = random.Random(3), []
+    real = pieces.chain
+    monkeypatch.setattr(pieces, "chain", lambda a, b: keys.append(a.size) or real(a, b))
+    some = {pieces.SPACE + "".join(rnd.choice("abdeilnorstuzqé") for _ in range(11)) for _ in range(500)}
+    table.learn(some)
+    assert 0 < sum(keys) < 500 * 66 // 2  # all beginnings of 2 to 12 characters: 500 * 66
+    alone = pieces.Pieces(pieces.Settings())
+    assert all(table[c] == alone[c] for c in some)
+
+
 def test_secrets_in_long_candidates(spark):
     long = ["a-" * 500_000 + "a1", "/a1" * 333_333, "Ab3/" * 250_000, "a_" * 500_000 + "1"]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(long)], "doc_id long, text string").withColumn("n_hex", F.lit("clash"))
