@@ -192,7 +192,8 @@ class Block:
     def contexts(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens after a counted context of that length, the sorted distinct contexts, and each such token's place
         among them. Contexts that can't have a counted successor are left out: those that occur less than the least
-        count beside the successors seen here that aren't counted."""
+        count beside the successors seen here that aren't counted. So are those that can't stay: a successor's share in
+        a context is at most c(shorter) / c(context) times that in the shorter one, which bounds the gain."""
         least = self.model.how.least
         places = np.flatnonzero((self.before[1:] >= length) & (self.counts[length][:-1] >= least)) + 1
         _, found, _, of_token = self.asked[length]
@@ -201,6 +202,10 @@ class Block:
         left = np.zeros(len(found), np.int64)
         left[mine] = self.counts[length][places - 1]
         here = left - np.bincount(mine[rare], minlength=len(found)) >= least
+        if length > 1:
+            of, shorter = (np.ones(len(found)) for _ in range(2))
+            of[mine], shorter[mine] = self.counts[length][places - 1], self.counts[length - 1][places - 1]
+            here &= 2 * of * np.log(shorter / of) > 1 + self.model.how.sigmas * 2**0.5 - 1e-3
         places, mine = places[here[mine]], mine[here[mine]]
         return places, found[here], (np.cumsum(here) - 1)[mine]
 
@@ -226,17 +231,19 @@ class Block:
             self.sequences(length)
         for length in range(1, self.model.how.depth + 1):
             places, keys, which = self.contexts(length)
-            of_token = np.zeros(len(self.before), np.int64)
+            of_token = np.full(len(self.before), -1)
             of_token[places] = which
             mine = self.asked[length + 1][2][self.got[length + 1] & 1 == 1]
-            mine = mine[self.counts[length + 1][mine] >= self.model.how.least]
+            mine = mine[(self.counts[length + 1][mine] >= self.model.how.least) & (of_token[mine] >= 0)]
             c, of = self.counts[length + 1][mine].astype(float), self.counts[length][mine - 1].astype(float)
             shorter = self.counts[length - 1][mine - 1] if length > 1 else float(self.model.n)
             share = self.counts[length][mine] / shorter
             at, n = of_token[mine], len(keys)
             whole = np.zeros(n, np.int64)
             whole[at] = of.astype(np.int64)
-            sums = [np.bincount(at, minlength=n), np.bincount(at, c, n).astype(np.int64), whole, *(np.bincount(at, x, n).astype(np.float32) for x in (share, c * np.log(c / of / share)))]
+            cells = np.bincount(at, minlength=n)
+            gain = np.where(cells > 1, np.bincount(at, c * np.log(c / of / share), n), 0)  # one successor's follows from the rest
+            sums = [cells, np.bincount(at, c, n).astype(np.int64), whole, *(x.astype(np.float32) for x in (np.bincount(at, share, n), gain))]
             yield from self.ask(CONTEXT + length, keys, sums)
 
     def scored(self) -> dict[str, pa.Array]:
@@ -294,6 +301,8 @@ def _answer(part: pa.Table, model: Model) -> pa.Table:
         else:
             columns = zip(*(_sums(sums[i].as_py(), (np.int64, np.int64, np.int64, np.float32, np.float32)) for i in rows))
             cells, c, whole, share, gain = (np.concatenate(x) for x in columns)
+            single, gain = cells == 1, gain.astype(float)
+            gain[single] = c[single] * np.log(c[single] / whole[single] / share[single])
             cells, c, share, gain = (np.bincount(which, x, n) for x in (cells, c, share, gain))
             of = np.zeros(n)
             np.maximum.at(of, which, whole)

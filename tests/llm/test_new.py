@@ -8,10 +8,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from lociflow.llm import common, packing, pieces, prefixes, secrets, structure
+from lociflow.llm import common, packing, pieces, prefixes, pst, secrets, structure
 
 DATA = "/root/testdata/sf0.001"
 TURNS = "conv_id long, turn long, role string, text string"
@@ -236,6 +238,30 @@ def test_screen_proves_singletons(spark):
     assert seen.where("alone AND n > 1").count() == 0 and seen.where("alone").count() > 0
 
 
+def test_contexts_that_cannot_stay_are_not_asked_for():
+    """Rare contexts of rare ones can't diverge by more than chance: no key is sent for them."""
+    how = pst.Settings()
+    rnd = random.Random(2)
+    words = [" ".join(rnd.choice(["x y", "x z", "u", "a b c"]) for _ in range(60)) for _ in range(20)] + ["p q r s", "p q r s"] * 2
+    batch = pa.record_batch({"doc_id": list(range(len(words))), "held_out": [False] * len(words), "text": words})
+    block = pa.Table.from_batches(list(pst._block(iter([batch]), how.block))).append_column("block", pa.array([0]))
+    model, answers = pst.Model(how, 1, 60), pst.ANSWER.empty_table()
+    for lengths in (range(1, 3), range(3, how.depth + 2)):
+        asked = pst._rows(pst.Block(block, answers, model).ask_counts(lengths), pst.ASK)
+        found = pa.concat_tables([pst._answer(asked.filter(pc.equal(asked["kind"], k)), model) for k in lengths])
+        answers = pa.concat_tables([answers, found.filter(pc.equal(found["block"], 0))])
+        model = pst.Model(how, 1, 60, *(found[c].to_pylist()[1] for c in ("distinct", "total"))) if lengths.start == 1 else model
+    at = pst.Block(block, answers, model)
+    for length in range(1, how.depth + 2):
+        at.sequences(length)
+    for length in (2, 3):
+        places, keys, which = at.contexts(length)
+        of, shorter = at.counts[length][places - 1], at.counts[length - 1][places - 1]
+        assert len(keys) and (2 * of * np.log(shorter / of) > 1 + how.sigmas * 2**0.5 - 0.01).all()
+    asked = {r["kind"]: len(pst.unpacked(r["keys"], np.uint64)) for r in at.ask_tests()}
+    assert all(asked[pst.CONTEXT + k] == len(at.contexts(k)[1]) < len(at.asked[k][1]) for k in (2, 3))
+
+
 def test_pieces_looks_up_beginnings_only(monkeypatch):
     """A start goes on only while its characters begin a piece, and a block's segmentations are those found one by one."""
     table = pieces.Pieces(pieces.Settings())
