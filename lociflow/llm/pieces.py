@@ -340,6 +340,8 @@ def _encode(batches: Iterator[pa.RecordBatch], how: Settings) -> Iterator[pa.Rec
         same = [table.decode(flat[a:b]) == t for a, b, t in zip(at[:-1], at[1:], texts)]
         made = [pa.ListArray.from_arrays(at.astype(np.int32), pa.array(flat)), pa.array(sizes), pa.array(scores, pa.list_(pa.float64())), _edits(others), pa.array(same)]
         yield pa.RecordBatch.from_arrays([*block.columns, *made], names=[*block.schema.names, *RESULT])
+    # a worker lives on beyond its task: what was met in it goes, the tables stay
+    table.clear(), table.few.clear()
 
 
 EDIT = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])

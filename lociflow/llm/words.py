@@ -37,6 +37,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # a worker lives on beyond its task
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

@@ -276,6 +276,13 @@ def test_pieces_looks_up_beginnings_only(monkeypatch):
     assert all(table[c] == alone[c] for c in some)
 
 
+def test_pieces_forget_between_tasks():
+    how = pieces.Settings()
+    batch = pa.record_batch({"doc_id": [1, 2], "text": ["some words here", None]})
+    assert len(list(pieces._encode(iter([batch]), how))) == 1
+    assert not pieces._pieces(how) and not pieces._pieces(how).few
+
+
 def test_secrets_in_long_candidates(spark):
     long = ["a-" * 500_000 + "a1", "/a1" * 333_333, "Ab3/" * 250_000, "a_" * 500_000 + "1"]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(long)], "doc_id long, text string").withColumn("n_hex", F.lit("clash"))
