@@ -133,6 +133,29 @@ def test_suffix_tree_against_dictionaries(spark):
             assert g[:4] == e[:4] and abs(g[4] - e[4]) < 1e-9 and abs(g[5] - e[5]) < 1e-9
 
 
+def test_suffix_tree_frees_its_shuffles(spark):
+    """Many ranges and blocks: no round leaves shuffle files, the session's settings stay, and scores are as by dictionaries."""
+    rng = np.random.default_rng(6)
+    word = [f"w{k}" for k in range(200)]
+    texts = [" ".join(word[int(k)] for k in np.minimum(rng.zipf(1.4, rng.integers(20, 60)), 200) - 1) for _ in range(60)]
+    texts += [" ".join(["u v", t, "r s t"]) for t in texts[:10]]
+    how = pst.Settings(block=300, range=200)
+    exp, nodes, _, _ = brute_scores([*enumerate(texts)], how)
+    assert {len(s) for s in nodes} == {1, 2, 3}
+    files = lambda: {f.split("_")[1] for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = files(), spark.conf.get(name, None)
+    made = pst.lm_scores(docs, how)
+    assert len(files() - before) <= 4 and spark.conf.get(name, None) == was  # those of sums over all rows, of a few bytes
+    for g, e in zip(sorted(made.collect()), exp, strict=True):
+        assert g.doc_id == e[0] and abs(g.base_score - e[4]) < 1e-9 and abs(g.score - e[5]) < 1e-9
+    for rows in ([(1, ""), (2, None)], [(1, "a"), (2, "b c")]):  # no pair is counted, or there is none
+        exp = brute_scores(rows, how)[0]
+        out = sorted(pst.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), how).collect())
+        assert [r.doc_id for r in out] == [1, 2] and all(abs(r.score - e[5]) < 1e-9 for r, e in zip(out, exp))
+
+
 def test_suffix_tree_sums_to_one():
     rows = [(i, " ".join(["a b c b d"] * 3 + ["e a"] * (i % 5))) for i in range(40)]
     _, nodes, p, words = brute_scores(rows, pst.Settings())

@@ -262,6 +262,65 @@ def test_contexts_that_cannot_stay_are_not_asked_for():
     assert all(asked[pst.CONTEXT + k] == len(at.contexts(k)[1]) < len(at.asked[k][1]) for k in (2, 3))
 
 
+def test_tests_and_longest_sequences_that_no_other_block_needs():
+    """Sequences of the greatest length are left out only where their context can't diverge enough. A block that has all
+    that a context's counted successors can be tests it by itself, with the range's result; the range answers the rest."""
+    how = pst.Settings()
+    rnd = random.Random(5)
+    names = [f"w{k}" for k in range(300)]
+    texts = [" ".join(rnd.choices(names, [1 / (k + 1) for k in range(300)], k=80)) for _ in range(120)]
+    texts = [" ".join([a, rnd.choice(texts)]) for a in texts]
+    blocks = []
+    for b in (0, 1):
+        batch = pa.record_batch({"doc_id": list(range(60)), "held_out": [False] * 60, "text": texts[b::2]})
+        blocks.append(pa.Table.from_batches(list(pst._block(iter([batch]), how.block))).append_column("block", pa.array([b])))
+    model, answers = pst.Model(how, 2, 60, steps=1), pst.ANSWER.empty_table()
+    at = lambda b: pst.Block(blocks[b], answers.filter(pc.equal(answers["block"], b)), model)
+    for length in range(1, 6):
+        asked = pa.concat_tables([pst._rows(at(b).ask_both(length), pst.ASK) for b in (0, 1)])
+        answers = pa.concat_tables([answers, *(pst._answer(asked.filter(pc.equal(asked["part"], p)), model) for p in (0, 1))])
+        if length == 1:
+            found = answers.filter(pc.equal(answers["block"], -1))
+            model = pst.Model(how, 2, 60, pc.sum(found["total"]).as_py(), pc.sum(found["distinct"]).as_py(), steps=1)
+    lists = [[w.split() + [None] for w in texts[b::2]] for b in (0, 1)]
+    counts = Counter(tuple(w[i : i + k]) for some in lists for w in some for k in range(1, 5) for i in range(len(w) - k + 1))
+    limit, pruned = 1 + how.sigmas * 2**0.5, 0
+    for b in (0, 1):
+        one = at(b)
+        for length in range(1, 5):
+            one.sequences(length)
+        seen = [tuple(w[max(0, i - 3) : i + 1]) for w in lists[b] for i in range(len(w))]
+        for i, g in enumerate(seen):
+            assert len(g) < 2 or one.counts[2][i] == (counts[g[-2:]] if counts[g[-2:]] >= 2 else 0)
+            if len(g) == 4 and counts[g] >= 2:
+                of, shorter = counts[g[:3]], counts[g[1:3]]
+                assert one.counts[4][i] == counts[g] or (one.counts[4][i] == 0 and 2 * of * np.log(shorter / of) < limit)
+                pruned += one.counts[4][i] == 0
+    assert pruned > 0
+    after = defaultdict(dict)
+    for g, c in counts.items():
+        if len(g) > 1 and c >= 2:
+            after[g[:-1]][g[-1]] = c
+    alone = needed = 0
+    for b in (0, 1):
+        one = at(b)
+        for length in range(1, 5):
+            one.sequences(length)
+        seen = [tuple(w[max(0, i - 3) : i + 1]) for w in lists[b] for i in range(len(w))]
+        for length in (1, 2, 3):
+            places, mine, (needs, sent, answer, *_) = one.tests(length)
+            answer[needs] = one.got[pst.CONTEXT + length]
+            alone, needed = alone + (~sent & (answer > 0)).sum(), needed + needs.sum()
+            for place, which in zip(places.tolist(), mine.tolist()):
+                g = seen[place - 1][-length:]
+                c, share = list(after[g].values()), [counts[*g[1:], w] / (counts[g[1:]] if length > 1 else model.n) for w in after[g]]
+                gain = sum(x * np.log(x / counts[g] / q) for x, q in zip(c, share))
+                left = counts[g] - sum(c)
+                gain += left * np.log(left / counts[g] / max(1 - sum(share), 1e-12)) if left else 0
+                assert answer[which] == (sum(c) + 1 if c and 2 * gain > len(c) + how.sigmas * np.sqrt(2 * len(c)) else 0)
+    assert alone > 0 and needed > 0
+
+
 def test_pieces_looks_up_beginnings_only(monkeypatch):
     """A start goes on only while its characters begin a piece, and a block's segmentations are those found one by one."""
     table = pieces.Pieces(pieces.Settings())
