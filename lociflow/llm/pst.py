@@ -200,10 +200,14 @@ class Block:
             places = np.flatnonzero(fine).astype(np.int32)
             if length == self.model.how.depth + 1 > 2 and known == length - 1:  # only its context needs it, which can stay
                 places = places[self.can_stay(*(self.counts[k][places - 1] for k in (length - 1, length - 2)))]
-            found, one, which = _distinct(self.keys[length][places] >> np.uint64(64 - self.bits(length)))
-            of_token = np.full(n, -1, np.int32)
-            of_token[places] = which
-            self.asked[length] = (places, found, places[one], of_token)
+            keys = self.keys[length][places] >> np.uint64(64 - self.bits(length))
+            order = np.argsort(keys)
+            keys = keys[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[1:] != keys[:-1]
+            places_by_key, of_token = places[order], np.full(n, -1, np.int32)
+            of_token[places_by_key] = np.cumsum(new, dtype=np.int32) - 1
+            self.asked[length] = (places, keys[new], places_by_key[new], of_token)
         places, found, _, of_token = self.asked[length]
         if length in self.got or not len(found):
             counts = self.got.setdefault(length, np.zeros(0, np.int64)) >> 1
