@@ -391,3 +391,37 @@ def test_neighbours_of_a_hot_cell(spark):
         d[q] = np.inf
         hits += len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
     assert hits / 1000 >= 0.9
+
+
+def test_a_query_is_sent_once_to_a_shard(spark):
+    """And not once to each cell it visits, which at the default share are half of all: rows then grow with their product."""
+    from lociflow.llm import ann
+
+    x = np.random.default_rng(4).normal(size=(4000, 8))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert ann.search(rows, ann.Settings(every=4)).count() == 10_000
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = store.executionsList().last()
+    values = dict(re.findall(r"(\d+) -> ([\d,]+)", store.executionMetrics(last.executionId()).toString()))
+    nodes = store.planGraph(last.executionId()).allNodes()
+    sent = [int(values[str(m.accumulatorId())].replace(",", "")) for n in map(nodes.apply, range(nodes.size())) if n.name() == "Generate" for m in map(n.metrics().apply, range(n.metrics().size())) if m.name() == "number of output rows"]
+    assert sent and 1000 <= max(sent) <= 4000
+
+
+def test_an_id_of_several_near_vectors_takes_one_rank(spark):
+    from lociflow.llm import ann
+
+    rows = [(0, [0.0, 1.0])] + [(1, [0.0, 1.0 + k / 64]) for k in range(1, 40)] + [(k, [0.0, 2.0 + k]) for k in range(2, 14)]
+    out = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), ann.Settings(share=1.0)).collect()
+    assert [(r.vec_id, r.score) for r in sorted(out, key=lambda r: r.rank)] == [(1, 1 / 64)] + [(k, k + 1.0) for k in range(2, 11)]
+
+
+def test_the_reach_by_heap_and_by_sorting():
+    from lociflow.llm import ann
+
+    rng = np.random.default_rng(8)
+    a, b, sizes = rng.random(9), rng.random(7), rng.integers(0, 5, 63) * 20
+    for enough in (1, 20, int(sizes.sum()) // 60, int(sizes.sum()) // 3, int(sizes.sum()), 10**6):
+        of = ann.cells_by_distance(a, b, sizes, enough)
+        far = ann.reach(a, b, sizes, enough)
+        assert {c for c in np.flatnonzero(sizes) if a[c // 7] + b[c % 7] <= far} == set(of)
