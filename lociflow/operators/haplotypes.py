@@ -1,13 +1,26 @@
 """Ordered haplotypes (positional Burrows-Wheeler) at every site, forwards and backwards, their clusters, and the
-haplotype graph, as windows and groupings. A haplotype of a region is one whole number, code, a bit a site."""
+haplotype graph. A haplotype of a region is one whole number, code, a bit a site.
+
+Orders at every site have as many rows as there are haplotypes and sites, so haplotypes, not those rows, are shuffled and
+sorted: a task holds some whole regions and goes from site to site, parting the order by the site's allele. All else is
+windows and groupings."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranges import spread
 
+#: Haplotypes that a task orders at once, and those of the largest region that it holds; larger ones go by windows, which
+#: can spill.
+AT_ONCE, HELD = 1 << 16, 1 << 20
+
 
 def pbwt(haps: DataFrame) -> DataFrame:
     """Rank by the reversed haplotype, and the site from which a haplotype agrees with the one before it. The order of
@@ -41,21 +54,129 @@ def _order(haps: DataFrame, sites: int, key: Column, first: Column) -> DataFrame
     return rows.select("region", "site", "hap_id", (F.col("from") + F.col("tie") - 1).cast("int").alias("rank"), F.when(F.col("tie") == 1, F.col("div")).otherwise(0).cast("int").alias("div"))
 
 
+def _bits(x: np.ndarray) -> np.ndarray:
+    """How many binary digits numbers have; halves are exact as floats."""
+    high = x >> np.uint64(32)
+    return np.where(high > 0, 32 + np.frexp(high.astype(float))[1], np.frexp((x & np.uint64(0xFFFFFFFF)).astype(float))[1])
+
+
+class Regions:
+    """The haplotypes of some whole regions, one region after the other, and by haplotype within each."""
+
+    def __init__(self, rows: pa.Table, begins: np.ndarray):
+        self.region, self.hap_id = rows["region"].combine_chunks(), rows["hap_id"].combine_chunks()
+        self.none = rows["code"].is_null().to_numpy()
+        self.codes = rows["code"].combine_chunks().fill_null(0).to_numpy().astype(np.int64).view(np.uint64)
+        self.begins, self.ends = begins, np.append(begins[1:], len(self.codes))
+        self.sizes = self.ends - self.begins
+        self.begin = np.repeat(self.begins, self.sizes)
+        self.at = np.arange(len(self.codes))
+
+    def _parted(self, order: np.ndarray, behind: np.ndarray) -> np.ndarray:
+        """The order with those that are behind after the others of their region; each of the two keeps its order."""
+        front = ~behind[order]
+        ahead = np.cumsum(front) - front
+        many = np.add.reduceat(front.astype(np.int64), self.begins)
+        ahead -= ahead[self.begin]
+        out = np.empty_like(order)
+        out[self.begin + np.where(front, ahead, np.repeat(many, self.sizes) + self.at - self.begin - ahead)] = order
+        return out
+
+    def orders(self, sites: int, backward: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(site, order, div) from site to site: the haplotypes in the order of what they have read back from the site, or
+        on from it, and the highest place in which each differs from the one before it. Haplotypes without a code stand
+        last."""
+        keys = self.codes
+        if backward:
+            keys = np.zeros_like(self.codes)
+            for s in range(sites):
+                keys |= ((self.codes >> np.uint64(s)) & np.uint64(1)) << np.uint64(sites - 1 - s)
+        order = self.at
+        for site in range(sites - 1, -1, -1) if backward else range(sites):
+            order = self._parted(order, (self.codes >> np.uint64(site)) & np.uint64(1) > 0)
+            order = self._parted(order, self.none) if self.none.any() else order
+            n = sites - site if backward else site + 1
+            key = keys[order] & np.uint64((1 << n) - 1)
+            div = np.append(n, _bits(key[1:] ^ key[:-1])).astype(np.int32)
+            div[self.begins] = n
+            div[self.none[order]] = n
+            yield site, order, div
+
+    def table(self, site: int, order: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+        rank = (self.at - self.begin).astype(np.int32)
+        made = {"region": self.region, "site": np.full(len(order), site, np.int32), "hap_id": self.hap_id.take(pa.array(order)), "rank": rank} | columns
+        return pa.RecordBatch.from_pydict({n: x if isinstance(x, pa.Array) else pa.array(x) for n, x in made.items()})
+
+
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[Regions]:
+    """Some whole regions at a time of rows (region, hap_id, code) sorted by region and haplotype."""
+    held: list[pa.RecordBatch] = []
+    n, most = 0, AT_ONCE
+
+    def begins(rows: pa.Table) -> np.ndarray:
+        one, two = (rows["region"].combine_chunks().slice(k, len(rows) - 1) for k in (0, 1))
+        new = pc.and_not(pc.fill_null(pc.not_equal(one, two), True), pc.and_(pc.is_null(one), pc.is_null(two)))
+        return np.append(0, np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n >= most:
+            rows = pa.Table.from_batches(held)
+            found = begins(rows)
+            if len(found) > 1:  # the last may go on
+                yield Regions(rows.slice(0, found[-1]), found[:-1])
+            held = rows.slice(found[-1]).to_batches()
+            n = len(rows) - int(found[-1])
+            most = max(AT_ONCE, 2 * n)
+    if n:
+        rows = pa.Table.from_batches(held)
+        yield Regions(rows, begins(rows))
+
+
+def by_regions(haps: DataFrame, made: Callable[[Regions], Iterator[pa.RecordBatch]], large: Callable[[DataFrame], DataFrame], more: str = "") -> DataFrame:
+    """(region, site, hap_id, rank, div and more) that `made` gives of whole regions, as tasks hold some at a time; regions
+    of over HELD haplotypes are those of large()."""
+    rows = spread(haps.select("region", "hap_id", "code"), "region")
+    # counted by what all of this reads, so that the shuffle is one
+    wide = rows.groupBy(F.col("region").alias("__lf_wide")).agg(F.count(F.coalesce("code", "hap_id")).alias("n")).where(F.col("n") > HELD).select("__lf_wide")
+    of = lambda how: rows.join(F.broadcast(wide), F.col("region").eqNullSafe(F.col("__lf_wide")), how)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _regions(batches):
+            yield from made(some)
+
+    kinds = dict(haps.dtypes)
+    few = of("left_anti").sortWithinPartitions("region", F.col("hap_id").asc_nulls_last())
+    return few.mapInArrow(work, f"region {kinds['region']}, site int, hap_id {kinds['hap_id']}, rank int, div int{more}").unionByName(large(of("left_semi")))
+
+
+def _by_site(haps: DataFrame, sites: int, backward: bool, large: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return by_regions(haps, lambda some: (some.table(site, order, div=div) for site, order, div in some.orders(sites, backward)), large)
+
+
 def forward_order(haps: DataFrame, sites: int) -> DataFrame:
     """The order of the haplotypes read back from each site: rank from 0, and the site from which on a haplotype agrees
     with the one before it (site + 1 where they differ at the site, 0 where they are alike)."""
-    return _order(haps, sites, F.expr("code & (shiftleft(2L, site) - 1)"), F.col("site") + 1)
+    return _by_site(haps, sites, False, lambda h: _order(h, sites, F.expr("code & (shiftleft(2L, site) - 1)"), F.col("site") + 1))
 
 
 def reversed_code(sites: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(sites - 1)), F.lit(0).cast("long"), lambda acc, s: F.call_function("shiftleft", acc, F.lit(1)).bitwiseOR(F.call_function("shiftright", F.col("code"), s).bitwiseAND(F.lit(1))))
 
 
+def backward_windows(haps: DataFrame, sites: int) -> DataFrame:
+    """backward_order() by windows."""
+    rows = haps.withColumn("back", reversed_code(sites))
+    return _order(rows, sites, F.expr(f"back & (shiftleft(1L, {sites} - site) - 1)"), F.lit(sites) - F.col("site"))
+
+
 def backward_order(haps: DataFrame, sites: int) -> DataFrame:
     """The order of the haplotypes read on from each site: rank from 0, and the number of sites to the end from the
     first in which a haplotype differs from the one before it (0 where they are alike)."""
-    rows = haps.withColumn("back", reversed_code(sites))
-    return _order(rows, sites, F.expr(f"back & (shiftleft(1L, {sites} - site) - 1)"), F.lit(sites) - F.col("site"))
+    return _by_site(haps, sites, True, lambda h: backward_windows(h, sites))
 
 
 def clusters(haps: DataFrame) -> DataFrame:

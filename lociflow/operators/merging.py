@@ -273,7 +273,23 @@ def backward_coordinates(haps: DataFrame, sites: int) -> DataFrame:
     """(region, site, hap_id, rank, div, coordinate): haplotypes.backward_order() with each haplotype's place along the order
     of what comes behind the site. A haplotype is 1 / max(length, 20) from the one before it, length being the sites it
     shares, from the site on, with the nearest before it that has its allele."""
-    order = haplotypes.backward_order(haps, sites)
+
+    def made(some: haplotypes.Regions) -> Iterator[pa.RecordBatch]:
+        behind = some.at  # by haplotype, at the last site
+        for site, order, div in some.orders(sites, backward=True):
+            step, along = np.empty(len(order)), np.empty(len(order))
+            step[order] = 1.0 / np.maximum(sites - site - div, LEAST_LENGTH)
+            for begin, end in zip(some.begins.tolist(), some.ends.tolist()):
+                along[behind[begin:end]] = np.cumsum(step[behind[begin:end]])
+            yield some.table(site, order, div=div, coordinate=along[order])
+            behind = order
+
+    return haplotypes.by_regions(haps, made, lambda h: _coordinates(h, sites), ", coordinate double")
+
+
+def _coordinates(haps: DataFrame, sites: int) -> DataFrame:
+    """backward_coordinates() by windows."""
+    order = haplotypes.backward_windows(haps, sites)
     behind = order.select("region", (F.col("site") - 1).alias("site"), "hap_id", F.col("rank").alias("place")).where("site >= 0")
     last = haps.select("region", F.lit(sites - 1).alias("site"), "hap_id", F.lit(0).alias("place"))
     step = 1.0 / F.greatest(F.lit(sites) - F.col("site") - F.col("div"), F.lit(LEAST_LENGTH))

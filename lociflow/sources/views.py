@@ -44,8 +44,10 @@ def genetic_map(spark: SparkSession, d: str) -> DataFrame:
 def haplotypes(spark: SparkSession, d: str) -> DataFrame:
     """(region, hap_id, code): bit s of code is the allele at the region's site s."""
     k = F.col("l_partkey")
-    alleles = table(spark, d, "lineitem").groupBy(F.expr(f"l_partkey div {SITES}").alias("region"), (F.col("l_suppkey") * 2 + F.col("l_linenumber") % 2).alias("hap_id"), (k % SITES).alias("site")).agg(F.max((F.col("l_returnflag") == "R").cast("long")).alias("allele"))
-    return alleles.groupBy("region", "hap_id").agg(F.sum(F.expr("shiftleft(allele, cast(site as int))")).alias("code"))
+    allele = F.when(F.col("l_returnflag") == "R", 1).otherwise(0).cast("long")
+    rows = table(spark, d, "lineitem").select(F.expr(f"l_partkey div {SITES}").alias("region"), (F.col("l_suppkey") * 2 + F.col("l_linenumber") % 2).alias("hap_id"), F.call_function("shiftleft", allele, (k % SITES).cast("int")).alias("bit"))
+    # the greatest allele of each site, added up over the sites
+    return rows.groupBy("region", "hap_id").agg(F.bit_or("bit").alias("code"))
 
 
 def status(spark: SparkSession, d: str) -> DataFrame:

@@ -796,3 +796,32 @@ def test_text_panels(spark, tmp_path):
         (tmp_path / "wrong").write_text(wrong + "\n")
         with pytest.raises(Exception, match="a haplotype is 3 alleles"):
             panels.haplotypes(spark, str(tmp_path / "wrong"), 3).collect()
+
+
+def test_orders_of_regions_at_once_and_by_windows(spark, monkeypatch):
+    """Regions that a task holds, a large one by windows, and one that has no name, against sorted strings."""
+    rng = np.random.default_rng(12)
+    rows = [(r, h, int(rng.integers(0, 1 << 6)) & int(rng.integers(0, 1 << 6))) for r, n in ((1, 40), (2, 90), (7, 1), (9, 30)) for h in range(n)] + [(None, h, None) for h in range(5)]
+    haps = spark.createDataFrame(rows, "region long, hap_id long, code long").repartition(3)
+    text = {(r, h): "".join(str(c >> s & 1) for s in range(6)) if c is not None else "" for r, h, c in rows}
+    monkeypatch.setattr(haplotypes, "AT_ONCE", 16)
+    kinds = (lambda h: haplotypes.forward_order(h, 6), lambda h: haplotypes.backward_order(h, 6), lambda h: merging.backward_coordinates(h, 6))
+    for k, made in enumerate(kinds):
+        got = {held: {(x.region, x.site, x.hap_id): tuple(x)[3:] for x in made(haps).collect()} for held in (10**6, 50) if not monkeypatch.setattr(haplotypes, "HELD", held)}
+        whole = got[10**6]
+        assert whole == got[50] and len(whole) == 6 * len(rows)
+        for region in (1, 2, 7, 9, None):
+            for site in range(6):
+                own = sorted((h for r, h in text if r == region), key=lambda h: (text[region, h][site::-1] if not k else text[region, h][site:], h))
+                assert [whole[region, site, h][0] for h in own] == list(range(len(own)))
+                for before, h in zip(own, own[1:]):
+                    a, b = ((text[region, x][site::-1] if not k else text[region, x][site:]) for x in (before, h))
+                    assert region is None or whole[region, site, h][1] == len(a) - next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    assert all(whole[None, 0, h][2] == pytest.approx((h + 1) / merging.LEAST_LENGTH) for h in range(5))
+
+
+def test_orders_sort_no_row_for_each_site(spark):
+    haplotypes.forward_order(panel(spark), 4).write.format("noop").mode("overwrite").save()
+    store = spark._jsparkSession.sharedState().statusStore()
+    nodes = store.planGraph(store.executionsList().last().executionId()).allNodes()
+    assert "Generate" not in {nodes.apply(k).name() for k in range(nodes.size())}
