@@ -820,8 +820,9 @@ def test_orders_of_regions_at_once_and_by_windows(spark, monkeypatch):
     assert all(whole[None, 0, h][2] == pytest.approx((h + 1) / merging.LEAST_LENGTH) for h in range(5))
 
 
-def test_orders_sort_no_row_for_each_site(spark):
-    haplotypes.forward_order(panel(spark), 4).write.format("noop").mode("overwrite").save()
+@pytest.mark.parametrize("order", [haplotypes.forward_order, haplotypes.backward_order])
+def test_orders_sort_no_row_for_each_site(spark, order):
+    order(panel(spark), 4).write.format("noop").mode("overwrite").save()
     store = spark._jsparkSession.sharedState().statusStore()
     nodes = store.planGraph(store.executionsList().last().executionId()).allNodes()
     assert "Generate" not in {nodes.apply(k).name() for k in range(nodes.size())}
