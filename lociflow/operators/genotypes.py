@@ -37,10 +37,16 @@ def marker_info(post: DataFrame) -> DataFrame:
 def draw_dosages(drawn: DataFrame, sites: int, *keys: str) -> DataFrame:
     """(keys, sample_id, site, n, p0, p1, p2, dosage, best, quality) of drawn haplotypes (keys, sample_id, code1, code2): how
     many draws there are, the shares of 0, 1 and 2 alternative alleles among them, the mean dose, the commonest genotype
-    (ties to 0, then 1) and its share. A task sends one row for each of its samples and sites."""
-    rows = drawn.select(*keys, "sample_id", "code1", "code2").withColumn("site", F.explode(F.sequence(F.lit(0), F.lit(sites - 1))))
-    dose = F.expr("cast((shiftright(code1, site) & 1) + (shiftright(code2, site) & 1) as int)")
-    out = rows.groupBy(*keys, "sample_id", "site").agg(F.count(F.lit(1)).alias("n"), *[F.avg((dose == k).cast("double")).alias(f"p{k}") for k in range(3)])
+    (ties to 0, then 1) and its share. A sample's draws are added up by site within one row; sites are rows only behind
+    that."""
+    bit = lambda c, s: F.sum(F.call_function("shiftright", c, F.lit(s)).bitwiseAND(F.lit(1)))
+    one, two = F.col("code1").bitwiseXOR(F.col("code2")), F.col("code1").bitwiseAND(F.col("code2"))
+    sums = [x.alias(f"{n}{s}") for s in range(sites) for n, x in (("one", bit(one, s)), ("two", bit(two, s)))]
+    each = drawn.groupBy(*keys, "sample_id").agg(F.count(F.lit(1)).alias("n"), F.count(one).alias("known"), *sums)
+    rows = each.select(*keys, "sample_id", "n", "known", F.inline(F.array(*[F.struct(F.lit(s).alias("site"), F.col(f"one{s}").alias("one"), F.col(f"two{s}").alias("two")) for s in range(sites)])))
+    share = lambda c: F.when(F.col("known") > 0, c / F.col("known"))
+    shares = (share(F.col("known") - F.col("one") - F.col("two")), share(F.col("one")), share(F.col("two")))
+    out = rows.select(*keys, "sample_id", "site", "n", *[p.alias(f"p{k}") for k, p in enumerate(shares)])
     return out.select("*", (F.col("p1") + 2 * F.col("p2")).alias("dosage"), best().alias("best"), F.greatest("p0", "p1", "p2").alias("quality"))
 
 

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -826,3 +827,24 @@ def test_orders_sort_no_row_for_each_site(spark, order):
     store = spark._jsparkSession.sharedState().statusStore()
     nodes = store.planGraph(store.executionsList().last().executionId()).allNodes()
     assert "Generate" not in {nodes.apply(k).name() for k in range(nodes.size())}
+
+
+def generated(spark):
+    """Rows that generators made in what ran last."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = store.executionsList().last().executionId()
+    values = dict(re.findall(r"(\d+) -> ([\d,]+)", store.executionMetrics(last).toString()))
+    nodes = store.planGraph(last).allNodes()
+    each = [(n.name(), n.metrics().apply(k)) for n in map(nodes.apply, range(nodes.size())) for k in range(n.metrics().size())]
+    return [int(values[str(m.accumulatorId())].replace(",", "")) for name, m in each if name == "Generate" and m.name() == "number of output rows"]
+
+
+def test_draws_are_added_up_before_they_are_cut_into_sites(spark):
+    rows = [(1, s, (s * 5 + k) % 8, (s + 3 * k) % 8) for s in range(20) for k in range(10)] + [(1, 20, None, 3), (1, 20, 5, 1), (1, 21, None, None)]
+    drawn = spark.createDataFrame(rows, "region long, sample_id long, code1 long, code2 long")
+    out = {(r.sample_id, r.site): r for r in genotypes.draw_dosages(drawn, 3, "region").collect()}
+    assert generated(spark) == [22 * 3] and len(out) == 22 * 3
+    for (sample, site), r in out.items():
+        doses = [(a >> site & 1) + (b >> site & 1) for _, s, a, b in rows if s == sample and a is not None]
+        assert r.n == sum(x[1] == sample for x in rows)
+        assert [r.p0, r.p1, r.p2] == ([doses.count(k) / len(doses) for k in range(3)] if doses else [None] * 3)
