@@ -848,3 +848,29 @@ def test_draws_are_added_up_before_they_are_cut_into_sites(spark):
         doses = [(a >> site & 1) + (b >> site & 1) for _, s, a, b in rows if s == sample and a is not None]
         assert r.n == sum(x[1] == sample for x in rows)
         assert [r.p0, r.p1, r.p2] == ([doses.count(k) / len(doses) for k in range(3)] if doses else [None] * 3)
+
+
+@pytest.mark.parametrize("width", [7, 4096])
+def test_phase_joined_over_ranges(spark, width):
+    """By a loop over the windows of each group; a group without a name keeps its windows, which have no votes."""
+    rng = np.random.default_rng(21)
+    rows = [(g, w, int(rng.integers(0, 256)), int(rng.integers(0, 256))) for g in (0, 1, 2, None) for w in range(45) if w in (13, 14) or rng.random() < 0.9]
+    codes = spark.createDataFrame(rows, "g long, window long, code1 long, code2 long").repartition(3)
+    got = {(r.g, r.window): (r.code1, r.code2, r.phase_set) for r in stitching.joined(codes, 8, 4, "g", width=width).collect()}
+    by = {(g, w): (a, b) for g, w, a, b in rows}
+    assert len(got) == len(rows)
+    for g in (0, 1, 2, None):
+        turned, phase_set = False, -1
+        for w in range(45):
+            if (g, w) not in by:
+                continue
+            a, b = by[g, w]
+            same = other = 0
+            if g is not None and (g, w - 1) in by:
+                before = [c >> 4 for c in by[g, w - 1]]
+                for s in range(4):
+                    x, y, p, q = (c >> s & 1 for c in (a, b, *before))
+                    same, other = same + (x != y and p != q and x == p), other + (x != y and p != q and x != p)
+            turned ^= other > same
+            phase_set += same == other
+            assert got[g, w] == ((b, a, phase_set) if turned else (a, b, phase_set))
