@@ -874,3 +874,30 @@ def test_phase_joined_over_ranges(spark, width):
             turned ^= other > same
             phase_set += same == other
             assert got[g, w] == ((b, a, phase_set) if turned else (a, b, phase_set))
+
+
+def test_consensus_where_draws_are_made(spark):
+    """The same as of draws that were put out, of which many samples share their reads; and nothing is shuffled for it."""
+    rng = np.random.default_rng(31)
+    haps = spark.createDataFrame([(r, h, int(rng.integers(0, 16))) for r in (1, 2) for h in range(30)], "region long, hap_id long, code long")
+    kinds = [(0, 30, 127), (127, 30, 0), (20, 3, 20)]
+    reads = spark.createDataFrame([(r, s, int(rng.integers(0, 4)), *kinds[s % 3]) for r in (1, 2) for s in range(60) for _ in range(1)], "region long, sample_id long, site int, pl0 long, pl1 long, pl2 long")
+    graph = haplotypes.graph(haps, 4, 4)
+    key = lambda rows: sorted(tuple(x) for x in rows)
+    for more in ({}, {"error": 0.05}, {"keep": 3}):
+        one = phasing.drawn_consensus(reads, *graph, 4, 5, **more)
+        two = phasing.consensus(phasing.draws(reads, *graph, 4, 5, **more), 4, "region", "sample_id")
+        assert key(one.collect()) == key(two.collect()) and one.count() == 120
+
+
+def test_sums_of_equal_reads_are_made_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    made = []
+    whole = phasing.forward
+    monkeypatch.setattr(phasing, "forward", lambda graph, phreds, *more: made.append(len(phreds)) or whole(graph, phreds, *more))
+    haps = spark.createDataFrame([(1, h, h % 4) for h in range(20)], "region long, hap_id long, code long")
+    reads = spark.createDataFrame([(1, s, s % 2, 0, 30, 127) for s in range(50)], "region long, sample_id long, site int, pl0 long, pl1 long, pl2 long")
+    rows = phasing._rows(reads, *haplotypes.graph(haps, 2, 2), 2, 0.01, 0.0).toArrow()
+    found = [x for batch in pa.Table.from_batches(rows.to_batches()).to_batches() for x in phasing._drawn(batch, 2, 3, 1, None)]
+    assert made == [2] and sorted(i for _, ids, *_ in found for i in ids.tolist()) == list(range(50))
